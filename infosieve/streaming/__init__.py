@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+Feature selection needs several passes over the same finite data (one per selected
+feature), and the library it replaces reads only finite files, so there is no
+watermark, window or state store here.  Selection is a batch job; see ``plans.job``.
+"""
