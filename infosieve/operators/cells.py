@@ -216,7 +216,8 @@ class FeatureWise:
     zero = 0.0
 
     def __init__(self, cells: DataFrame, classes: DataFrame, ids: DataFrame, cache: bool = True,
-                 lengths: DataFrame | None = None):
+                 lengths: DataFrame | None = None, dense: DataFrame | None = None):
+        self.dense = dense            # (feature, pos, x) with zeros, for vector scores
         self.cells_df = cells.persist(StorageLevel.MEMORY_AND_DISK) if cache else cells
         self._cached = cache
         self.classes = classes
@@ -231,19 +232,49 @@ class FeatureWise:
         base = df.select(F.col(id_col).alias("feature"), F.col(values_col).cast("array<double>").alias("v"))
         cells = (base.select("feature", F.posexplode("v").alias("pos", "a"))
                  .where(F.col("a").isNull() | F.isnan("a") | (F.col("a") != 0.0)))
+        dense = base.select("feature", F.posexplode("v").alias("pos", "x"))
         return cls(cells, classes, base.select("feature"), cache,
                    lengths=base.select("feature", F.size("v").alias("len"),
-                                       F.exists("v", lambda x: x.isNull() | F.isnan(x)).alias("bad")))
+                                       F.exists("v", lambda x: x.isNull() | F.isnan(x)).alias("bad")),
+                   dense=dense)
 
     @classmethod
     def from_cells(cls, cells: DataFrame, classes: DataFrame, feature: str = "feature", pos: str = "pos",
-                   value: str = "value", ids: DataFrame | None = None, cache: bool = True) -> "FeatureWise":
+                   value: str = "value", ids: DataFrame | None = None, cache: bool = True,
+                   dense: bool = False) -> "FeatureWise":
+        """Long cells.  ``dense=True`` says every (feature, position) cell is present, zeros
+        included, which vector scores need."""
         c = cells.select(F.col(feature).alias("feature"), F.col(pos).cast("long").alias("pos"),
                          F.col(value).cast("double").alias("a"))
+        d = c.select("feature", "pos", F.col("a").alias("x")) if dense else None
         c = c.where(F.col("a").isNull() | F.isnan("a") | (F.col("a") != 0.0))
         if ids is None:
             ids = c.select("feature").distinct()
-        return cls(c, classes, ids, cache)
+        return cls(c, classes, ids, cache, dense=d)
+
+    def vector_terms(self, winners: list | None, terms: dict, exclude: list | None = None) -> DataFrame:
+        """Aggregates ``fn(x, y)`` over aligned positions: against the class (``winners=None``)
+        or against each winner's vector; one equi-join on ``pos`` per vector."""
+        if self.dense is None:
+            raise ValueError("vector scores need dense feature vectors (from_arrays or dense=True)")
+        d = self.dense
+        if exclude:
+            d = d.where(~F.col("feature").isin(list(exclude)))
+        aggs = [fn.fn(F.col("x"), F.col("y")).alias(k) for k, fn in terms.items()]
+        if winners is None:
+            y = self._class.select("pos", F.col("b").cast("double").alias("y"))
+            return d.join(hinted(y, self._n, self.broadcast_rows), "pos").groupBy("feature").agg(*aggs)
+        parts = []
+        for w in winners:
+            y = (self.dense.where(F.col("feature") == F.lit(w).cast(self.feature_type))
+                 .select("pos", F.col("x").alias("y")))
+            parts.append(d.join(hinted(y, self._n, self.broadcast_rows), "pos")
+                         .groupBy("feature").agg(*aggs)
+                         .withColumn("other", F.lit(w).cast(self.feature_type)))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
     def prepare(self, broadcast_rows: int) -> Prepared:
         cl = self.classes.select(F.col("pos").cast("long").alias("pos"), F.col("b"))

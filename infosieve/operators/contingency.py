@@ -112,10 +112,13 @@ def cell_term_sums(pairs: DataFrame, hist_rows: list, n_total: int, keys: list[s
          - guarded(fn, F.col("nb"), F.col("n0"), F.col("nb"))).alias(k) for k, fn in terms.items()])
         .groupBy(*keys).agg(*[F.sum(k).alias(k) for k in terms]))
 
-    base = nf.select(*keys, *[
-        F.aggregate(lv, F.lit(0.0), lambda acc, e, fn=fn: acc + guarded(
-            fn, e["nb"].cast("double"), N - F.col("nf"), e["nb"].cast("double"))).alias(k)
-        for k, fn in terms.items()])
+    def all_levels(fn):
+        def merge(acc, e):
+            nb_ = e["nb"].cast("double")
+            return acc + guarded(fn, nb_, N - F.col("nf"), nb_)
+        return merge
+
+    base = nf.select(*keys, *[F.aggregate(lv, F.lit(0.0), all_levels(fn)).alias(k) for k, fn in terms.items()])
 
     out = base.join(nz, keys, "left").join(corr, keys, "left")
     return out.select(*keys, *[(base[k] + F.coalesce(nz[k], F.lit(0.0)) + F.coalesce(corr[k], F.lit(0.0))).alias(k)

@@ -4,20 +4,16 @@ Input ``pairs(keys..., a, b, n)`` holds, for every candidate feature, the number
 instances in which the candidate takes the **non-zero** level ``a`` and the other variable
 (the class or a selected feature) takes level ``b`` (zero allowed).  Instances where the
 candidate is zero are never counted; they are recovered from the other variable's full
-histogram ``hist(b, nb)`` (zero level included) and the instance count ``N``:
-
-    N * MI = h(N) + sum_ab h(n_ab) - sum_a h(n_a) - h(N - n_f)
-             + sum_{b seen} [h(n_b - t_b) - h(n_b)]
-
-with h(x) = x log2 x, n_a = sum_b n_ab, t_b = sum_a n_ab and n_f = sum n_ab.  One
-grouping-sets aggregation over the (already map-side combined) pair counts gives every
-term, so there is no cross join, no window and no explicit zero cell.
+histogram ``hist(b, nb)`` (zero level included) and the instance count ``N``: the zero
+cell of level b is nb - t_b with t_b = sum_a n_ab, the zero marginal is N - n_f.  No cross
+join and no materialised zero cell is needed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.entropy import xlog2x
 
@@ -38,27 +34,40 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int | Column, keys
     ``hist`` has columns ``(hist_keys..., b, nb)``; ``hist_keys`` is a subset of ``keys`` that
     names which other variable a histogram row belongs to (empty for the class).
     ``nnz`` is the candidate's number of non-zero cells, ``n_levels`` its non-zero levels.
+
+    Each cell contributes n log2(n N / (na nb)) (the well-conditioned form: near-independent
+    tables sum small terms instead of cancelling large entropies).  The zero row is added
+    per seen level b as m log2(m N / (n0 nb)) with m = nb - t_b, n0 = N - n_f, and for all
+    levels the candidate never meets at once as (N - sum of seen nb) log2(N / n0).  The
+    pair counts are re-partitioned by the table key once; the three window sums and the
+    final aggregation then run inside that partitioning (no further exchange).
     """
     hist_keys = list(hist_keys or [])
-    cols = keys + ["a", "b"]
-    sets = [cols, keys + ["a"], keys + ["b"], keys]
-    gs = (pairs.groupingSets(sets, *cols)
-          .agg(F.sum("n").alias("s"), F.grouping_id().alias("gid")))
     h = hist.select(*hist_keys, "b", F.col("nb").cast("double").alias("nb"))
-    gs = gs.join(hinted(h, hist_rows, broadcast_rows), hist_keys + ["b"], "left")
-    n = F.lit(n_total).cast("double") if not isinstance(n_total, Column) else n_total.cast("double")
-    gid, s, nb = F.col("gid"), F.col("s").cast("double"), F.col("nb")
-    short = F.when((gid == _GID_B) & (nb < s), F.raise_error(F.lit("Marginal sum greater than total")))
-    term = (F.when(gid == _GID_AB, xlog2x(s))
-            .when(gid == _GID_A, -xlog2x(s))
-            .when(gid == _GID_B, F.coalesce(short.cast("double"), xlog2x(nb - s) - xlog2x(nb)))
-            .otherwise(-xlog2x(n - s)))
-    return (gs.groupBy(*keys)
-            .agg(F.sum(term).alias("t"),
-                 F.max(F.when(gid == _GID_F, F.col("s"))).alias("nnz"),
-                 F.count(F.when(gid == _GID_A, F.lit(1))).alias("n_levels"))
-            .select(*keys, ((xlog2x(n) + F.col("t")) / n).alias("mi"),
-                    F.col("nnz").cast("long").alias("nnz"), F.col("n_levels").cast("long").alias("n_levels")))
+    p = pairs.join(hinted(h, hist_rows, broadcast_rows), hist_keys + ["b"], "left").repartition(*keys)
+    N = F.lit(n_total).cast("double") if not isinstance(n_total, Column) else n_total.cast("double")
+    by_a = Window.partitionBy(*keys, "a").orderBy("b")
+    by_b = Window.partitionBy(*keys, "b").orderBy("a")
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    p = p.select(*keys, F.col("n").cast("double").alias("n"), "nb",
+                 F.sum("n").over(by_a.rowsBetween(*whole)).cast("double").alias("na"),
+                 (F.row_number().over(by_a) == 1).alias("first_a"),
+                 F.sum("n").over(by_b.rowsBetween(*whole)).cast("double").alias("tb"),
+                 (F.row_number().over(by_b) == 1).alias("first_b"),
+                 F.sum("n").over(Window.partitionBy(*keys)).cast("double").alias("nf"))
+    n, nb, na, tb, nf = (F.col(c) for c in ("n", "nb", "na", "tb", "nf"))
+    n0, m = N - nf, nb - tb
+    short = F.when(F.col("first_b") & (nb.isNull() | (m < 0)), F.raise_error(F.lit("Marginal sum greater than total")))
+    cell = n * F.log2(n * N / (na * nb))
+    zero = F.when(F.col("first_b") & (m > 0), m * F.log2(m * N / (n0 * nb))).otherwise(F.lit(0.0))
+    g = (p.groupBy(*keys)
+         .agg(F.sum(cell).alias("s_cell"), F.sum(F.coalesce(short.cast("double"), zero)).alias("s_zero"),
+              F.sum(F.when(F.col("first_b"), nb).otherwise(F.lit(0.0))).alias("seen"),
+              F.max("nf").alias("nnz"), F.sum(F.col("first_a").cast("long")).alias("n_levels")))
+    unseen, g0 = N - F.col("seen"), N - F.col("nnz")
+    rest = F.when((unseen > 0) & (g0 > 0), unseen * F.log2(N / g0)).otherwise(F.lit(0.0))
+    return g.select(*keys, ((F.col("s_cell") + F.col("s_zero") + rest) / N).alias("mi"),
+                    F.col("nnz").cast("long").alias("nnz"), F.col("n_levels").cast("long").alias("n_levels"))
 
 
 def mi_from_full_table(table: DataFrame, keys: list[str]) -> DataFrame:

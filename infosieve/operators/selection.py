@@ -59,6 +59,8 @@ class Selector:
             raise ValueError("vector scores need feature-wise input with dense value arrays")
 
     # ------------------------------------------------------------------------------------
+    _selected: list = []
+
     def _raw_terms(self, pairs: DataFrame, keys: list, hist: DataFrame, hist_keys: list,
                    hist_rows: int, winners: list | None) -> DataFrame:
         """Per (keys) table: every raw term of the score as a column."""
@@ -76,7 +78,7 @@ class Selector:
             cs = cs.select(*keys, *[F.col(k_).alias("t_" + k_) for k_ in self.cells])
             out = cs if out is None else out.join(cs, keys, "full")
         if self.vectors:
-            vs = self.layout.vector_terms(winners, self.vectors)
+            vs = self.layout.vector_terms(winners, self.vectors, exclude=self._selected)
             vs = vs.select(*keys, *[F.col(k_).alias("t_" + k_) for k_ in self.vectors])
             out = vs if out is None else out.join(vs, keys, "full")
         return out
@@ -121,6 +123,7 @@ class Selector:
         marg = None
 
         selected: list = []
+        self._selected = selected
         n_iter = self.score.max_iterations(self.k)
         for i in range(1, n_iter + 1):
             m = min(self.score.select_top(i, self.k), self.k - len(selected))
