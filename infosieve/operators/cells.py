@@ -50,19 +50,31 @@ def _check_prepared(row, what: str) -> None:
 
 
 class _Instances:
-    """Shared code of the instance-wise layouts."""
+    """Shared code of the instance-wise layouts.
+
+    ``rows`` is the projected input (label + features only).  With ``cache=True`` it is
+    persisted (MEMORY_AND_DISK: a lost block is recomputed from the source) because every
+    iteration scans it once; when the source arrives in fewer partitions than the cluster
+    has cores it is spread round-robin first, which never triggers on large inputs.
+    """
 
     value_type: T.DataType = T.DoubleType()
     zero = 0.0
+    feature_type: T.DataType = T.StringType()
 
     def __init__(self, df: DataFrame, label: str, cache: bool):
         self.label = label
-        self._src = df
-        self.rows = df.persist(StorageLevel.MEMORY_AND_DISK) if cache else df
+        if cache:
+            cores = df.sparkSession.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows = df
         self._cached = cache
 
     # --- per layout -------------------------------------------------------------------
-    def cells(self, exclude: list) -> Column:                    # ARRAY<STRUCT<feature, a>>
+    def explode(self, base: DataFrame, carry: list[str], exclude: list) -> DataFrame:
+        """``base`` (= rows plus carried columns) -> ``(carry..., feature, a)``, non-zero only."""
         raise NotImplementedError
 
     def value_of(self, feature) -> Column:
@@ -71,7 +83,8 @@ class _Instances:
     def bad_row(self) -> Column:
         raise NotImplementedError
 
-    feature_type: T.DataType = T.StringType()
+    def payload(self) -> list[Column]:
+        raise NotImplementedError
 
     def feature_ids(self) -> DataFrame | None:
         return None
@@ -90,16 +103,21 @@ class _Instances:
 
     def class_rows(self, exclude: list) -> DataFrame:
         """(feature, a, b): every non-zero cell of a candidate with the row's label."""
-        return (self.rows.select(F.col(self.label).alias("b"), F.inline(self.cells(exclude)))
-                .select("feature", "a", "b"))
+        base = self.rows.select(F.col(self.label).alias("b"), *self.payload())
+        return self.explode(base, ["b"], exclude).select("feature", "a", "b")
 
     def winner_rows(self, winners: list, exclude: list) -> DataFrame:
-        """(feature, other, a, b): every non-zero candidate cell with each winner's value."""
-        others = F.array(*[F.struct(F.lit(w).cast(self.feature_type).alias("other"),
-                                    self.value_of(w).alias("b")) for w in winners])
-        return (self.rows.select(F.inline(others), self.cells(exclude).alias("_cells"))
-                .select("other", "b", F.inline("_cells"))
-                .select("feature", "other", "a", "b"))
+        """(feature, other, a, b): every non-zero candidate cell with each winner's value,
+        read from the same row (no join)."""
+        if len(winners) == 1:
+            w = winners[0]
+            base = self.rows.select(F.lit(w).cast(self.feature_type).alias("other"),
+                                    self.value_of(w).alias("b"), *self.payload())
+        else:
+            others = F.array(*[F.struct(F.lit(w).cast(self.feature_type).alias("other"),
+                                        self.value_of(w).alias("b")) for w in winners])
+            base = self.rows.select(F.inline(others), *self.payload())
+        return self.explode(base, ["other", "b"], exclude).select("feature", "other", "a", "b")
 
     def unpersist(self) -> None:
         if self._cached:
@@ -110,7 +128,7 @@ class WideInstances(_Instances):
     """One column per feature.  Numeric features are compared as DOUBLE with zero cells
     skipped; if any feature is not numeric all levels are compared as STRING (no zero)."""
 
-    def __init__(self, df: DataFrame, label: str, features: list[str] | None = None, cache: bool = False):
+    def __init__(self, df: DataFrame, label: str, features: list[str] | None = None, cache: bool = True):
         features = list(features) if features is not None else [c for c in df.columns if c != label]
         if len(set(features)) != len(features):
             raise ValueError("duplicate feature column")
@@ -128,10 +146,14 @@ class WideInstances(_Instances):
     def value_of(self, feature) -> Column:
         return F.col(feature).cast(self.value_type)
 
-    def cells(self, exclude: list) -> Column:
+    def payload(self) -> list[Column]:
+        return [self.value_of(f).alias(f) for f in self.features]
+
+    def explode(self, base, carry, exclude):
         keep = [f for f in self.features if f not in set(exclude)]
-        arr = F.array(*[F.struct(F.lit(f).alias("feature"), self.value_of(f).alias("a")) for f in keep])
-        return arr if self.zero is None else F.filter(arr, lambda c: c["a"] != F.lit(self.zero))
+        # unpivot = Expand: stays inside whole-stage codegen with the filter and partial agg
+        out = base.unpivot(carry, keep, "feature", "a")
+        return out if self.zero is None else out.where(F.col("a") != F.lit(self.zero))
 
     def bad_row(self) -> Column:
         bad = F.lit(False)
@@ -149,18 +171,20 @@ class ArrayInstances(_Instances):
 
     feature_type = T.IntegerType()
 
-    def __init__(self, df: DataFrame, label: str, array_col: str, cache: bool = False):
+    def __init__(self, df: DataFrame, label: str, array_col: str, cache: bool = True):
         self.array_col = array_col
         super().__init__(df.select(label, F.col(array_col).cast("array<double>").alias(array_col)), label, cache)
 
     def value_of(self, feature) -> Column:
         return F.col(self.array_col)[int(feature)]
 
-    def cells(self, exclude: list) -> Column:
-        arr = F.transform(F.col(self.array_col),
-                          lambda x, i: F.named_struct(F.lit("feature"), i, F.lit("a"), x))
+    def payload(self) -> list[Column]:
+        return [F.col(self.array_col)]
+
+    def explode(self, base, carry, exclude):
+        out = base.select(*carry, F.posexplode(self.array_col).alias("feature", "a")).where(F.col("a") != 0.0)
         ex = [int(e) for e in exclude]
-        return F.filter(arr, lambda c: (c["a"] != 0.0) & (~c["feature"].isin(ex) if ex else F.lit(True)))
+        return out.where(~F.col("feature").isin(ex)) if ex else out
 
     def bad_row(self) -> Column:
         c = F.col(self.array_col)
@@ -195,13 +219,12 @@ class MapInstances(_Instances):
     def value_of(self, feature) -> Column:
         return F.coalesce(F.col(self.map_col)[F.lit(feature).cast(self.feature_type)], F.lit(0.0))
 
-    def cells(self, exclude: list) -> Column:
-        arr = F.transform(F.map_entries(F.col(self.map_col)),
-                          lambda e: F.named_struct(F.lit("feature"), e["key"], F.lit("a"), e["value"]))
-        if not exclude:
-            return arr
-        ex = list(exclude)
-        return F.filter(arr, lambda c: ~c["feature"].isin(ex))
+    def payload(self) -> list[Column]:
+        return [F.col(self.map_col)]
+
+    def explode(self, base, carry, exclude):
+        out = base.select(*carry, F.explode(self.map_col).alias("feature", "a"))
+        return out.where(~F.col("feature").isin(list(exclude))) if exclude else out
 
     def bad_row(self) -> Column:
         c = F.col(self.map_col)

@@ -44,7 +44,9 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int | Column, keys
     """
     hist_keys = list(hist_keys or [])
     h = hist.select(*hist_keys, "b", F.col("nb").cast("double").alias("nb"))
-    p = pairs.join(hinted(h, hist_rows, broadcast_rows), hist_keys + ["b"], "left").repartition(*keys)
+    # partition by the candidate alone: it satisfies every later grouping (all contain it),
+    # even when Catalyst folds a constant "other" key away
+    p = pairs.join(hinted(h, hist_rows, broadcast_rows), hist_keys + ["b"], "left").repartition(keys[0])
     N = F.lit(n_total).cast("double") if not isinstance(n_total, Column) else n_total.cast("double")
     by_a = Window.partitionBy(*keys, "a").orderBy("b")
     by_b = Window.partitionBy(*keys, "b").orderBy("a")

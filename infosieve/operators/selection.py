@@ -17,6 +17,10 @@ Ties are broken deterministically: ``round(score, 12)`` descending, then feature
 
 from __future__ import annotations
 
+import logging
+import time
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +30,25 @@ from .information import mi_from_pairs
 from .scores import CellTerm, Score, VectorAgg, get_score
 
 
+log = logging.getLogger("infosieve.selection")
+
+
+def explain_string(df: DataFrame, mode: str = "formatted") -> str:
+    """The text ``df.explain(mode)`` prints, for logging."""
+    jvm = df.sparkSession.sparkContext._jvm
+    return jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+
+class _Clock:
+    def __init__(self):
+        self.t = time.perf_counter()
+
+    def lap(self, what: str) -> None:
+        now = time.perf_counter()
+        log.info("%-28s %7.3fs", what, now - self.t)
+        self.t = now
+
+
 def _ordering(score_col: str = "score"):
     s = F.col(score_col)
     return [F.round(s, 12).desc_nulls_last(), F.col("feature").asc()]
@@ -39,7 +62,7 @@ class Selector:
     """Run a selection over a layout; ``run()`` returns ``(rank, feature, score)``."""
 
     def __init__(self, layout, k: int, score="mrmr", broadcast_rows: int = 1_000_000,
-                 level_bound: int = 100_000, all_zero: str = "drop"):
+                 level_bound: int = 100_000, all_zero: str = "drop", release_input: bool = True):
         if k < 0:
             raise ValueError("k must be >= 0")
         if all_zero not in ("drop", "keep"):
@@ -50,6 +73,7 @@ class Selector:
         self.broadcast_rows = broadcast_rows
         self.level_bound = level_bound
         self.all_zero = all_zero
+        self.release_input = release_input
         layout.broadcast_rows = broadcast_rows
         self.terms = dict(self.score.terms)
         self.mi = any(v == "mi" for v in self.terms.values())
@@ -88,10 +112,22 @@ class Selector:
 
     # ------------------------------------------------------------------------------------
     def run(self) -> DataFrame:
+        self._cached = []
+        try:
+            return self._run()
+        finally:
+            for df in self._cached:
+                df.unpersist()
+            if self.release_input and hasattr(self.layout, "unpersist"):
+                self.layout.unpersist()
+
+    def _run(self) -> DataFrame:
         lay = self.layout
         spark = (lay.rows if hasattr(lay, "rows") else lay.cells_df).sparkSession
+        clock = _Clock()
         prep = lay.prepare(self.broadcast_rows)
         self.n = prep.n
+        clock.lap("prepare")
         result: list = []
         ftype = lay.feature_type
         schema = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("feature", ftype),
@@ -100,7 +136,9 @@ class Selector:
             return spark.createDataFrame([], schema)
 
         # relevance: candidate x class tables (A3), one exchange of map-side combined counts
-        ct = count_pairs(lay.class_rows([]), ["feature"]).checkpoint(eager=True)
+        # persisted, not checkpointed: its lineage is one aggregation over the cached input
+        ct = count_pairs(lay.class_rows([]), ["feature"]).persist(StorageLevel.MEMORY_AND_DISK)
+        self._cached.append(ct)
         raw = self._raw_terms(ct, ["feature"], prep.hist, [], prep.n_classes, None)
         rel = self._pair_values(raw)
         names = list(rel)
@@ -120,6 +158,7 @@ class Selector:
                 *[F.coalesce("rel_" + c, zero_rel[c]).alias("rel_" + c) for c in names],
                 *[F.coalesce("red_" + c, F.lit(0.0)).alias("red_" + c) for c in names])
         state = state.checkpoint(eager=True)
+        clock.lap("relevance")
         marg = None
 
         selected: list = []
@@ -134,6 +173,7 @@ class Selector:
             cand = state.where(~F.col("feature").isin(selected)) if selected else state
             top = (cand.select("feature", sc.alias("score"), "nnz", "n_levels")
                    .orderBy(*_ordering()).limit(m).collect())
+            clock.lap(f"iteration {i}: pick")
             if not top:
                 break
             for r in top:
@@ -146,7 +186,8 @@ class Selector:
                                 if getattr(lay, "winner_rows_takes_nnz", False)
                                 else lay.winner_rows(winners, selected), ["feature", "other"])
             if marg is None:
-                marg = marginals(ct, ["feature"]).checkpoint(eager=True)
+                marg = marginals(ct, ["feature"]).persist(StorageLevel.MEMORY_AND_DISK)
+                self._cached.append(marg)
             hist = (marg.where(F.col("feature").isin(winners))
                     .select(F.col("feature").alias("other"), F.col("a").alias("b"), F.col("n").alias("nb")))
             if lay.zero is not None:
@@ -163,7 +204,10 @@ class Selector:
                 "feature", "nnz", "n_levels", *["rel_" + c for c in names],
                 *[(F.col("red_" + c) + F.coalesce(F.col("add_" + c), F.lit(0.0))).alias("red_" + c)
                   for c in names])
+            if log.isEnabledFor(logging.DEBUG):
+                log.debug("iteration %d plan:\n%s", i, explain_string(state))
             state = state.checkpoint(eager=True)
+            clock.lap(f"iteration {i}: redundancy")
         return spark.createDataFrame(result, schema)
 
 
