@@ -103,21 +103,22 @@ class _Instances:
 
     def class_rows(self, exclude: list) -> DataFrame:
         """(feature, a, b): every non-zero cell of a candidate with the row's label."""
-        base = self.rows.select(F.col(self.label).alias("b"), *self.payload())
-        return self.explode(base, ["b"], exclude).select("feature", "a", "b")
+        base = self.rows.select(F.col(self.label).alias("__b"), *self.payload())
+        return self.explode(base, ["__b"], exclude).select("feature", "a", F.col("__b").alias("b"))
 
     def winner_rows(self, winners: list, exclude: list) -> DataFrame:
         """(feature, other, a, b): every non-zero candidate cell with each winner's value,
         read from the same row (no join)."""
         if len(winners) == 1:
             w = winners[0]
-            base = self.rows.select(F.lit(w).cast(self.feature_type).alias("other"),
-                                    self.value_of(w).alias("b"), *self.payload())
+            base = self.rows.select(F.lit(w).cast(self.feature_type).alias("__other"),
+                                    self.value_of(w).alias("__b"), *self.payload())
         else:
-            others = F.array(*[F.struct(F.lit(w).cast(self.feature_type).alias("other"),
-                                        self.value_of(w).alias("b")) for w in winners])
+            others = F.array(*[F.struct(F.lit(w).cast(self.feature_type).alias("__other"),
+                                        self.value_of(w).alias("__b")) for w in winners])
             base = self.rows.select(F.inline(others), *self.payload())
-        return self.explode(base, ["other", "b"], exclude).select("feature", "other", "a", "b")
+        return self.explode(base, ["__other", "__b"], exclude).select(
+            "feature", F.col("__other").alias("other"), "a", F.col("__b").alias("b"))
 
     def unpersist(self) -> None:
         if self._cached:
@@ -151,6 +152,9 @@ class WideInstances(_Instances):
 
     def explode(self, base, carry, exclude):
         keep = [f for f in self.features if f not in set(exclude)]
+        if not keep:
+            return base.select(*carry, F.lit(None).cast("string").alias("feature"),
+                               F.lit(None).cast(self.value_type).alias("a")).where(F.lit(False))
         # unpivot = Expand: stays inside whole-stage codegen with the filter and partial agg
         out = base.unpivot(carry, keep, "feature", "a")
         return out if self.zero is None else out.where(F.col("a") != F.lit(self.zero))
