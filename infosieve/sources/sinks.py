@@ -44,15 +44,9 @@ def write_libsvm(df: DataFrame, path: str, label: str, features: str, mode: str
     df.select(F.rtrim(line).alias("value")).write.mode(mode).text(path)
 
 
-def class_line(classes: DataFrame, pos: str = "pos", label: str = "label", sep: str = ",") -> DataFrame:
-    """The class vector as one line, values in position order.  The format itself is a
-    single line, so this gathers one value per instance into one row: use it for the
-    feature-wise layout's class file, whose length is the (small) number of instances."""
-    return classes.agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(label).cast("double").alias("v")))),
-        lambda e: _num(e["v"])), sep).alias("value"))
-
-
-def write_class_vector(classes: DataFrame, path: str, pos: str = "pos", label: str = "label", sep: str = ",",
-                       mode: str = "overwrite") -> None:
-    class_line(classes, pos, label, sep).write.mode(mode).text(path)
+def write_class_vector(classes: DataFrame, path: str, n_instances: int, pos: str = "pos", label: str = "label",
+                       sep: str = ",", mode: str = "overwrite") -> None:
+    """The class vector as one text line in position order (A14; the format is one line,
+    so the instance count is checked first)."""
+    from ..operators.transpose import class_line
+    class_line(classes, n_instances, pos, label, sep).write.mode(mode).text(path)
