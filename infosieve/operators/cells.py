@@ -106,9 +106,10 @@ class _Instances:
         base = self.rows.select(F.col(self.label).alias("__b"), *self.payload())
         return self.explode(base, ["__b"], exclude).select("feature", "a", F.col("__b").alias("b"))
 
-    def winner_rows(self, winners: list, exclude: list) -> DataFrame:
+    def winner_rows(self, winners: list, exclude: list, nonzero_only: bool = False) -> DataFrame:
         """(feature, other, a, b): every non-zero candidate cell with each winner's value,
-        read from the same row (no join)."""
+        read from the same row (no join).  ``nonzero_only`` keeps only the rows where the
+        winner is non-zero (its support); the b = 0 cells are then recovered from marginals."""
         if len(winners) == 1:
             w = winners[0]
             base = self.rows.select(F.lit(w).cast(self.feature_type).alias("__other"),
@@ -117,6 +118,8 @@ class _Instances:
             others = F.array(*[F.struct(F.lit(w).cast(self.feature_type).alias("__other"),
                                         self.value_of(w).alias("__b")) for w in winners])
             base = self.rows.select(F.inline(others), *self.payload())
+        if nonzero_only:
+            base = base.where(F.col("__b") != F.lit(self.zero))
         return self.explode(base, ["__other", "__b"], exclude).select(
             "feature", F.col("__other").alias("other"), "a", F.col("__b").alias("b"))
 
@@ -350,14 +353,16 @@ class FeatureWise:
         # every position has a class: inner equi-join; the class side is broadcast only below the bound
         return c.join(hinted(self._class, self._n, self.broadcast_rows), "pos").select("feature", "a", "b")
 
-    def winner_rows(self, winners: list, exclude: list, nnz: dict | None = None) -> DataFrame:
+    def winner_rows(self, winners: list, exclude: list, nnz: dict | None = None,
+                    nonzero_only: bool = False) -> DataFrame:
         c = self.cells_df if not exclude else self.cells_df.where(~F.col("feature").isin(list(exclude)))
+        how = "inner" if nonzero_only else "left"
         parts = []
         for w in winners:
             wv = (self.cells_df.where(F.col("feature") == F.lit(w).cast(self.feature_type))
                   .select("pos", F.col("a").alias("b")))
             rows = (nnz or {}).get(w)
-            parts.append(c.join(hinted(wv, rows, self.broadcast_rows), "pos", "left")
+            parts.append(c.join(hinted(wv, rows, self.broadcast_rows), "pos", how)
                          .select("feature", F.lit(w).cast(self.feature_type).alias("other"), "a",
                                  F.coalesce(F.col("b"), F.lit(0.0)).alias("b")))
         out = parts[0]

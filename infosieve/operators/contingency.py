@@ -24,6 +24,27 @@ def count_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def recover_zero_other(nz_pairs: DataFrame, marg: DataFrame, winners: list, exclude: list,
+                       feature_type, zero=0.0) -> DataFrame:
+    """Complete candidate x winner tables counted only on the winners' support.
+
+    ``nz_pairs(feature, other, a, b, n)`` holds the cells with b != 0; the b = 0 cell of each
+    candidate level is its marginal minus what the winner's support took:
+    ``n_a0 = n_a - sum_{b != 0} n_ab``, with ``n_a`` from ``marg(feature, a, n)``.  The winners
+    (few) are attached to each marginal row by a literal array, not a join.
+    """
+    cand = marg if not exclude else marg.where(~F.col("feature").isin(list(exclude)))
+    ws = F.array(*[F.lit(w).cast(feature_type) for w in winners])
+    cand = cand.select("feature", "a", F.col("n").alias("na"), F.explode(ws).alias("other"))
+    s = nz_pairs.groupBy("feature", "other", "a").agg(F.sum("n").alias("s"))
+    rest = F.col("na") - F.coalesce(F.col("s"), F.lit(0))
+    zero_cells = (cand.join(s, ["feature", "other", "a"], "left")
+                  .select("feature", "other", "a", F.lit(zero).cast(nz_pairs.schema["b"].dataType).alias("b"),
+                          F.when(rest < 0, F.raise_error(F.lit(SHORT))).otherwise(rest).cast("long").alias("n"))
+                  .where(F.col("n") > 0))
+    return nz_pairs.select("feature", "other", "a", "b", F.col("n").cast("long").alias("n")).unionByName(zero_cells)
+
+
 def marginals(pairs: DataFrame, keys: list[str], side: str = "a") -> DataFrame:
     """Row or column sums of sparse tables: ``(keys..., side, n)``."""
     return pairs.groupBy(*keys, side).agg(F.sum("n").alias("n"))

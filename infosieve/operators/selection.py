@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .contingency import cell_term_sums, collect_levels, count_pairs, marginals
+from .contingency import cell_term_sums, collect_levels, count_pairs, marginals, recover_zero_other
 from .information import mi_from_pairs
 from .scores import CellTerm, Score, VectorAgg, get_score
 
@@ -62,7 +62,8 @@ class Selector:
     """Run a selection over a layout; ``run()`` returns ``(rank, feature, score)``."""
 
     def __init__(self, layout, k: int, score="mrmr", broadcast_rows: int = 1_000_000,
-                 level_bound: int = 100_000, all_zero: str = "drop", release_input: bool = True):
+                 level_bound: int = 100_000, all_zero: str = "drop", release_input: bool = True,
+                 sparse_winners="auto"):
         if k < 0:
             raise ValueError("k must be >= 0")
         if all_zero not in ("drop", "keep"):
@@ -74,6 +75,9 @@ class Selector:
         self.level_bound = level_bound
         self.all_zero = all_zero
         self.release_input = release_input
+        if sparse_winners not in ("auto", True, False):
+            raise ValueError("sparse_winners must be 'auto', True or False")
+        self.sparse_winners = sparse_winners
         layout.broadcast_rows = broadcast_rows
         self.terms = dict(self.score.terms)
         self.mi = any(v == "mi" for v in self.terms.values())
@@ -107,6 +111,20 @@ class Selector:
             out = vs if out is None else out.join(vs, keys, "full")
         return out
 
+    _sizes = None
+
+    def _pair_on_support(self, support_rows: int, state: DataFrame) -> bool:
+        """Cost rule for pairing on the winners' support only.  The full pass touches every
+        non-zero cell (C); the support pass touches about C * support / N cells plus a few
+        passes over the candidates' marginal rows (M) to recover the b = 0 cells."""
+        if self.sparse_winners is not True and self.sparse_winners is not False:
+            if self._sizes is None:
+                r = state.agg(F.sum("nnz").alias("c"), F.sum("n_levels").alias("m")).first()
+                self._sizes = (float(r["c"] or 0), float(r["m"] or 0))
+            cells, marg_rows = self._sizes
+            return cells * support_rows / max(self.n, 1) + 4.0 * marg_rows < 0.5 * cells
+        return bool(self.sparse_winners)
+
     def _pair_values(self, raw: DataFrame) -> dict:
         return self.score.pair_values({k_: F.coalesce(F.col("t_" + k_), F.lit(0.0)) for k_ in self.terms})
 
@@ -182,12 +200,16 @@ class Selector:
             if i == n_iter or len(selected) >= self.k or not self.score.uses_redundancy:
                 continue
             winners = [r["feature"] for r in top]
-            pairs = count_pairs(lay.winner_rows(winners, selected, nnz={r["feature"]: r["nnz"] for r in top})
-                                if getattr(lay, "winner_rows_takes_nnz", False)
-                                else lay.winner_rows(winners, selected), ["feature", "other"])
             if marg is None:
                 marg = marginals(ct, ["feature"]).persist(StorageLevel.MEMORY_AND_DISK)
                 self._cached.append(marg)
+            # a sparse winner (small support) is paired only on its support; the b = 0 cells
+            # come from the candidates' marginals, so the pass reads a fraction of the cells
+            sparse = lay.zero is not None and self._pair_on_support(sum(int(r["nnz"]) for r in top), state)
+            kw = {"nnz": {r["feature"]: r["nnz"] for r in top}} if getattr(lay, "winner_rows_takes_nnz", False) else {}
+            pairs = count_pairs(lay.winner_rows(winners, selected, nonzero_only=sparse, **kw), ["feature", "other"])
+            if sparse:
+                pairs = recover_zero_other(pairs, marg, winners, selected, ftype, lay.zero)
             hist = (marg.where(F.col("feature").isin(winners))
                     .select(F.col("feature").alias("other"), F.col("a").alias("b"), F.col("n").alias("nb")))
             if lay.zero is not None:

@@ -65,3 +65,22 @@ def test_max_relevance_matches_bruteforce(spark):
     df = spark.createDataFrame(rows, "label double, x array<double>")
     got = select_features(ArrayInstances(df, "label", "x"), 5, "maxrel").orderBy("rank").collect()
     _check(got, select(X, y, 5, score="maxrel"))
+
+
+@pytest.mark.parametrize("seed", [13, 14])
+def test_support_only_pairing_equals_full_pass(spark, seed):
+    rng = np.random.default_rng(seed)
+    n, d = 90, 8
+    X = rng.choice([0, 0, 0, 0, 1, 3], size=(n, d))
+    y = (X[:, 2] > 0).astype(int) + rng.integers(0, 2, n)
+    rows = [(float(y[i]), {j: float(v) for j, v in enumerate(X[i]) if v != 0}) for i in range(n)]
+    df = spark.createDataFrame(rows, "label double, m map<int, double>")
+    a = select_features(MapInstances(df, "label", "m"), 5, "mrmr", sparse_winners=True).orderBy("rank").collect()
+    b = select_features(MapInstances(df, "label", "m"), 5, "mrmr", sparse_winners=False).orderBy("rank").collect()
+    _check(a, select(X, y, 5))
+    _check(b, select(X, y, 5))
+    cells = spark.createDataFrame([(j, i, float(X[i, j])) for i in range(n) for j in range(d)],
+                                  "feature int, pos long, value double")
+    classes = spark.createDataFrame([(i, float(y[i])) for i in range(n)], "pos long, b double")
+    c = select_features(FeatureWise.from_cells(cells, classes), 5, "mrmr", sparse_winners=True).orderBy("rank").collect()
+    _check(c, select(X, y, 5))
