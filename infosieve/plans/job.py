@@ -1,7 +1,6 @@
 """M8: the selection job.
 
-    spark-submit -m infosieve.plans.job INPUT LAYOUT K FORMAT LABEL_INDEX SCORE [CLASS_FILE]
-                 [--out DIR] [--partitions N]
+    spark-submit run_job.py INPUT LAYOUT K FORMAT LABEL_INDEX SCORE [CLASS_FILE] [--out DIR]
 
 LAYOUT is ``column-wise`` / ``instance-wise`` (one row per instance) or ``row-wise`` /
 ``feature-wise`` (one row per feature; CLASS_FILE holds the class vector on its first
