@@ -50,6 +50,11 @@ def marginals(pairs: DataFrame, keys: list[str], side: str = "a") -> DataFrame:
     return pairs.groupBy(*keys, side).agg(F.sum("n").alias("n"))
 
 
+def level_column(hist_rows: list, has_other: bool) -> Column:
+    """Literal level list(s) of a counted histogram: ARRAY<STRUCT<b, nb>>, per ``other`` if keyed."""
+    return _levels_by_other(hist_rows, has_other)
+
+
 def _level_array(levels: list) -> Column:
     """Literal ARRAY<STRUCT<b, nb>> of a small, counted histogram."""
     return F.array(*[F.struct(F.lit(b).alias("b"), F.lit(int(nb)).cast("long").alias("nb")) for b, nb in levels])
@@ -96,51 +101,3 @@ def full_table(pairs: DataFrame, hist_rows: list, n_total: int, keys: list[str],
     """Counted cells plus the recovered zero row: the whole table ``(keys..., a, b, n)``, n > 0."""
     counted = pairs.select(*keys, "a", "b", F.col("n").cast("long").alias("n"))
     return counted.unionByName(zero_row(pairs, hist_rows, n_total, keys, zero))
-
-
-def cell_term_sums(pairs: DataFrame, hist_rows: list, n_total: int, keys: list[str],
-                   terms: dict) -> DataFrame:
-    """``sum over all non-zero cells of fn(n, na, nb, N)`` per table, for each named term.
-
-    Cells with a non-zero candidate level come from ``pairs``; the zero row is handled per
-    table without materialising unseen cells: sum over every level b of fn(nb, n0, nb, N)
-    (literal level array), corrected for the levels that the candidate does meet.
-    """
-    has_other = "other" in keys
-    N = F.lit(float(n_total))
-    lv = _levels_by_other(hist_rows, has_other)
-    nb_of = F.map_from_entries(lv)
-
-    p = pairs.select(*keys, "a", "b", F.col("n").cast("double").alias("n"))
-    na = p.groupBy(*keys, "a").agg(F.sum("n").alias("na"))
-    tb = p.groupBy(*keys, "b").agg(F.sum("n").alias("t"))
-    nf = p.groupBy(*keys).agg(F.sum("n").alias("nf"))
-
-    nz = (p.join(na, keys + ["a"])
-          .select(*keys, *[fn.fn(F.col("n"), F.col("na"), nb_of[F.col("b")].cast("double"), N).alias(k)
-                           for k, fn in terms.items()])
-          .groupBy(*keys).agg(*[F.sum(k).alias(k) for k in terms]))
-
-    seen = tb.join(nf, keys).select(*keys, "t", (N - F.col("nf")).alias("n0"),
-                                    nb_of[F.col("b")].cast("double").alias("nb"))
-    short = F.when(F.col("nb") < F.col("t"), F.raise_error(F.lit(SHORT)))
-
-    def guarded(fn, n, na_, nb_):
-        return F.when((n > 0) & (na_ > 0), fn.fn(n, na_, nb_, N)).otherwise(F.lit(0.0))
-
-    corr = (seen.select(*keys, *[
-        (F.coalesce(short.cast("double"), guarded(fn, F.col("nb") - F.col("t"), F.col("n0"), F.col("nb")))
-         - guarded(fn, F.col("nb"), F.col("n0"), F.col("nb"))).alias(k) for k, fn in terms.items()])
-        .groupBy(*keys).agg(*[F.sum(k).alias(k) for k in terms]))
-
-    def all_levels(fn):
-        def merge(acc, e):
-            nb_ = e["nb"].cast("double")
-            return acc + guarded(fn, nb_, N - F.col("nf"), nb_)
-        return merge
-
-    base = nf.select(*keys, *[F.aggregate(lv, F.lit(0.0), all_levels(fn)).alias(k) for k, fn in terms.items()])
-
-    out = base.join(nz, keys, "left").join(corr, keys, "left")
-    return out.select(*keys, *[(base[k] + F.coalesce(nz[k], F.lit(0.0)) + F.coalesce(corr[k], F.lit(0.0))).alias(k)
-                               for k in terms])

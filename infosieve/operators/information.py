@@ -28,8 +28,14 @@ def hinted(df: DataFrame, rows: int | None, bound: int) -> DataFrame:
 
 def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int | Column, keys: list[str],
                   hist_keys: list[str] | None = None, hist_rows: int | None = None,
-                  broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Return ``(keys..., mi, nnz, n_levels)``.
+                  broadcast_rows: int = 1_000_000, cell_terms: dict | None = None,
+                  levels: Column | None = None) -> DataFrame:
+    """Return ``(keys..., mi, nnz, n_levels, <cell terms>...)``.
+
+    ``cell_terms`` maps names to ``fn(n, na, nb, N) -> Column``; each is summed over all
+    non-zero cells of every complete table (zero row included) in the same pass.  Their
+    zero-row cells at levels the candidate never meets need the other variable's level
+    list: ``levels`` is an ARRAY<STRUCT<b, nb>> Column (a literal of a counted histogram).
 
     ``hist`` has columns ``(hist_keys..., b, nb)``; ``hist_keys`` is a subset of ``keys`` that
     names which other variable a histogram row belongs to (empty for the class).
@@ -62,14 +68,39 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int | Column, keys
     short = F.when(F.col("first_b") & (nb.isNull() | (m < 0)), F.raise_error(F.lit("Marginal sum greater than total")))
     cell = n * F.log2(n * N / (na * nb))
     zero = F.when(F.col("first_b") & (m > 0), m * F.log2(m * N / (n0 * nb))).otherwise(F.lit(0.0))
+    cell_terms = dict(cell_terms or {})
+    extra = []
+    for name, fn in cell_terms.items():
+        # non-zero cells + the zero cell of each seen level, minus the seen levels' share of
+        # the "every level" sum that is added per table below
+        seen_zero = F.when(F.col("first_b") & (m > 0) & (n0 > 0), fn(m, n0, nb, N)).otherwise(F.lit(0.0))
+        seen_full = F.when(F.col("first_b") & (nb > 0) & (n0 > 0), fn(nb, n0, nb, N)).otherwise(F.lit(0.0))
+        extra.append(F.sum(fn(n, na, nb, N) + seen_zero - seen_full).alias("c_" + name))
     g = (p.groupBy(*keys)
          .agg(F.sum(cell).alias("s_cell"), F.sum(F.coalesce(short.cast("double"), zero)).alias("s_zero"),
               F.sum(F.when(F.col("first_b"), nb).otherwise(F.lit(0.0))).alias("seen"),
-              F.max("nf").alias("nnz"), F.sum(F.col("first_a").cast("long")).alias("n_levels")))
+              F.max("nf").alias("nnz"), F.sum(F.col("first_a").cast("long")).alias("n_levels"), *extra))
     unseen, g0 = N - F.col("seen"), N - F.col("nnz")
     rest = F.when((unseen > 0) & (g0 > 0), unseen * F.log2(N / g0)).otherwise(F.lit(0.0))
+    outs = []
+    for name, fn in cell_terms.items():
+        if levels is None:
+            raise ValueError("cell terms need the other variable's levels")
+
+        def every_level(acc, e, fn=fn):
+            lv = e["nb"].cast("double")
+            return acc + F.when((lv > 0) & (g0 > 0), fn(lv, g0, lv, N)).otherwise(F.lit(0.0))
+        outs.append((F.col("c_" + name) + F.aggregate(levels, F.lit(0.0), _two_args(every_level))).alias(name))
     return g.select(*keys, ((F.col("s_cell") + F.col("s_zero") + rest) / N).alias("mi"),
-                    F.col("nnz").cast("long").alias("nnz"), F.col("n_levels").cast("long").alias("n_levels"))
+                    F.col("nnz").cast("long").alias("nnz"), F.col("n_levels").cast("long").alias("n_levels"),
+                    *outs)
+
+
+def _two_args(f):
+    """PySpark counts lambda parameters; hide the default-bound ones."""
+    def merge(acc, e):
+        return f(acc, e)
+    return merge
 
 
 def mi_from_full_table(table: DataFrame, keys: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .contingency import cell_term_sums, collect_levels, count_pairs, marginals, recover_zero_other
+from .contingency import collect_levels, count_pairs, level_column, marginals, recover_zero_other
 from .information import mi_from_pairs
 from .scores import CellTerm, Score, VectorAgg, get_score
 
@@ -91,24 +91,20 @@ class Selector:
 
     def _raw_terms(self, pairs: DataFrame, keys: list, hist: DataFrame, hist_keys: list,
                    hist_rows: int, winners: list | None) -> DataFrame:
-        """Per (keys) table: every raw term of the score as a column."""
-        out = None
-        consumers = int(self.mi) + int(bool(self.cells))
-        if consumers > 1:
-            pairs = pairs.checkpoint(eager=True)
-        if self.mi or not (self.cells or self.vectors):
-            out = mi_from_pairs(pairs, hist, self.n, keys, hist_keys, hist_rows, self.broadcast_rows)
-            out = out.select(*keys, "nnz", "n_levels", F.col("mi").alias("t_mi")) if self.mi else \
-                out.select(*keys, "nnz", "n_levels")
+        """Per (keys) table: every raw term of the score as a column ``t_<name>``.  MI and cell
+        terms come from one pass over the pair counts; vector terms from the value vectors."""
+        levels = None
         if self.cells:
-            levels = collect_levels(hist.select(*hist_keys, "b", "nb"), self.level_bound)
-            cs = cell_term_sums(pairs, levels, self.n, keys, self.cells)
-            cs = cs.select(*keys, *[F.col(k_).alias("t_" + k_) for k_ in self.cells])
-            out = cs if out is None else out.join(cs, keys, "full")
+            rows = collect_levels(hist.select(*hist_keys, "b", "nb"), self.level_bound)
+            levels = level_column(rows, bool(hist_keys))
+        out = mi_from_pairs(pairs, hist, self.n, keys, hist_keys, hist_rows, self.broadcast_rows,
+                            cell_terms={k_: v.fn for k_, v in self.cells.items()}, levels=levels)
+        out = out.select(*keys, "nnz", "n_levels", *([F.col("mi").alias("t_mi")] if self.mi else []),
+                         *[F.col(k_).alias("t_" + k_) for k_ in self.cells])
         if self.vectors:
             vs = self.layout.vector_terms(winners, self.vectors, exclude=self._selected)
             vs = vs.select(*keys, *[F.col(k_).alias("t_" + k_) for k_ in self.vectors])
-            out = vs if out is None else out.join(vs, keys, "full")
+            out = out.join(vs, keys, "full")
         return out
 
     _sizes = None
@@ -160,9 +156,6 @@ class Selector:
         raw = self._raw_terms(ct, ["feature"], prep.hist, [], prep.n_classes, None)
         rel = self._pair_values(raw)
         names = list(rel)
-        if "nnz" not in raw.columns:
-            nz = ct.groupBy("feature").agg(F.sum("n").alias("nnz"), F.count_distinct("a").alias("n_levels"))
-            raw = raw.join(nz, "feature", "left")
         state = raw.select("feature", F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"),
                            F.coalesce("n_levels", F.lit(0)).cast("long").alias("n_levels"),
                            *[rel[c].alias("rel_" + c) for c in names],
