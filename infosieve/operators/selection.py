@@ -49,9 +49,9 @@ class _Clock:
         self.t = now
 
 
-def _ordering(score_col: str = "score"):
+def _ordering(score_col: str = "score", by: str = "feature"):
     s = F.col(score_col)
-    return [F.round(s, 12).desc_nulls_last(), F.col("feature").asc()]
+    return [F.round(s, 12).desc_nulls_last(), F.col(by).asc()]
 
 
 def _clean(c):
@@ -63,7 +63,7 @@ class Selector:
 
     def __init__(self, layout, k: int, score="mrmr", broadcast_rows: int = 1_000_000,
                  level_bound: int = 100_000, all_zero: str = "drop", release_input: bool = True,
-                 sparse_winners="auto"):
+                 sparse_winners="auto", checkpoint_every: int = 1):
         if k < 0:
             raise ValueError("k must be >= 0")
         if all_zero not in ("drop", "keep"):
@@ -78,6 +78,9 @@ class Selector:
         if sparse_winners not in ("auto", True, False):
             raise ValueError("sparse_winners must be 'auto', True or False")
         self.sparse_winners = sparse_winners
+        if checkpoint_every < 1:
+            raise ValueError("checkpoint_every must be >= 1")
+        self.checkpoint_every = checkpoint_every
         layout.broadcast_rows = broadcast_rows
         self.terms = dict(self.score.terms)
         self.mi = any(v == "mi" for v in self.terms.values())
@@ -144,7 +147,9 @@ class Selector:
         clock.lap("prepare")
         result: list = []
         ftype = lay.feature_type
-        schema = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("feature", ftype),
+        names_df = lay.names() if hasattr(lay, "names") else None
+        out_type = lay.name_type if names_df is not None else ftype
+        schema = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("feature", out_type),
                                T.StructField("score", T.DoubleType())])
         if self.k == 0 or self.n == 0:
             return spark.createDataFrame([], schema)
@@ -160,7 +165,7 @@ class Selector:
                            F.coalesce("n_levels", F.lit(0)).cast("long").alias("n_levels"),
                            *[rel[c].alias("rel_" + c) for c in names],
                            *[F.lit(0.0).alias("red_" + c) for c in names])
-        if self.all_zero == "keep" and lay.feature_ids() is not None:
+        if self.all_zero == "keep" and lay.feature_ids() is not None and names_df is None:
             ids = lay.feature_ids().select(F.col("feature").cast(ftype).alias("feature"))
             zero_rel = self.score.pair_values({k_: F.lit(0.0) for k_ in self.terms})
             state = ids.join(state, "feature", "left").select(
@@ -168,11 +173,16 @@ class Selector:
                 F.coalesce("n_levels", F.lit(0)).cast("long").alias("n_levels"),
                 *[F.coalesce("rel_" + c, zero_rel[c]).alias("rel_" + c) for c in names],
                 *[F.coalesce("red_" + c, F.lit(0.0)).alias("red_" + c) for c in names])
+        if names_df is not None:
+            # internal ids are hashes: carry the user's key for reporting and tie-breaking
+            state = state.join(names_df, "feature")
+        name_col = "name" if names_df is not None else "feature"
         state = state.checkpoint(eager=True)
         clock.lap("relevance")
         marg = None
 
-        selected: list = []
+        selected: list = []           # internal ids (state, marginals)
+        selected_names: list = []     # the layout's own ids (row lookups, exclusion)
         self._selected = selected
         n_iter = self.score.max_iterations(self.k)
         for i in range(1, n_iter + 1):
@@ -182,14 +192,15 @@ class Selector:
             sc = _clean(self.score.column({c: F.col("rel_" + c) for c in names},
                                           {c: F.col("red_" + c) for c in names}, len(selected), i, self.k))
             cand = state.where(~F.col("feature").isin(selected)) if selected else state
-            top = (cand.select("feature", sc.alias("score"), "nnz", "n_levels")
-                   .orderBy(*_ordering()).limit(m).collect())
+            top = (cand.select("feature", F.col(name_col).alias("name"), sc.alias("score"), "nnz", "n_levels")
+                   .orderBy(*_ordering(by="name")).limit(m).collect())
             clock.lap(f"iteration {i}: pick")
             if not top:
                 break
             for r in top:
                 selected.append(r["feature"])
-                result.append((len(selected), r["feature"], r["score"]))
+                selected_names.append(r["name"])
+                result.append((len(selected), r["name"], r["score"]))
             if i == n_iter or len(selected) >= self.k or not self.score.uses_redundancy:
                 continue
             winners = [r["feature"] for r in top]
@@ -200,7 +211,9 @@ class Selector:
             # come from the candidates' marginals, so the pass reads a fraction of the cells
             sparse = lay.zero is not None and self._pair_on_support(sum(int(r["nnz"]) for r in top), state)
             kw = {"nnz": {r["feature"]: r["nnz"] for r in top}} if getattr(lay, "winner_rows_takes_nnz", False) else {}
-            pairs = count_pairs(lay.winner_rows(winners, selected, nonzero_only=sparse, **kw), ["feature", "other"])
+            winner_names = [r["name"] for r in top]
+            pairs = count_pairs(lay.winner_rows(winner_names, selected_names, nonzero_only=sparse, **kw),
+                                ["feature", "other"])
             if sparse:
                 pairs = recover_zero_other(pairs, marg, winners, selected, ftype, lay.zero)
             hist = (marg.where(F.col("feature").isin(winners))
@@ -216,12 +229,19 @@ class Selector:
             pv = self._pair_values(raw)
             add = raw.groupBy("feature").agg(*[F.sum(pv[c]).alias("add_" + c) for c in names])
             state = state.join(add, "feature", "left").select(
-                "feature", "nnz", "n_levels", *["rel_" + c for c in names],
+                "feature", *(["name"] if names_df is not None else []), "nnz", "n_levels",
+                *["rel_" + c for c in names],
                 *[(F.col("red_" + c) + F.coalesce(F.col("add_" + c), F.lit(0.0))).alias("red_" + c)
                   for c in names])
             if log.isEnabledFor(logging.DEBUG):
                 log.debug("iteration %d plan:\n%s", i, explain_string(state))
-            state = state.checkpoint(eager=True)
+            if i % self.checkpoint_every == 0:
+                # cut lineage: the next iterations (and a retry after a lost executor) start here
+                state = state.checkpoint(eager=True)
+            else:
+                # materialised by the next pick (one job instead of a write + a read)
+                state = state.persist(StorageLevel.MEMORY_AND_DISK)
+                self._cached.append(state)
             clock.lap(f"iteration {i}: redundancy")
         return spark.createDataFrame(result, schema)
 

@@ -103,7 +103,7 @@ def q_contingency_feature(spark, sf):
 
 
 def q_zero_recovery(spark, sf):
-    lay = MapInstances(document_tokens(spark, sf), "quality", "tokens", cache=False)
+    lay = MapInstances(document_tokens(spark, sf), "quality", "tokens", cache=False, hash_keys=False)
     prep = lay.prepare(1_000_000)
     pairs = ctg.count_pairs(lay.class_rows([]), ["feature"])
     levels = ctg.collect_levels(prep.hist, 100_000)

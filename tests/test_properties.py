@@ -84,3 +84,16 @@ def test_support_only_pairing_equals_full_pass(spark, seed):
     classes = spark.createDataFrame([(i, float(y[i])) for i in range(n)], "pos long, b double")
     c = select_features(FeatureWise.from_cells(cells, classes), 5, "mrmr", sparse_winners=True).orderBy("rank").collect()
     _check(c, select(X, y, 5))
+
+
+def test_hashed_string_keys_give_the_same_selection(spark):
+    rng = np.random.default_rng(17)
+    n, d = 70, 9
+    X = rng.choice([0, 0, 1, 2], size=(n, d))
+    y = (X[:, 3] + rng.integers(0, 2, n)) % 3
+    rows = [(float(y[i]), {f"tok{j}": float(v) for j, v in enumerate(X[i]) if v != 0}) for i in range(n)]
+    df = spark.createDataFrame(rows, "label double, m map<string, double>")
+    a = select_features(MapInstances(df, "label", "m", hash_keys=True), 4, "mrmr").orderBy("rank").collect()
+    b = select_features(MapInstances(df, "label", "m"), 4, "mrmr").orderBy("rank").collect()
+    assert [(r["feature"], round(r["score"], 12)) for r in a] == [(r["feature"], round(r["score"], 12)) for r in b]
+    assert [r["feature"] for r in b] == [f"tok{f}" for f, _ in select(X, y, 4)]
