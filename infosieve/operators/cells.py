@@ -44,6 +44,31 @@ def _bad_value(c: Column, dtype: T.DataType) -> Column:
     return bad
 
 
+HIST_LITERAL_BOUND = 10_000
+
+
+def _finish_hist(hist: DataFrame, extra: list[str], what: str):
+    """Materialise a class histogram ``(b, nb, bad, extra...)``.
+
+    Up to ``HIST_LITERAL_BOUND`` levels it is collected once (its size is checked by the
+    ``limit``) and re-created as a small DataFrame; beyond that it is checkpointed and
+    summarised with one more aggregation.  Returns ``(hist(b, nb), n, levels, extras)``."""
+    spark = hist.sparkSession
+    rows = hist.limit(HIST_LITERAL_BOUND + 1).collect()
+    if len(rows) <= HIST_LITERAL_BOUND:
+        bad = sum(int(r["bad"] or 0) for r in rows)
+        _check_prepared({"bad": bad}, what)
+        schema = hist.select("b", "nb").schema
+        small = spark.createDataFrame([(r["b"], r["nb"]) for r in rows], schema)
+        return small, sum(int(r["nb"]) for r in rows), len(rows), rows
+    hist = hist.checkpoint(eager=True)
+    agg = [F.sum("nb").alias("n"), F.count(F.lit(1)).alias("levels"), F.sum("bad").alias("bad")]
+    agg += [F.min(e).alias("min_" + e) for e in extra] + [F.max(e).alias("max_" + e) for e in extra]
+    row = hist.agg(*agg).first()
+    _check_prepared(row, what)
+    return hist.select("b", "nb"), int(row["n"] or 0), int(row["levels"]), [row]
+
+
 def _check_prepared(row, what: str) -> None:
     if row["bad"]:
         raise ValueError(f"{row['bad']} {what} hold a null or NaN label or feature value")
@@ -97,16 +122,20 @@ class _Instances:
         return F.lit(name).cast(self.feature_type)
 
     # --- common ------------------------------------------------------------------------
+    def extra_checks(self) -> list[Column]:
+        """Per-class aggregates folded into the histogram job (named columns)."""
+        return []
+
     def prepare(self, broadcast_rows: int) -> Prepared:
         y = F.col(self.label)
+        extra = self.extra_checks()
         hist = (self.rows.groupBy(y.alias("b"))
                 .agg(F.count(F.lit(1)).alias("nb"),
-                     F.sum(F.when(y.isNull() | self.bad_row(), 1).otherwise(0)).alias("bad")))
-        hist = hist.checkpoint(eager=True)
-        row = hist.agg(F.sum("nb").alias("n"), F.count(F.lit(1)).alias("levels"),
-                       F.sum("bad").alias("bad")).first()
-        _check_prepared(row, "rows")
-        return Prepared(int(row["n"] or 0), hist.select("b", "nb"), int(row["levels"]))
+                     F.sum(F.when(y.isNull() | self.bad_row(), 1).otherwise(0)).alias("bad"), *extra))
+        names = [c for c in hist.columns if c not in ("b", "nb", "bad")]
+        small, n, levels, rows = _finish_hist(hist, names, "rows")
+        self._extra = rows
+        return Prepared(n, small, levels)
 
     def class_rows(self, exclude: list) -> DataFrame:
         """(feature, a, b): every non-zero cell of a candidate with the row's label."""
@@ -204,13 +233,17 @@ class ArrayInstances(_Instances):
         c = F.col(self.array_col)
         return c.isNull() | F.exists(c, lambda x: x.isNull() | F.isnan(x))
 
+    def extra_checks(self) -> list[Column]:
+        return [F.min(F.size(self.array_col)).alias("lo"), F.max(F.size(self.array_col)).alias("hi")]
+
     def prepare(self, broadcast_rows: int) -> Prepared:
         p = super().prepare(broadcast_rows)
-        sizes = self.rows.agg(F.min(F.size(self.array_col)).alias("lo"),
-                              F.max(F.size(self.array_col)).alias("hi")).first()
-        if sizes["lo"] != sizes["hi"]:
-            raise ValueError(f"ragged rows: arrays of {sizes['lo']} to {sizes['hi']} values")
-        self.width = int(sizes["hi"] or 0)
+        r = self._extra
+        lo = min((x["lo"] if "lo" in x else x["min_lo"]) for x in r) if r else 0
+        hi = max((x["hi"] if "hi" in x else x["max_hi"]) for x in r) if r else 0
+        if lo != hi:
+            raise ValueError(f"ragged rows: arrays of {lo} to {hi} values")
+        self.width = int(hi or 0)
         return p
 
     def feature_ids(self) -> DataFrame:
@@ -351,11 +384,8 @@ class FeatureWise:
         hist = (cl.groupBy("b").agg(F.count(F.lit(1)).alias("nb"),
                                     F.sum(F.when(_bad_value(F.col("b"), cl.schema["b"].dataType)
                                                  | F.col("pos").isNull(), 1).otherwise(0)).alias("bad")))
-        hist = hist.checkpoint(eager=True)
-        row = hist.agg(F.sum("nb").alias("n"), F.count(F.lit(1)).alias("levels"),
-                       F.sum("bad").alias("bad")).first()
-        _check_prepared(row, "class positions")
-        n = int(row["n"] or 0)
+        small, n, levels, _ = _finish_hist(hist, [], "class positions")
+        row = {"levels": levels}
         npos = cl.agg(F.count_distinct("pos").alias("d"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
         if npos["d"] != n:
             raise ValueError("class vector has repeated positions")
@@ -386,7 +416,7 @@ class FeatureWise:
                 raise ValueError("Multiple features with the same ID")
         self._n = n
         self._class = cl
-        return Prepared(n, hist.select("b", "nb"), int(row["levels"]))
+        return Prepared(n, small, int(row["levels"]))
 
     def class_rows(self, exclude: list) -> DataFrame:
         c = self.cells_df if not exclude else self.cells_df.where(~F.col("feature").isin(list(exclude)))
