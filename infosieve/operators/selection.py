@@ -178,6 +178,11 @@ class Selector:
             state = state.join(names_df, "feature")
         name_col = "name" if names_df is not None else "feature"
         state = state.checkpoint(eager=True)
+        expected = getattr(lay, "expected_cells", None)
+        if expected is not None:
+            seen = state.agg(F.sum("nnz")).first()[0] or 0
+            if int(seen) != expected:
+                raise ValueError(f"{expected - int(seen)} cells lie outside the class vector's positions")
         clock.lap("relevance")
         marg = None
 

@@ -111,3 +111,13 @@ def test_string_levels(spark):
                                "y string, s string, i int")
     out = select_features(WideInstances(df, "y"), 2, "maxrel").collect()
     assert out[0]["feature"] == "s" and out[0]["score"] == pytest.approx(1.0)
+
+
+def test_cells_outside_the_class_positions_raise(spark):
+    cells = spark.createDataFrame([(1, 0, 1.0), (1, 7, 1.0)], "feature int, pos long, value double")
+    classes = spark.createDataFrame([(0, 1.0), (1, 0.0), (2, 1.0)], "pos long, b double")
+    with pytest.raises(ValueError, match="outside"):
+        select_features(FeatureWise.from_cells(cells, classes), 1, "mrmr")
+    dup = spark.createDataFrame([(1, 0, 1.0), (1, 0, 2.0)], "feature int, pos long, value double")
+    with pytest.raises(ValueError, match="same ID"):
+        select_features(FeatureWise.from_cells(dup, classes), 1, "mrmr")
