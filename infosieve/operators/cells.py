@@ -321,8 +321,9 @@ class FeatureWise:
     def __init__(self, cells: DataFrame, classes: DataFrame, ids: DataFrame, cache: bool = True,
                  lengths: DataFrame | None = None, dense: DataFrame | None = None):
         self.dense = dense            # (feature, pos, x) with zeros, for vector scores
-        self.cells_df = cells.persist(StorageLevel.MEMORY_AND_DISK) if cache else cells
-        self._cached = cache
+        self.cells_df = cells         # persisted in prepare(), once the instance count is known
+        self._cache = cache
+        self._cached = False
         self.classes = classes
         self.ids = ids
         self.lengths = lengths
@@ -368,12 +369,12 @@ class FeatureWise:
         aggs = [fn.fn(F.col("x"), F.col("y")).alias(k) for k, fn in terms.items()]
         if winners is None:
             y = self._class.select("pos", F.col("b").cast("double").alias("y"))
-            return d.join(hinted(y, self._n, self.broadcast_rows), "pos").groupBy("feature").agg(*aggs)
+            return d.join(hinted(y, self._n, self.broadcast_rows, "shuffle_hash"), "pos").groupBy("feature").agg(*aggs)
         parts = []
         for w in winners:
             y = (self.dense.where(F.col("feature") == F.lit(w).cast(self.feature_type))
                  .select("pos", F.col("x").alias("y")))
-            parts.append(d.join(hinted(y, self._n, self.broadcast_rows), "pos")
+            parts.append(d.join(hinted(y, self._n, self.broadcast_rows, "shuffle_hash"), "pos")
                          .groupBy("feature").agg(*aggs)
                          .withColumn("other", F.lit(w).cast(self.feature_type)))
         out = parts[0]
@@ -421,12 +422,19 @@ class FeatureWise:
                     raise ValueError("Multiple features with the same ID")
         self._n = n
         self._class = cl
+        if self._cache and not self._cached:
+            if n > self.broadcast_rows:
+                # position vectors too large to broadcast: co-locate the cells by position once,
+                # so every later join on pos shuffles only the (small) vector side
+                self.cells_df = self.cells_df.repartition("pos")
+            self.cells_df = self.cells_df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._cached = True
         return Prepared(n, small, int(row["levels"]))
 
     def class_rows(self, exclude: list) -> DataFrame:
         c = self.cells_df if not exclude else self.cells_df.where(~F.col("feature").isin(list(exclude)))
         # every position has a class: inner equi-join; the class side is broadcast only below the bound
-        return c.join(hinted(self._class, self._n, self.broadcast_rows), "pos").select("feature", "a", "b")
+        return c.join(hinted(self._class, self._n, self.broadcast_rows, "shuffle_hash"), "pos").select("feature", "a", "b")
 
     def winner_rows(self, winners: list, exclude: list, nnz: dict | None = None,
                     nonzero_only: bool = False) -> DataFrame:
@@ -437,7 +445,7 @@ class FeatureWise:
             wv = (self.cells_df.where(F.col("feature") == F.lit(w).cast(self.feature_type))
                   .select("pos", F.col("a").alias("b")))
             rows = (nnz or {}).get(w)
-            parts.append(c.join(hinted(wv, rows, self.broadcast_rows), "pos", how)
+            parts.append(c.join(hinted(wv, rows, self.broadcast_rows, "shuffle_hash"), "pos", how)
                          .select("feature", F.lit(w).cast(self.feature_type).alias("other"), "a",
                                  F.coalesce(F.col("b"), F.lit(0.0)).alias("b")))
         out = parts[0]
@@ -456,6 +464,7 @@ class FeatureWise:
     def unpersist(self) -> None:
         if self._cached:
             self.cells_df.unpersist()
+            self._cached = False
 
 
 def to_cells(df: DataFrame, row_id: str, features: list[str] | None = None, array_col: str | None = None,

@@ -21,9 +21,13 @@ from ..functions.entropy import xlog2x
 _GID_AB, _GID_A, _GID_B, _GID_F = 0, 1, 2, 3
 
 
-def hinted(df: DataFrame, rows: int | None, bound: int) -> DataFrame:
-    """Broadcast ``df`` only when its row count is known and within ``bound``."""
-    return F.broadcast(df) if rows is not None and rows <= bound else df
+def hinted(df: DataFrame, rows: int | None, bound: int, otherwise: str | None = None) -> DataFrame:
+    """Broadcast ``df`` only when its row count is known and within ``bound``; else apply the
+    ``otherwise`` join hint (e.g. ``shuffle_hash``: build a hash table of this, the smaller,
+    side per partition instead of sorting the big side)."""
+    if rows is not None and rows <= bound:
+        return F.broadcast(df)
+    return df.hint(otherwise) if otherwise else df
 
 
 def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int | Column, keys: list[str],
