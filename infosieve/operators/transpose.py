@@ -1,8 +1,11 @@
 """Between instance rows and feature rows.
 
 The long form ``(feature, pos, value)`` is the scalable transpose: no row ever holds more
-than one value.  ``feature_lines`` / ``class_line`` build the one-line-per-feature text
-format; a line holds one value per instance, so they check the instance count first.
+than one value.  Lines of values (``feature_lines``, ``class_line``) are built per chunk of
+``chunk`` consecutive positions, so no group ever gathers more than ``chunk`` values; the
+chunk lines of a feature, in chunk order, concatenate (with the separator) to its whole
+line.  The one-line text files of the feature-wise format need a single chunk: their
+writers check the instance count against ``LINE_BOUND`` first.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LINE_BOUND = 10_000_000
+LINE_CHUNK = 1_000_000
 
 
 def transpose_long(df: DataFrame, pos: str, array_col: str, keep_zeros: bool = True) -> DataFrame:
@@ -29,18 +33,34 @@ def _check(n_instances: int) -> None:
         raise ValueError(f"{n_instances} instances do not fit the one-line-per-feature format (bound {LINE_BOUND})")
 
 
-def feature_lines(long: DataFrame, n_instances: int, sep: str = ",") -> DataFrame:
-    """``(feature, values ARRAY, line)`` with values in position order (K2: sorted by pos)."""
-    _check(n_instances)
-    g = long.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("value").cast("double")
-                                                                           .alias("v")))).alias("e"))
-    return g.select("feature", F.transform("e", lambda e: e["v"]).alias("values"),
+def _lines(df: DataFrame, keys: list, pos: str, value: str, sep: str, chunk: int) -> DataFrame:
+    g = (df.groupBy(*keys, F.floor(F.col(pos) / F.lit(chunk)).cast("long").alias("chunk"))
+         .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).cast("double")
+                                                   .alias("v")))).alias("e")))
+    return g.select(*keys, "chunk", F.transform("e", lambda e: e["v"]).alias("values"),
                     F.array_join(F.transform("e", lambda e: _num(e["v"])), sep).alias("line"))
 
 
-def class_line(classes: DataFrame, n_instances: int, pos: str = "pos", label: str = "label", sep: str = ",") -> DataFrame:
-    """The class vector as one text line in position order."""
+def feature_lines(long: DataFrame, n_instances: int | None = None, sep: str = ",",
+                  chunk: int = LINE_CHUNK) -> DataFrame:
+    """``(feature, chunk, values ARRAY, line)``, values in position order (K2: sorted by pos)."""
+    return _lines(long, ["feature"], "pos", "value", sep, chunk)
+
+
+def class_line(classes: DataFrame, n_instances: int | None = None, pos: str = "pos", label: str = "label",
+               sep: str = ",", chunk: int = LINE_CHUNK) -> DataFrame:
+    """The class vector as text, ``(chunk, line)`` in position order."""
+    return _lines(classes, [], pos, label, sep, chunk).select("chunk", "line")
+
+
+def one_line_per_feature(long: DataFrame, n_instances: int, sep: str = ",") -> DataFrame:
+    """``(feature, values, line)`` for the feature-wise text format (one chunk per feature)."""
+    _check(n_instances)
+    return feature_lines(long, n_instances, sep, chunk=LINE_BOUND).drop("chunk")
+
+
+def one_class_line(classes: DataFrame, n_instances: int, pos: str = "pos", label: str = "label",
+                   sep: str = ",") -> DataFrame:
+    """The one-line class file of the feature-wise format."""
     _check(n_instances)
-    return classes.agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(label).cast("double").alias("v")))),
-        lambda e: _num(e["v"])), sep).alias("line"))
+    return class_line(classes, n_instances, pos, label, sep, chunk=LINE_BOUND).select("line")

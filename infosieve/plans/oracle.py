@@ -264,7 +264,8 @@ FROM bits""")
 ORACLE["transpose"] = f"""WITH {EMB}
 SELECT CAST(feature AS BIGINT) AS feature, inst AS pos, v AS value FROM emb_long"""
 
-ORACLE["class_line"] = "SELECT string_agg(CAST(label AS VARCHAR), ',' ORDER BY vec_id) AS line FROM embeddings"
+ORACLE["class_line"] = ("SELECT CAST(floor(vec_id / 1000000) AS BIGINT) AS chunk, "
+                        "string_agg(CAST(label AS VARCHAR), ',' ORDER BY vec_id) AS line FROM embeddings GROUP BY 1")
 
 ORACLE["tree_label"] = f"""WITH {EMB},
 ib AS (SELECT vec_id, list_transform(bits, lambda x: CAST(x AS INTEGER)) AS b FROM bits)

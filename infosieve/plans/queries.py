@@ -19,7 +19,7 @@ from ..operators.reduce import reduce_to
 from ..operators.sample import bernoulli_sample
 from ..operators.scores import (MIQ, ExprScore, VectorAgg, symmetric_uncertainty_mrmr)
 from ..operators.selection import select_features
-from ..operators.transpose import class_line, feature_lines, transpose_long
+from ..operators.transpose import class_line, one_class_line, one_line_per_feature, transpose_long
 from ..session import scratch_path
 from .. import sources
 from .tables import LINEITEM_FEATURES, document_tokens, embedding_bits, lineitem_features, table
@@ -208,7 +208,7 @@ def q_transpose(spark, sf):
 
 def q_class_line(spark, sf):
     b = embedding_bits(spark, sf)
-    return class_line(b.select(F.col("vec_id").alias("pos"), "label"), b.count())
+    return class_line(b.select(F.col("vec_id").alias("pos"), "label"))
 
 
 def q_tree_label(spark, sf):
@@ -252,10 +252,10 @@ def q_libsvm_scan(spark, sf):
 def _write_featurewise(spark, sf):
     b = embedding_bits(spark, sf)
     n = b.count()
-    lines = feature_lines(transpose_long(b, "vec_id", "bits"), n)
+    lines = one_line_per_feature(transpose_long(b, "vec_id", "bits"), n)
     fpath, cpath = scratch_path(spark, "emb-fw"), scratch_path(spark, "emb-class")
     sources.write_features_text(lines, fpath, "feature", "values")
-    class_line(b.select(F.col("vec_id").alias("pos"), "label"), n).write.text(cpath)
+    sources.write_class_vector(b.select(F.col("vec_id").alias("pos"), "label"), cpath, n)
     return fpath, cpath
 
 

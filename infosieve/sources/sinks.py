@@ -48,5 +48,5 @@ def write_class_vector(classes: DataFrame, path: str, n_instances: int, pos: str
                        sep: str = ",", mode: str = "overwrite") -> None:
     """The class vector as one text line in position order (A14; the format is one line,
     so the instance count is checked first)."""
-    from ..operators.transpose import class_line
-    class_line(classes, n_instances, pos, label, sep).write.mode(mode).text(path)
+    from ..operators.transpose import one_class_line
+    one_class_line(classes, n_instances, pos, label, sep).write.mode(mode).text(path)

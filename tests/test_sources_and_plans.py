@@ -7,7 +7,7 @@ from infosieve import ArrayInstances, select_features
 from infosieve.functions.tree import tree_label
 from infosieve.operators.reduce import reduce_to
 from infosieve.operators.stats import profile
-from infosieve.operators.transpose import class_line, feature_lines, transpose_long
+from infosieve.operators.transpose import class_line, feature_lines, one_line_per_feature, transpose_long
 from infosieve.plans import job
 from infosieve.plans.estimator import InfoSelector
 from infosieve.sources import (read_class_vector, read_features_text, read_instances_text, read_libsvm,
@@ -47,13 +47,17 @@ def test_transpose_and_class_line_roundtrip(spark, tmp_out):
     a = read_instances_text(spark, f"{REF_DATA}/mrmr.50x20.cw.c0.x1_8.csv").withColumn(
         "pos", F.monotonically_increasing_id())
     long = transpose_long(a, "pos", "features")
-    lines = feature_lines(long, 50)
+    lines = one_line_per_feature(long, 50)
     write_features_text(lines, f"{tmp_out}/fw.csv", "feature", "values")
-    class_line(a, 50).write.text(f"{tmp_out}/cl")
+    class_line(a).select("line").write.text(f"{tmp_out}/cl")
     fw = read_features_text(spark, f"{tmp_out}/fw.csv", id_type="int")
     assert fw.count() == 20 and all(len(r["values"]) == 50 for r in fw.collect())
     cl = read_class_vector(spark, f"{tmp_out}/cl")
     assert cl.count() == 50
+    # chunked lines concatenate to the whole line; no group holds more than one chunk
+    chunks = feature_lines(long, chunk=7).where(F.col("feature") == 3).orderBy("chunk").collect()
+    whole = one_line_per_feature(long, 50).where(F.col("feature") == 3).first()["line"]
+    assert ",".join(r["line"] for r in chunks) == whole and max(len(r["values"]) for r in chunks) <= 7
 
 
 def test_tree_label_formula(spark):
