@@ -153,7 +153,7 @@ def li_selection(k: int, score=score_mrmr, per_iter: int = 1, max_iter=None) ->
                      feature_sql="CAST(feature AS VARCHAR)", max_iter=max_iter)
 
 
-def token_selection(k: int) -> str:
+def token_selection(k: int, label: str = "quality") -> str:
     """Sparse presence data: the four cells of each 2 x |class| table are counted directly."""
     prelude = DOCS + """,
 tc AS (SELECT feature, quality AS b, CAST(count(*) AS DOUBLE) AS n1b FROM tok GROUP BY feature, quality),
@@ -185,6 +185,8 @@ relcells AS (
                       (c.dfw - c.n11, {N} - c.dft, c.dfw),
                       ({N} - c.dft - c.dfw + c.n11, {N} - c.dft, {N} - c.dfw)) v(n, na, nb))
     GROUP BY feature, other"""
+    if label != "quality":
+        prelude = prelude.replace("l.quality", f"l.{label} AS quality")
     return iterative(prelude, rel, pairs, stat, score_mrmr, k, feature_sql="CAST(feature AS VARCHAR)")
 
 
@@ -252,6 +254,19 @@ ORACLE["custom_score_expr"] = emb_selection(4, score=score_miq)
 ORACLE["custom_score_table"] = emb_selection(4, stat=stat_su)
 ORACLE["custom_score_vector"] = emb_selection(4, stat=stat_abs_corr)
 ORACLE["batch_policy"] = emb_selection(4, per_iter=2)
+ORACLE["mrmr_sparse_toxic"] = token_selection(3, label="toxic")
+ORACLE["chi2_relevance"] = f"""WITH {EMB},
+ct AS (SELECT feature, v AS a, label AS b, CAST(count(*) AS DOUBLE) AS n FROM emb_long GROUP BY feature, v, label),
+fa AS (SELECT feature, a, sum(n) AS na FROM ct GROUP BY feature, a),
+fb AS (SELECT feature, b, sum(n) AS nb FROM ct GROUP BY feature, b),
+tot AS (SELECT feature, sum(n) AS nt FROM ct GROUP BY feature),
+grid AS (SELECT fa.feature, fa.a, fb.b, fa.na, fb.nb, tot.nt, coalesce(ct.n, 0) AS o
+         FROM fa JOIN fb ON fa.feature = fb.feature JOIN tot ON tot.feature = fa.feature
+         LEFT JOIN ct ON ct.feature = fa.feature AND ct.a = fa.a AND ct.b = fb.b),
+chi AS (SELECT feature, sum((o - na * nb / nt) * (o - na * nb / nt) / (na * nb / nt)) AS chi2 FROM grid GROUP BY feature)
+SELECT CAST(row_number() OVER (ORDER BY round(chi2, 12) DESC, feature) AS INTEGER) AS rank,
+       CAST(feature AS BIGINT) AS feature, {r6('chi2')} AS score
+FROM chi QUALIFY row_number() OVER (ORDER BY round(chi2, 12) DESC, feature) <= 10"""
 
 ORACLE["select_and_reduce"] = ("WITH sel AS (" + emb_selection(3) + f"""),
 {EMB}

@@ -17,7 +17,7 @@ from ..operators.cells import ArrayInstances, FeatureWise, MapInstances, WideIns
 from ..operators.information import mi_from_pairs
 from ..operators.reduce import reduce_to
 from ..operators.sample import bernoulli_sample
-from ..operators.scores import (MIQ, ExprScore, VectorAgg, symmetric_uncertainty_mrmr)
+from ..operators.scores import (MIQ, ExprScore, VectorAgg, chi2_term, symmetric_uncertainty_mrmr)
 from ..operators.selection import select_features
 from ..operators.transpose import class_line, one_class_line, one_line_per_feature, transpose_long
 from ..session import scratch_path
@@ -174,6 +174,19 @@ def q_custom_score_table(spark, sf):
     return _ranked(select_features(_emb_layout(spark, sf), 4, symmetric_uncertainty_mrmr()))
 
 
+def q_chi2_relevance(spark, sf):
+    """Table score with the max-relevance policy: top 10 sign bits by Pearson chi-square."""
+    score = ExprScore(lambda rel, red, n, i, k: rel["chi2"], terms={"chi2": chi2_term()}, select_top=10,
+                      max_iterations=1, name="chi2")
+    return _ranked(select_features(_emb_layout(spark, sf), 10, score))
+
+
+def q_mrmr_sparse_toxic(spark, sf):
+    """Sparse mRMR on token presence against the second label column."""
+    lay = MapInstances(document_tokens(spark, sf).select("doc_id", "toxic", "tokens"), "toxic", "tokens")
+    return _ranked_str(select_features(lay, 3, "mrmr"))
+
+
 def abs_corr_mrmr() -> ExprScore:
     """Vector score: |corr(f, class)| - mean |corr(f, s)| over the aligned value vectors."""
     def fn(rel, red, n_selected, i, nfs):
@@ -296,6 +309,8 @@ QUERIES = {
     "custom_score_expr": q_custom_score_expr,
     "custom_score_table": q_custom_score_table,
     "custom_score_vector": q_custom_score_vector,
+    "chi2_relevance": q_chi2_relevance,
+    "mrmr_sparse_toxic": q_mrmr_sparse_toxic,
     "batch_policy": q_batch_policy,
     "select_and_reduce": q_select_and_reduce,
     "transpose": q_transpose,
