@@ -39,8 +39,8 @@ def _ranked_str(df: DataFrame) -> DataFrame:
                      _r6(F.col("score")).alias("score"))
 
 
-def _emb_layout(spark, sf):
-    return ArrayInstances(embedding_bits(spark, sf), "label", "bits", cache=True)
+def _emb_layout(spark, sf, cache=True):
+    return ArrayInstances(embedding_bits(spark, sf), "label", "bits", cache=cache)
 
 
 def _emb_featurewise(spark, sf):
@@ -92,12 +92,12 @@ def q_marginals(spark, sf):
 
 # -------------------------------------------------------------------------------- tables
 def q_contingency_class(spark, sf):
-    lay = WideInstances(lineitem_features(spark, sf), "label", LINEITEM_FEATURES)
+    lay = WideInstances(lineitem_features(spark, sf), "label", LINEITEM_FEATURES, cache=False)
     return ctg.count_pairs(lay.class_rows([]), ["feature"]).select("feature", "a", "b", "n")
 
 
 def q_contingency_feature(spark, sf):
-    lay = WideInstances(lineitem_features(spark, sf), "label", LINEITEM_FEATURES)
+    lay = WideInstances(lineitem_features(spark, sf), "label", LINEITEM_FEATURES, cache=False)
     rows = lay.winner_rows(["ship_month"], ["ship_month"])
     return ctg.count_pairs(rows, ["feature", "other"]).select("feature", "a", "b", "n")
 
@@ -112,7 +112,7 @@ def q_zero_recovery(spark, sf):
 
 
 def q_mutual_information(spark, sf):
-    lay = WideInstances(lineitem_features(spark, sf), "label", LINEITEM_FEATURES)
+    lay = WideInstances(lineitem_features(spark, sf), "label", LINEITEM_FEATURES, cache=False)
     prep = lay.prepare(1_000_000)
     pairs = ctg.count_pairs(lay.class_rows([]), ["feature"])
     mi = mi_from_pairs(pairs, prep.hist, prep.n, ["feature"], hist_rows=prep.n_classes)
@@ -123,7 +123,7 @@ REDUNDANCY_SET = [0, 1, 2]
 
 
 def q_redundancy(spark, sf):
-    lay = _emb_layout(spark, sf)
+    lay = _emb_layout(spark, sf, cache=False)
     prep = lay.prepare(1_000_000)
     ct = ctg.count_pairs(lay.class_rows([]), ["feature"])
     marg = ctg.marginals(ct, ["feature"])
