@@ -10,8 +10,3 @@ def xlog2x(c: Column) -> Column:
     """h(x) = x * log2(x) with h(0) = 0; counts are cast to double before any product."""
     x = c.cast("double")
     return F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
-
-
-def safe_div(num: Column, den: Column) -> Column:
-    """num / den that yields null instead of raising on a zero denominator (ANSI mode)."""
-    return F.try_divide(num.cast("double"), den.cast("double"))

@@ -30,7 +30,7 @@ def hinted(df: DataFrame, rows: int | None, bound: int, otherwise: str | None =
     return df.hint(otherwise) if otherwise else df
 
 
-def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int | Column, keys: list[str],
+def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[str],
                   hist_keys: list[str] | None = None, hist_rows: int | None = None,
                   broadcast_rows: int = 1_000_000, cell_terms: dict | None = None,
                   levels: Column | None = None) -> DataFrame:
@@ -57,45 +57,52 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int | Column, keys
     # partition by the candidate alone: it satisfies every later grouping (all contain it),
     # even when Catalyst folds a constant "other" key away
     p = pairs.join(hinted(h, hist_rows, broadcast_rows), hist_keys + ["b"], "left").repartition(keys[0])
-    N = F.lit(n_total).cast("double") if not isinstance(n_total, Column) else n_total.cast("double")
-    by_a = Window.partitionBy(*keys, "a").orderBy("b")
-    by_b = Window.partitionBy(*keys, "b").orderBy("a")
-    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
-    p = p.select(*keys, F.col("n").cast("double").alias("n"), "nb",
-                 F.sum("n").over(by_a.rowsBetween(*whole)).cast("double").alias("na"),
-                 (F.row_number().over(by_a) == 1).alias("first_a"),
-                 F.sum("n").over(by_b.rowsBetween(*whole)).cast("double").alias("tb"),
-                 (F.row_number().over(by_b) == 1).alias("first_b"),
-                 F.sum("n").over(Window.partitionBy(*keys)).cast("double").alias("nf"))
-    n, nb, na, tb, nf = (F.col(c) for c in ("n", "nb", "na", "tb", "nf"))
-    n0, m = N - nf, nb - tb
-    short = F.when(F.col("first_b") & (nb.isNull() | (m < 0)), F.raise_error(F.lit("Marginal sum greater than total")))
-    cell = n * F.log2(n * N / (na * nb))
-    zero = F.when(F.col("first_b") & (m > 0), m * F.log2(m * N / (n0 * nb))).otherwise(F.lit(0.0))
+    # the expressions are written as SQL text: one round trip to the JVM per column instead
+    # of one per operator keeps the per-iteration planning time small
+    N = repr(float(n_total))
+    k = ", ".join(f"`{c}`" for c in keys)
+    whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    p = p.selectExpr(
+        *[f"`{c}`" for c in keys], "CAST(n AS DOUBLE) AS n", "nb",
+        f"CAST(sum(n) OVER (PARTITION BY {k}, a ORDER BY b {whole}) AS DOUBLE) AS na",
+        f"row_number() OVER (PARTITION BY {k}, a ORDER BY b) = 1 AS first_a",
+        f"CAST(sum(n) OVER (PARTITION BY {k}, b ORDER BY a {whole}) AS DOUBLE) AS tb",
+        f"row_number() OVER (PARTITION BY {k}, b ORDER BY a) = 1 AS first_b",
+        f"CAST(sum(n) OVER (PARTITION BY {k}) AS DOUBLE) AS nf")
     cell_terms = dict(cell_terms or {})
-    extra = []
+    aggs = [
+        F.expr(f"sum(n * log2(n * {N} / (na * nb)))").alias("s_cell"),
+        F.expr("sum(CASE WHEN first_b AND (nb IS NULL OR nb - tb < 0) "
+               "THEN CAST(raise_error('Marginal sum greater than total') AS DOUBLE) "
+               f"WHEN first_b AND nb - tb > 0 THEN (nb - tb) * log2((nb - tb) * {N} / (({N} - nf) * nb)) "
+               "ELSE 0.0 END)").alias("s_zero"),
+        F.expr("sum(CASE WHEN first_b THEN nb ELSE 0.0 END)").alias("seen"),
+        F.expr("max(nf)").alias("nnz"),
+        F.expr("sum(CAST(first_a AS BIGINT))").alias("n_levels"),
+    ]
+    Nc = F.lit(float(n_total))
+    n, nb, na, tb, nf = (F.col(c) for c in ("n", "nb", "na", "tb", "nf"))
+    n0, m = Nc - nf, nb - tb
     for name, fn in cell_terms.items():
         # non-zero cells + the zero cell of each seen level, minus the seen levels' share of
         # the "every level" sum that is added per table below
-        seen_zero = F.when(F.col("first_b") & (m > 0) & (n0 > 0), fn(m, n0, nb, N)).otherwise(F.lit(0.0))
-        seen_full = F.when(F.col("first_b") & (nb > 0) & (n0 > 0), fn(nb, n0, nb, N)).otherwise(F.lit(0.0))
-        extra.append(F.sum(fn(n, na, nb, N) + seen_zero - seen_full).alias("c_" + name))
-    g = (p.groupBy(*keys)
-         .agg(F.sum(cell).alias("s_cell"), F.sum(F.coalesce(short.cast("double"), zero)).alias("s_zero"),
-              F.sum(F.when(F.col("first_b"), nb).otherwise(F.lit(0.0))).alias("seen"),
-              F.max("nf").alias("nnz"), F.sum(F.col("first_a").cast("long")).alias("n_levels"), *extra))
-    unseen, g0 = N - F.col("seen"), N - F.col("nnz")
-    rest = F.when((unseen > 0) & (g0 > 0), unseen * F.log2(N / g0)).otherwise(F.lit(0.0))
+        seen_zero = F.when(F.col("first_b") & (m > 0) & (n0 > 0), fn(m, n0, nb, Nc)).otherwise(F.lit(0.0))
+        seen_full = F.when(F.col("first_b") & (nb > 0) & (n0 > 0), fn(nb, n0, nb, Nc)).otherwise(F.lit(0.0))
+        aggs.append(F.sum(fn(n, na, nb, Nc) + seen_zero - seen_full).alias("c_" + name))
+    g = p.groupBy(*keys).agg(*aggs)
+    rest = (f"CASE WHEN {N} - seen > 0 AND {N} - nnz > 0 THEN ({N} - seen) * log2({N} / ({N} - nnz)) "
+            "ELSE 0.0 END")
     outs = []
     for name, fn in cell_terms.items():
         if levels is None:
             raise ValueError("cell terms need the other variable's levels")
+        g0 = Nc - F.col("nnz")
 
-        def every_level(acc, e, fn=fn):
+        def every_level(acc, e, fn=fn, g0=g0):
             lv = e["nb"].cast("double")
-            return acc + F.when((lv > 0) & (g0 > 0), fn(lv, g0, lv, N)).otherwise(F.lit(0.0))
+            return acc + F.when((lv > 0) & (g0 > 0), fn(lv, g0, lv, Nc)).otherwise(F.lit(0.0))
         outs.append((F.col("c_" + name) + F.aggregate(levels, F.lit(0.0), _two_args(every_level))).alias(name))
-    return g.select(*keys, ((F.col("s_cell") + F.col("s_zero") + rest) / N).alias("mi"),
+    return g.select(*keys, F.expr(f"(s_cell + s_zero + {rest}) / {N}").alias("mi"),
                     F.col("nnz").cast("long").alias("nnz"), F.col("n_levels").cast("long").alias("n_levels"),
                     *outs)
 
