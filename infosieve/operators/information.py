@@ -33,7 +33,7 @@ def hinted(df: DataFrame, rows: int | None, bound: int, otherwise: str | None =
 def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[str],
                   hist_keys: list[str] | None = None, hist_rows: int | None = None,
                   broadcast_rows: int = 1_000_000, cell_terms: dict | None = None,
-                  levels: Column | None = None) -> DataFrame:
+                  levels: Column | None = None, split_tables: bool = False) -> DataFrame:
     """Return ``(keys..., mi, nnz, n_levels, <cell terms>...)``.
 
     ``cell_terms`` maps names to ``fn(n, na, nb, N) -> Column``; each is summed over all
@@ -51,9 +51,17 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[st
     levels the candidate never meets at once as (N - sum of seen nb) log2(N / n0).  The
     pair counts are re-partitioned by the table key once; the three window sums and the
     final aggregation then run inside that partitioning (no further exchange).
+
+    ``split_tables=True`` never puts one candidate's table in one task: marginals come from
+    grouped sums joined back on (candidate, level) and (candidate), so a candidate with
+    millions of levels (an id-like column) is spread like any other key.  It costs a few
+    more exchanges of the aggregated tables; the selection loop picks it by a size rule.
     """
     hist_keys = list(hist_keys or [])
     h = hist.select(*hist_keys, "b", F.col("nb").cast("double").alias("nb"))
+    if split_tables:
+        return _mi_split(pairs.join(hinted(h, hist_rows, broadcast_rows), hist_keys + ["b"], "left"),
+                         n_total, keys, dict(cell_terms or {}), levels)
     # partition by the candidate alone: it satisfies every later grouping (all contain it),
     # even when Catalyst folds a constant "other" key away
     p = pairs.join(hinted(h, hist_rows, broadcast_rows), hist_keys + ["b"], "left").repartition(keys[0])
@@ -92,19 +100,60 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[st
     g = p.groupBy(*keys).agg(*aggs)
     rest = (f"CASE WHEN {N} - seen > 0 AND {N} - nnz > 0 THEN ({N} - seen) * log2({N} / ({N} - nnz)) "
             "ELSE 0.0 END")
+    outs = _every_level_terms(cell_terms, levels, Nc, Nc - F.col("nnz"))
+    return g.select(*keys, F.expr(f"(s_cell + s_zero + {rest}) / {N}").alias("mi"),
+                    F.col("nnz").cast("long").alias("nnz"), F.col("n_levels").cast("long").alias("n_levels"),
+                    *outs)
+
+
+def _every_level_terms(cell_terms: dict, levels, Nc, g0) -> list:
     outs = []
     for name, fn in cell_terms.items():
         if levels is None:
             raise ValueError("cell terms need the other variable's levels")
-        g0 = Nc - F.col("nnz")
 
-        def every_level(acc, e, fn=fn, g0=g0):
+        def every_level(acc, e, fn=fn):
             lv = e["nb"].cast("double")
             return acc + F.when((lv > 0) & (g0 > 0), fn(lv, g0, lv, Nc)).otherwise(F.lit(0.0))
         outs.append((F.col("c_" + name) + F.aggregate(levels, F.lit(0.0), _two_args(every_level))).alias(name))
+    return outs
+
+
+def _mi_split(p0: DataFrame, n_total: int, keys: list[str], cell_terms: dict, levels) -> DataFrame:
+    """``mi_from_pairs`` with grouped marginals instead of per-candidate windows."""
+    N = repr(float(n_total))
+    Nc = F.lit(float(n_total))
+    p0 = p0.selectExpr(*[f"`{c}`" for c in keys], "a", "b", "CAST(n AS DOUBLE) AS n", "nb")
+    na = p0.groupBy(*keys, "a").agg(F.expr("sum(n)").alias("na"))
+    # a (candidate, level) group holds at most one row per level of the other variable
+    cells = p0.join(na, keys + ["a"])
+    n, nb, na_c = F.col("n"), F.col("nb"), F.col("na")
+    gc = cells.groupBy(*keys).agg(F.expr(f"sum(n * log2(n * {N} / (na * nb)))").alias("s_cell"),
+                                  *[F.sum(fn(n, na_c, nb, Nc)).alias("cc_" + k) for k, fn in cell_terms.items()])
+    per = na.groupBy(*keys).agg(F.expr("sum(na)").alias("nf"), F.count(F.lit(1)).alias("n_levels"))
+    tb = p0.groupBy(*keys, "b").agg(F.expr("sum(n)").alias("tb"), F.expr("max(nb)").alias("nb"))
+    zb = tb.join(per, keys)
+    tb_c, nf = F.col("tb"), F.col("nf")
+    n0, m = Nc - nf, nb - tb_c
+    zero_terms = []
+    for k, fn in cell_terms.items():
+        seen_zero = F.when((m > 0) & (n0 > 0), fn(m, n0, nb, Nc)).otherwise(F.lit(0.0))
+        seen_full = F.when((nb > 0) & (n0 > 0), fn(nb, n0, nb, Nc)).otherwise(F.lit(0.0))
+        zero_terms.append(F.sum(seen_zero - seen_full).alias("cz_" + k))
+    gz = zb.groupBy(*keys).agg(
+        F.expr("sum(CASE WHEN nb IS NULL OR nb - tb < 0 "
+               "THEN CAST(raise_error('Marginal sum greater than total') AS DOUBLE) "
+               f"WHEN nb - tb > 0 THEN (nb - tb) * log2((nb - tb) * {N} / (({N} - nf) * nb)) "
+               "ELSE 0.0 END)").alias("s_zero"),
+        F.expr("sum(nb)").alias("seen"), F.expr("max(nf)").alias("nnz"),
+        F.expr("max(n_levels)").alias("n_levels"), *zero_terms)
+    g = gz.join(gc, keys).select(*keys, "s_cell", "s_zero", "seen", "nnz", "n_levels",
+                                 *[(F.col("cc_" + k) + F.col("cz_" + k)).alias("c_" + k) for k in cell_terms])
+    rest = (f"CASE WHEN {N} - seen > 0 AND {N} - nnz > 0 THEN ({N} - seen) * log2({N} / ({N} - nnz)) "
+            "ELSE 0.0 END")
     return g.select(*keys, F.expr(f"(s_cell + s_zero + {rest}) / {N}").alias("mi"),
                     F.col("nnz").cast("long").alias("nnz"), F.col("n_levels").cast("long").alias("n_levels"),
-                    *outs)
+                    *_every_level_terms(cell_terms, levels, Nc, Nc - F.col("nnz")))
 
 
 def _two_args(f):

@@ -63,7 +63,8 @@ class Selector:
 
     def __init__(self, layout, k: int, score="mrmr", broadcast_rows: int = 1_000_000,
                  level_bound: int = 100_000, all_zero: str = "drop", release_input: bool = True,
-                 sparse_winners="auto", checkpoint_every: int = 1):
+                 sparse_winners="auto", checkpoint_every: int = 1, split_tables="auto",
+                 skew_rows: int = 2_000_000):
         if k < 0:
             raise ValueError("k must be >= 0")
         if all_zero not in ("drop", "keep"):
@@ -81,6 +82,10 @@ class Selector:
         if checkpoint_every < 1:
             raise ValueError("checkpoint_every must be >= 1")
         self.checkpoint_every = checkpoint_every
+        if split_tables not in ("auto", True, False):
+            raise ValueError("split_tables must be 'auto', True or False")
+        self.split_tables = split_tables
+        self.skew_rows = skew_rows
         layout.broadcast_rows = broadcast_rows
         self.terms = dict(self.score.terms)
         self.mi = any(v == "mi" for v in self.terms.values())
@@ -93,7 +98,7 @@ class Selector:
     _selected: list = []
 
     def _raw_terms(self, pairs: DataFrame, keys: list, hist: DataFrame, hist_keys: list,
-                   hist_rows: int, winners: list | None) -> DataFrame:
+                   hist_rows: int, winners: list | None, split: bool = False) -> DataFrame:
         """Per (keys) table: every raw term of the score as a column ``t_<name>``.  MI and cell
         terms come from one pass over the pair counts; vector terms from the value vectors."""
         levels = None
@@ -101,7 +106,8 @@ class Selector:
             rows = collect_levels(hist.select(*hist_keys, "b", "nb"), self.level_bound)
             levels = level_column(rows, bool(hist_keys))
         out = mi_from_pairs(pairs, hist, self.n, keys, hist_keys, hist_rows, self.broadcast_rows,
-                            cell_terms={k_: v.fn for k_, v in self.cells.items()}, levels=levels)
+                            cell_terms={k_: v.fn for k_, v in self.cells.items()}, levels=levels,
+                            split_tables=split)
         out = out.select(*keys, "nnz", "n_levels", *([F.col("mi").alias("t_mi")] if self.mi else []),
                          *[F.col(k_).alias("t_" + k_) for k_ in self.cells])
         if self.vectors:
@@ -112,18 +118,29 @@ class Selector:
 
     _sizes = None
 
+    def _state_sizes(self, state: DataFrame):
+        """(non-zero cells, marginal rows, most levels of one candidate), one small job."""
+        if self._sizes is None:
+            r = state.agg(F.sum("nnz").alias("c"), F.sum("n_levels").alias("m"),
+                          F.max("n_levels").alias("top")).first()
+            self._sizes = (float(r["c"] or 0), float(r["m"] or 0), int(r["top"] or 0))
+        return self._sizes
+
     def _pair_on_support(self, support_rows: int, state: DataFrame) -> bool:
         """Cost rule for pairing on the winners' support only.  The full pass touches every
         non-zero cell (C); the support pass touches about C * support / N cells plus a few
         passes over the candidates' marginal rows (M) to recover the b = 0 cells."""
         if self.sparse_winners is not True and self.sparse_winners is not False:
-            if self._sizes is None:
-                r = state.agg(F.sum("nnz").alias("c"), F.sum("n_levels").alias("m")).first()
-                self._sizes = (float(r["c"] or 0), float(r["m"] or 0))
-            cells, marg_rows = self._sizes
+            cells, marg_rows, _ = self._state_sizes(state)
             return cells * support_rows / max(self.n, 1) + 4.0 * marg_rows < 0.5 * cells
         return bool(self.sparse_winners)
 
+    def _split(self, largest_table_rows) -> bool:
+        """Skew rule: a candidate table above ``skew_rows`` rows is never handled by one task."""
+        if self.split_tables is True or self.split_tables is False:
+            return self.split_tables
+        return largest_table_rows() > self.skew_rows
+
     def _pair_values(self, raw: DataFrame) -> dict:
         return self.score.pair_values({k_: F.coalesce(F.col("t_" + k_), F.lit(0.0)) for k_ in self.terms})
 
@@ -158,7 +175,8 @@ class Selector:
         # persisted, not checkpointed: its lineage is one aggregation over the cached input
         ct = count_pairs(lay.class_rows([]), ["feature"]).persist(StorageLevel.MEMORY_AND_DISK)
         self._cached.append(ct)
-        raw = self._raw_terms(ct, ["feature"], prep.hist, [], prep.n_classes, None)
+        split = self._split(lambda: ct.groupBy("feature").count().agg(F.max("count")).first()[0] or 0)
+        raw = self._raw_terms(ct, ["feature"], prep.hist, [], prep.n_classes, None, split)
         rel = self._pair_values(raw)
         names = list(rel)
         state = raw.select("feature", F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"),
@@ -230,7 +248,9 @@ class Selector:
                     T.StructField("nb", T.LongType())]))
                 hist = hist.unionByName(zdf).where(F.col("nb") > 0)
             hist_rows = sum(int(r["n_levels"]) for r in top) + len(top)
-            raw = self._raw_terms(pairs, ["feature", "other"], hist, ["other"], hist_rows, winners)
+            # rows of one candidate x winner table <= levels(candidate) x (levels(winner) + 1)
+            split = self._split(lambda: self._state_sizes(state)[2] * max(int(r["n_levels"]) + 1 for r in top))
+            raw = self._raw_terms(pairs, ["feature", "other"], hist, ["other"], hist_rows, winners, split)
             pv = self._pair_values(raw)
             add = raw.groupBy("feature").agg(*[F.sum(pv[c]).alias("add_" + c) for c in names])
             state = state.join(add, "feature", "left").select(
