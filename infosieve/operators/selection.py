@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .contingency import collect_levels, count_pairs, level_column, marginals, recover_zero_other
-from .information import mi_from_pairs
+from .information import hinted, mi_from_pairs
 from .scores import CellTerm, Score, VectorAgg, get_score
 
 
@@ -119,11 +119,11 @@ class Selector:
     _sizes = None
 
     def _state_sizes(self, state: DataFrame):
-        """(non-zero cells, marginal rows, most levels of one candidate), one small job."""
+        """(non-zero cells, marginal rows, most levels of one candidate, candidates), one small job."""
         if self._sizes is None:
             r = state.agg(F.sum("nnz").alias("c"), F.sum("n_levels").alias("m"),
-                          F.max("n_levels").alias("top")).first()
-            self._sizes = (float(r["c"] or 0), float(r["m"] or 0), int(r["top"] or 0))
+                          F.max("n_levels").alias("top"), F.count(F.lit(1)).alias("f")).first()
+            self._sizes = (float(r["c"] or 0), float(r["m"] or 0), int(r["top"] or 0), int(r["f"] or 0))
         return self._sizes
 
     def _pair_on_support(self, support_rows: int, state: DataFrame) -> bool:
@@ -131,7 +131,7 @@ class Selector:
         non-zero cell (C); the support pass touches about C * support / N cells plus a few
         passes over the candidates' marginal rows (M) to recover the b = 0 cells."""
         if self.sparse_winners is not True and self.sparse_winners is not False:
-            cells, marg_rows, _ = self._state_sizes(state)
+            cells, marg_rows, _, _ = self._state_sizes(state)
             return cells * support_rows / max(self.n, 1) + 4.0 * marg_rows < 0.5 * cells
         return bool(self.sparse_winners)
 

@@ -1,6 +1,7 @@
 """Seeded random tables: Spark selection == brute force, whatever the layout or partitioning."""
 
 import numpy as np
+from hypothesis import given, settings, strategies as st
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,25 @@ def test_split_tables_equal_window_path(spark):
             assert ra["score"] == pytest.approx(rb["score"], abs=1e-12)
     _check(select_features(ArrayInstances(df, "label", "x"), 4, "mrmr", split_tables=True).orderBy("rank").collect(),
            select(X, y, 4))
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(min_value=0, max_value=10_000), st.sampled_from([1, 2]), st.booleans())
+def test_random_tables_any_plan(spark, seed, per_iter, tiny_skew_bound):
+    """Random shapes through the automatic plan choices (a tiny skew bound forces the split
+    MI plan) must equal brute force."""
+    rng = np.random.default_rng(seed)
+    n, d = int(rng.integers(20, 60)), int(rng.integers(3, 7))
+    X = rng.choice([0, 0, 1, 2, 4], size=(n, d))
+    y = rng.integers(0, int(rng.integers(2, 5)), size=n)
+    rows = [(str(y[i]), {j: float(v) for j, v in enumerate(X[i]) if v != 0}) for i in range(n)]
+    df = spark.createDataFrame(rows, "label string, m map<int, double>")
+
+    def fn(rel, red, n_sel, i, nfs):
+        return rel["mi"] - F.lit(1.0 if n_sel <= 1 else 1.0 / n_sel) * red["mi"]
+    from infosieve import ExprScore
+    got = select_features(MapInstances(df, "label", "m"), 3, ExprScore(fn, select_top=per_iter),
+                          skew_rows=1 if tiny_skew_bound else 2_000_000).orderBy("rank").collect()
+    cols = [j for j in range(d) if X[:, j].any()]
+    want = select(X, [str(v) for v in y], 3, per_iter=per_iter, candidates=cols)
+    _check(got, want)
