@@ -172,9 +172,10 @@ class Selector:
             return spark.createDataFrame([], schema)
 
         # relevance: candidate x class tables (A3), one exchange of map-side combined counts
-        # persisted, not checkpointed: its lineage is one aggregation over the cached input
-        ct = count_pairs(lay.class_rows([]), ["feature"]).persist(StorageLevel.MEMORY_AND_DISK)
-        self._cached.append(ct)
+        # checkpointed (not cached): AQE sizes its partitions to the aggregated data, while a
+        # cached plan keeps spark.sql.shuffle.partitions of them; it is read by the relevance
+        # pass, the winners' histograms and the sparse-winner recovery
+        ct = count_pairs(lay.class_rows([]), ["feature"]).checkpoint(eager=True)
         split = self._split(lambda: ct.groupBy("feature").count().agg(F.max("count")).first()[0] or 0)
         raw = self._raw_terms(ct, ["feature"], prep.hist, [], prep.n_classes, None, split)
         rel = self._pair_values(raw)
@@ -228,8 +229,7 @@ class Selector:
                 continue
             winners = [r["feature"] for r in top]
             if marg is None:
-                marg = marginals(ct, ["feature"]).persist(StorageLevel.MEMORY_AND_DISK)
-                self._cached.append(marg)
+                marg = marginals(ct, ["feature"]).checkpoint(eager=True)
             # a sparse winner (small support) is paired only on its support; the b = 0 cells
             # come from the candidates' marginals, so the pass reads a fraction of the cells
             sparse = lay.zero is not None and self._pair_on_support(sum(int(r["nnz"]) for r in top), state)
