@@ -1,14 +1,16 @@
 """Text input formats.
 
-* delimited instance-wise rows (CSV, TSV): the label sits at ``label_index``, every other
-  field is a feature, named by its 0-based position after the label is removed;
+* delimited instance-wise rows (CSV, TSV, unquoted numbers): the label sits at
+  ``label_index``, every other field is a feature, named by its 0-based position after the
+  label is removed;
 * delimited feature-wise rows: the field at ``id_index`` is the feature id, the others are
   the feature's values in instance order;
 * LibSVM (``label idx:value ...``, 1-based indices, zeros absent), either layout;
 * the class vector of the feature-wise layout: the first line of a file, split on ``sep``.
 
-Parsing uses Spark's CSV reader or ``split``/``transform`` expressions, so it runs in the
-scan tasks; sparse LibSVM rows stay sparse (a MAP of the stored cells).
+Parsing is ``split``/``transform`` expressions on the text lines, so it runs in the scan
+tasks and does not depend on the width; sparse LibSVM rows stay sparse (a MAP of the
+stored cells).
 """
 
 from __future__ import annotations
@@ -24,40 +26,39 @@ def _sep(fmt_or_sep: str) -> str:
     return _SEPS.get(fmt_or_sep, fmt_or_sep)
 
 
-def _width(spark: SparkSession, path: str, sep: str) -> int:
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        raise ValueError(f"{path} is empty")
-    return len(first[0][0].rstrip("\r").split(sep))
+def _tokens(spark: SparkSession, path: str, sep: str):
+    """Non-empty lines split on ``sep`` (CR/LF tolerant): one ARRAY<STRING> per line.  Any
+    width parses with one expression, so very wide files need no per-column schema."""
+    line = F.regexp_replace("value", "\r$", "")
+    return (spark.read.text(path).where(F.length(F.trim(line)) > 0)
+            .select(F.split(line, _re(sep)).alias("t")))
 
 
-def _read_delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    n = _width(spark, path, sep)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(n)])
-    df = (spark.read.schema(schema).option("sep", sep).option("mode", "FAILFAST")
-          .option("header", "false").csv(path))
-    return df, n
+def _all_but(t, index: int):
+    """The tokens of ``t`` except position ``index`` (0-based), in order."""
+    return F.concat(F.slice(t, 1, index), F.slice(t, index + 2, F.greatest(F.size(t) - index - 1, F.lit(0))))
 
 
 def read_instances_text(spark: SparkSession, path: str, sep: str = ",", label_index: int = 0) -> DataFrame:
-    """``(label DOUBLE, features ARRAY<DOUBLE>)``; a ragged row fails the scan (FAILFAST)."""
+    """``(label DOUBLE, features ARRAY<DOUBLE>)``.  Ragged rows are rejected by the layouts'
+    width check; a non-numeric field fails the cast (ANSI mode)."""
     sep = _sep(sep)
-    df, n = _read_delimited(spark, path, sep)
-    if not 0 <= label_index < n:
-        raise ValueError(f"label index {label_index} outside 0..{n - 1}")
-    cols = [F.col(f"_c{i}").cast("double") for i in range(n)]
-    feats = cols[:label_index] + cols[label_index + 1:]
-    return df.select(cols[label_index].alias("label"), F.array(*feats).alias("features"))
+    if label_index < 0:
+        raise ValueError("label index must be >= 0")
+    t = _tokens(spark, path, sep)
+    return t.select(F.trim(t["t"][label_index]).cast("double").alias("label"),
+                    F.transform(_all_but(F.col("t"), label_index), lambda x: F.trim(x).cast("double"))
+                    .alias("features"))
 
 
 def read_features_text(spark: SparkSession, path: str, sep: str = ",", id_index: int = 0,
                        id_type: str = "string") -> DataFrame:
     """``(feature, values ARRAY<DOUBLE>)`` from feature-wise delimited rows."""
     sep = _sep(sep)
-    df, n = _read_delimited(spark, path, sep)
-    cols = [F.col(f"_c{i}") for i in range(n)]
-    vals = [c.cast("double") for j, c in enumerate(cols) if j != id_index]
-    return df.select(F.trim(cols[id_index]).cast(id_type).alias("feature"), F.array(*vals).alias("values"))
+    t = _tokens(spark, path, sep)
+    return t.select(F.trim(t["t"][id_index]).cast(id_type).alias("feature"),
+                    F.transform(_all_but(F.col("t"), id_index), lambda x: F.trim(x).cast("double"))
+                    .alias("values"))
 
 
 def read_class_vector(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
