@@ -35,6 +35,7 @@ class Prepared:
     n: int                 # number of instances
     hist: DataFrame        # (b, nb) class histogram
     n_classes: int
+    levels: list | None = None   # [(b, nb)] when the histogram is small enough to sit on the driver
 
 
 def _bad_value(c: Column, dtype: T.DataType) -> Column:
@@ -52,7 +53,8 @@ def _finish_hist(hist: DataFrame, extra: list[str], what: str):
 
     Up to ``HIST_LITERAL_BOUND`` levels it is collected once (its size is checked by the
     ``limit``) and re-created as a small DataFrame; beyond that it is checkpointed and
-    summarised with one more aggregation.  Returns ``(hist(b, nb), n, levels, extras)``."""
+    summarised with one more aggregation.  Returns ``(hist(b, nb), n, levels, extras,
+    [(b, nb)] or None)``."""
     spark = hist.sparkSession
     rows = hist.limit(HIST_LITERAL_BOUND + 1).collect()
     if len(rows) <= HIST_LITERAL_BOUND:
@@ -60,13 +62,13 @@ def _finish_hist(hist: DataFrame, extra: list[str], what: str):
         _check_prepared({"bad": bad}, what)
         schema = hist.select("b", "nb").schema
         small = spark.createDataFrame([(r["b"], r["nb"]) for r in rows], schema)
-        return small, sum(int(r["nb"]) for r in rows), len(rows), rows
+        return small, sum(int(r["nb"]) for r in rows), len(rows), rows, [(r["b"], int(r["nb"])) for r in rows]
     hist = hist.checkpoint(eager=True)
     agg = [F.sum("nb").alias("n"), F.count(F.lit(1)).alias("levels"), F.sum("bad").alias("bad")]
     agg += [F.min(e).alias("min_" + e) for e in extra] + [F.max(e).alias("max_" + e) for e in extra]
     row = hist.agg(*agg).first()
     _check_prepared(row, what)
-    return hist.select("b", "nb"), int(row["n"] or 0), int(row["levels"]), [row]
+    return hist.select("b", "nb"), int(row["n"] or 0), int(row["levels"]), [row], None
 
 
 def _check_prepared(row, what: str) -> None:
@@ -133,9 +135,9 @@ class _Instances:
                 .agg(F.count(F.lit(1)).alias("nb"),
                      F.sum(F.when(y.isNull() | self.bad_row(), 1).otherwise(0)).alias("bad"), *extra))
         names = [c for c in hist.columns if c not in ("b", "nb", "bad")]
-        small, n, levels, rows = _finish_hist(hist, names, "rows")
+        small, n, levels, rows, lv = _finish_hist(hist, names, "rows")
         self._extra = rows
-        return Prepared(n, small, levels)
+        return Prepared(n, small, levels, lv)
 
     def class_rows(self, exclude: list) -> DataFrame:
         """(feature, a, b): every non-zero cell of a candidate with the row's label."""
@@ -387,7 +389,7 @@ class FeatureWise:
         hist = (cl.groupBy("b").agg(F.count(F.lit(1)).alias("nb"),
                                     F.sum(F.when(_bad_value(F.col("b"), cl.schema["b"].dataType)
                                                  | F.col("pos").isNull(), 1).otherwise(0)).alias("bad")))
-        small, n, levels, _ = _finish_hist(hist, [], "class positions")
+        small, n, levels, _, lv = _finish_hist(hist, [], "class positions")
         row = {"levels": levels}
         npos = cl.agg(F.count_distinct("pos").alias("d")).first()
         if npos["d"] != n:
@@ -429,7 +431,7 @@ class FeatureWise:
                 self.cells_df = self.cells_df.repartition("pos")
             self.cells_df = self.cells_df.persist(StorageLevel.MEMORY_AND_DISK)
             self._cached = True
-        return Prepared(n, small, int(row["levels"]))
+        return Prepared(n, small, int(row["levels"]), lv)
 
     def class_rows(self, exclude: list) -> DataFrame:
         c = self.cells_df if not exclude else self.cells_df.where(~F.col("feature").isin(list(exclude)))

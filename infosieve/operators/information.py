@@ -30,7 +30,7 @@ def hinted(df: DataFrame, rows: int | None, bound: int, otherwise: str | None =
     return df.hint(otherwise) if otherwise else df
 
 
-def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[str],
+def mi_from_pairs(pairs: DataFrame, hist: DataFrame | Column, n_total: int, keys: list[str],
                   hist_keys: list[str] | None = None, hist_rows: int | None = None,
                   broadcast_rows: int = 1_000_000, cell_terms: dict | None = None,
                   levels: Column | None = None, split_tables: bool = False) -> DataFrame:
@@ -42,8 +42,11 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[st
     list: ``levels`` is an ARRAY<STRUCT<b, nb>> Column (a literal of a counted histogram).
 
     ``hist`` has columns ``(hist_keys..., b, nb)``; ``hist_keys`` is a subset of ``keys`` that
-    names which other variable a histogram row belongs to (empty for the class).
-    ``nnz`` is the candidate's number of non-zero cells, ``n_levels`` its non-zero levels.
+    names which other variable a histogram row belongs to (empty for the class).  When the
+    histogram is small and already known on the driver it can instead be a Column that
+    computes ``nb`` from ``b`` (and ``other``) with literals: no join, no broadcast job.
+    ``nnz`` is the candidate's number of non-zero cells, ``n_levels`` its non-zero levels and
+    ``lo`` its smallest non-zero level (the level itself when there is only one).
 
     Each cell contributes n log2(n N / (na nb)) (the well-conditioned form: near-independent
     tables sum small terms instead of cancelling large entropies).  The zero row is added
@@ -58,20 +61,23 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[st
     more exchanges of the aggregated tables; the selection loop picks it by a size rule.
     """
     hist_keys = list(hist_keys or [])
-    h = hist.select(*hist_keys, "b", F.col("nb").cast("double").alias("nb"))
+    if isinstance(hist, Column):
+        with_nb = pairs.withColumn("nb", hist.cast("double"))
+    else:
+        h = hist.select(*hist_keys, "b", F.col("nb").cast("double").alias("nb"))
+        with_nb = pairs.join(hinted(h, hist_rows, broadcast_rows), hist_keys + ["b"], "left")
     if split_tables:
-        return _mi_split(pairs.join(hinted(h, hist_rows, broadcast_rows), hist_keys + ["b"], "left"),
-                         n_total, keys, dict(cell_terms or {}), levels)
+        return _mi_split(with_nb, n_total, keys, dict(cell_terms or {}), levels)
     # partition by the candidate alone: it satisfies every later grouping (all contain it),
     # even when Catalyst folds a constant "other" key away
-    p = pairs.join(hinted(h, hist_rows, broadcast_rows), hist_keys + ["b"], "left").repartition(keys[0])
+    p = with_nb.repartition(keys[0])
     # the expressions are written as SQL text: one round trip to the JVM per column instead
     # of one per operator keeps the per-iteration planning time small
     N = repr(float(n_total))
     k = ", ".join(f"`{c}`" for c in keys)
     whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
     p = p.selectExpr(
-        *[f"`{c}`" for c in keys], "CAST(n AS DOUBLE) AS n", "nb",
+        *[f"`{c}`" for c in keys], "a", "CAST(n AS DOUBLE) AS n", "nb",
         f"CAST(sum(n) OVER (PARTITION BY {k}, a ORDER BY b {whole}) AS DOUBLE) AS na",
         f"row_number() OVER (PARTITION BY {k}, a ORDER BY b) = 1 AS first_a",
         f"CAST(sum(n) OVER (PARTITION BY {k}, b ORDER BY a {whole}) AS DOUBLE) AS tb",
@@ -87,6 +93,7 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[st
         F.expr("sum(CASE WHEN first_b THEN nb ELSE 0.0 END)").alias("seen"),
         F.expr("max(nf)").alias("nnz"),
         F.expr("sum(CAST(first_a AS BIGINT))").alias("n_levels"),
+        F.expr("min(a)").alias("lo"),
     ]
     Nc = F.lit(float(n_total))
     n, nb, na, tb, nf = (F.col(c) for c in ("n", "nb", "na", "tb", "nf"))
@@ -103,7 +110,7 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[st
     outs = _every_level_terms(cell_terms, levels, Nc, Nc - F.col("nnz"))
     return g.select(*keys, F.expr(f"(s_cell + s_zero + {rest}) / {N}").alias("mi"),
                     F.col("nnz").cast("long").alias("nnz"), F.col("n_levels").cast("long").alias("n_levels"),
-                    *outs)
+                    "lo", *outs)
 
 
 def _every_level_terms(cell_terms: dict, levels, Nc, g0) -> list:
@@ -130,7 +137,8 @@ def _mi_split(p0: DataFrame, n_total: int, keys: list[str], cell_terms: dict, le
     n, nb, na_c = F.col("n"), F.col("nb"), F.col("na")
     gc = cells.groupBy(*keys).agg(F.expr(f"sum(n * log2(n * {N} / (na * nb)))").alias("s_cell"),
                                   *[F.sum(fn(n, na_c, nb, Nc)).alias("cc_" + k) for k, fn in cell_terms.items()])
-    per = na.groupBy(*keys).agg(F.expr("sum(na)").alias("nf"), F.count(F.lit(1)).alias("n_levels"))
+    per = na.groupBy(*keys).agg(F.expr("sum(na)").alias("nf"), F.count(F.lit(1)).alias("n_levels"),
+                                F.expr("min(a)").alias("lo"))
     tb = p0.groupBy(*keys, "b").agg(F.expr("sum(n)").alias("tb"), F.expr("max(nb)").alias("nb"))
     zb = tb.join(per, keys)
     tb_c, nf = F.col("tb"), F.col("nf")
@@ -146,14 +154,14 @@ def _mi_split(p0: DataFrame, n_total: int, keys: list[str], cell_terms: dict, le
                f"WHEN nb - tb > 0 THEN (nb - tb) * log2((nb - tb) * {N} / (({N} - nf) * nb)) "
                "ELSE 0.0 END)").alias("s_zero"),
         F.expr("sum(nb)").alias("seen"), F.expr("max(nf)").alias("nnz"),
-        F.expr("max(n_levels)").alias("n_levels"), *zero_terms)
-    g = gz.join(gc, keys).select(*keys, "s_cell", "s_zero", "seen", "nnz", "n_levels",
+        F.expr("max(n_levels)").alias("n_levels"), F.expr("min(lo)").alias("lo"), *zero_terms)
+    g = gz.join(gc, keys).select(*keys, "s_cell", "s_zero", "seen", "nnz", "n_levels", "lo",
                                  *[(F.col("cc_" + k) + F.col("cz_" + k)).alias("c_" + k) for k in cell_terms])
     rest = (f"CASE WHEN {N} - seen > 0 AND {N} - nnz > 0 THEN ({N} - seen) * log2({N} / ({N} - nnz)) "
             "ELSE 0.0 END")
     return g.select(*keys, F.expr(f"(s_cell + s_zero + {rest}) / {N}").alias("mi"),
                     F.col("nnz").cast("long").alias("nnz"), F.col("n_levels").cast("long").alias("n_levels"),
-                    *_every_level_terms(cell_terms, levels, Nc, Nc - F.col("nnz")))
+                    "lo", *_every_level_terms(cell_terms, levels, Nc, Nc - F.col("nnz")))
 
 
 def _two_args(f):

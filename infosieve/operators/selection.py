@@ -97,18 +97,22 @@ class Selector:
     # ------------------------------------------------------------------------------------
     _selected: list = []
 
-    def _raw_terms(self, pairs: DataFrame, keys: list, hist: DataFrame, hist_keys: list,
-                   hist_rows: int, winners: list | None, split: bool = False) -> DataFrame:
+    def _raw_terms(self, pairs: DataFrame, keys: list, hist, hist_keys: list,
+                   hist_rows: int, winners: list | None, split: bool = False,
+                   level_rows: list | None = None) -> DataFrame:
         """Per (keys) table: every raw term of the score as a column ``t_<name>``.  MI and cell
-        terms come from one pass over the pair counts; vector terms from the value vectors."""
+        terms come from one pass over the pair counts; vector terms from the value vectors.
+        ``hist`` is a histogram DataFrame or a literal ``nb`` Column (then ``level_rows`` lists
+        the same levels as dicts)."""
         levels = None
         if self.cells:
-            rows = collect_levels(hist.select(*hist_keys, "b", "nb"), self.level_bound)
+            rows = level_rows if level_rows is not None else \
+                collect_levels(hist.select(*hist_keys, "b", "nb"), self.level_bound)
             levels = level_column(rows, bool(hist_keys))
         out = mi_from_pairs(pairs, hist, self.n, keys, hist_keys, hist_rows, self.broadcast_rows,
                             cell_terms={k_: v.fn for k_, v in self.cells.items()}, levels=levels,
                             split_tables=split)
-        out = out.select(*keys, "nnz", "n_levels", *([F.col("mi").alias("t_mi")] if self.mi else []),
+        out = out.select(*keys, "nnz", "n_levels", "lo", *([F.col("mi").alias("t_mi")] if self.mi else []),
                          *[F.col(k_).alias("t_" + k_) for k_ in self.cells])
         if self.vectors:
             vs = self.layout.vector_terms(winners, self.vectors, exclude=self._selected)
@@ -177,11 +181,19 @@ class Selector:
         # pass, the winners' histograms and the sparse-winner recovery
         ct = count_pairs(lay.class_rows([]), ["feature"]).checkpoint(eager=True)
         split = self._split(lambda: ct.groupBy("feature").count().agg(F.max("count")).first()[0] or 0)
-        raw = self._raw_terms(ct, ["feature"], prep.hist, [], prep.n_classes, None, split)
+        class_nb = prep.hist
+        if prep.levels is not None:
+            # the class histogram is already on the driver: nb as a literal map lookup
+            btype = prep.hist.schema["b"].dataType
+            pairs_lit = [x for b, nb in prep.levels if b is not None for x in (F.lit(b).cast(btype), F.lit(nb))]
+            class_nb = F.create_map(*pairs_lit)[F.col("b")] if pairs_lit else F.lit(None)
+        class_rows = None if prep.levels is None else [{"b": b, "nb": nb} for b, nb in prep.levels]
+        raw = self._raw_terms(ct, ["feature"], class_nb, [], prep.n_classes, None, split, class_rows)
         rel = self._pair_values(raw)
         names = list(rel)
         state = raw.select("feature", F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"),
                            F.coalesce("n_levels", F.lit(0)).cast("long").alias("n_levels"),
+                           "lo",
                            *[rel[c].alias("rel_" + c) for c in names],
                            *[F.lit(0.0).alias("red_" + c) for c in names])
         if self.all_zero == "keep" and lay.feature_ids() is not None and names_df is None:
@@ -189,7 +201,7 @@ class Selector:
             zero_rel = self.score.pair_values({k_: F.lit(0.0) for k_ in self.terms})
             state = ids.join(state, "feature", "left").select(
                 "feature", F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"),
-                F.coalesce("n_levels", F.lit(0)).cast("long").alias("n_levels"),
+                F.coalesce("n_levels", F.lit(0)).cast("long").alias("n_levels"), "lo",
                 *[F.coalesce("rel_" + c, zero_rel[c]).alias("rel_" + c) for c in names],
                 *[F.coalesce("red_" + c, F.lit(0.0)).alias("red_" + c) for c in names])
         if names_df is not None:
@@ -216,7 +228,7 @@ class Selector:
             sc = _clean(self.score.column({c: F.col("rel_" + c) for c in names},
                                           {c: F.col("red_" + c) for c in names}, len(selected), i, self.k))
             cand = state.where(~F.col("feature").isin(selected)) if selected else state
-            top = (cand.select("feature", F.col(name_col).alias("name"), sc.alias("score"), "nnz", "n_levels")
+            top = (cand.select("feature", F.col(name_col).alias("name"), sc.alias("score"), "nnz", "n_levels", "lo")
                    .orderBy(*_ordering(by="name")).limit(m).collect())
             clock.lap(f"iteration {i}: pick")
             if not top:
@@ -239,22 +251,37 @@ class Selector:
                                 ["feature", "other"])
             if sparse:
                 pairs = recover_zero_other(pairs, marg, winners, selected, ftype, lay.zero)
-            hist = (marg.where(F.col("feature").isin(winners))
-                    .select(F.col("feature").alias("other"), F.col("a").alias("b"), F.col("n").alias("nb")))
-            if lay.zero is not None:
-                zrows = [(w, float(lay.zero), self.n - int(r["nnz"])) for w, r in zip(winners, top)]
-                zdf = spark.createDataFrame(zrows, T.StructType([
-                    T.StructField("other", ftype), T.StructField("b", T.DoubleType()),
-                    T.StructField("nb", T.LongType())]))
-                hist = hist.unionByName(zdf).where(F.col("nb") > 0)
+            if lay.zero is not None and all(int(r["n_levels"]) <= 1 for r in top):
+                # binary winners: their histograms {level: nnz, 0: N - nnz} are known from
+                # the state, so nb is a literal CASE expression (no histogram join)
+                hist, level_rows = None, []
+                for w, r in zip(winners, top):
+                    level_rows += [{"other": w, "b": b, "nb": nb} for b, nb in
+                                   ((float(lay.zero), self.n - int(r["nnz"])), (r["lo"], int(r["nnz"])))
+                                   if nb > 0 and b is not None]
+                    per = (F.when(F.col("b") == F.lit(float(lay.zero)), F.lit(self.n - int(r["nnz"])))
+                           .when(F.col("b") == F.lit(r["lo"]), F.lit(int(r["nnz"]))))
+                    cond = F.col("other") == F.lit(w).cast(ftype)
+                    hist = F.when(cond, per) if hist is None else hist.when(cond, per)
+            else:
+                level_rows = None
+                hist = (marg.where(F.col("feature").isin(winners))
+                        .select(F.col("feature").alias("other"), F.col("a").alias("b"), F.col("n").alias("nb")))
+                if lay.zero is not None:
+                    zrows = [(w, float(lay.zero), self.n - int(r["nnz"])) for w, r in zip(winners, top)]
+                    zdf = spark.createDataFrame(zrows, T.StructType([
+                        T.StructField("other", ftype), T.StructField("b", T.DoubleType()),
+                        T.StructField("nb", T.LongType())]))
+                    hist = hist.unionByName(zdf).where(F.col("nb") > 0)
             hist_rows = sum(int(r["n_levels"]) for r in top) + len(top)
             # rows of one candidate x winner table <= levels(candidate) x (levels(winner) + 1)
             split = self._split(lambda: self._state_sizes(state)[2] * max(int(r["n_levels"]) + 1 for r in top))
-            raw = self._raw_terms(pairs, ["feature", "other"], hist, ["other"], hist_rows, winners, split)
+            raw = self._raw_terms(pairs, ["feature", "other"], hist, ["other"], hist_rows, winners, split,
+                                  level_rows)
             pv = self._pair_values(raw)
             add = raw.groupBy("feature").agg(*[F.sum(pv[c]).alias("add_" + c) for c in names])
             state = state.join(add, "feature", "left").select(
-                "feature", *(["name"] if names_df is not None else []), "nnz", "n_levels",
+                "feature", *(["name"] if names_df is not None else []), "nnz", "n_levels", "lo",
                 *["rel_" + c for c in names],
                 *[(F.col("red_" + c) + F.coalesce(F.col("add_" + c), F.lit(0.0))).alias("red_" + c)
                   for c in names])
