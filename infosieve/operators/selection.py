@@ -180,7 +180,12 @@ class Selector:
         # cached plan keeps spark.sql.shuffle.partitions of them; it is read by the relevance
         # pass, the winners' histograms and the sparse-winner recovery
         ct = count_pairs(lay.class_rows([]), ["feature"]).checkpoint(eager=True)
-        split = self._split(lambda: ct.groupBy("feature").count().agg(F.max("count")).first()[0] or 0)
+        def largest_class_table() -> int:
+            total = ct.count()                  # a scan of the checkpoint, no shuffle
+            if total <= self.skew_rows:
+                return total                    # no single table can be larger
+            return ct.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
+        split = self._split(largest_class_table)
         class_nb = prep.hist
         if prep.levels is not None:
             # the class histogram is already on the driver: nb as a literal map lookup
