@@ -144,10 +144,12 @@ class _Instances:
         base = self.rows.select(F.col(self.label).alias("__b"), *self.payload())
         return self.explode(base, ["__b"], exclude).select("feature", "a", F.col("__b").alias("b"))
 
-    def winner_rows(self, winners: list, exclude: list, nonzero_only: bool = False) -> DataFrame:
+    def winner_rows(self, winners: list, exclude: list, nonzero_only: bool = False,
+                    zero_only: bool = False) -> DataFrame:
         """(feature, other, a, b): every non-zero candidate cell with each winner's value,
         read from the same row (no join).  ``nonzero_only`` keeps only the rows where the
-        winner is non-zero (its support); the b = 0 cells are then recovered from marginals."""
+        winner is non-zero (its support), ``zero_only`` those where it is zero; the skipped
+        cells are then recovered from the candidates' marginals."""
         if len(winners) == 1:
             w = winners[0]
             base = self.rows.select(self.other_id(w).alias("__other"),
@@ -158,6 +160,8 @@ class _Instances:
             base = self.rows.select(F.inline(others), *self.payload())
         if nonzero_only:
             base = base.where(F.col("__b") != F.lit(self.zero))
+        elif zero_only:
+            base = base.where(F.col("__b") == F.lit(self.zero))
         return self.explode(base, ["__other", "__b"], exclude).select(
             "feature", F.col("__other").alias("other"), "a", F.col("__b").alias("b"))
 
@@ -439,17 +443,17 @@ class FeatureWise:
         return c.join(hinted(self._class, self._n, self.broadcast_rows, "shuffle_hash"), "pos").select("feature", "a", "b")
 
     def winner_rows(self, winners: list, exclude: list, nnz: dict | None = None,
-                    nonzero_only: bool = False) -> DataFrame:
+                    nonzero_only: bool = False, zero_only: bool = False) -> DataFrame:
         c = self.cells_df if not exclude else self.cells_df.where(~F.col("feature").isin(list(exclude)))
-        how = "inner" if nonzero_only else "left"
+        how = "inner" if nonzero_only else "left_anti" if zero_only else "left"
         parts = []
         for w in winners:
             wv = (self.cells_df.where(F.col("feature") == F.lit(w).cast(self.feature_type))
                   .select("pos", F.col("a").alias("b")))
             rows = (nnz or {}).get(w)
-            parts.append(c.join(hinted(wv, rows, self.broadcast_rows, "shuffle_hash"), "pos", how)
-                         .select("feature", F.lit(w).cast(self.feature_type).alias("other"), "a",
-                                 F.coalesce(F.col("b"), F.lit(0.0)).alias("b")))
+            j = c.join(hinted(wv, rows, self.broadcast_rows, "shuffle_hash"), "pos", how)
+            b = F.lit(0.0) if zero_only else F.coalesce(F.col("b"), F.lit(0.0))
+            parts.append(j.select("feature", F.lit(w).cast(self.feature_type).alias("other"), "a", b.alias("b")))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

@@ -24,25 +24,40 @@ def count_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def recover_zero_other(nz_pairs: DataFrame, marg: DataFrame, winners: list, exclude: list,
-                       feature_type, zero=0.0) -> DataFrame:
-    """Complete candidate x winner tables counted only on the winners' support.
-
-    ``nz_pairs(feature, other, a, b, n)`` holds the cells with b != 0; the b = 0 cell of each
-    candidate level is its marginal minus what the winner's support took:
-    ``n_a0 = n_a - sum_{b != 0} n_ab``, with ``n_a`` from ``marg(feature, a, n)``.  The winners
-    (few) are attached to each marginal row by a literal array, not a join.
+def recover_missing_cells(counted: DataFrame, marg: DataFrame, winners: list, exclude: list,
+                          feature_type, fill: dict) -> DataFrame:
+    """Complete candidate x winner tables that were counted on part of the rows only.
+
+    ``counted(feature, other, a, b, n)`` misses, for each winner w, exactly one of its levels,
+    ``fill[w]``: the rows where w takes that level were skipped.  The missing cell of each
+    candidate level is its marginal minus what was counted:
+    ``n_a,fill = n_a - sum_{b != fill} n_ab``, with ``n_a`` from ``marg(feature, a, n)``.
+    Pairing a sparse winner on its support leaves out b = 0; pairing a dense binary winner
+    on its zero rows leaves out its single non-zero level.  The winners (few) are attached
+    to each marginal row by a literal array, not a join.
     """
     cand = marg if not exclude else marg.where(~F.col("feature").isin(list(exclude)))
     ws = F.array(*[F.lit(w).cast(feature_type) for w in winners])
     cand = cand.select("feature", "a", F.col("n").alias("na"), F.explode(ws).alias("other"))
-    s = nz_pairs.groupBy("feature", "other", "a").agg(F.sum("n").alias("s"))
+    s = counted.groupBy("feature", "other", "a").agg(F.sum("n").alias("s"))
+    btype = counted.schema["b"].dataType
+    level = None
+    for w in winners:
+        cond = F.col("other") == F.lit(w).cast(feature_type)
+        v = F.lit(fill[w]).cast(btype)
+        level = F.when(cond, v) if level is None else level.when(cond, v)
     rest = F.col("na") - F.coalesce(F.col("s"), F.lit(0))
-    zero_cells = (cand.join(s, ["feature", "other", "a"], "left")
-                  .select("feature", "other", "a", F.lit(zero).cast(nz_pairs.schema["b"].dataType).alias("b"),
-                          F.when(rest < 0, F.raise_error(F.lit(SHORT))).otherwise(rest).cast("long").alias("n"))
-                  .where(F.col("n") > 0))
-    return nz_pairs.select("feature", "other", "a", "b", F.col("n").cast("long").alias("n")).unionByName(zero_cells)
+    missing = (cand.join(s, ["feature", "other", "a"], "left")
+               .select("feature", "other", "a", level.alias("b"),
+                       F.when(rest < 0, F.raise_error(F.lit(SHORT))).otherwise(rest).cast("long").alias("n"))
+               .where(F.col("n") > 0))
+    return counted.select("feature", "other", "a", "b", F.col("n").cast("long").alias("n")).unionByName(missing)
+
+
+def recover_zero_other(nz_pairs: DataFrame, marg: DataFrame, winners: list, exclude: list,
+                       feature_type, zero=0.0) -> DataFrame:
+    """Tables counted only on the winners' support: the b = 0 cells are recovered."""
+    return recover_missing_cells(nz_pairs, marg, winners, exclude, feature_type, {w: zero for w in winners})
 
 
 def marginals(pairs: DataFrame, keys: list[str], side: str = "a") -> DataFrame:

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .contingency import collect_levels, count_pairs, level_column, marginals, recover_zero_other
+from .contingency import (collect_levels, count_pairs, level_column, marginals, recover_missing_cells,
+                          recover_zero_other)
 from .information import hinted, mi_from_pairs
 from .scores import CellTerm, Score, VectorAgg, get_score
 
@@ -76,8 +77,8 @@ class Selector:
         self.level_bound = level_bound
         self.all_zero = all_zero
         self.release_input = release_input
-        if sparse_winners not in ("auto", True, False):
-            raise ValueError("sparse_winners must be 'auto', True or False")
+        if sparse_winners not in ("auto", True, False, "zero_rows"):
+            raise ValueError("sparse_winners must be 'auto', True, False or 'zero_rows'")
         self.sparse_winners = sparse_winners
         if checkpoint_every < 1:
             raise ValueError("checkpoint_every must be >= 1")
@@ -131,10 +132,11 @@ class Selector:
         return self._sizes
 
     def _pair_on_support(self, support_rows: int, state: DataFrame) -> bool:
-        """Cost rule for pairing on the winners' support only.  The full pass touches every
-        non-zero cell (C); the support pass touches about C * support / N cells plus a few
-        passes over the candidates' marginal rows (M) to recover the b = 0 cells."""
-        if self.sparse_winners is not True and self.sparse_winners is not False:
+        """Cost rule for pairing on part of the rows (a winner's support, or its zero rows).
+        The full pass touches every non-zero cell (C); the partial pass touches about
+        C * rows / N cells plus a few passes over the candidates' marginal rows (M) to
+        recover the skipped cells."""
+        if self.sparse_winners in ("auto", "zero_rows"):
             cells, marg_rows, _, _ = self._state_sizes(state)
             return cells * support_rows / max(self.n, 1) + 4.0 * marg_rows < 0.5 * cells
         return bool(self.sparse_winners)
@@ -249,13 +251,23 @@ class Selector:
                 marg = marginals(ct, ["feature"]).checkpoint(eager=True)
             # a sparse winner (small support) is paired only on its support; the b = 0 cells
             # come from the candidates' marginals, so the pass reads a fraction of the cells
-            sparse = lay.zero is not None and self._pair_on_support(sum(int(r["nnz"]) for r in top), state)
+            mode = self.sparse_winners
+            sparse = (lay.zero is not None and mode != "zero_rows"
+                      and self._pair_on_support(sum(int(r["nnz"]) for r in top), state))
+            # a dense binary winner is paired on its zero rows only; its one non-zero level is
+            # recovered the same way (same cost rule, on the complement of the support)
+            dense = (not sparse and lay.zero is not None and all(int(r["n_levels"]) == 1 for r in top)
+                     and (mode == "zero_rows" or
+                          self._pair_on_support(sum(self.n - int(r["nnz"]) for r in top), state)))
             kw = {"nnz": {r["feature"]: r["nnz"] for r in top}} if getattr(lay, "winner_rows_takes_nnz", False) else {}
             winner_names = [r["name"] for r in top]
-            pairs = count_pairs(lay.winner_rows(winner_names, selected_names, nonzero_only=sparse, **kw),
-                                ["feature", "other"])
+            pairs = count_pairs(lay.winner_rows(winner_names, selected_names, nonzero_only=sparse,
+                                                zero_only=dense, **kw), ["feature", "other"])
             if sparse:
                 pairs = recover_zero_other(pairs, marg, winners, selected, ftype, lay.zero)
+            elif dense:
+                pairs = recover_missing_cells(pairs, marg, winners, selected, ftype,
+                                              {r["feature"]: r["lo"] for r in top})
             if lay.zero is not None and all(int(r["n_levels"]) <= 1 for r in top):
                 # binary winners: their histograms {level: nnz, 0: N - nnz} are known from
                 # the state, so nb is a literal CASE expression (no histogram join)

@@ -140,3 +140,20 @@ def test_random_tables_any_plan(spark, seed, per_iter, tiny_skew_bound):
     cols = [j for j in range(d) if X[:, j].any()]
     want = select(X, [str(v) for v in y], 3, per_iter=per_iter, candidates=cols)
     _check(got, want)
+
+
+def test_zero_row_pairing_equals_full_pass(spark):
+    """Dense binary winners paired on their zero rows only (the non-zero level recovered)."""
+    rng = np.random.default_rng(31)
+    n, d = 90, 8
+    X = (rng.random((n, d)) < 0.7).astype(int)          # dense binary features
+    y = (X[:, 1] + rng.integers(0, 2, n)) % 2
+    rows = [(float(y[i]), {j: float(v) for j, v in enumerate(X[i]) if v != 0}) for i in range(n)]
+    df = spark.createDataFrame(rows, "label double, m map<int, double>")
+    got = select_features(MapInstances(df, "label", "m"), 5, "mrmr", sparse_winners="zero_rows")
+    _check(got.orderBy("rank").collect(), select(X, y, 5))
+    cells = spark.createDataFrame([(j, i, float(X[i, j])) for i in range(n) for j in range(d)],
+                                  "feature int, pos long, value double")
+    classes = spark.createDataFrame([(i, float(y[i])) for i in range(n)], "pos long, b double")
+    got = select_features(FeatureWise.from_cells(cells, classes), 5, "mrmr", sparse_winners="zero_rows")
+    _check(got.orderBy("rank").collect(), select(X, y, 5))
