@@ -485,3 +485,20 @@ def to_cells(df: DataFrame, row_id: str, features: list[str] | None = None, arra
     features = features or [c for c in df.columns if c != row_id]
     arr = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
     return df.select(row_id, F.inline(arr)).where(F.col("value") != 0.0)
+
+
+def layout_for(df: DataFrame, label: str, features: str | list[str] | None = None, **kw):
+    """Pick the instance-wise layout from the schema: an ARRAY column -> ``ArrayInstances``,
+    a MAP column -> ``MapInstances``, an ML vector column -> its array form, a list of
+    columns (or None: every other column) -> ``WideInstances``."""
+    if isinstance(features, str):
+        dt = df.schema[features].dataType
+        if isinstance(dt, T.ArrayType):
+            return ArrayInstances(df, label, features, **kw)
+        if isinstance(dt, T.MapType):
+            return MapInstances(df, label, features, **kw)
+        if dt.typeName() == "vector" or dt.simpleString() == "vector":
+            from pyspark.ml.functions import vector_to_array
+            return ArrayInstances(df.withColumn(features, vector_to_array(F.col(features))), label, features, **kw)
+        features = [features]
+    return WideInstances(df, label, features, **kw)

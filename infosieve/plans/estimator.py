@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.cells import ArrayInstances, MapInstances
+from ..operators.cells import layout_for
 from ..operators.selection import select_features
 
 
@@ -55,12 +55,7 @@ class InfoSelector(Estimator):
         self.selector_kw = selector_kw
 
     def _fit(self, df: DataFrame) -> InfoSelectorModel:
-        kind = _kind(df, self.features_col)
-        if kind == "map":
-            lay = MapInstances(df, self.label_col, self.features_col)
-        else:
-            src = df if kind == "array" else df.withColumn(self.features_col, vector_to_array(F.col(self.features_col)))
-            lay = ArrayInstances(src, self.label_col, self.features_col)
+        lay = layout_for(df, self.label_col, self.features_col)
         res = select_features(lay, self.k, self.score, **self.selector_kw).orderBy("rank").collect()
         return InfoSelectorModel([r["feature"] for r in res], [r["score"] for r in res],
                                  self.features_col, self.output_col)
