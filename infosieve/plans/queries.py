@@ -47,7 +47,9 @@ def _emb_featurewise(spark, sf):
     b = embedding_bits(spark, sf)
     cells = to_cells(b, "vec_id", array_col="bits").select("feature", F.col("vec_id").alias("pos"), "value")
     classes = b.select(F.col("vec_id").alias("pos"), F.col("label").alias("b"))
-    ids = b.limit(1).select(F.posexplode("bits").alias("feature", "v")).select("feature")
+    # every position of the widest vector is a feature, all-zero ones included (one aggregate)
+    ids = b.agg(F.max(F.size("bits")).alias("w")).select(
+        F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("feature"))
     return FeatureWise.from_cells(cells, classes, ids=ids)
 
 
