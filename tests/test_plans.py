@@ -38,3 +38,17 @@ def test_winner_pass_reads_the_winner_from_the_same_row(spark):
     plan = _plan(ctg.count_pairs(lay.winner_rows(["en"], ["en"]), ["feature", "other"]), "simple")
     # documents x labels is the only join; pairing the winner needs none
     assert plan.count("Join") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_heavy_stage_runs_in_whole_stage_codegen(spark):
+    lay = WideInstances(lineitem_features(spark, SF), "label", LINEITEM_FEATURES)
+    lay.prepare(1000)
+    df = ctg.count_pairs(lay.winner_rows(["ship_month"], ["ship_month"]), ["feature", "other"])
+    df.collect()
+    raw = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    plan = raw.split("== Initial Plan ==")[0]            # the executed (final) plan
+    lines = [ln.strip(" +-:") for ln in plan.splitlines()]
+    for op in ("Expand", "Filter"):
+        assert any(ln.startswith("*(") and op in ln.split("[")[0] for ln in lines), op
+    assert any(ln.startswith("*(") and "partial_count" in ln for ln in lines)
+    lay.unpersist()
