@@ -6,7 +6,7 @@ so -0.0 prints as 0.0) to compare with the SQL oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.format import score_text
@@ -19,7 +19,7 @@ from ..operators.reduce import reduce_to
 from ..operators.sample import bernoulli_sample
 from ..operators.scores import (MIQ, ExprScore, VectorAgg, chi2_term, symmetric_uncertainty_mrmr)
 from ..operators.selection import select_features
-from ..operators.transpose import class_line, one_class_line, one_line_per_feature, transpose_long
+from ..operators.transpose import class_line, one_line_per_feature, transpose_long
 from ..session import scratch_path
 from .. import sources
 from .tables import LINEITEM_FEATURES, document_tokens, embedding_bits, lineitem_features, table
