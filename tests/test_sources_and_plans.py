@@ -94,3 +94,15 @@ def test_estimator_reduces_in_selection_order(spark):
     a = read_instances_text(spark, f"{REF_DATA}/mrmr.50x20.cw.c0.x1_8.csv")
     red = reduce_to(a, [6, 1, 14], keep=["label"], array_col="features").collect()
     assert [list(r)[1:] for r in red] == [[r["features"][i] for i in (6, 1, 14)] for r in a.collect()]
+
+
+def test_layout_for_picks_by_schema(spark):
+    from infosieve import ArrayInstances, MapInstances, WideInstances, layout_for
+    arr = spark.createDataFrame([(1.0, [1.0, 0.0])], "y double, x array<double>")
+    mp = spark.createDataFrame([(1.0, {1: 1.0})], "y double, x map<int, double>")
+    wide = spark.createDataFrame([(1.0, 2.0, 3.0)], "y double, a double, b double")
+    vec = spark.read.format("libsvm").option("numFeatures", 20).load(f"{REF_DATA}/mrmr.50x20.cw.c0.x1_8.libsvm")
+    assert isinstance(layout_for(arr, "y", "x", cache=False), ArrayInstances)
+    assert isinstance(layout_for(mp, "y", "x", cache=False), MapInstances)
+    assert isinstance(layout_for(wide, "y", cache=False), WideInstances)
+    assert isinstance(layout_for(vec, "label", "features", cache=False), ArrayInstances)
