@@ -48,6 +48,11 @@ def _bad_value(c: Column, dtype: T.DataType) -> Column:
 HIST_LITERAL_BOUND = 10_000
 
 
+def col_of(name: str) -> Column:
+    """A column by its exact name (dots, spaces and backticks are not parsed)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _finish_hist(hist: DataFrame, extra: list[str], what: str):
     """Materialise a class histogram ``(b, nb, bad, extra...)``.
 
@@ -129,7 +134,7 @@ class _Instances:
         return []
 
     def prepare(self, broadcast_rows: int) -> Prepared:
-        y = F.col(self.label)
+        y = col_of(self.label)
         extra = self.extra_checks()
         hist = (self.rows.groupBy(y.alias("b"))
                 .agg(F.count(F.lit(1)).alias("nb"),
@@ -141,7 +146,7 @@ class _Instances:
 
     def class_rows(self, exclude: list) -> DataFrame:
         """(feature, a, b): every non-zero cell of a candidate with the row's label."""
-        base = self.rows.select(F.col(self.label).alias("__b"), *self.payload())
+        base = self.rows.select(col_of(self.label).alias("__b"), *self.payload())
         return self.explode(base, ["__b"], exclude).select("feature", "a", F.col("__b").alias("b"))
 
     def winner_rows(self, winners: list, exclude: list, nonzero_only: bool = False,
@@ -187,10 +192,10 @@ class WideInstances(_Instances):
         self.zero = 0.0 if numeric else None
         self.features = features
         self._types = types
-        super().__init__(df.select(label, *features), label, cache)
+        super().__init__(df.select(col_of(label), *[col_of(f) for f in features]), label, cache)
 
     def value_of(self, feature) -> Column:
-        return F.col(feature).cast(self.value_type)
+        return col_of(feature).cast(self.value_type)
 
     def payload(self) -> list[Column]:
         return [self.value_of(f).alias(f) for f in self.features]
@@ -201,13 +206,13 @@ class WideInstances(_Instances):
             return base.select(*carry, F.lit(None).cast("string").alias("feature"),
                                F.lit(None).cast(self.value_type).alias("a")).where(F.lit(False))
         # unpivot = Expand: stays inside whole-stage codegen with the filter and partial agg
-        out = base.unpivot(carry, keep, "feature", "a")
+        out = base.unpivot(carry, [col_of(f) for f in keep], "feature", "a")
         return out if self.zero is None else out.where(F.col("a") != F.lit(self.zero))
 
     def bad_row(self) -> Column:
         bad = F.lit(False)
         for f in self.features:
-            bad = bad | _bad_value(F.col(f), self._types[f])
+            bad = bad | _bad_value(col_of(f), self._types[f])
         return bad
 
     def feature_ids(self) -> DataFrame:
@@ -222,25 +227,26 @@ class ArrayInstances(_Instances):
 
     def __init__(self, df: DataFrame, label: str, array_col: str, cache: bool = True):
         self.array_col = array_col
-        super().__init__(df.select(label, F.col(array_col).cast("array<double>").alias(array_col)), label, cache)
+        super().__init__(df.select(col_of(label), col_of(array_col).cast("array<double>").alias(array_col)),
+                         label, cache)
 
     def value_of(self, feature) -> Column:
-        return F.col(self.array_col)[int(feature)]
+        return col_of(self.array_col)[int(feature)]
 
     def payload(self) -> list[Column]:
-        return [F.col(self.array_col)]
+        return [col_of(self.array_col)]
 
     def explode(self, base, carry, exclude):
-        out = base.select(*carry, F.posexplode(self.array_col).alias("feature", "a")).where(F.col("a") != 0.0)
+        out = base.select(*carry, F.posexplode(col_of(self.array_col)).alias("feature", "a")).where(F.col("a") != 0.0)
         ex = [int(e) for e in exclude]
         return out.where(~F.col("feature").isin(ex)) if ex else out
 
     def bad_row(self) -> Column:
-        c = F.col(self.array_col)
+        c = col_of(self.array_col)
         return c.isNull() | F.exists(c, lambda x: x.isNull() | F.isnan(x))
 
     def extra_checks(self) -> list[Column]:
-        return [F.min(F.size(self.array_col)).alias("lo"), F.max(F.size(self.array_col)).alias("hi")]
+        return [F.min(F.size(col_of(self.array_col))).alias("lo"), F.max(F.size(col_of(self.array_col))).alias("hi")]
 
     def prepare(self, broadcast_rows: int) -> Prepared:
         p = super().prepare(broadcast_rows)
@@ -276,34 +282,34 @@ class MapInstances(_Instances):
         self.hash_keys = bool(hash_keys) and is_str
         self.feature_type = T.LongType() if self.hash_keys else mt.keyType
         self._names = None
-        m = F.map_filter(F.col(map_col).cast(T.MapType(mt.keyType, T.DoubleType())),
+        m = F.map_filter(col_of(map_col).cast(T.MapType(mt.keyType, T.DoubleType())),
                          lambda k, v: v.isNull() | F.isnan(v) | (v != 0.0))
-        super().__init__(df.select(label, m.alias(map_col)), label, cache)
+        super().__init__(df.select(col_of(label), m.alias(map_col)), label, cache)
 
     def value_of(self, feature) -> Column:
-        return F.coalesce(F.col(self.map_col)[F.lit(feature).cast(self.name_type)], F.lit(0.0))
+        return F.coalesce(col_of(self.map_col)[F.lit(feature).cast(self.name_type)], F.lit(0.0))
 
     def other_id(self, name) -> Column:
         return F.xxhash64(F.lit(name).cast(self.name_type)) if self.hash_keys else super().other_id(name)
 
     def payload(self) -> list[Column]:
-        return [F.col(self.map_col)]
+        return [col_of(self.map_col)]
 
     def explode(self, base, carry, exclude):
-        out = base.select(*carry, F.explode(self.map_col).alias("__key", "a"))
+        out = base.select(*carry, F.explode(col_of(self.map_col)).alias("__key", "a"))
         if exclude:
             out = out.where(~F.col("__key").isin(list(exclude)))
         key = F.xxhash64("__key") if self.hash_keys else F.col("__key")
         return out.select(*carry, key.alias("feature"), "a")
 
     def bad_row(self) -> Column:
-        c = F.col(self.map_col)
+        c = col_of(self.map_col)
         return c.isNull() | F.exists(F.map_values(c), lambda v: v.isNull() | F.isnan(v))
 
     def prepare(self, broadcast_rows: int) -> Prepared:
         p = super().prepare(broadcast_rows)
         if self.hash_keys:
-            d = (self.rows.select(F.explode(F.map_keys(self.map_col)).alias("name")).distinct()
+            d = (self.rows.select(F.explode(F.map_keys(col_of(self.map_col))).alias("name")).distinct()
                  .select(F.xxhash64("name").alias("feature"), "name"))
             d = d.checkpoint(eager=True)
             clash = d.groupBy("feature").count().where(F.col("count") > 1).limit(1).count()

@@ -121,3 +121,10 @@ def test_cells_outside_the_class_positions_raise(spark):
     dup = spark.createDataFrame([(1, 0, 1.0), (1, 0, 2.0)], "feature int, pos long, value double")
     with pytest.raises(ValueError, match="same ID"):
         select_features(FeatureWise.from_cells(dup, classes), 1, "mrmr")
+
+
+def test_column_names_with_dots_and_spaces(spark):
+    df = spark.createDataFrame([(0.0, 1.0, 0.0), (1.0, 0.0, 1.0), (1.0, 1.0, 1.0), (0.0, 0.0, 0.0)],
+                               "`y.label` double, `a.b` double, `c d` double")
+    out = select_features(WideInstances(df, "y.label"), 2, "mrmr").collect()
+    assert sorted(r["feature"] for r in out) == ["a.b", "c d"]
