@@ -345,7 +345,7 @@ class FeatureWise:
     def from_arrays(cls, df: DataFrame, id_col: str, values_col: str, classes: DataFrame,
                     cache: bool = True) -> "FeatureWise":
         """``df(id, values ARRAY)`` plus ``classes(pos, label)``."""
-        base = df.select(F.col(id_col).alias("feature"), F.col(values_col).cast("array<double>").alias("v"))
+        base = df.select(col_of(id_col).alias("feature"), col_of(values_col).cast("array<double>").alias("v"))
         cells = (base.select("feature", F.posexplode("v").alias("pos", "a"))
                  .where(F.col("a").isNull() | F.isnan("a") | (F.col("a") != 0.0)))
         dense = base.select("feature", F.posexplode("v").alias("pos", "x"))
@@ -360,8 +360,8 @@ class FeatureWise:
                    dense: bool = False, check_unique: bool = True) -> "FeatureWise":
         """Long cells.  ``dense=True`` says every (feature, position) cell is present, zeros
         included, which vector scores need."""
-        c = cells.select(F.col(feature).alias("feature"), F.col(pos).cast("long").alias("pos"),
-                         F.col(value).cast("double").alias("a"))
+        c = cells.select(col_of(feature).alias("feature"), col_of(pos).cast("long").alias("pos"),
+                         col_of(value).cast("double").alias("a"))
         d = c.select("feature", "pos", F.col("a").alias("x")) if dense else None
         c = c.where(F.col("a").isNull() | F.isnan("a") | (F.col("a") != 0.0))
         if ids is None:
@@ -482,15 +482,16 @@ class FeatureWise:
 def to_cells(df: DataFrame, row_id: str, features: list[str] | None = None, array_col: str | None = None,
              map_col: str | None = None) -> DataFrame:
     """Unpivot any instance table to its non-zero cells ``(row_id, feature, value)``."""
+    rid = col_of(row_id).alias(row_id)
     if array_col:
-        return (df.select(row_id, F.posexplode(F.col(array_col).cast("array<double>")).alias("feature", "value"))
+        return (df.select(rid, F.posexplode(col_of(array_col).cast("array<double>")).alias("feature", "value"))
                 .where(F.col("value") != 0.0))
     if map_col:
-        return (df.select(row_id, F.explode(F.col(map_col)).alias("feature", "value"))
+        return (df.select(rid, F.explode(col_of(map_col)).alias("feature", "value"))
                 .where(F.col("value") != 0.0))
     features = features or [c for c in df.columns if c != row_id]
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
-    return df.select(row_id, F.inline(arr)).where(F.col("value") != 0.0)
+    arr = F.array(*[F.struct(F.lit(f).alias("feature"), col_of(f).cast("double").alias("value")) for f in features])
+    return df.select(rid, F.inline(arr)).where(F.col("value") != 0.0)
 
 
 def layout_for(df: DataFrame, label: str, features: str | list[str] | None = None, **kw):
