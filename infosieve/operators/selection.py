@@ -247,8 +247,13 @@ class Selector:
             if i == n_iter or len(selected) >= self.k or not self.score.uses_redundancy:
                 continue
             winners = [r["feature"] for r in top]
-            if marg is None:
-                marg = marginals(ct, ["feature"]).checkpoint(eager=True)
+
+            def candidate_marginals():
+                # (feature, a, n): built on first need only (partial pairing, non-binary winners)
+                nonlocal marg
+                if marg is None:
+                    marg = marginals(ct, ["feature"]).checkpoint(eager=True)
+                return marg
             # a sparse winner (small support) is paired only on its support; the b = 0 cells
             # come from the candidates' marginals, so the pass reads a fraction of the cells
             mode = self.sparse_winners
@@ -264,9 +269,9 @@ class Selector:
             pairs = count_pairs(lay.winner_rows(winner_names, selected_names, nonzero_only=sparse,
                                                 zero_only=dense, **kw), ["feature", "other"])
             if sparse:
-                pairs = recover_zero_other(pairs, marg, winners, selected, ftype, lay.zero)
+                pairs = recover_zero_other(pairs, candidate_marginals(), winners, selected, ftype, lay.zero)
             elif dense:
-                pairs = recover_missing_cells(pairs, marg, winners, selected, ftype,
+                pairs = recover_missing_cells(pairs, candidate_marginals(), winners, selected, ftype,
                                               {r["feature"]: r["lo"] for r in top})
             if lay.zero is not None and all(int(r["n_levels"]) <= 1 for r in top):
                 # binary winners: their histograms {level: nnz, 0: N - nnz} are known from
@@ -282,7 +287,7 @@ class Selector:
                     hist = F.when(cond, per) if hist is None else hist.when(cond, per)
             else:
                 level_rows = None
-                hist = (marg.where(F.col("feature").isin(winners))
+                hist = (candidate_marginals().where(F.col("feature").isin(winners))
                         .select(F.col("feature").alias("other"), F.col("a").alias("b"), F.col("n").alias("nb")))
                 if lay.zero is not None:
                     zrows = [(w, float(lay.zero), self.n - int(r["nnz"])) for w, r in zip(winners, top)]
