@@ -73,9 +73,15 @@ def _re(sep: str) -> str:
 
 
 def _libsvm_cells():
+    """Label and ``idx:value`` entries; indices must be one-based (a 0 or negative index
+    fails the scan), repeated indices in a row fail the map construction."""
     toks = F.split(F.trim(F.col("value")), "\\s+")
-    entries = F.transform(F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))), lambda t: F.named_struct(
-        F.lit("key"), F.split(t, ":")[0].cast("int") - 1, F.lit("value"), F.split(t, ":")[1].cast("double")))
+
+    def entry(t):
+        idx = F.split(t, ":")[0].cast("int")
+        key = F.when(idx < 1, F.raise_error(F.lit("LibSVM indices are one-based"))).otherwise(idx - 1)
+        return F.named_struct(F.lit("key"), key.cast("int"), F.lit("value"), F.split(t, ":")[1].cast("double"))
+    entries = F.transform(F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))), entry)
     return toks[0].cast("double"), entries
 
 

@@ -128,3 +128,13 @@ def test_column_names_with_dots_and_spaces(spark):
                                "`y.label` double, `a.b` double, `c d` double")
     out = select_features(WideInstances(df, "y.label"), 2, "mrmr").collect()
     assert sorted(r["feature"] for r in out) == ["a.b", "c d"]
+
+
+def test_libsvm_zero_index_and_repeated_index_fail(spark, tmp_out):
+    from infosieve.sources import read_libsvm
+    for i, line in enumerate(["1 0:1 2:1\n", "1 2:1 2:3\n"]):
+        path = f"{tmp_out}/bad{i}.libsvm"
+        with open(path, "w") as fh:
+            fh.write(line)
+        with pytest.raises(Exception):
+            read_libsvm(spark, path).collect()
