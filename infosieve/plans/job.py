@@ -58,6 +58,15 @@ def build_layout(spark: SparkSession, path: str, layout: str, fmt: str, label_in
     raise ValueError(f"unknown layout {layout!r}; use column-wise or row-wise")
 
 
+def report_for(spark: SparkSession, path: str, layout: str, k: int, fmt: str, label_index: int, score: str,
+               class_path: str | None = None):
+    """The job's work without printing: ``(report DataFrame (order, name, score), profile)``."""
+    ensure_checkpoint_dir(spark)
+    lay, prof = build_layout(spark, path, layout, fmt, label_index, class_path)
+    result = select_features(lay, k, score, all_zero="keep" if layout in FEATURE else "drop")
+    return selection_report(result), prof
+
+
 def run(argv: list[str], spark: SparkSession | None = None) -> list:
     ap = argparse.ArgumentParser(prog="infosieve-job")
     ap.add_argument("input")
@@ -70,14 +79,12 @@ def run(argv: list[str], spark: SparkSession | None = None) -> list:
     ap.add_argument("--out")
     a = ap.parse_args(argv)
     spark = spark or SparkSession.builder.appName("infosieve-job").getOrCreate()
-    ensure_checkpoint_dir(spark)
-    lay, prof = build_layout(spark, a.input, a.layout, a.format, a.label_index, a.class_file)
+    report, prof = report_for(spark, a.input, a.layout, a.k, a.format, a.label_index, a.score, a.class_file)
     p = prof.first().asDict()
     print("Input dataset stats:")
     for k_, v in p.items():
         print(f"-- {k_}: {v}")
-    result = select_features(lay, a.k, a.score, all_zero="keep" if a.layout in FEATURE else "drop")
-    report = selection_report(result).orderBy("order")
+    report = report.orderBy("order")
     rows = report.collect()
     print(format_report(rows))
     if a.out:

@@ -282,6 +282,14 @@ def q_feature_csv_scan(spark, sf):
                                    all_zero="keep"))
 
 
+def q_selection_job(spark, sf):
+    """M8: the command-line job's work (CSV in, report out) on the embeddings' sign bits."""
+    from .job import report_for
+    path = _write_bits(spark, sf, "csv")
+    report, _ = report_for(spark, path, "column-wise", 5, "csv", 0, "InstanceWiseMRMR")
+    return report
+
+
 def q_class_vector_scan(spark, sf):
     _, cpath = _write_featurewise(spark, sf)
     return sources.read_class_vector(spark, cpath).select("pos", F.col("label").cast("int").alias("label"))
@@ -324,5 +332,6 @@ QUERIES = {
     "libsvm_scan": q_libsvm_scan,
     "feature_csv_scan": q_feature_csv_scan,
     "class_vector_scan": q_class_vector_scan,
+    "selection_job": q_selection_job,
     "row_sample": q_row_sample,
 }
