@@ -2,17 +2,23 @@
 
 Plan per run:
 
-1. one job validates the input and builds the class histogram (checkpointed);
-2. one aggregation counts the candidate x class tables (A3) and turns them into the
-   relevance terms; the per-feature state ``(feature, nnz, n_levels, rel_*, red_*)`` is
-   checkpointed to the shared checkpoint folder;
+1. one job validates the input and builds the class histogram (small ones come back to
+   the driver once and enter the MI as literals);
+2. one aggregation counts the candidate x class tables (A3, checkpointed) and turns them
+   into the relevance terms; the per-feature state
+   ``(feature, nnz, n_levels, lo, rel_*, red_*)`` is checkpointed to the shared folder;
 3. each iteration takes the best ``select_top`` candidates from the state (a bounded
    top-k, only the winners reach the driver), counts the candidate x winner tables in
    **one** pass over the data (newest winners only: redundancy is kept as a running sum),
    adds their terms to ``red_*`` and checkpoints the state again, so lineage stays short and
    a lost executor only costs the current iteration.
 
-Ties are broken deterministically: ``round(score, 12)`` descending, then feature id ascending.
+Plan choices made by size rules (results never depend on them): pair a winner on its
+support or on its zero rows only (``sparse_winners``), and compute the MI of big candidate
+tables with grouped marginals instead of per-candidate windows (``split_tables``).
+
+Ties are broken deterministically: ``round(score, 12)`` descending, then feature id ascending
+(the user's key when keys are hashed).
 """
 
 from __future__ import annotations
