@@ -157,3 +157,14 @@ def test_zero_row_pairing_equals_full_pass(spark):
     classes = spark.createDataFrame([(i, float(y[i])) for i in range(n)], "pos long, b double")
     got = select_features(FeatureWise.from_cells(cells, classes), 5, "mrmr", sparse_winners="zero_rows")
     _check(got.orderBy("rank").collect(), select(X, y, 5))
+
+
+def test_feature_wise_without_broadcast_equals_bruteforce(spark):
+    """Position vectors above the broadcast bound: cells co-partitioned by position, shuffled
+    hash joins for the class and winner vectors."""
+    X, y = _table(19, n=50, d=6)
+    cells = spark.createDataFrame([(j, i, float(X[i, j])) for i in range(X.shape[0]) for j in range(X.shape[1])],
+                                  "feature int, pos long, value double")
+    classes = spark.createDataFrame([(i, float(y[i])) for i in range(len(y))], "pos long, b double")
+    got = select_features(FeatureWise.from_cells(cells, classes), 4, "mrmr", broadcast_rows=5).orderBy("rank").collect()
+    _check(got, select(X, y, 4))
