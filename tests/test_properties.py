@@ -168,3 +168,12 @@ def test_feature_wise_without_broadcast_equals_bruteforce(spark):
     classes = spark.createDataFrame([(i, float(y[i])) for i in range(len(y))], "pos long, b double")
     got = select_features(FeatureWise.from_cells(cells, classes), 4, "mrmr", broadcast_rows=5).orderBy("rank").collect()
     _check(got, select(X, y, 4))
+
+
+def test_max_relevance_feature_wise_equals_instance_wise(spark):
+    X, y = _table(29, n=60, d=8)
+    cells = spark.createDataFrame([(j, i, float(X[i, j])) for i in range(X.shape[0]) for j in range(X.shape[1])],
+                                  "feature int, pos long, value double")
+    classes = spark.createDataFrame([(i, float(y[i])) for i in range(len(y))], "pos long, b double")
+    got = select_features(FeatureWise.from_cells(cells, classes), 5, "maxrel").orderBy("rank").collect()
+    _check(got, select(X, y, 5, score="maxrel"))
