@@ -76,6 +76,13 @@ def _finish_hist(hist: DataFrame, extra: list[str], what: str):
     return hist.select("b", "nb"), int(row["n"] or 0), int(row["levels"]), [row], None
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the relations a plan reads (sum over its leaves, from the optimizer's
+    statistics: file sizes for scans).  Join estimates can be far off; the leaves are not."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def _check_prepared(row, what: str) -> None:
     if row["bad"]:
         raise ValueError(f"{row['bad']} {what} hold a null or NaN label or feature value")
@@ -86,10 +93,14 @@ class _Instances:
 
     ``rows`` is the projected input (label + features only).  With ``cache=True`` it is
     persisted (MEMORY_AND_DISK: a lost block is recomputed from the source) because every
-    iteration scans it once; when the source arrives in fewer partitions than the cluster
-    has cores it is spread round-robin first, which never triggers on large inputs.
+    iteration scans it once.  A small input (its source relations under ``SPREAD_BYTES``) is
+    first spread round-robin over the cluster's cores, so a one-file table does not run
+    every pass in one task; large inputs keep their file splits (no extra shuffle).  The
+    size comes from the plan statistics, so nothing is executed to decide.
     """
 
+    SPREAD_BYTES = 1 << 30
+
     value_type: T.DataType = T.DoubleType()
     zero = 0.0
     feature_type: T.DataType = T.StringType()
@@ -98,7 +109,7 @@ class _Instances:
         self.label = label
         if cache:
             cores = df.sparkSession.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < cores:
+            if _input_bytes(df) < self.SPREAD_BYTES:
                 df = df.repartition(cores)
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
         self.rows = df
