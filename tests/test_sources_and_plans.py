@@ -106,3 +106,12 @@ def test_layout_for_picks_by_schema(spark):
     assert isinstance(layout_for(mp, "y", "x", cache=False), MapInstances)
     assert isinstance(layout_for(wide, "y", cache=False), WideInstances)
     assert isinstance(layout_for(vec, "label", "features", cache=False), ArrayInstances)
+
+
+def test_bernoulli_sample(spark):
+    from infosieve.operators.sample import bernoulli_sample
+    df = spark.range(2000).repartition(4)
+    assert bernoulli_sample(df, 1.0).count() == 2000 and bernoulli_sample(df, 0.0).count() == 0
+    a = sorted(r.id for r in bernoulli_sample(df, 0.3, seed=7).collect())
+    b = sorted(r.id for r in bernoulli_sample(df, 0.3, seed=7).collect())
+    assert a == b and 450 < len(a) < 750 and len(set(a)) == len(a)      # same seed, same rows, no repeats
