@@ -111,3 +111,16 @@ def test_vector_score_abs_correlation(spark):
         chosen.append(w)
         for f in red:
             red[f] += c(X[:, f], X[:, w])
+
+
+def test_vector_score_from_feature_arrays(spark):
+    X, y, _ = _data(spark, seed=41, d=5)
+    n, d = X.shape
+    rows = spark.createDataFrame([(j, [float(v) for v in X[:, j]]) for j in range(d)], "fid int, values array<double>")
+    classes = spark.createDataFrame([(i, float(y[i])) for i in range(n)], "pos long, b double")
+    score = ExprScore(lambda rel, red, n_sel, i, k: rel["corr"], terms={"corr": VectorAgg(lambda a, b: F.abs(F.corr(a, b)))},
+                      select_top=3, max_iterations=1)
+    got = select_features(FeatureWise.from_arrays(rows, "fid", "values", classes), 3, score).orderBy("rank").collect()
+    c = {j: abs(np.corrcoef(X[:, j], y)[0, 1]) for j in range(d)}
+    want = sorted(c, key=lambda j: (-round(c[j], 12), j))[:3]
+    assert [r["feature"] for r in got] == want
