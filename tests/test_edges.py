@@ -138,3 +138,14 @@ def test_libsvm_zero_index_and_repeated_index_fail(spark, tmp_out):
             fh.write(line)
         with pytest.raises(Exception):
             read_libsvm(spark, path).collect()
+
+
+def test_checkpoint_interval_and_keep_all_zero_on_arrays(spark):
+    rows = [(float(i % 2), [float(i % 2), float((i // 2) % 2), 0.0, float(i % 3 == 0)]) for i in range(24)]
+    df = spark.createDataFrame(rows, "y double, x array<double>")
+    a = select_features(ArrayInstances(df, "y", "x"), 4, "mrmr").collect()
+    b = select_features(ArrayInstances(df, "y", "x"), 4, "mrmr", checkpoint_every=2).collect()
+    assert [(r["feature"], round(r["score"], 12)) for r in a] == [(r["feature"], round(r["score"], 12)) for r in b]
+    assert 2 not in [r["feature"] for r in a]                   # all-zero position dropped by default
+    kept = select_features(ArrayInstances(df, "y", "x"), 4, "mrmr", all_zero="keep").collect()
+    assert 2 in [r["feature"] for r in kept]
