@@ -149,3 +149,18 @@ def test_checkpoint_interval_and_keep_all_zero_on_arrays(spark):
     assert 2 not in [r["feature"] for r in a]                   # all-zero position dropped by default
     kept = select_features(ArrayInstances(df, "y", "x"), 4, "mrmr", all_zero="keep").collect()
     assert 2 in [r["feature"] for r in kept]
+
+
+def test_negative_and_fractional_levels(spark):
+    import numpy as np
+    from bruteforce import select
+    rng = np.random.default_rng(5)
+    X = rng.choice([0.0, -1.5, 0.25, 2.0], size=(60, 5))
+    y = (X[:, 0] > 0).astype(int) + rng.integers(0, 2, 60)
+    rows = [(float(y[i]), [float(v) for v in X[i]]) for i in range(60)]
+    got = select_features(ArrayInstances(spark.createDataFrame(rows, "y double, x array<double>"), "y", "x"),
+                          3, "mrmr").orderBy("rank").collect()
+    want = select(X, y, 3)
+    assert [r["feature"] for r in got] == [f for f, _ in want]
+    for r, (_, s) in zip(got, want):
+        assert r["score"] == pytest.approx(s, abs=1e-9)
