@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, token_codec, warc
+from . import langid, license_scan, mixing, simhash, token_codec, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -27,10 +31,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op3_token_ids, op4_simhash, op8_warc)}
+    f.__name__: f for f in (op1_mix, op2_license, op3_token_ids, op4_simhash, op5_language, op8_warc)}
 ORACLE: dict[str, str] = {"op1_mix": mixing.ORACLE, "op8_warc": warc.ORACLE}
