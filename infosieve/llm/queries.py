@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, license_scan, mixing, simhash, token_codec, warc
+from . import langid, license_scan, mixing, simhash, token_codec, topk, warc
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_license, op3_token_ids, op4_simhash, op5_language, op8_warc)}
-ORACLE: dict[str, str] = {"op1_mix": mixing.ORACLE, "op8_warc": warc.ORACLE}
+    f.__name__: f for f in (op1_mix, op2_license, op3_token_ids, op4_simhash, op5_language, op8_warc, op9_topk)}
+ORACLE: dict[str, str] = {"op1_mix": mixing.ORACLE, "op8_warc": warc.ORACLE,
+                          "op9_topk": topk.ORACLE}
