@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, license_scan, mixing, simhash, token_codec, topk, warc
+from . import context_mixing, langid, license_scan, mixing, simhash, token_codec, topk, warc
 from .common import table
 
 
@@ -43,7 +43,12 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_license, op3_token_ids, op4_simhash, op5_language, op8_warc, op9_topk)}
+    f.__name__: f for f in (op1_mix, op2_license, op3_token_ids, op4_simhash, op5_language, op8_warc, op9_topk,
+                            op10_lm_score)}
 ORACLE: dict[str, str] = {"op1_mix": mixing.ORACLE, "op8_warc": warc.ORACLE,
                           "op9_topk": topk.ORACLE}
