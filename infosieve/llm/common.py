@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +87,33 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(cur, nodes["node"] == cur["u"], "left").select(
         "node", F.coalesce(cur["v"], nodes["node"]).alias("root"))
+
+
+HASH_MULT = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2**64."""
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", HASH_MULT), ("down", pow(HASH_MULT, -1, 1 << 64))):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            _POWERS[name] = np.cumprod(x, dtype=np.uint64)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of a byte array; ``table`` gives a random odd number per byte."""
+    up, down = _powers(max(len(data), 1))
+    with np.errstate(over="ignore"):
+        run = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * up[:len(data)], out=run[1:])
+        h = (run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(HASH_MULT)
+        for mult in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ (h >> np.uint64(33))) * np.uint64(mult)
+        return h ^ (h >> np.uint64(33))
+
+
+def byte_table(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

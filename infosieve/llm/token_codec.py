@@ -32,59 +32,128 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import stored
+from .common import byte_table, span_hashes, stored
 
 ROW_IDS, BLOCK_IDS, MAX_BITS = 1 << 20, 1 << 10, 16
 #: Distinct text pieces whose ids a worker remembers at most.
-CACHE_PIECES = 400_000
-#: Runs of blanks and line feeds stay with the text that follows; the byte-level splitter never
-#: joins a piece with what precedes such a run.
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+CACHE_PIECES = 3_000_000
 OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Pieces that are one word with the blank before it; they are encoded many at a time.
+PLAIN = re.compile(r" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+JOINED = 500
 _WORKER: dict = {}
+_TABLE = byte_table(3)
+_LETTER, _PUNCT, _SPACE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_PUNCT[[ord(c) for c in ".,;:!?*#$%&()"]] = True
+_SPACE[[10, 32]] = True
+_NOT_LATIN = np.ones(256, bool)
+_NOT_LATIN[0x80:0xC0] = False
+_NOT_LATIN[[0x97, 0xB7]] = True
+
+
+def piece_starts(data: np.ndarray) -> np.ndarray:
+    """Marks places where the byte-level splitter surely starts a new piece, in text whose only white
+    space is blanks and line feeds: before a run of them, between a Latin letter and a
+    punctuation mark, and between a lone line feed and a letter."""
+    prev = np.r_[np.uint8(0), data[:-1]]
+    before = np.r_[np.zeros(2, np.uint8), data[:-2]] if len(data) > 1 else np.zeros(len(data), np.uint8)
+    space, after_space = _SPACE[data], _SPACE[prev]
+    cut = space & ~after_space
+    cut |= _PUNCT[data] & (_LETTER[prev] | ((before == 0xC3) & ~_NOT_LATIN[prev]))
+    cut |= _LETTER[data] & (prev == 10) & ~_SPACE[before]
+    return cut
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, asked once for each distinct piece."""
+    """Ids of texts by the tokenizers library, asked once for each distinct piece.
+
+    Pieces are told apart by 64-bit hashes of their bytes.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.place: dict[str, int] = {}
-        self.flat, self.start = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        got = [np.asarray(e.ids, dtype=np.uint32) for e in
-               self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
-        for p in pieces:
-            self.place[p] = len(self.place)
-        self.flat = np.concatenate([self.flat, *got])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(g) for g in got])])
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        plain = [i for i, p in enumerate(pieces) if PLAIN.fullmatch(p)]
+        known = set(plain)
+        other = [i for i in range(len(pieces)) if i not in known]
+        groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        got = [np.empty(0, np.uint32)]
+        sizes = []
+        for group, e in zip(groups, self.tok.encode_batch_fast(["".join([pieces[i] for i in g]) for g in groups],
+                                                              add_special_tokens=False), strict=True):
+            got.append(np.array(e.ids, np.uint32))
+            # a word's first id, and no other, holds its blank
+            sizes.append(np.diff(np.r_[np.flatnonzero(self.opens[got[-1]]), len(got[-1])]))
+            if len(sizes[-1]) != len(group):
+                raise AssertionError("the splitter joined pieces")
+        for e in self.tok.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False):
+            got.append(np.array(e.ids, np.uint32))
+            sizes.append(np.array([len(got[-1])]))
+        ids, size = np.concatenate(got), np.concatenate(sizes)
+        n = len(self.keys)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + len(size) > len(self.size):
+            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.size[n:n + len(size)] = size
+        self.start[n:n + len(size)] = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        keys = np.concatenate([self.keys, keys[plain + other]])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], np.concatenate([self.at, n + np.arange(len(size))])[order]
 
     def encode(self, texts: list[str], end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end_id``, and the id count of each text."""
-        if len(self.place) > CACHE_PIECES:
-            self.place, self.flat, self.start = {}, np.empty(0, np.uint32), np.zeros(1, np.int64)
-        whole = {i: self.tok.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)
-                 if OTHER_SPACE.search(t)}
-        pieces = [[] if i in whole else PIECE.findall(t) for i, t in enumerate(texts)]
-        new = {p for ps in pieces for p in ps if p not in self.place}
-        if new:
-            self._learn(list(new))
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        place = self.place
-        at = np.fromiter((place[p] for ps in pieces for p in ps), np.int64, int(counts.sum()))
-        sizes = (self.start[1:] - self.start[:-1])[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.r_[0, ends][np.cumsum(counts)]
-        lens = np.diff(np.r_[0, bounds])
-        parts = []
-        for i in range(len(texts)):
-            body = np.asarray(whole[i], np.uint32) if i in whole else ids[bounds[i] - lens[i]:bounds[i]]
-            parts += [body, np.array([end_id], np.uint32)]
-            lens[i] = len(body) + 1
+        import pandas as pd
+        if len(self.keys) > CACHE_PIECES:
+            self._forget()
+        whole = {i: np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
+                 for i, t in enumerate(texts) if OTHER_SPACE.search(t)}
+        raw = [b"" if i in whole else t.encode("utf-8", "surrogatepass") for i, t in enumerate(texts)]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        first = np.cumsum(sizes) - sizes
+        cut = piece_starts(data)
+        cut[first[sizes > 0]] = True
+        start = np.flatnonzero(cut)
+        counts = np.searchsorted(start, first + sizes) - np.searchsorted(start, first)
+        end = np.r_[start[1:], len(data)][:len(start)]
+        code, keys = pd.factorize(span_hashes(data, start, end, _TABLE), sort=True)
+        near = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = self.keys[near] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            one = np.empty(len(keys), np.int64)
+            one[code] = np.arange(len(code))
+            at = one[new]
+            blob = data.tobytes()
+            self._learn(keys[new], [blob[a:z].decode("utf-8", "surrogatepass")
+                                    for a, z in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+        place = self.at[np.searchsorted(self.keys, keys)]
+        at = place[code]
+        size = self.size[at]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
+        parts, lens = [], np.diff(bounds) + 1
+        tail = np.array([end_id], np.uint32)
+        for i, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            parts += [whole.get(i, ids[a:z]), tail]
+            if i in whole:
+                lens[i] = len(whole[i]) + 1
         return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), lens
 
 
@@ -98,8 +167,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFr
         enc = _WORKER.get(tokenizer) or _WORKER.setdefault(tokenizer, Encoder(tokenizer))
         zstd = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                c = b.slice(at, 500)
+            for at in range(0, b.num_rows, 1000):
+                c = b.slice(at, 1000)
                 ids, lens = enc.encode([t or "" for t in c.column(1).to_pylist()], end_id)
                 wide = ids.max(initial=0) >= 1 << 16
                 raw = ids.astype("<u4" if wide else "<u2")
