@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_mixing, decontam, langid, license_scan, mixing, simhash, token_codec, topk, warc
+from . import context_mixing, decontam, langid, license_scan, mixing, pii, simhash, token_codec, topk, warc
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -52,7 +56,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_license, op3_token_ids, op4_simhash, op5_language, op6_decontaminate, op8_warc, op9_topk,
+    f.__name__: f for f in (op1_mix, op2_license, op3_token_ids, op4_simhash, op5_language, op6_decontaminate, op7_personal_data, op8_warc, op9_topk,
                             op10_lm_score)}
 ORACLE: dict[str, str] = {"op1_mix": mixing.ORACLE, "op8_warc": warc.ORACLE,
                           "op9_topk": topk.ORACLE}
