@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_CLASS, numbered, stored
@@ -55,22 +55,35 @@ def source_targets(by_source: DataFrame, weights: Sequence[float] = (5, 2, 1), b
     return src.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _size() -> Column:
+    return F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_CLASS)).cast("long")
+
+
+def _rate() -> Column:
+    return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+
+
+def _draw(seed: str) -> Column:
+    """A uniform number in [0, 1) of the document's id and the seed."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return F.conv(F.substring(digest, 1, DRAW_DIGITS), 16, 10).cast("long") / F.lit(float(16 ** DRAW_DIGITS))
+
+
+def _copies() -> Column:
+    return F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, limit: int = 2,
         seed: str = "mix") -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken``: one row per document.
 
     The documents are read once; what is kept of them is id, source and size.
     """
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_CLASS)).cast("long")
-    sized = stored(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
+    sized = stored(docs.select("doc_id", "source", _size().alias("size"), _draw(seed).alias("draw")), "mix-sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     src = source_targets(by_source, weights, budget, limit).withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    draw = F.conv(F.substring(digest, 1, DRAW_DIGITS), 16, 10).cast("long") / F.lit(float(16 ** DRAW_DIGITS))
-    copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
-    return (sized.join(src, sized["source"].eqNullSafe(src["_source"])).withColumn("rate", rate)
-            .withColumn("copies", copies)
+    return (sized.join(src, sized["source"].eqNullSafe(src["_source"])).withColumn("rate", _rate())
+            .withColumn("copies", _copies())
             .select("doc_id", "source", "size", "source_size", "target", "copies",
                     (F.col("size") * F.col("copies")).alias("taken")))
 
@@ -82,18 +95,13 @@ def emit(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float =
     Copies depend on the source's rate and the document's id alone, so the rows are not
     joined on their id: the rates (one row per source) meet the documents directly.
     """
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_CLASS)).cast("long")
-    by_source = docs.groupBy("source").agg(F.sum(size).alias("source_size"))
+    by_source = docs.groupBy("source").agg(F.sum(_size()).alias("source_size"))
     src = source_targets(by_source, weights, budget, limit)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    src = src.select(F.col("source").alias("_mix_source"), rate.alias("_mix_rate"))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    draw = F.conv(F.substring(digest, 1, DRAW_DIGITS), 16, 10).cast("long") / F.lit(float(16 ** DRAW_DIGITS))
-    copies = F.floor("_mix_rate") + (draw < F.col("_mix_rate") - F.floor("_mix_rate")).cast("long")
-    joined = docs.join(src, docs["source"].eqNullSafe(src["_mix_source"])).withColumn("_mix_copies", copies)
-    return (joined.where("_mix_copies > 0")
-            .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
-            .select([docs[c] for c in docs.columns]))
+    rates = src.select(F.col("source").alias("s"), _rate().alias("rate"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "source", _draw(seed).alias("draw"))
+    taken = rows.join(rates, rows["source"].eqNullSafe(rates["s"])).withColumn("copies", _copies()).where("copies > 0")
+    return (taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+            .select("doc.*"))
 
 
 ORACLE = r"""
