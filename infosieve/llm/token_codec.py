@@ -40,7 +40,7 @@ CACHE_PIECES = 3_000_000
 OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Pieces that are one word with the blank before it; they are encoded many at a time.
 PLAIN = re.compile(r" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-JOINED = 500
+JOINED = 50
 _WORKER: dict = {}
 _TABLE = byte_table(3)
 _LETTER, _PUNCT, _SPACE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -75,6 +75,7 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.tok.model._resize_cache(0)  # no piece is asked for twice
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
@@ -167,8 +168,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFr
         enc = _WORKER.get(tokenizer) or _WORKER.setdefault(tokenizer, Encoder(tokenizer))
         zstd = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                c = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 500):
+                c = b.slice(at, 500)
                 ids, lens = enc.encode([t or "" for t in c.column(1).to_pylist()], end_id)
                 wide = ids.max(initial=0) >= 1 << 16
                 raw = ids.astype("<u4" if wide else "<u2")
