@@ -1,10 +1,11 @@
 import hashlib
 
 import corpus_pipeline
-from infosieve.llm import decontam, langid
+from infosieve.llm import langid
 
 from .helpers import SF, documents
 from .test_mixing_license import size, water
+from .test_text_models import words
 from .test_tokens_simhash import expected_digests, slow_components, slow_fingerprint
 
 
@@ -19,8 +20,8 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     rows = sorted((r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect() if r["doc_id"] in known)
     roots = slow_components([slow_fingerprint(t) for _, t, *_ in rows])
     rows = [r for i, r in enumerate(rows) if roots[i] == i]
-    items = [" " + " ".join(decontam.words(r["text"])) + " " for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    rows = [r for r in rows if not any(x in " " + " ".join(decontam.words(r[1])) + " " for x in items)]
+    items = [" " + " ".join(words(r["text"])) + " " for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [r for r in rows if not any(x in " " + " ".join(words(r[1])) + " " for x in items)]
     targets, sizes = water(rows)
     mixed = [(d, t) for d, t, _, s in rows for _ in range(copies(d, targets[s] / sizes[s] if sizes[s] else 0.0))]
     assert len({d for d, _ in mixed}) < len(known) and len(mixed) > len({d for d, _ in mixed})

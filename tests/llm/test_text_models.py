@@ -126,8 +126,13 @@ def test_lcs_equals_the_table():
     for _ in range(200):
         a, b = ([rng.choice("abcde") for _ in range(rng.randint(1, 20))] for _ in range(2))
         bench = decontam.Benchmark([(1, " ".join(a))])
-        bench.weigh(np.zeros(len(bench.place)), 1)
-        assert bench.lcs(0, [bench.place[x] for x in b if x in bench.place]) == slow_lcs(a, b)
+        bench.weigh(np.zeros(len(bench.keys)), 1)
+        seq = bench.numbers([" ".join(b)])[0]
+        assert bench.lcs(0, seq[seq >= 0].tolist()) == slow_lcs(a, b)
+
+
+def words(text):
+    return re.findall(r"\w+", (text or "").lower())
 
 
 def passages(spark):
@@ -137,7 +142,7 @@ def passages(spark):
 def test_every_verbatim_item_is_found(spark):
     docs, items = rows_of(spark), [(r["item_id"], r["text"]) for r in passages(spark).collect()]
     def joined(t):
-        return " " + " ".join(decontam.words(t)) + " "
+        return " " + " ".join(words(t)) + " "
     want = {(d, i) for d, t, *_ in docs for i, x in items if joined(x) in joined(t)}
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(documents(spark, docs), passages(spark)).collect()}
     assert got == want and want
@@ -145,16 +150,16 @@ def test_every_verbatim_item_is_found(spark):
 
 def test_paraphrases_are_found_and_clean_texts_left(spark):
     rng = random.Random(2)
-    items = [(r["item_id"], decontam.words(r["text"])) for r in passages(spark).collect()]
+    items = [(r["item_id"], words(r["text"])) for r in passages(spark).collect()]
     items = [x for x in items if len(x[1]) >= 20]
     docs = rows_of(spark, 100)
-    filler = [decontam.words(t) for _, t, *_ in docs]
+    filler = [words(t) for _, t, *_ in docs]
     planted, want = [], set()
     for k, (i, w) in enumerate(items):
         kept = [x for x in w if rng.random() > 0.12]
-        words = rng.choice(filler)
-        at = rng.randint(0, len(words))
-        planted.append((5000 + k, " ".join([*words[:at], *kept, *words[at:]]), None, None))
+        around = rng.choice(filler)
+        at = rng.randint(0, len(around))
+        planted.append((5000 + k, " ".join([*around[:at], *kept, *around[at:]]), None, None))
         want.add((5000 + k, i))
     shuffled = [(6000 + k, " ".join(rng.sample(w, len(w))), None, None) for k, (_, w) in enumerate(items)]
     got = {(r["doc_id"], r["item_id"]) for r in
@@ -301,11 +306,13 @@ def small_mixer(texts):
     spelling = context_mixing.Spelling(spelled)
     tables = [np.zeros(2 << bits, np.int64) for _, bits in context_mixing.ORDERS]
     for data, starts, _, last in context_mixing.slices(texts):
-        sym, lens, hashed, _ = spelling.contexts(data, starts, last)
-        for _, _, step, index in spelling.places(sym, lens, hashed):
-            for t, x in zip(tables, index, strict=True):
-                np.add.at(t, (x.astype(np.int64) << 1) | (step & 1), 1)
-    return context_mixing.Mixer(spelling, [context_mixing.stretched(t) for t in tables])
+        keys, _ = spelling.keys(data, starts, last)
+        _, step, index, _ = spelling.distinct(keys)
+        for t, x in zip(tables, index, strict=True):
+            np.add.at(t, (x.astype(np.int64) << 1) | (step & 1), 1)
+    mixer = context_mixing.Mixer(spelling, [context_mixing.stretched(t) for t in tables])
+    mixer.fit_gates(texts)
+    return mixer
 
 
 def slow_log10(mixer, text):
@@ -316,14 +323,13 @@ def slow_log10(mixer, text):
     rows = words.view(np.int16).reshape(-1, 4)
     half = m.MAP_SIZE // 2
     for a in range(0, int(count[0]), m.LANE_BITS):
-        w = mixer.weights.astype(np.float64).copy()
+        w = np.ones(3)
         refined = 1 / (1 + np.exp(-(np.arange(m.MAP_SIZE) - half) / 2.0))
-        for x0, x1, x2, last in rows[a:a + m.LANE_BITS].tolist():
+        for x0, x1, x2, bit in rows[a:a + m.LANE_BITS].tolist():
             f = np.array([x0, x1, x2]) / m.SCALE
-            bit, gate = last & 1, last >> 1
-            dot = min(8.0, max(-8.0, float(w[gate] @ f)))
+            dot = min(8.0, max(-8.0, float(w @ f)))
             p = 1 / (1 + math.exp(-dot))
-            w[gate] += (bit - p) * m.RATE * f
+            w += (bit - p) * m.RATE * f
             cell = half + round(2 * dot)
             q = 0.6 * p + 0.4 * refined[cell]
             refined[cell] += (bit - refined[cell]) * m.MAP_RATE
@@ -331,6 +337,25 @@ def slow_log10(mixer, text):
     return total
 
 
+def test_tables_counted_in_spark_equal_plain_counts(spark):
+    """Distinct numbers are counted first and their bits with that weight."""
+    texts = [t for _, t, *_ in rows_of(spark, 30)]
+    mixer = small_mixer(texts)
+    plain = [np.zeros(2 << bits, np.int64) for _, bits in context_mixing.ORDERS]
+    for data, starts, _, last in context_mixing.slices(texts):
+        keys, _ = mixer.spelling.keys(data, starts, last)
+        _, step, index, _ = mixer.spelling.distinct(keys)
+        for t, x in zip(plain, index, strict=True):
+            np.add.at(t, (x.astype(np.int64) << 1) | (step & 1), 1)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    flat = np.zeros(sum(len(t) for t in plain) // 2, np.int16)
+    size = context_mixing.CHUNK // 2
+    for r in context_mixing.count_bits(docs, spark.sparkContext.broadcast(mixer.spelling)).collect():
+        part = np.frombuffer(r["table"], np.int16)
+        flat[r["chunk"] * size:r["chunk"] * size + len(part)] = part
+    assert (flat == context_mixing.stretched(np.concatenate(plain))).all()
+
+
 def test_lanes_equal_one_bit_after_the_other(spark):
     texts = [t for _, t, *_ in rows_of(spark, 60)]
     mixer = small_mixer(texts)
