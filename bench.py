@@ -14,10 +14,11 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from infosieve.plans.queries import QUERIES  # noqa: E402
-from infosieve.session import build_session  # noqa: E402
+from infosieve.session import build_session, drop_scratch  # noqa: E402
 
 HEADLINE = ["mrmr_lineitem", "max_relevance_lineitem", "mrmr_sparse", "mrmr_instance", "mrmr_feature",
-            "zero_recovery", "custom_score_table"]
+            "zero_recovery", "custom_score_table", "custom_score_vector", "custom_score_joint", "batch_policy",
+            "csv_scan", "feature_csv_scan"]
 
 
 def main() -> None:
@@ -40,6 +41,7 @@ def main() -> None:
         df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t, 3)
         rows[name] = df.count()
+        drop_scratch(spark)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "rows": rows, "sf": sf, "cpus": cpus, "warmup": warm}))

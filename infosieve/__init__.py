@@ -1,10 +1,11 @@
 """infosieve: information-theoretic feature selection on Spark DataFrames."""
 
-from .operators.cells import ArrayInstances, FeatureWise, MapInstances, WideInstances, layout_for, to_cells
-from .operators.scores import MIQ, MRMR, CellTerm, ExprScore, MaxRelevance, Score, VectorAgg, get_score
+from .operators.cells import (ArrayInstances, FeatureWise, MapInstances, VectorInstances, WideInstances, layout_for,
+                              to_cells)
+from .operators.scores import MIQ, MRMR, CellTerm, ExprScore, JointAgg, MaxRelevance, Score, VectorAgg, get_score
 from .operators.selection import Selector, select_features
 from .session import build_session, ensure_checkpoint_dir
 
-__all__ = ["ArrayInstances", "FeatureWise", "MapInstances", "WideInstances", "layout_for", "to_cells", "MIQ", "MRMR",
-           "CellTerm", "ExprScore", "MaxRelevance", "Score", "VectorAgg", "get_score", "Selector",
+__all__ = ["ArrayInstances", "FeatureWise", "MapInstances", "VectorInstances", "WideInstances", "layout_for", "to_cells", "MIQ", "MRMR",
+           "CellTerm", "ExprScore", "JointAgg", "MaxRelevance", "Score", "VectorAgg", "get_score", "Selector",
            "select_features", "build_session", "ensure_checkpoint_dir"]

@@ -17,25 +17,28 @@ instance position, broadcast only when the vector's row count is known to be sma
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .information import hinted
+from .contingency import hinted
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType, T.BooleanType)
 
 
+SMALL = (T.ByteType, T.ShortType, T.IntegerType, T.BooleanType)
+
+
 @dataclass
 class Prepared:
     """What a layout knows after its one validation / class-histogram job."""
     n: int                 # number of instances
-    hist: DataFrame        # (b, nb) class histogram
+    hist: DataFrame        # (b, nb) class histogram, materialised
     n_classes: int
-    levels: list | None = None   # [(b, nb)] when the histogram is small enough to sit on the driver
 
 
 def _bad_value(c: Column, dtype: T.DataType) -> Column:
@@ -45,35 +48,56 @@ def _bad_value(c: Column, dtype: T.DataType) -> Column:
     return bad
 
 
-HIST_LITERAL_BOUND = 10_000
-
-
 def col_of(name: str) -> Column:
     """A column by its exact name (dots, spaces and backticks are not parsed)."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def level_type(types: list[T.DataType]) -> T.DataType:
+    """A type that holds the levels of all columns exactly: their own one (integers as LONG,
+    floating point as DOUBLE), DOUBLE for small integers among floating point, else STRING."""
+    def own(t):
+        if isinstance(t, (*SMALL, T.LongType)):
+            return T.LongType()
+        return T.DoubleType() if isinstance(t, T.FloatType) else t
+    kinds = {own(t).simpleString(): own(t) for t in types}
+    if len(kinds) == 1:
+        return next(iter(kinds.values()))
+    if all(isinstance(t, (*SMALL, T.FloatType, T.DoubleType)) for t in types):
+        return T.DoubleType()
+    return T.StringType()
+
+
+def zero_of(dtype: T.DataType):
+    """The zero level as it is written in ``dtype``; None for types without one."""
+    if isinstance(dtype, T.StringType):
+        return "0"
+    if isinstance(dtype, T.DecimalType):
+        return Decimal(0)
+    return 0.0 if isinstance(dtype, T.DoubleType) else 0 if isinstance(dtype, T.LongType) else None
+
+
+def level(c: Column, dtype: T.DataType, to: T.DataType) -> Column:
+    """``c`` as a level; zeros of numbers among strings are all written ``0``."""
+    if isinstance(to, T.StringType) and isinstance(dtype, NUMERIC):
+        number = c.cast("int") if isinstance(dtype, T.BooleanType) else c
+        return F.when(number == 0, F.lit("0")).otherwise(number.cast("string"))
+    if isinstance(dtype, T.BooleanType):
+        c = c.cast("int")
+    return c.cast(to)
+
+
 def _finish_hist(hist: DataFrame, extra: list[str], what: str):
-    """Materialise a class histogram ``(b, nb, bad, extra...)``.
-
-    Up to ``HIST_LITERAL_BOUND`` levels it is collected once (its size is checked by the
-    ``limit``) and re-created as a small DataFrame; beyond that it is checkpointed and
-    summarised with one more aggregation.  Returns ``(hist(b, nb), n, levels, extras,
-    [(b, nb)] or None)``."""
-    spark = hist.sparkSession
-    rows = hist.limit(HIST_LITERAL_BOUND + 1).collect()
-    if len(rows) <= HIST_LITERAL_BOUND:
-        bad = sum(int(r["bad"] or 0) for r in rows)
-        _check_prepared({"bad": bad}, what)
-        schema = hist.select("b", "nb").schema
-        small = spark.createDataFrame([(r["b"], r["nb"]) for r in rows], schema)
-        return small, sum(int(r["nb"]) for r in rows), len(rows), rows, [(r["b"], int(r["nb"])) for r in rows]
+    """Materialise a class histogram ``(b, nb, bad, extra...)`` and sum it up.
+
+    Returns ``(hist(b, nb), n, levels, row of the extras' minima and maxima)``."""
     hist = hist.checkpoint(eager=True)
     agg = [F.sum("nb").alias("n"), F.count(F.lit(1)).alias("levels"), F.sum("bad").alias("bad")]
     agg += [F.min(e).alias("min_" + e) for e in extra] + [F.max(e).alias("max_" + e) for e in extra]
     row = hist.agg(*agg).first()
-    _check_prepared(row, what)
-    return hist.select("b", "nb"), int(row["n"] or 0), int(row["levels"]), [row], None
+    if row["bad"]:
+        raise ValueError(f"{row['bad']} {what} hold a null or NaN label or feature value")
+    return hist.select("b", "nb"), int(row["n"] or 0), int(row["levels"]), row
 
 
 def _input_bytes(df: DataFrame) -> int:
@@ -83,11 +107,6 @@ def _input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def _check_prepared(row, what: str) -> None:
-    if row["bad"]:
-        raise ValueError(f"{row['bad']} {what} hold a null or NaN label or feature value")
-
-
 class _Instances:
     """Shared code of the instance-wise layouts.
 
@@ -140,6 +159,9 @@ class _Instances:
         return F.lit(name).cast(self.feature_type)
 
     # --- common ------------------------------------------------------------------------
+    def zero_level(self) -> Column:
+        return F.lit(self.zero).cast(self.value_type)
+
     def extra_checks(self) -> list[Column]:
         """Per-class aggregates folded into the histogram job (named columns)."""
         return []
@@ -151,9 +173,8 @@ class _Instances:
                 .agg(F.count(F.lit(1)).alias("nb"),
                      F.sum(F.when(y.isNull() | self.bad_row(), 1).otherwise(0)).alias("bad"), *extra))
         names = [c for c in hist.columns if c not in ("b", "nb", "bad")]
-        small, n, levels, rows, lv = _finish_hist(hist, names, "rows")
-        self._extra = rows
-        return Prepared(n, small, levels, lv)
+        small, n, levels, self._extra = _finish_hist(hist, names, "rows")
+        return Prepared(n, small, levels)
 
     def class_rows(self, exclude: list) -> DataFrame:
         """(feature, a, b): every non-zero cell of a candidate with the row's label."""
@@ -175,9 +196,9 @@ class _Instances:
                                         self.value_of(w).alias("__b")) for w in winners])
             base = self.rows.select(F.inline(others), *self.payload())
         if nonzero_only:
-            base = base.where(F.col("__b") != F.lit(self.zero))
+            base = base.where(F.col("__b") != self.zero_level())
         elif zero_only:
-            base = base.where(F.col("__b") == F.lit(self.zero))
+            base = base.where(F.col("__b") == self.zero_level())
         return self.explode(base, ["__other", "__b"], exclude).select(
             "feature", F.col("__other").alias("other"), "a", F.col("__b").alias("b"))
 
@@ -187,8 +208,17 @@ class _Instances:
 
 
 class WideInstances(_Instances):
-    """One column per feature.  Numeric features are compared as DOUBLE with zero cells
-    skipped; if any feature is not numeric all levels are compared as STRING (no zero)."""
+    """One column per feature, of any groupable types.
+
+    Levels keep their columns' type where all columns share it, else they are compared as
+    strings (``level_type``).  The zero rule holds per feature: cells of numeric columns that
+    are zero are skipped, other columns have no zero."""
+
+    #: Columns up to which the unpivot is an Expand inside whole-stage codegen; wider tables hold
+    #: their levels in one array from the start (null where a number is zero), which has no
+    #: width limit.  Same rows either way.
+    EXPAND_COLUMNS = 200
+    LEVELS, BAD = "__levels", "__bad"
 
     def __init__(self, df: DataFrame, label: str, features: list[str] | None = None, cache: bool = True):
         features = list(features) if features is not None else [c for c in df.columns if c != label]
@@ -198,33 +228,49 @@ class WideInstances(_Instances):
         missing = [c for c in [label, *features] if c not in types]
         if missing:
             raise ValueError(f"unknown columns {missing}")
-        numeric = all(isinstance(types[c], NUMERIC) for c in features)
-        self.value_type = T.DoubleType() if numeric else T.StringType()
-        self.zero = 0.0 if numeric else None
+        self.value_type = level_type([types[c] for c in features]) if features else T.DoubleType()
+        self.zero = zero_of(self.value_type)
         self.features = features
         self._types = types
-        super().__init__(df.select(col_of(label), *[col_of(f) for f in features]), label, cache)
+        self.in_array = len(features) > self.EXPAND_COLUMNS
+        rows = df.select(col_of(label), *[col_of(f) for f in features])
+        if self.in_array:
+            self._place = {f: i for i, f in enumerate(features)}
+            rows = df.select(col_of(label), F.array(*[self._level(f) for f in features]).alias(self.LEVELS),
+                             self._any_bad().alias(self.BAD))
+        super().__init__(rows, label, cache)
+
+    def _level(self, feature) -> Column:
+        """The level, null where a number is zero."""
+        c = level(col_of(feature), self._types[feature], self.value_type)
+        return F.when(c != self.zero_level(), c) if isinstance(self._types[feature], NUMERIC) else c
+
+    def _any_bad(self) -> Column:
+        return F.exists(F.array(*[_bad_value(col_of(f), self._types[f]) for f in self.features]), lambda x: x) \
+            if self.features else F.lit(False)
 
     def value_of(self, feature) -> Column:
-        return col_of(feature).cast(self.value_type)
+        if self.in_array:
+            return F.coalesce(F.col(self.LEVELS)[self._place[feature]], self.zero_level())
+        return level(col_of(feature), self._types[feature], self.value_type)
 
     def payload(self) -> list[Column]:
-        return [self.value_of(f).alias(f) for f in self.features]
+        return [F.col(self.LEVELS)] if self.in_array else [self._level(f).alias(f) for f in self.features]
 
     def explode(self, base, carry, exclude):
         keep = [f for f in self.features if f not in set(exclude)]
         if not keep:
             return base.select(*carry, F.lit(None).cast("string").alias("feature"),
                                F.lit(None).cast(self.value_type).alias("a")).where(F.lit(False))
-        # unpivot = Expand: stays inside whole-stage codegen with the filter and partial agg
-        out = base.unpivot(carry, [col_of(f) for f in keep], "feature", "a")
-        return out if self.zero is None else out.where(F.col("a") != F.lit(self.zero))
+        if not self.in_array:
+            return base.unpivot(carry, [col_of(f) for f in keep], "feature", "a").where(F.col("a").isNotNull())
+        names = F.array(*[F.lit(f) for f in self.features])
+        out = (base.select(*carry, F.posexplode(self.LEVELS).alias("__i", "a")).where(F.col("a").isNotNull())
+               .select(*carry, F.get(names, F.col("__i")).alias("feature"), "a"))
+        return out.where(~F.col("feature").isin(list(exclude))) if exclude else out
 
     def bad_row(self) -> Column:
-        bad = F.lit(False)
-        for f in self.features:
-            bad = bad | _bad_value(col_of(f), self._types[f])
-        return bad
+        return F.col(self.BAD) if self.in_array else self._any_bad()
 
     def feature_ids(self) -> DataFrame:
         spark = self.rows.sparkSession
@@ -232,14 +278,18 @@ class WideInstances(_Instances):
 
 
 class ArrayInstances(_Instances):
-    """One ARRAY<number> column; feature ids are the 0-based positions (INT)."""
+    """One ARRAY column; feature ids are the 0-based positions (INT).  Arrays of numbers skip
+    their zeros, arrays of other types have none."""
 
     feature_type = T.IntegerType()
 
     def __init__(self, df: DataFrame, label: str, array_col: str, cache: bool = True):
         self.array_col = array_col
-        super().__init__(df.select(col_of(label), col_of(array_col).cast("array<double>").alias(array_col)),
-                         label, cache)
+        element = df.schema[array_col].dataType.elementType
+        self.value_type = level_type([element])
+        self.zero = zero_of(self.value_type) if isinstance(element, NUMERIC) else None
+        values = F.transform(col_of(array_col), lambda x: level(x, element, self.value_type))
+        super().__init__(df.select(col_of(label), values.alias(array_col)), label, cache)
 
     def value_of(self, feature) -> Column:
         return col_of(self.array_col)[int(feature)]
@@ -248,22 +298,22 @@ class ArrayInstances(_Instances):
         return [col_of(self.array_col)]
 
     def explode(self, base, carry, exclude):
-        out = base.select(*carry, F.posexplode(col_of(self.array_col)).alias("feature", "a")).where(F.col("a") != 0.0)
+        out = base.select(*carry, F.posexplode(col_of(self.array_col)).alias("feature", "a"))
+        if self.zero is not None:
+            out = out.where(F.col("a") != self.zero_level())
         ex = [int(e) for e in exclude]
         return out.where(~F.col("feature").isin(ex)) if ex else out
 
     def bad_row(self) -> Column:
         c = col_of(self.array_col)
-        return c.isNull() | F.exists(c, lambda x: x.isNull() | F.isnan(x))
+        return c.isNull() | F.exists(c, lambda x: _bad_value(x, self.value_type))
 
     def extra_checks(self) -> list[Column]:
         return [F.min(F.size(col_of(self.array_col))).alias("lo"), F.max(F.size(col_of(self.array_col))).alias("hi")]
 
     def prepare(self, broadcast_rows: int) -> Prepared:
         p = super().prepare(broadcast_rows)
-        r = self._extra
-        lo = min((x["lo"] if "lo" in x else x["min_lo"]) for x in r) if r else 0
-        hi = max((x["hi"] if "hi" in x else x["max_hi"]) for x in r) if r else 0
+        lo, hi = self._extra["min_lo"] or 0, self._extra["max_hi"] or 0
         if lo != hi:
             raise ValueError(f"ragged rows: arrays of {lo} to {hi} values")
         self.width = int(hi or 0)
@@ -274,7 +324,8 @@ class ArrayInstances(_Instances):
 
 
 class MapInstances(_Instances):
-    """One MAP<feature, number> column holding the non-zero cells of each row.
+    """One MAP<feature, value> column holding the non-zero cells of each row; an absent
+    feature is zero (``0`` among strings).
 
     ``hash_keys=True`` aggregates string keys (tokens, names) as 64-bit hashes (``xxhash64``):
     grouping and sorting a LONG is about twice as fast as a string, which pays off on very
@@ -293,12 +344,16 @@ class MapInstances(_Instances):
         self.hash_keys = bool(hash_keys) and is_str
         self.feature_type = T.LongType() if self.hash_keys else mt.keyType
         self._names = None
-        m = F.map_filter(col_of(map_col).cast(T.MapType(mt.keyType, T.DoubleType())),
-                         lambda k, v: v.isNull() | F.isnan(v) | (v != 0.0))
+        self.value_type = level_type([mt.valueType])
+        self.zero = zero_of(self.value_type)
+        if self.zero is None:
+            raise ValueError(f"values of {mt.valueType.simpleString()} have no zero for absent features")
+        m = F.transform_values(col_of(map_col), lambda k, v: level(v, mt.valueType, self.value_type))
+        m = F.map_filter(m, lambda k, v: _bad_value(v, self.value_type) | (v != self.zero_level()))
         super().__init__(df.select(col_of(label), m.alias(map_col)), label, cache)
 
     def value_of(self, feature) -> Column:
-        return F.coalesce(col_of(self.map_col)[F.lit(feature).cast(self.name_type)], F.lit(0.0))
+        return F.coalesce(col_of(self.map_col)[F.lit(feature).cast(self.name_type)], self.zero_level())
 
     def other_id(self, name) -> Column:
         return F.xxhash64(F.lit(name).cast(self.name_type)) if self.hash_keys else super().other_id(name)
@@ -315,7 +370,7 @@ class MapInstances(_Instances):
 
     def bad_row(self) -> Column:
         c = col_of(self.map_col)
-        return c.isNull() | F.exists(F.map_values(c), lambda v: v.isNull() | F.isnan(v))
+        return c.isNull() | F.exists(F.map_values(c), lambda v: _bad_value(v, self.value_type))
 
     def prepare(self, broadcast_rows: int) -> Prepared:
         p = super().prepare(broadcast_rows)
@@ -334,36 +389,75 @@ class MapInstances(_Instances):
         return self._names if self.hash_keys else None
 
 
+class VectorInstances(MapInstances):
+    """One ML vector column, read as its (index, value) pairs; feature ids are positions (INT)."""
+
+    def __init__(self, df: DataFrame, label: str, vector_col: str, cache: bool = True):
+        v = F.unwrap_udt(col_of(vector_col))
+        sparse = v["type"] == 0
+        self._size = F.when(sparse, v["size"]).otherwise(F.size(v["values"]))
+        places = F.when(sparse, v["indices"]).otherwise(
+            F.transform(v["values"], lambda x, i: i))
+        pairs = df.select(col_of(label), F.map_from_arrays(places, v["values"]).alias("cells"), self._size.alias("width"))
+        self._widths = pairs.select("width")
+        super().__init__(pairs, label, "cells", cache)
+
+    def prepare(self, broadcast_rows: int) -> Prepared:
+        p = super().prepare(broadcast_rows)
+        lo, hi = self._widths.agg(F.min("width"), F.max("width")).first()
+        if lo != hi:
+            raise ValueError(f"ragged rows: vectors of {lo} to {hi} values")
+        self.width = int(hi or 0)
+        return p
+
+    def feature_ids(self) -> DataFrame:
+        return self.rows.sparkSession.range(self.width).select(F.col("id").cast("int").alias("feature"))
+
+
 class FeatureWise:
     """One row per feature.  ``cells(feature, pos, a)`` holds the non-zero values, ``classes``
-    is ``(pos, b)`` with one row per instance position."""
+    is ``(pos, b)`` with one row per instance position 0 ... n-1.  With ``dense`` the cells
+    ``(feature, pos, x)`` hold zeros too, which vector scores need; they are cached once,
+    partitioned by position when a position vector is too large to broadcast, and the
+    non-zero cells are read from them."""
 
-    value_type = T.DoubleType()
-    zero = 0.0
+    broadcast_rows = 1_000_000
+    winner_rows_takes_nnz = True
+    check_unique = True
+    expected_cells = None
 
     def __init__(self, cells: DataFrame, classes: DataFrame, ids: DataFrame, cache: bool = True,
-                 lengths: DataFrame | None = None, dense: DataFrame | None = None):
-        self.dense = dense            # (feature, pos, x) with zeros, for vector scores
-        self.cells_df = cells         # persisted in prepare(), once the instance count is known
+                 lengths: DataFrame | None = None, dense: bool = False, value_type: T.DataType | None = None,
+                 zero=0.0):
+        self.source = cells           # (feature, pos, a): with zeros if dense
+        self.dense = dense
+        self.cells_df = None          # non-zero cells, set in prepare()
         self._cache = cache
-        self._cached = False
+        self._held = None
         self.classes = classes
         self.ids = ids
         self.lengths = lengths
         self.feature_type = ids.schema["feature"].dataType
+        self.value_type = value_type or T.DoubleType()
+        self.zero = zero
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.source
 
     @classmethod
     def from_arrays(cls, df: DataFrame, id_col: str, values_col: str, classes: DataFrame,
                     cache: bool = True) -> "FeatureWise":
         """``df(id, values ARRAY)`` plus ``classes(pos, label)``."""
-        base = df.select(col_of(id_col).alias("feature"), col_of(values_col).cast("array<double>").alias("v"))
-        cells = (base.select("feature", F.posexplode("v").alias("pos", "a"))
-                 .where(F.col("a").isNull() | F.isnan("a") | (F.col("a") != 0.0)))
-        dense = base.select("feature", F.posexplode("v").alias("pos", "x"))
-        return cls(cells, classes, base.select("feature"), cache,
-                   lengths=base.select("feature", F.size("v").alias("len"),
-                                       F.exists("v", lambda x: x.isNull() | F.isnan(x)).alias("bad")),
-                   dense=dense)
+        element = df.schema[values_col].dataType.elementType
+        to = level_type([element])
+        base = df.select(col_of(id_col).alias("feature"),
+                         F.transform(col_of(values_col), lambda x: level(x, element, to)).alias("v"))
+        lengths = base.select("feature", F.size("v").alias("len"),
+                              F.coalesce(F.exists("v", lambda x: _bad_value(x, to)), F.lit(True)).alias("bad"))
+        return cls(base.select("feature", F.posexplode("v").alias("pos", "a"))
+                   .select("feature", F.col("pos").cast("long").alias("pos"), "a"), classes, base.select("feature"), cache,
+                   lengths=lengths, dense=True, value_type=to, zero=zero_of(to) if isinstance(element, NUMERIC) else None)
 
     @classmethod
     def from_cells(cls, cells: DataFrame, classes: DataFrame, feature: str = "feature", pos: str = "pos",
@@ -371,123 +465,139 @@ class FeatureWise:
                    dense: bool = False, check_unique: bool = True) -> "FeatureWise":
         """Long cells.  ``dense=True`` says every (feature, position) cell is present, zeros
         included, which vector scores need."""
+        kind = cells.schema[value].dataType
+        to = level_type([kind])
         c = cells.select(col_of(feature).alias("feature"), col_of(pos).cast("long").alias("pos"),
-                         col_of(value).cast("double").alias("a"))
-        d = c.select("feature", "pos", F.col("a").alias("x")) if dense else None
-        c = c.where(F.col("a").isNull() | F.isnan("a") | (F.col("a") != 0.0))
-        if ids is None:
-            ids = c.select("feature").distinct()
-        out = cls(c, classes, ids, cache, dense=d)
+                         level(col_of(value), kind, to).alias("a"))
+        out = cls(c, classes, ids if ids is not None else c.select("feature").distinct(), cache, dense=dense,
+                  value_type=to, zero=zero_of(to))
         out.check_unique = check_unique
         return out
 
-    def vector_terms(self, winners: list | None, terms: dict, exclude: list | None = None) -> DataFrame:
-        """Aggregates ``fn(x, y)`` over aligned positions: against the class (``winners=None``)
-        or against each winner's vector; one equi-join on ``pos`` per vector."""
-        if self.dense is None:
-            raise ValueError("vector scores need dense feature vectors (from_arrays or dense=True)")
-        d = self.dense
-        if exclude:
-            d = d.where(~F.col("feature").isin(list(exclude)))
-        aggs = [fn.fn(F.col("x"), F.col("y")).alias(k) for k, fn in terms.items()]
-        if winners is None:
-            y = self._class.select("pos", F.col("b").cast("double").alias("y"))
-            return d.join(hinted(y, self._n, self.broadcast_rows, "shuffle_hash"), "pos").groupBy("feature").agg(*aggs)
-        parts = []
-        for w in winners:
-            y = (self.dense.where(F.col("feature") == F.lit(w).cast(self.feature_type))
-                 .select("pos", F.col("x").alias("y")))
-            parts.append(d.join(hinted(y, self._n, self.broadcast_rows, "shuffle_hash"), "pos")
-                         .groupBy("feature").agg(*aggs)
-                         .withColumn("other", F.lit(w).cast(self.feature_type)))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    def zero_level(self) -> Column:
+        return F.lit(self.zero).cast(self.value_type)
 
     def prepare(self, broadcast_rows: int) -> Prepared:
         cl = self.classes.select(F.col("pos").cast("long").alias("pos"), F.col("b"))
         hist = (cl.groupBy("b").agg(F.count(F.lit(1)).alias("nb"),
                                     F.sum(F.when(_bad_value(F.col("b"), cl.schema["b"].dataType)
                                                  | F.col("pos").isNull(), 1).otherwise(0)).alias("bad")))
-        small, n, levels, _, lv = _finish_hist(hist, [], "class positions")
-        row = {"levels": levels}
-        npos = cl.agg(F.count_distinct("pos").alias("d")).first()
-        if npos["d"] != n:
+        small, n, levels, _ = _finish_hist(hist, [], "class positions")
+        at = cl.agg(F.count_distinct("pos").alias("d"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
+        if at["d"] != n:
             raise ValueError("class vector has repeated positions")
-        # one job: duplicate ids, wrong lengths, null / NaN values, positions out of range
+        if n and (at["lo"], at["hi"]) != (0, n - 1):
+            raise ValueError(f"class positions run from {at['lo']} to {at['hi']}, not from 0 to {n - 1}")
+        held = self.source
+        if not self.dense and self.zero is not None:
+            held = held.where(_bad_value(F.col("a"), self.value_type) | (F.col("a") != self.zero_level()))
+        if self._cache and self._held is None:
+            if n > self.broadcast_rows:
+                # position vectors too large to broadcast: co-locate the cells by position once,
+                # so every later join on pos shuffles only the (small) vector side
+                held = held.repartition("pos")
+            self._held = held = held.persist(StorageLevel.MEMORY_AND_DISK)
+        self._dense = held if self.dense else None
+        # one job on the held cells: duplicate ids, wrong lengths, null / NaN values, positions out of range
         if self.lengths is not None:
-            chk = self.lengths.groupBy("feature").agg(F.count(F.lit(1)).alias("k"),
-                                                      F.max("len").alias("len"),
+            chk = self.lengths.groupBy("feature").agg(F.count(F.lit(1)).alias("k"), F.max("len").alias("len"),
                                                       F.max(F.col("bad").cast("int")).alias("bad"))
             r = chk.agg(F.max("k").alias("dup"), F.sum(F.when(F.col("len") != n, 1).otherwise(0)).alias("badlen"),
                         F.sum("bad").alias("bad")).first()
             if r["dup"] is not None and r["dup"] > 1:
                 raise ValueError("Multiple features with the same ID")
-            if r["badlen"]:
-                raise ValueError(f"{r['badlen']} feature vectors do not have the class vector's length {n}")
             if r["bad"]:
                 raise ValueError(f"{r['bad']} features hold a null or NaN value")
+            if r["badlen"]:
+                raise ValueError(f"{r['badlen']} feature vectors do not have the class vector's length {n}")
         else:
-            r = self.cells_df.agg(
-                F.sum(F.when(F.col("a").isNull() | F.isnan("a"), 1).otherwise(0)).alias("bad"),
-                F.count(F.lit(1)).alias("cells"),
-            ).first()
+            bad = _bad_value(F.col("a"), self.value_type) | F.col("pos").isNull()
+            r = held.agg(F.sum(F.when(bad, 1).otherwise(0)).alias("bad")).first()
             if r["bad"]:
                 raise ValueError(f"{r['bad']} cells hold a null or NaN value")
-            # every cell must meet a class position: checked after the relevance pass, which
-            # counts the cells that joined (no extra pass here)
-            self.expected_cells = int(r["cells"])
             if self.check_unique:
-                # a full shuffle of the cells: skip with check_unique=False for trusted input
-                dup = self.cells_df.groupBy("feature", "pos").count().where("count > 1").limit(1).count()
-                if dup:
+                # a shuffle of the cells unless they are held by position; skip it with
+                # check_unique=False for trusted input
+                if held.groupBy("pos", "feature").count().where("count > 1").limit(1).count():
                     raise ValueError("Multiple features with the same ID")
+        self.cells_df = held.where(F.col("a") != self.zero_level()) if self.dense and self.zero is not None else held
+        if self.lengths is None:
+            # every cell must meet a class position: checked after the relevance pass, which
+            # counts the cells that joined (no extra pass over the join here)
+            self.expected_cells = self.cells_df.count()
         self._n = n
         self._class = cl
-        if self._cache and not self._cached:
-            if n > self.broadcast_rows:
-                # position vectors too large to broadcast: co-locate the cells by position once,
-                # so every later join on pos shuffles only the (small) vector side
-                self.cells_df = self.cells_df.repartition("pos")
-            self.cells_df = self.cells_df.persist(StorageLevel.MEMORY_AND_DISK)
-            self._cached = True
-        return Prepared(n, small, int(row["levels"]), lv)
+        return Prepared(n, small, levels)
+
+    def _candidates(self, cells: DataFrame, exclude: list | None) -> DataFrame:
+        return cells.where(~F.col("feature").isin(list(exclude))) if exclude else cells
+
+    def _by_position(self, cells: DataFrame, features: list) -> DataFrame:
+        """``(pos, m)``: the given features' values at each position as a map, read in one scan."""
+        return (cells.where(F.col("feature").isin(list(features))).groupBy("pos")
+                .agg(F.map_from_entries(F.collect_list(F.struct("feature", "a"))).alias("m")))
 
     def class_rows(self, exclude: list) -> DataFrame:
-        c = self.cells_df if not exclude else self.cells_df.where(~F.col("feature").isin(list(exclude)))
         # every position has a class: inner equi-join; the class side is broadcast only below the bound
-        return c.join(hinted(self._class, self._n, self.broadcast_rows, "shuffle_hash"), "pos").select("feature", "a", "b")
+        return (self._candidates(self.cells_df, exclude)
+                .join(hinted(self._class, self._n, self.broadcast_rows, "shuffle_hash"), "pos").select("feature", "a", "b"))
 
     def winner_rows(self, winners: list, exclude: list, nnz: dict | None = None,
                     nonzero_only: bool = False, zero_only: bool = False) -> DataFrame:
-        c = self.cells_df if not exclude else self.cells_df.where(~F.col("feature").isin(list(exclude)))
-        how = "inner" if nonzero_only else "left_anti" if zero_only else "left"
-        parts = []
-        for w in winners:
-            wv = (self.cells_df.where(F.col("feature") == F.lit(w).cast(self.feature_type))
-                  .select("pos", F.col("a").alias("b")))
-            rows = (nnz or {}).get(w)
-            j = c.join(hinted(wv, rows, self.broadcast_rows, "shuffle_hash"), "pos", how)
-            b = F.lit(0.0) if zero_only else F.coalesce(F.col("b"), F.lit(0.0))
-            parts.append(j.select("feature", F.lit(w).cast(self.feature_type).alias("other"), "a", b.alias("b")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        """(feature, other, a, b): all winners' values meet the candidates in one join on position."""
+        by_pos = self._by_position(self.cells_df, winners)
+        rows = min(self._n, sum(int(x) for x in (nnz or {}).values())) if nnz else None
+        c = self._candidates(self.cells_df, exclude)
+        j = c.join(hinted(by_pos, rows, self.broadcast_rows, "shuffle_hash"), "pos", "inner" if nonzero_only else "left")
+        if nonzero_only:
+            return j.select("feature", "a", F.explode("m").alias("other", "b")).select("feature", "other", "a", "b")
+        each = F.explode(F.array(*[F.lit(w).cast(self.feature_type) for w in winners]))
+        j = j.select("feature", "a", "m", each.alias("other")).select("feature", "other", "a", F.col("m")[F.col("other")].alias("b"))
+        if zero_only:
+            j = j.where(F.col("b").isNull())
+        if self.zero is None:
+            return j
+        return j.withColumn("b", F.coalesce("b", self.zero_level()))
+
+    def _vectors(self) -> DataFrame:
+        if self._dense is None:
+            raise ValueError("vector scores need dense feature vectors (from_arrays or dense=True)")
+        return self._dense
 
-    broadcast_rows = 1_000_000
-    winner_rows_takes_nnz = True
-    check_unique = True
-    expected_cells = None
+    def _class_values(self) -> DataFrame:
+        numeric = isinstance(self._class.schema["b"].dataType, NUMERIC)
+        return self._class.select("pos", (F.col("b").cast("double") if numeric else F.col("b")).alias("y"))
+
+    def vector_terms(self, winners: list | None, terms: dict, exclude: list | None = None) -> DataFrame:
+        """Aggregates ``fn(x, y)`` over aligned positions: against the class (``winners=None``)
+        or against each winner's vector; one equi-join on ``pos`` for all winners."""
+        d = self._candidates(self._vectors(), exclude)
+        aggs = [fn.fn(F.col("a"), F.col("y")).alias(k) for k, fn in terms.items()]
+        if winners is None:
+            y = hinted(self._class_values(), self._n, self.broadcast_rows, "shuffle_hash")
+            return d.join(y, "pos").groupBy("feature").agg(*aggs)
+        by_pos = hinted(self._by_position(self._vectors(), winners), self._n, self.broadcast_rows, "shuffle_hash")
+        return (d.join(by_pos, "pos").select("feature", "a", F.explode("m").alias("other", "y"))
+                .groupBy("feature", "other").agg(*aggs))
+
+    def joint_terms(self, selected: list, terms: dict) -> DataFrame:
+        """Aggregates ``fn(x, y, s)`` over aligned positions: the candidate's value, the class and
+        the list of the selected features' values, in selection order."""
+        d = self._candidates(self._vectors(), selected)
+        side = self._class_values()
+        if selected:
+            side = side.join(self._by_position(self._vectors(), selected), "pos")
+        j = d.join(hinted(side, self._n, self.broadcast_rows, "shuffle_hash"), "pos")
+        s = [F.col("m")[F.lit(w).cast(self.feature_type)] for w in selected]
+        return j.groupBy("feature").agg(*[fn.fn(F.col("a"), F.col("y"), s).alias(k) for k, fn in terms.items()])
 
     def feature_ids(self) -> DataFrame:
         return self.ids
 
     def unpersist(self) -> None:
-        if self._cached:
-            self.cells_df.unpersist()
-            self._cached = False
+        if self._held is not None:
+            self._held.unpersist()
+            self._held = None
 
 
 def to_cells(df: DataFrame, row_id: str, features: list[str] | None = None, array_col: str | None = None,
@@ -507,7 +617,7 @@ def to_cells(df: DataFrame, row_id: str, features: list[str] | None = None, arra
 
 def layout_for(df: DataFrame, label: str, features: str | list[str] | None = None, **kw):
     """Pick the instance-wise layout from the schema: an ARRAY column -> ``ArrayInstances``,
-    a MAP column -> ``MapInstances``, an ML vector column -> its array form, a list of
+    a MAP column -> ``MapInstances``, an ML vector column -> ``VectorInstances``, a list of
     columns (or None: every other column) -> ``WideInstances``."""
     if isinstance(features, str):
         dt = df.schema[features].dataType
@@ -516,7 +626,6 @@ def layout_for(df: DataFrame, label: str, features: str | list[str] | None = Non
         if isinstance(dt, T.MapType):
             return MapInstances(df, label, features, **kw)
         if dt.typeName() == "vector" or dt.simpleString() == "vector":
-            from pyspark.ml.functions import vector_to_array
-            return ArrayInstances(df.withColumn(features, vector_to_array(F.col(features))), label, features, **kw)
+            return VectorInstances(df, label, features, **kw)
         features = [features]
     return WideInstances(df, label, features, **kw)

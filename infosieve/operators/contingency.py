@@ -6,19 +6,27 @@ map-side (partial HashAggregate) and shuffles only the combined counts, so a hot
 class costs one row per partition, not one per cell.
 
 The zero row of a table (candidate = 0) is recovered from the other variable's histogram
-``nb`` (zero level included): ``n_0b = nb - sum_a n_ab``; a negative remainder raises
-"Marginal sum greater than total".  The other variable's levels are few and their count is
-checked, so they travel as a literal array (like a broadcast), never as a cross join.
+``nb`` (zero level included): ``n_0b = nb - sum_a n_ab``; a negative remainder raises an
+error.  A table meets the levels of its other variable by an equi-join, whatever their number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHORT = "Marginal sum greater than total"
 
 
+def hinted(df: DataFrame, rows: int | None, bound: int, otherwise: str | None = None) -> DataFrame:
+    """Broadcast ``df`` only when its row count is known and within ``bound``; else apply the
+    ``otherwise`` join hint (e.g. ``shuffle_hash``: build a hash table of this, the smaller,
+    side per partition instead of sorting the big side)."""
+    if rows is not None and rows <= bound:
+        return F.broadcast(df)
+    return df.hint(otherwise) if otherwise else df
+
+
 def count_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows(keys..., a, b)`` -> ``(keys..., a, b, n)``."""
     return rows.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -65,54 +73,41 @@ def marginals(pairs: DataFrame, keys: list[str], side: str = "a") -> DataFrame:
     return pairs.groupBy(*keys, side).agg(F.sum("n").alias("n"))
 
 
-def level_column(hist_rows: list, has_other: bool) -> Column:
-    """Literal level list(s) of a counted histogram: ARRAY<STRUCT<b, nb>>, per ``other`` if keyed."""
-    return _levels_by_other(hist_rows, has_other)
-
+#: Levels of one other variable that a candidate meets in one row of the grid's join.
+GRID_LEVELS = 1000
+#: Counted levels up to which a histogram is broadcast to the grid's join.
+BROADCAST_LEVELS = 100_000
 
-def _level_array(levels: list) -> Column:
-    """Literal ARRAY<STRUCT<b, nb>> of a small, counted histogram."""
-    return F.array(*[F.struct(F.lit(b).alias("b"), F.lit(int(nb)).cast("long").alias("nb")) for b, nb in levels])
 
+def level_grid(tables: DataFrame, hist: DataFrame, hist_keys: list[str]) -> DataFrame:
+    """Every table row of ``tables`` with every level of its other variable.
 
-def _levels_by_other(hist_rows: list, has_other: bool):
-    if not has_other:
-        return _level_array([(r["b"], r["nb"]) for r in hist_rows])
-    by = {}
-    for r in hist_rows:
-        by.setdefault(r["other"], []).append((r["b"], r["nb"]))
-    expr = None
-    for o, lv in by.items():
-        cond = F.col("other") == F.lit(o)
-        expr = F.when(cond, _level_array(lv)) if expr is None else expr.when(cond, _level_array(lv))
-    return expr
-
-
-def collect_levels(hist: DataFrame, bound: int) -> list:
-    """Bring a histogram to the driver only after checking its size."""
-    rows = hist.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"the other variable has more than {bound} levels; raise level_bound "
-                         "or use a mutual-information score")
-    return rows
+    Histograms with ``hist_keys`` are joined on them.  The class histogram has no key: its
+    levels are hashed to buckets of about ``GRID_LEVELS`` levels and the tables visit the
+    buckets, so the grid, which the zero row is by definition, is dealt out by an equi-join
+    whatever the number of levels.
+    """
+    if hist_keys:
+        return tables.join(hist, hist_keys)
+    levels = hist.count()
+    buckets = -(-max(1, levels) // GRID_LEVELS)
+    dealt = hist.withColumn("_bucket", F.pmod(F.xxhash64("b"), F.lit(buckets)).cast("int"))
+    visits = tables.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return visits.join(hinted(dealt, levels, BROADCAST_LEVELS), "_bucket").drop("_bucket")
 
 
-def zero_row(pairs: DataFrame, hist_rows: list, n_total: int, keys: list[str], zero=0.0) -> DataFrame:
+def zero_row(pairs: DataFrame, hist: DataFrame, keys: list[str], zero=0.0, hist_keys: list[str] | None = None) -> DataFrame:
     """The explicit zero-candidate cells ``(keys..., a=0, b, n)`` with ``n > 0`` of every table."""
-    has_other = "other" in keys
-    t = pairs.groupBy(*keys, "b").agg(F.sum("n").alias("t"))
-    seen = t.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("b", "t"))).alias("seen"))
-    lv = _levels_by_other(hist_rows, has_other)
-    cells = seen.select(*keys, F.inline(F.transform(lv, lambda e: F.named_struct(
-        F.lit("b"), e["b"], F.lit("nb"), e["nb"],
-        F.lit("t"), F.coalesce(F.col("seen")[e["b"]], F.lit(0))))))
+    met = pairs.groupBy(*keys, "b").agg(F.sum("n").alias("t"))
+    cells = level_grid(met.select(*keys).distinct(), hist, list(hist_keys or [])).join(met, [*keys, "b"], "left")
+    t = F.coalesce("t", F.lit(0))
     return (cells.select(*keys, F.lit(zero).cast(pairs.schema["a"].dataType).alias("a"), "b",
-                         F.when(F.col("nb") < F.col("t"), F.raise_error(F.lit(SHORT)))
-                         .otherwise(F.col("nb") - F.col("t")).cast("long").alias("n"))
+                         F.when(F.col("nb") < t, F.raise_error(F.lit(SHORT))).otherwise(F.col("nb") - t)
+                         .cast("long").alias("n"))
             .where(F.col("n") > 0))
 
 
-def full_table(pairs: DataFrame, hist_rows: list, n_total: int, keys: list[str], zero=0.0) -> DataFrame:
+def full_table(pairs: DataFrame, hist: DataFrame, keys: list[str], zero=0.0, hist_keys: list[str] | None = None) -> DataFrame:
     """Counted cells plus the recovered zero row: the whole table ``(keys..., a, b, n)``, n > 0."""
     counted = pairs.select(*keys, "a", "b", F.col("n").cast("long").alias("n"))
-    return counted.unionByName(zero_row(pairs, hist_rows, n_total, keys, zero))
+    return counted.unionByName(zero_row(pairs, hist, keys, zero, hist_keys))

@@ -5,169 +5,87 @@ instances in which the candidate takes the **non-zero** level ``a`` and the othe
 (the class or a selected feature) takes level ``b`` (zero allowed).  Instances where the
 candidate is zero are never counted; they are recovered from the other variable's full
 histogram ``hist(b, nb)`` (zero level included) and the instance count ``N``: the zero
-cell of level b is nb - t_b with t_b = sum_a n_ab, the zero marginal is N - n_f.  No cross
-join and no materialised zero cell is needed.
+cell of level b is nb - t_b with t_b = sum_a n_ab, the zero marginal is N - n_f.  No
+materialised zero cell is needed.
+
+One plan serves every size: the counts are summed by cell, by candidate level and by other
+level in one pass of grouping sets, and a candidate's sums are partial aggregates too, so
+no task ever holds a whole table, however many levels it has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.entropy import xlog2x
+from .contingency import SHORT, hinted, level_grid
 
 # grouping_id() values for grouping sets over (keys..., a, b): bit 1 = a rolled up, bit 0 = b
 _GID_AB, _GID_A, _GID_B, _GID_F = 0, 1, 2, 3
 
 
-def hinted(df: DataFrame, rows: int | None, bound: int, otherwise: str | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its row count is known and within ``bound``; else apply the
-    ``otherwise`` join hint (e.g. ``shuffle_hash``: build a hash table of this, the smaller,
-    side per partition instead of sorting the big side)."""
-    if rows is not None and rows <= bound:
-        return F.broadcast(df)
-    return df.hint(otherwise) if otherwise else df
-
-
-def mi_from_pairs(pairs: DataFrame, hist: DataFrame | Column, n_total: int, keys: list[str],
+def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[str],
                   hist_keys: list[str] | None = None, hist_rows: int | None = None,
-                  broadcast_rows: int = 1_000_000, cell_terms: dict | None = None,
-                  levels: Column | None = None, split_tables: bool = False) -> DataFrame:
-    """Return ``(keys..., mi, nnz, n_levels, <cell terms>...)``.
-
-    ``cell_terms`` maps names to ``fn(n, na, nb, N) -> Column``; each is summed over all
-    non-zero cells of every complete table (zero row included) in the same pass.  Their
-    zero-row cells at levels the candidate never meets need the other variable's level
-    list: ``levels`` is an ARRAY<STRUCT<b, nb>> Column (a literal of a counted histogram).
+                  broadcast_rows: int = 1_000_000, cell_terms: dict | None = None) -> DataFrame:
+    """Return ``(keys..., mi, nnz, n_levels, lo, <cell terms>...)``.
 
     ``hist`` has columns ``(hist_keys..., b, nb)``; ``hist_keys`` is a subset of ``keys`` that
-    names which other variable a histogram row belongs to (empty for the class).  When the
-    histogram is small and already known on the driver it can instead be a Column that
-    computes ``nb`` from ``b`` (and ``other``) with literals: no join, no broadcast job.
+    names which other variable a histogram row belongs to (empty for the class).
     ``nnz`` is the candidate's number of non-zero cells, ``n_levels`` its non-zero levels and
     ``lo`` its smallest non-zero level (the level itself when there is only one).
 
-    Each cell contributes n log2(n N / (na nb)) (the well-conditioned form: near-independent
-    tables sum small terms instead of cancelling large entropies).  The zero row is added
-    per seen level b as m log2(m N / (n0 nb)) with m = nb - t_b, n0 = N - n_f, and for all
-    levels the candidate never meets at once as (N - sum of seen nb) log2(N / n0).  The
-    pair counts are re-partitioned by the table key once; the three window sums and the
-    final aggregation then run inside that partitioning (no further exchange).
-
-    ``split_tables=True`` never puts one candidate's table in one task: marginals come from
-    grouped sums joined back on (candidate, level) and (candidate), so a candidate with
-    millions of levels (an id-like column) is spread like any other key.  It costs a few
-    more exchanges of the aggregated tables; the selection loop picks it by a size rule.
+    With h(x) = x log2 x, m_b = nb - t_b and n0 = N - nnz, N times the information is
+
+        sum h(n_ab) - sum h(n_a) - sum t_b log2 nb + nnz log2 N
+        + sum (h(m_b) - m_b log2 nb) + n0 log2(N / n0)
+
+    where b runs over the levels the candidate meets; the last term also covers the levels it
+    never meets.  Every sum belongs to one grouping set.  ``pairs`` should be materialised: it
+    is read once here and once more for ``cell_terms``.
+
+    ``cell_terms`` maps names to ``fn(n, na, nb, N) -> Column``; each is summed over all
+    non-zero cells of every complete table (zero row included).
     """
     hist_keys = list(hist_keys or [])
-    if isinstance(hist, Column):
-        with_nb = pairs.withColumn("nb", hist.cast("double"))
-    else:
-        h = hist.select(*hist_keys, "b", F.col("nb").cast("double").alias("nb"))
-        with_nb = pairs.join(hinted(h, hist_rows, broadcast_rows), hist_keys + ["b"], "left")
-    if split_tables:
-        return _mi_split(with_nb, n_total, keys, dict(cell_terms or {}), levels)
-    # partition by the candidate alone: it satisfies every later grouping (all contain it),
-    # even when Catalyst folds a constant "other" key away
-    p = with_nb.repartition(keys[0])
-    # the expressions are written as SQL text: one round trip to the JVM per column instead
-    # of one per operator keeps the per-iteration planning time small
-    N = repr(float(n_total))
-    k = ", ".join(f"`{c}`" for c in keys)
-    whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
-    p = p.selectExpr(
-        *[f"`{c}`" for c in keys], "a", "CAST(n AS DOUBLE) AS n", "nb",
-        f"CAST(sum(n) OVER (PARTITION BY {k}, a ORDER BY b {whole}) AS DOUBLE) AS na",
-        f"row_number() OVER (PARTITION BY {k}, a ORDER BY b) = 1 AS first_a",
-        f"CAST(sum(n) OVER (PARTITION BY {k}, b ORDER BY a {whole}) AS DOUBLE) AS tb",
-        f"row_number() OVER (PARTITION BY {k}, b ORDER BY a) = 1 AS first_b",
-        f"CAST(sum(n) OVER (PARTITION BY {k}) AS DOUBLE) AS nf")
-    cell_terms = dict(cell_terms or {})
-    aggs = [
-        F.expr(f"sum(n * log2(n * {N} / (na * nb)))").alias("s_cell"),
-        F.expr("sum(CASE WHEN first_b AND (nb IS NULL OR nb - tb < 0) "
-               "THEN CAST(raise_error('Marginal sum greater than total') AS DOUBLE) "
-               f"WHEN first_b AND nb - tb > 0 THEN (nb - tb) * log2((nb - tb) * {N} / (({N} - nf) * nb)) "
-               "ELSE 0.0 END)").alias("s_zero"),
-        F.expr("sum(CASE WHEN first_b THEN nb ELSE 0.0 END)").alias("seen"),
-        F.expr("max(nf)").alias("nnz"),
-        F.expr("sum(CAST(first_a AS BIGINT))").alias("n_levels"),
-        F.expr("min(a)").alias("lo"),
-    ]
-    Nc = F.lit(float(n_total))
-    n, nb, na, tb, nf = (F.col(c) for c in ("n", "nb", "na", "tb", "nf"))
-    n0, m = Nc - nf, nb - tb
-    for name, fn in cell_terms.items():
-        # non-zero cells + the zero cell of each seen level, minus the seen levels' share of
-        # the "every level" sum that is added per table below
-        seen_zero = F.when(F.col("first_b") & (m > 0) & (n0 > 0), fn(m, n0, nb, Nc)).otherwise(F.lit(0.0))
-        seen_full = F.when(F.col("first_b") & (nb > 0) & (n0 > 0), fn(nb, n0, nb, Nc)).otherwise(F.lit(0.0))
-        aggs.append(F.sum(fn(n, na, nb, Nc) + seen_zero - seen_full).alias("c_" + name))
-    g = p.groupBy(*keys).agg(*aggs)
-    rest = (f"CASE WHEN {N} - seen > 0 AND {N} - nnz > 0 THEN ({N} - seen) * log2({N} / ({N} - nnz)) "
-            "ELSE 0.0 END")
-    outs = _every_level_terms(cell_terms, levels, Nc, Nc - F.col("nnz"))
-    return g.select(*keys, F.expr(f"(s_cell + s_zero + {rest}) / {N}").alias("mi"),
-                    F.col("nnz").cast("long").alias("nnz"), F.col("n_levels").cast("long").alias("n_levels"),
-                    "lo", *outs)
-
-
-def _every_level_terms(cell_terms: dict, levels, Nc, g0) -> list:
-    outs = []
-    for name, fn in cell_terms.items():
-        if levels is None:
-            raise ValueError("cell terms need the other variable's levels")
-
-        def every_level(acc, e, fn=fn):
-            lv = e["nb"].cast("double")
-            return acc + F.when((lv > 0) & (g0 > 0), fn(lv, g0, lv, Nc)).otherwise(F.lit(0.0))
-        outs.append((F.col("c_" + name) + F.aggregate(levels, F.lit(0.0), _two_args(every_level))).alias(name))
-    return outs
-
-
-def _mi_split(p0: DataFrame, n_total: int, keys: list[str], cell_terms: dict, levels) -> DataFrame:
-    """``mi_from_pairs`` with grouped marginals instead of per-candidate windows."""
+    h = hist.select(*hist_keys, "b", F.col("nb").cast("double").alias("nb"))
+    with_nb = pairs.join(hinted(h, hist_rows, broadcast_rows), hist_keys + ["b"], "left")
+    cols = [*keys, "a", "b"]
+    sums = (with_nb.groupingSets([cols, [*keys, "a"], [*keys, "b"]], *cols)
+            .agg(F.sum("n").cast("double").alias("s"), F.max("nb").alias("nb"), F.grouping_id().alias("gid")))
+    # SQL text: one round trip to the JVM per column keeps the planning time of an iteration small
     N = repr(float(n_total))
-    Nc = F.lit(float(n_total))
-    p0 = p0.selectExpr(*[f"`{c}`" for c in keys], "a", "b", "CAST(n AS DOUBLE) AS n", "nb")
-    na = p0.groupBy(*keys, "a").agg(F.expr("sum(n)").alias("na"))
-    # a (candidate, level) group holds at most one row per level of the other variable
-    cells = p0.join(na, keys + ["a"])
-    n, nb, na_c = F.col("n"), F.col("nb"), F.col("na")
-    gc = cells.groupBy(*keys).agg(F.expr(f"sum(n * log2(n * {N} / (na * nb)))").alias("s_cell"),
-                                  *[F.sum(fn(n, na_c, nb, Nc)).alias("cc_" + k) for k, fn in cell_terms.items()])
-    per = na.groupBy(*keys).agg(F.expr("sum(na)").alias("nf"), F.count(F.lit(1)).alias("n_levels"),
-                                F.expr("min(a)").alias("lo"))
-    tb = p0.groupBy(*keys, "b").agg(F.expr("sum(n)").alias("tb"), F.expr("max(nb)").alias("nb"))
-    zb = tb.join(per, keys)
-    tb_c, nf = F.col("tb"), F.col("nf")
-    n0, m = Nc - nf, nb - tb_c
-    zero_terms = []
-    for k, fn in cell_terms.items():
-        seen_zero = F.when((m > 0) & (n0 > 0), fn(m, n0, nb, Nc)).otherwise(F.lit(0.0))
-        seen_full = F.when((nb > 0) & (n0 > 0), fn(nb, n0, nb, Nc)).otherwise(F.lit(0.0))
-        zero_terms.append(F.sum(seen_zero - seen_full).alias("cz_" + k))
-    gz = zb.groupBy(*keys).agg(
-        F.expr("sum(CASE WHEN nb IS NULL OR nb - tb < 0 "
-               "THEN CAST(raise_error('Marginal sum greater than total') AS DOUBLE) "
-               f"WHEN nb - tb > 0 THEN (nb - tb) * log2((nb - tb) * {N} / (({N} - nf) * nb)) "
-               "ELSE 0.0 END)").alias("s_zero"),
-        F.expr("sum(nb)").alias("seen"), F.expr("max(nf)").alias("nnz"),
-        F.expr("max(n_levels)").alias("n_levels"), F.expr("min(lo)").alias("lo"), *zero_terms)
-    g = gz.join(gc, keys).select(*keys, "s_cell", "s_zero", "seen", "nnz", "n_levels", "lo",
-                                 *[(F.col("cc_" + k) + F.col("cz_" + k)).alias("c_" + k) for k in cell_terms])
-    rest = (f"CASE WHEN {N} - seen > 0 AND {N} - nnz > 0 THEN ({N} - seen) * log2({N} / ({N} - nnz)) "
-            "ELSE 0.0 END")
-    return g.select(*keys, F.expr(f"(s_cell + s_zero + {rest}) / {N}").alias("mi"),
-                    F.col("nnz").cast("long").alias("nnz"), F.col("n_levels").cast("long").alias("n_levels"),
-                    "lo", *_every_level_terms(cell_terms, levels, Nc, Nc - F.col("nnz")))
-
-
-def _two_args(f):
-    """PySpark counts lambda parameters; hide the default-bound ones."""
-    def merge(acc, e):
-        return f(acc, e)
-    return merge
+    g = sums.groupBy(*keys).agg(
+        F.expr(f"sum(CASE WHEN gid = {_GID_AB} THEN s * log2(s) WHEN gid = {_GID_A} THEN -s * log2(s) "
+               f"WHEN nb IS NULL OR nb < s THEN CAST(raise_error('{SHORT}') AS DOUBLE) "
+               "WHEN nb > s THEN (nb - s) * log2(nb - s) - nb * log2(nb) ELSE -s * log2(nb) END)").alias("t"),
+        F.expr(f"sum(CASE WHEN gid = {_GID_AB} THEN s ELSE 0.0 END)").alias("nnz"),
+        F.expr(f"sum(CASE WHEN gid = {_GID_A} THEN 1 ELSE 0 END)").alias("n_levels"),
+        F.expr(f"min(CASE WHEN gid = {_GID_A} THEN a END)").alias("lo"))
+    rest = f"CASE WHEN {N} > nnz THEN ({N} - nnz) * log2({N} / ({N} - nnz)) ELSE 0.0 END"
+    out = g.select(*keys, F.expr(f"(t + nnz * log2({N}) + {rest}) / {N}").alias("mi"),
+                   F.col("nnz").cast("long").alias("nnz"), F.col("n_levels").cast("long").alias("n_levels"), "lo")
+    if not cell_terms:
+        return out
+    return out.join(_cell_sums(with_nb, h, n_total, keys, hist_keys, cell_terms), keys)
+
+
+def _cell_sums(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[str], hist_keys: list[str],
+               terms: dict) -> DataFrame:
+    """``keys..., <name>``: each term summed over the counted cells and over the zero row."""
+    N = F.lit(float(n_total))
+    na = pairs.groupBy(*keys, "a").agg(F.sum("n").cast("double").alias("na"))
+    n = F.col("n").cast("double")
+    counted = (pairs.join(na, [*keys, "a"])
+               .groupBy(*keys).agg(*[F.sum(fn(n, F.col("na"), F.col("nb"), N)).alias(f"c_{k}") for k, fn in terms.items()]))
+    nnz = na.groupBy(*keys).agg(F.sum("na").alias("nf"))
+    met = pairs.groupBy(*keys, "b").agg(F.sum("n").cast("double").alias("tb"))
+    grid = level_grid(nnz, hist, hist_keys).join(met, [*keys, "b"], "left")
+    n0, m = N - F.col("nf"), F.col("nb") - F.coalesce("tb", F.lit(0.0))
+    zero = grid.groupBy(*keys).agg(*[
+        F.sum(F.when((m > 0) & (n0 > 0), fn(m, n0, F.col("nb"), N)).otherwise(F.lit(0.0))).alias(f"z_{k}")
+        for k, fn in terms.items()])
+    return counted.join(zero, keys).select(*keys, *[(F.col(f"c_{k}") + F.col(f"z_{k}")).alias(k) for k in terms])
 
 
 def mi_from_full_table(table: DataFrame, keys: list[str]) -> DataFrame:

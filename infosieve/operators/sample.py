@@ -1,8 +1,18 @@
 """Bernoulli row sample (the sampling step of the synthetic-data jobs)."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+#: Hex digits of the digest that decide; 13 digits are 52 bits.
+DIGITS = 13
 
-def bernoulli_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Each row kept independently with probability ``fraction`` (no replacement)."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+
+def bernoulli_sample(df: DataFrame, fraction: float, key: str | Column, seed: int = 42) -> DataFrame:
+    """Each row kept with probability ``fraction``, decided by the digest of seed and key alone,
+    so the sample does not depend on partitioning and reruns agree (no replacement)."""
+    key = F.col(key) if isinstance(key, str) else key
+    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), 1, DIGITS)
+    if fraction >= 1:
+        return df
+    threshold = format(int(fraction * 16 ** DIGITS), f"0{DIGITS}x")
+    return df.where(digest < F.lit(threshold))

@@ -3,13 +3,17 @@
 A score turns per-candidate statistics into one number per iteration.  Statistics come as
 *terms*: every term is measured once against the class (``rel[name]``) and, in each
 iteration, against each newly selected feature; the running sums over the selected set are
-``red[name]``.  Three kinds of term exist:
+``red[name]``, ``red[name + "_max"]`` and ``red[name + "_min"]`` the largest and smallest value
+against one selected feature (0 while nothing is selected).  Four kinds of term exist:
 
 * ``"mi"``                      - mutual information in bits (sparse closed form, any layout)
 * ``CellTerm(fn)``             - ``sum over the non-zero cells of the full contingency table``
                                   of ``fn(n, na, nb, N)`` (zero cells recovered explicitly)
 * ``VectorAgg(fn)``            - an aggregate ``fn(x, y)`` over the aligned value vectors of the
                                   candidate and the other variable (feature-wise input)
+* ``JointAgg(fn)``             - an aggregate ``fn(x, y, s)`` over the aligned values of the candidate,
+                                  the class and all selected features (a list, in selection
+                                  order); measured anew in each iteration, found in ``rel``
 
 Every term is a Spark aggregate, so custom scores stay distributed and JVM-side.
 ``select_top`` / ``max_iterations`` are the selection policy hooks.
@@ -34,6 +38,11 @@ class VectorAgg:
     fn: Callable[[Column, Column], Column]
 
 
+@dataclass(frozen=True)
+class JointAgg:
+    fn: Callable[[Column, Column, list], Column]
+
+
 class Score:
     """Base class.  Override ``column``; ``terms`` defaults to mutual information only."""
 
@@ -91,7 +100,8 @@ class MIQ(Score):
         if n_selected == 0:
             return rel["mi"]
         mean = red["mi"] / F.lit(float(n_selected))
-        return F.when(mean > 0, rel["mi"] / mean).otherwise(F.lit(float("inf")))
+        return F.when(F.round(mean, 12) > 0,  # rounding noise is no redundancy
+                      rel["mi"] / mean).otherwise(F.lit(float("inf")))
 
 
 class ExprScore(Score):
@@ -150,6 +160,11 @@ def symmetric_uncertainty_mrmr() -> ExprScore:
     return ExprScore(fn, terms=entropy_terms(), name="su_mrmr", pair_values=su)
 
 
+def max_redundancy_mrmr() -> ExprScore:
+    """MI(f, class) minus the largest MI(f, s): a table score that is no sum over the selected."""
+    return ExprScore(lambda rel, red, n, i, k: rel["mi"] - red["mi_max"], name="max_redundancy")
+
+
 _REGISTRY = {
     "mrmr": MRMR, "maxrel": MaxRelevance, "miq": MIQ,
     # score class names accepted by the command-line job

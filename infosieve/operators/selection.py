@@ -2,20 +2,22 @@
 
 Plan per run:
 
-1. one job validates the input and builds the class histogram (small ones come back to
-   the driver once and enter the MI as literals);
+1. one job validates the input and builds the class histogram;
 2. one aggregation counts the candidate x class tables (A3, checkpointed) and turns them
    into the relevance terms; the per-feature state
-   ``(feature, nnz, n_levels, lo, rel_*, red_*)`` is checkpointed to the shared folder;
+   ``(feature, nnz, n_levels, lo, rel_*, red_*, max_*, min_*)`` is checkpointed to the shared folder;
 3. each iteration takes the best ``select_top`` candidates from the state (a bounded
-   top-k, only the winners reach the driver), counts the candidate x winner tables in
-   **one** pass over the data (newest winners only: redundancy is kept as a running sum),
-   adds their terms to ``red_*`` and checkpoints the state again, so lineage stays short and
-   a lost executor only costs the current iteration.
+   top-k, only the winners reach the driver) and counts the candidate x winner tables in
+   **one** pass over the data (newest winners only: redundancy is kept as a running sum,
+   maximum and minimum).  The counts are checkpointed, so recovery and information read the
+   small counts, never the data again; the state is checkpointed too, so lineage stays
+   short and a lost executor only costs the current iteration.
 
-Plan choices made by size rules (results never depend on them): pair a winner on its
-support or on its zero rows only (``sparse_winners``), and compute the MI of big candidate
-tables with grouped marginals instead of per-candidate windows (``split_tables``).
+A winner is paired on its support or on its zero rows only (``sparse_winners``) where that
+reads fewer cells; results never depend on it.
+
+``select_top`` is cut to the features still missing from ``k``, so exactly ``k`` features are
+returned where enough candidates exist.
 
 Ties are broken deterministically: ``round(score, 12)`` descending, then feature id ascending
 (the user's key when keys are hashed).
@@ -31,10 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .contingency import (collect_levels, count_pairs, level_column, marginals, recover_missing_cells,
-                          recover_zero_other)
+from .contingency import count_pairs, marginals, recover_missing_cells, recover_zero_other
 from .information import mi_from_pairs
-from .scores import CellTerm, Score, VectorAgg, get_score
+from .scores import CellTerm, JointAgg, Score, VectorAgg, get_score
 
 
 log = logging.getLogger("infosieve.selection")
@@ -69,9 +70,8 @@ class Selector:
     """Run a selection over a layout; ``run()`` returns ``(rank, feature, score)``."""
 
     def __init__(self, layout, k: int, score="mrmr", broadcast_rows: int = 1_000_000,
-                 level_bound: int = 100_000, all_zero: str = "drop", release_input: bool = True,
-                 sparse_winners="auto", checkpoint_every: int = 1, split_tables="auto",
-                 skew_rows: int = 2_000_000):
+                 all_zero: str = "drop", release_input: bool = True,
+                 sparse_winners="auto", checkpoint_every: int = 1):
         if k < 0:
             raise ValueError("k must be >= 0")
         if all_zero not in ("drop", "keep"):
@@ -80,7 +80,6 @@ class Selector:
         self.k = int(k)
         self.score: Score = get_score(score)
         self.broadcast_rows = broadcast_rows
-        self.level_bound = level_bound
         self.all_zero = all_zero
         self.release_input = release_input
         if sparse_winners not in ("auto", True, False, "zero_rows"):
@@ -89,36 +88,25 @@ class Selector:
         if checkpoint_every < 1:
             raise ValueError("checkpoint_every must be >= 1")
         self.checkpoint_every = checkpoint_every
-        if split_tables not in ("auto", True, False):
-            raise ValueError("split_tables must be 'auto', True or False")
-        self.split_tables = split_tables
-        self.skew_rows = skew_rows
         layout.broadcast_rows = broadcast_rows
         self.terms = dict(self.score.terms)
         self.mi = any(v == "mi" for v in self.terms.values())
         self.cells = {k_: v for k_, v in self.terms.items() if isinstance(v, CellTerm)}
         self.vectors = {k_: v for k_, v in self.terms.items() if isinstance(v, VectorAgg)}
-        if self.vectors and not hasattr(layout, "vector_terms"):
+        self.joints = {k_: v for k_, v in self.terms.items() if isinstance(v, JointAgg)}
+        self.summed = [k_ for k_ in self.terms if k_ not in self.joints]
+        if (self.vectors or self.joints) and not hasattr(layout, "vector_terms"):
             raise ValueError("vector scores need feature-wise input with dense value arrays")
 
     # ------------------------------------------------------------------------------------
     _selected: list = []
 
-    def _raw_terms(self, pairs: DataFrame, keys: list, hist, hist_keys: list,
-                   hist_rows: int, winners: list | None, split: bool = False,
-                   level_rows: list | None = None) -> DataFrame:
+    def _raw_terms(self, pairs: DataFrame, keys: list, hist: DataFrame, hist_keys: list,
+                   hist_rows: int, winners: list | None) -> DataFrame:
         """Per (keys) table: every raw term of the score as a column ``t_<name>``.  MI and cell
-        terms come from one pass over the pair counts; vector terms from the value vectors.
-        ``hist`` is a histogram DataFrame or a literal ``nb`` Column (then ``level_rows`` lists
-        the same levels as dicts)."""
-        levels = None
-        if self.cells:
-            rows = level_rows if level_rows is not None else \
-                collect_levels(hist.select(*hist_keys, "b", "nb"), self.level_bound)
-            levels = level_column(rows, bool(hist_keys))
+        terms come from the pair counts; vector terms from the value vectors."""
         out = mi_from_pairs(pairs, hist, self.n, keys, hist_keys, hist_rows, self.broadcast_rows,
-                            cell_terms={k_: v.fn for k_, v in self.cells.items()}, levels=levels,
-                            split_tables=split)
+                            cell_terms={k_: v.fn for k_, v in self.cells.items()})
         out = out.select(*keys, "nnz", "n_levels", "lo", *([F.col("mi").alias("t_mi")] if self.mi else []),
                          *[F.col(k_).alias("t_" + k_) for k_ in self.cells])
         if self.vectors:
@@ -127,6 +115,14 @@ class Selector:
             out = out.join(vs, keys, "full")
         return out
 
+    def _with_joints(self, state: DataFrame) -> DataFrame:
+        """``state`` with the joint terms of the present selection as ``rel_<name>``."""
+        if not self.joints:
+            return state
+        got = self.layout.joint_terms(list(self._selected), self.joints)
+        got = got.select("feature", *[F.col(k_).alias("rel_" + k_) for k_ in self.joints])
+        return state.drop(*["rel_" + k_ for k_ in self.joints]).join(got, "feature", "left")
+
     _sizes = None
 
     def _state_sizes(self, state: DataFrame):
@@ -147,14 +143,8 @@ class Selector:
             return cells * support_rows / max(self.n, 1) + 4.0 * marg_rows < 0.5 * cells
         return bool(self.sparse_winners)
 
-    def _split(self, largest_table_rows) -> bool:
-        """Skew rule: a candidate table above ``skew_rows`` rows is never handled by one task."""
-        if self.split_tables is True or self.split_tables is False:
-            return self.split_tables
-        return largest_table_rows() > self.skew_rows
-
     def _pair_values(self, raw: DataFrame) -> dict:
-        return self.score.pair_values({k_: F.coalesce(F.col("t_" + k_), F.lit(0.0)) for k_ in self.terms})
+        return self.score.pair_values({k_: F.coalesce(F.col("t_" + k_), F.lit(0.0)) for k_ in self.summed})
 
     # ------------------------------------------------------------------------------------
     def run(self) -> DataFrame:
@@ -169,7 +159,7 @@ class Selector:
 
     def _run(self) -> DataFrame:
         lay = self.layout
-        spark = (lay.rows if hasattr(lay, "rows") else lay.cells_df).sparkSession
+        spark = lay.rows.sparkSession
         clock = _Clock()
         prep = lay.prepare(self.broadcast_rows)
         self.n = prep.n
@@ -180,6 +170,8 @@ class Selector:
         out_type = lay.name_type if names_df is not None else ftype
         schema = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("feature", out_type),
                                T.StructField("score", T.DoubleType())])
+        if self.all_zero == "keep" and (names_df is not None or lay.feature_ids() is None):
+            raise ValueError("all_zero='keep' needs a layout that knows its features (columns, arrays, vectors, ids)")
         if self.k == 0 or self.n == 0:
             return spark.createDataFrame([], schema)
 
@@ -188,20 +180,7 @@ class Selector:
         # cached plan keeps spark.sql.shuffle.partitions of them; it is read by the relevance
         # pass, the winners' histograms and the sparse-winner recovery
         ct = count_pairs(lay.class_rows([]), ["feature"]).checkpoint(eager=True)
-        def largest_class_table() -> int:
-            total = ct.count()                  # a scan of the checkpoint, no shuffle
-            if total <= self.skew_rows:
-                return total                    # no single table can be larger
-            return ct.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
-        split = self._split(largest_class_table)
-        class_nb = prep.hist
-        if prep.levels is not None:
-            # the class histogram is already on the driver: nb as a literal map lookup
-            btype = prep.hist.schema["b"].dataType
-            pairs_lit = [x for b, nb in prep.levels if b is not None for x in (F.lit(b).cast(btype), F.lit(nb))]
-            class_nb = F.create_map(*pairs_lit)[F.col("b")] if pairs_lit else F.lit(None)
-        class_rows = None if prep.levels is None else [{"b": b, "nb": nb} for b, nb in prep.levels]
-        raw = self._raw_terms(ct, ["feature"], class_nb, [], prep.n_classes, None, split, class_rows)
+        raw = self._raw_terms(ct, ["feature"], prep.hist, [], prep.n_classes, None)
         rel = self._pair_values(raw)
         names = list(rel)
         state = raw.select("feature", F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"),
@@ -209,9 +188,9 @@ class Selector:
                            "lo",
                            *[rel[c].alias("rel_" + c) for c in names],
                            *[F.lit(0.0).alias("red_" + c) for c in names])
-        if self.all_zero == "keep" and lay.feature_ids() is not None and names_df is None:
+        if self.all_zero == "keep":
             ids = lay.feature_ids().select(F.col("feature").cast(ftype).alias("feature"))
-            zero_rel = self.score.pair_values({k_: F.lit(0.0) for k_ in self.terms})
+            zero_rel = self.score.pair_values({k_: F.lit(0.0) for k_ in self.summed})
             state = ids.join(state, "feature", "left").select(
                 "feature", F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"),
                 F.coalesce("n_levels", F.lit(0)).cast("long").alias("n_levels"), "lo",
@@ -221,7 +200,8 @@ class Selector:
             # internal ids are hashes: carry the user's key for reporting and tie-breaking
             state = state.join(names_df, "feature")
         name_col = "name" if names_df is not None else "feature"
-        state = state.checkpoint(eager=True)
+        state = state.select("*", *[F.lit(None).cast("double").alias(f"{e}_{c}") for e in ("max", "min") for c in names])
+        state = self._with_joints(state).checkpoint(eager=True)
         expected = getattr(lay, "expected_cells", None)
         if expected is not None:
             seen = state.agg(F.sum("nnz")).first()[0] or 0
@@ -238,8 +218,10 @@ class Selector:
             m = min(self.score.select_top(i, self.k), self.k - len(selected))
             if m <= 0:
                 break
-            sc = _clean(self.score.column({c: F.col("rel_" + c) for c in names},
-                                          {c: F.col("red_" + c) for c in names}, len(selected), i, self.k))
+            red = {c: F.col("red_" + c) for c in names}
+            red |= {f"{c}_{e}": F.coalesce(f"{e}_{c}", F.lit(0.0)) for e in ("max", "min") for c in names}
+            sc = _clean(self.score.column({c: F.col("rel_" + c) for c in [*names, *self.joints]}, red,
+                                          len(selected), i, self.k))
             cand = state.where(~F.col("feature").isin(selected)) if selected else state
             top = (cand.select("feature", F.col(name_col).alias("name"), sc.alias("score"), "nnz", "n_levels", "lo")
                    .orderBy(*_ordering(by="name")).limit(m).collect())
@@ -272,47 +254,40 @@ class Selector:
                           self._pair_on_support(sum(self.n - int(r["nnz"]) for r in top), state)))
             kw = {"nnz": {r["feature"]: r["nnz"] for r in top}} if getattr(lay, "winner_rows_takes_nnz", False) else {}
             winner_names = [r["name"] for r in top]
+            # the only pass over the data; recovery and information read these counts
             pairs = count_pairs(lay.winner_rows(winner_names, selected_names, nonzero_only=sparse,
-                                                zero_only=dense, **kw), ["feature", "other"])
+                                                zero_only=dense, **kw), ["feature", "other"]).checkpoint(eager=True)
             if sparse:
                 pairs = recover_zero_other(pairs, candidate_marginals(), winners, selected, ftype, lay.zero)
             elif dense:
                 pairs = recover_missing_cells(pairs, candidate_marginals(), winners, selected, ftype,
                                               {r["feature"]: r["lo"] for r in top})
-            if lay.zero is not None and all(int(r["n_levels"]) <= 1 for r in top):
-                # binary winners: their histograms {level: nnz, 0: N - nnz} are known from
-                # the state, so nb is a literal CASE expression (no histogram join)
-                hist, level_rows = None, []
-                for w, r in zip(winners, top):
-                    level_rows += [{"other": w, "b": b, "nb": nb} for b, nb in
-                                   ((float(lay.zero), self.n - int(r["nnz"])), (r["lo"], int(r["nnz"])))
-                                   if nb > 0 and b is not None]
-                    per = (F.when(F.col("b") == F.lit(float(lay.zero)), F.lit(self.n - int(r["nnz"])))
-                           .when(F.col("b") == F.lit(r["lo"]), F.lit(int(r["nnz"]))))
-                    cond = F.col("other") == F.lit(w).cast(ftype)
-                    hist = F.when(cond, per) if hist is None else hist.when(cond, per)
+            # histograms of the winners: their levels from the class pass, the zeros from the state
+            level_rows = T.StructType([T.StructField("other", ftype), T.StructField("b", lay.value_type),
+                                       T.StructField("nb", T.LongType())])
+            zeros = [(w, lay.zero, self.n - int(r["nnz"])) for w, r in zip(winners, top)] if lay.zero is not None else []
+            if zeros and all(int(r["n_levels"]) <= 1 for r in top):
+                # binary winners: the state knows both levels
+                zeros += [(w, r["lo"], int(r["nnz"])) for w, r in zip(winners, top) if r["lo"] is not None]
+                hist = spark.createDataFrame([z for z in zeros if z[2] > 0], level_rows)
             else:
-                level_rows = None
                 hist = (candidate_marginals().where(F.col("feature").isin(winners))
                         .select(F.col("feature").alias("other"), F.col("a").alias("b"), F.col("n").alias("nb")))
-                if lay.zero is not None:
-                    zrows = [(w, float(lay.zero), self.n - int(r["nnz"])) for w, r in zip(winners, top)]
-                    zdf = spark.createDataFrame(zrows, T.StructType([
-                        T.StructField("other", ftype), T.StructField("b", T.DoubleType()),
-                        T.StructField("nb", T.LongType())]))
-                    hist = hist.unionByName(zdf).where(F.col("nb") > 0)
+                if zeros:
+                    hist = hist.unionByName(spark.createDataFrame(zeros, level_rows)).where(F.col("nb") > 0)
             hist_rows = sum(int(r["n_levels"]) for r in top) + len(top)
-            # rows of one candidate x winner table <= levels(candidate) x (levels(winner) + 1)
-            split = self._split(lambda: self._state_sizes(state)[2] * max(int(r["n_levels"]) + 1 for r in top))
-            raw = self._raw_terms(pairs, ["feature", "other"], hist, ["other"], hist_rows, winners, split,
-                                  level_rows)
+            raw = self._raw_terms(pairs, ["feature", "other"], hist, ["other"], hist_rows, winners)
             pv = self._pair_values(raw)
-            add = raw.groupBy("feature").agg(*[F.sum(pv[c]).alias("add_" + c) for c in names])
+            add = raw.groupBy("feature").agg(*[f(pv[c]).alias(f"{e}_add_{c}") for c in names
+                                               for e, f in (("sum", F.sum), ("max", F.max), ("min", F.min))])
             state = state.join(add, "feature", "left").select(
                 "feature", *(["name"] if names_df is not None else []), "nnz", "n_levels", "lo",
                 *["rel_" + c for c in names],
-                *[(F.col("red_" + c) + F.coalesce(F.col("add_" + c), F.lit(0.0))).alias("red_" + c)
-                  for c in names])
+                *[(F.col("red_" + c) + F.coalesce(F.col("sum_add_" + c), F.lit(0.0))).alias("red_" + c)
+                  for c in names],
+                *[f(F.col(f"{e}_{c}"), F.coalesce(F.col(f"{e}_add_{c}"), F.lit(0.0))).alias(f"{e}_{c}")
+                  for e, f in (("max", F.greatest), ("min", F.least)) for c in names])
+            state = self._with_joints(state)
             if log.isEnabledFor(logging.DEBUG):
                 log.debug("iteration %d plan:\n%s", i, explain_string(state))
             if i % self.checkpoint_every == 0:

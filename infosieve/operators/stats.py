@@ -53,3 +53,13 @@ def profile(df: DataFrame, features: str) -> DataFrame:
                                                  F.raise_error(F.lit("ragged rows"))).otherwise(F.col("n_cols"))
                          .cast("int").alias("n_cols"), "n_points")
     return out
+
+
+def profile_cells(cells: DataFrame, ids: DataFrame, n_instances: int) -> DataFrame:
+    """The profile of feature-wise cells: features (from ``ids``), instances, non-zero points plus
+    one (the id) per feature."""
+    points = cells.where(F.col("value") != 0).agg(F.count(F.lit(1)).alias("cells"))
+    rows = ids.agg(F.count(F.lit(1)).alias("n_rows"))
+    one = F.lit(1).alias("one")
+    return (rows.select("*", one).join(points.select("*", one), "one")
+            .select("n_rows", F.lit(int(n_instances)).alias("n_cols"), (F.col("cells") + F.col("n_rows")).alias("n_points")))

@@ -1,20 +1,16 @@
 """Between instance rows and feature rows.
 
-The long form ``(feature, pos, value)`` is the scalable transpose: no row ever holds more
-than one value.  Lines of values (``feature_lines``, ``class_line``) are built per chunk of
-``chunk`` consecutive positions, so no group ever gathers more than ``chunk`` values; the
-chunk lines of a feature, in chunk order, concatenate (with the separator) to its whole
-line.  The one-line text files of the feature-wise format need a single chunk: their
-writers check the instance count against ``LINE_BOUND`` first.
+Both directions go through the long form ``(feature, pos, value)``: no row ever holds more
+than one value and no group gathers a vector, so the number of instances has no bound.  The
+text forms are position-tagged lines; they are range-partitioned by feature and position
+and sorted inside each file, so reading the files in order gives the vectors in order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-LINE_BOUND = 10_000_000
-LINE_CHUNK = 1_000_000
+from pyspark.sql import types as T
 
 
 def transpose_long(df: DataFrame, pos: str, array_col: str, keep_zeros: bool = True) -> DataFrame:
@@ -24,43 +20,27 @@ def transpose_long(df: DataFrame, pos: str, array_col: str, keep_zeros: bool = T
     return out if keep_zeros else out.where(F.col("value") != 0.0)
 
 
-def _num(c):
+def number_text(c: Column) -> Column:
+    """Doubles holding whole numbers print without a fraction."""
     return F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))
 
 
-def _check(n_instances: int) -> None:
-    if n_instances > LINE_BOUND:
-        raise ValueError(f"{n_instances} instances do not fit the one-line-per-feature format (bound {LINE_BOUND})")
-
-
-def _lines(df: DataFrame, keys: list, pos: str, value: str, sep: str, chunk: int) -> DataFrame:
-    g = (df.groupBy(*keys, F.floor(F.col(pos) / F.lit(chunk)).cast("long").alias("chunk"))
-         .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).cast("double")
-                                                   .alias("v")))).alias("e")))
-    return g.select(*keys, "chunk", F.transform("e", lambda e: e["v"]).alias("values"),
-                    F.array_join(F.transform("e", lambda e: _num(e["v"])), sep).alias("line"))
-
-
-def feature_lines(long: DataFrame, n_instances: int | None = None, sep: str = ",",
-                  chunk: int = LINE_CHUNK) -> DataFrame:
-    """``(feature, chunk, values ARRAY, line)``, values in position order (K2: sorted by pos)."""
-    return _lines(long, ["feature"], "pos", "value", sep, chunk)
-
-
-def class_line(classes: DataFrame, n_instances: int | None = None, pos: str = "pos", label: str = "label",
-               sep: str = ",", chunk: int = LINE_CHUNK) -> DataFrame:
-    """The class vector as text, ``(chunk, line)`` in position order."""
-    return _lines(classes, [], pos, label, sep, chunk).select("chunk", "line")
+def value_text(df: DataFrame, column: str) -> Column:
+    """A value as text; numbers by ``number_text``."""
+    numeric = isinstance(df.schema[column].dataType, T.NumericType)
+    return number_text(F.col(column).cast("double")) if numeric else F.col(column).cast("string")
 
 
-def one_line_per_feature(long: DataFrame, n_instances: int, sep: str = ",") -> DataFrame:
-    """``(feature, values, line)`` for the feature-wise text format (one chunk per feature)."""
-    _check(n_instances)
-    return feature_lines(long, n_instances, sep, chunk=LINE_BOUND).drop("chunk")
+def cell_lines(long: DataFrame, sep: str = ",") -> DataFrame:
+    """``(feature, pos, line)``: one tagged line ``feature, pos, value`` per cell, in order."""
+    line = F.concat_ws(sep, F.col("feature").cast("string"), F.col("pos").cast("string"), value_text(long, "value"))
+    return (long.select("feature", "pos", line.alias("line")).repartitionByRange("feature", "pos")
+            .sortWithinPartitions("feature", "pos"))
 
 
-def one_class_line(classes: DataFrame, n_instances: int, pos: str = "pos", label: str = "label",
-                   sep: str = ",") -> DataFrame:
-    """The one-line class file of the feature-wise format."""
-    _check(n_instances)
-    return class_line(classes, n_instances, pos, label, sep, chunk=LINE_BOUND).select("line")
+def class_lines(classes: DataFrame, pos: str = "pos", label: str = "label", sep: str = ",") -> DataFrame:
+    """The class vector as text, ``(pos, line)`` with one tagged line ``pos, label`` per
+    position, in position order."""
+    line = F.concat_ws(sep, F.col(pos).cast("string"), value_text(classes, label))
+    return (classes.select(F.col(pos).alias("pos"), line.alias("line")).repartitionByRange("pos")
+            .sortWithinPartitions("pos"))

@@ -8,7 +8,7 @@ vector) against ``labelCol``; the model keeps the chosen ids in selection order
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,13 +37,15 @@ class InfoSelectorModel(Model):
     def _transform(self, df: DataFrame) -> DataFrame:
         kind = _kind(df, self.features_col)
         c = F.col(self.features_col)
+        if kind == "vector" and self.selected:
+            # keeps sparse vectors sparse
+            slicer = VectorSlicer(inputCol=self.features_col, outputCol=self.output_col, indices=[int(s) for s in self.selected])
+            return slicer.transform(df)
         if kind == "map":
             picked = F.array(*[F.coalesce(c[F.lit(s)], F.lit(0.0)) for s in self.selected])
         else:
-            arr = vector_to_array(c) if kind == "vector" else c
-            picked = F.array(*[arr[int(s)].cast("double") for s in self.selected])
-        out = array_to_vector(picked) if kind == "vector" else picked
-        return df.withColumn(self.output_col, out)
+            picked = F.array(*[c[int(s)].cast("double") for s in self.selected]).cast("array<double>")
+        return df.withColumn(self.output_col, picked)
 
 
 class InfoSelector(Estimator):

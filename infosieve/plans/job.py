@@ -3,8 +3,8 @@
     spark-submit run_job.py INPUT LAYOUT K FORMAT LABEL_INDEX SCORE [CLASS_FILE] [--out DIR]
 
 LAYOUT is ``column-wise`` / ``instance-wise`` (one row per instance) or ``row-wise`` /
-``feature-wise`` (one row per feature; CLASS_FILE holds the class vector on its first
-line).  FORMAT is ``csv``, ``tsv`` or ``libsvm`` (LibSVM has a fixed label position, so
+``feature-wise`` (one row per feature; CLASS_FILE holds the class vector on one line or as
+``pos, label`` lines).  FORMAT is ``csv``, ``tsv`` or ``libsvm`` (LibSVM has a fixed label position, so
 LABEL_INDEX is read but not used for it).  SCORE is a registered score name.  The job prints
 the dataset profile and the ranked features; ``--out`` also writes the report as CSV.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..operators.cells import ArrayInstances, FeatureWise, MapInstances
 from ..operators.selection import select_features
-from ..operators.stats import profile
+from ..operators.stats import profile, profile_cells
 from ..session import ensure_checkpoint_dir
 from .report import format_report, selection_report
 
@@ -43,15 +43,12 @@ def build_layout(spark: SparkSession, path: str, layout: str, fmt: str, label_in
     if layout in FEATURE:
         if not class_path:
             raise ValueError("the feature-wise layout needs the class vector file")
-        classes = sources.read_class_vector(spark, class_path, sep="," if fmt == "libsvm" else fmt)
+        classes = sources.read_classes(spark, class_path, sep="," if fmt == "libsvm" else fmt)
         classes = classes.select("pos", F.col("label").alias("b"))
         if fmt == "libsvm":
             cells = sources.read_features_libsvm(spark, path)
-            ids = spark.read.text(path).select(F.split(F.trim("value"), "\\s+")[0].cast("double")
-                                               .cast("long").alias("feature"))
-            lay = FeatureWise.from_cells(cells, classes, ids=ids)
-            prof = cells.agg(F.count_distinct("feature").alias("n_rows"))
-            return lay, prof
+            ids = sources.read_libsvm_ids(spark, path)
+            return FeatureWise.from_cells(cells, classes, ids=ids), profile_cells(cells, ids, classes.count())
         df = sources.read_features_text(spark, path, sep=fmt, id_index=label_index, id_type="double")
         df = df.select(F.col("feature").cast("long").alias("feature"), "values")
         return FeatureWise.from_arrays(df, "feature", "values", classes), profile(df, "values")
@@ -81,9 +78,9 @@ def run(argv: list[str], spark: SparkSession | None = None) -> list:
     spark = spark or SparkSession.builder.appName("infosieve-job").getOrCreate()
     report, prof = report_for(spark, a.input, a.layout, a.k, a.format, a.label_index, a.score, a.class_file)
     p = prof.first().asDict()
-    print("Input dataset stats:")
+    print("Data read")
     for k_, v in p.items():
-        print(f"-- {k_}: {v}")
+        print(f"{k_} = {v}")
     report = report.orderBy("order")
     rows = report.collect()
     print(format_report(rows))

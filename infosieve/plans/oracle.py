@@ -279,8 +279,8 @@ FROM bits""")
 ORACLE["transpose"] = f"""WITH {EMB}
 SELECT CAST(feature AS BIGINT) AS feature, inst AS pos, v AS value FROM emb_long"""
 
-ORACLE["class_line"] = ("SELECT CAST(floor(vec_id / 1000000) AS BIGINT) AS chunk, "
-                        "string_agg(CAST(label AS VARCHAR), ',' ORDER BY vec_id) AS line FROM embeddings GROUP BY 1")
+ORACLE["class_line"] = ("SELECT vec_id AS pos, CAST(vec_id AS VARCHAR) || ',' || CAST(label AS VARCHAR) AS line "
+                        "FROM embeddings")
 
 ORACLE["tree_label"] = f"""WITH {EMB},
 ib AS (SELECT vec_id, list_transform(bits, lambda x: CAST(x AS INTEGER)) AS b FROM bits)
@@ -296,3 +296,61 @@ ORACLE["feature_csv_scan"] = emb_selection(3)
 ORACLE["class_vector_scan"] = "SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS pos, label FROM embeddings"
 
 ORACLE["selection_job"] = ORACLE["selection_report"]
+
+ORACLE["feature_libsvm_scan"] = emb_selection(5)
+ORACLE["selection_job_feature_wise"] = f"""WITH rep AS ({ORACLE["selection_report"]}),
+{EMB}
+SELECT rep.*, (SELECT CAST(count(DISTINCT feature) AS BIGINT) FROM emb_long) AS n_rows,
+       (SELECT CAST(count(*) AS BIGINT) FROM embeddings) AS n_cols,
+       (SELECT CAST(count(*) FILTER (WHERE v <> 0) + count(DISTINCT feature) AS BIGINT) FROM emb_long) AS n_points
+FROM rep"""
+ORACLE["estimator_reduce"] = ORACLE["select_and_reduce"]
+ORACLE["mi_two_columns"] = f"""WITH {LI},
+src AS (SELECT 0 AS feature, 0 AS other, ship_month AS a, quantity AS b FROM li),
+m AS ({stat_mi('src')})
+SELECT {r6('val')} AS mi FROM m"""
+
+MIXED = """o AS (
+  SELECT row_number() OVER () AS inst, o_orderstatus AS label, o_orderpriority, o_custkey % 17 AS cust_mod,
+         year(o_orderdate) AS year, CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END AS dear FROM orders),
+o_all AS (""" + " UNION ALL ".join(
+    f"SELECT inst, label, '{f}' AS feature, CAST({f} AS VARCHAR) AS v FROM o"
+    for f in ("o_orderpriority", "cust_mod", "year", "dear")) + """),
+o_long AS (SELECT * FROM o_all WHERE feature IN (SELECT feature FROM o_all GROUP BY feature HAVING count(*) FILTER (WHERE v <> '0') > 0))"""
+
+
+def mixed_selection(k: int) -> str:
+    rel, pairs = _dense_sources("o_long")
+    return iterative(MIXED, rel, pairs, stat_mi, score_mrmr, k, feature_sql="CAST(feature AS VARCHAR)")
+
+
+ORACLE["mrmr_mixed"] = mixed_selection(4)
+
+
+def joint_selection(k: int) -> str:
+    """Each iteration measures candidate, class and all selected vectors anew."""
+    ctes, outs = [EMB], []
+    for i in range(1, k + 1):
+        extra = "".join(
+            f" + coalesce(abs(corr(x.v * s{j}.v, x.label)), 0)" for j in range(1, i))
+        joins = "".join(f" JOIN emb_long s{j} ON s{j}.inst = x.inst AND s{j}.feature = (SELECT feature FROM w{j})"
+                        for j in range(1, i))
+        gone = f" WHERE x.feature NOT IN ({' UNION ALL '.join(f'SELECT feature FROM w{j}' for j in range(1, i))})" if i > 1 else ""
+        ctes.append(f"s_{i} AS (SELECT x.feature, abs(corr(x.v, x.label)) + (0.0{extra}) / {max(1, i - 1)}.0 AS score "
+                    f"FROM emb_long x{joins}{gone} GROUP BY x.feature)")
+        ctes.append(f"w{i} AS (SELECT feature, score FROM s_{i} ORDER BY round(score, 12) DESC NULLS LAST, feature LIMIT 1)")
+        outs.append(f"SELECT {i} AS rnk, feature, score FROM w{i}")
+    return ("WITH " + ",\n".join(ctes) + "\nSELECT CAST(rnk AS INTEGER) AS rank, CAST(feature AS BIGINT) AS feature, "
+            + r6("score") + " AS score FROM (" + " UNION ALL ".join(outs) + ")")
+
+
+def max_redundancy_selection(k: int) -> str:
+    rel, pairs = _dense_sources("emb_long")
+    sql = iterative(EMB, rel, pairs, stat_mi, lambda r, d, n: f"{r} - {d}", k)
+    return sql.replace("SELECT feature, sum(val) AS red FROM (", "SELECT feature, max(val) AS red FROM (")
+
+
+ORACLE["custom_score_joint"] = joint_selection(4)
+ORACLE["custom_score_max_redundancy"] = max_redundancy_selection(5)
+ORACLE["row_sample"] = ("SELECT vec_id, label FROM embeddings "
+                        "WHERE substr(md5('42:' || CAST(vec_id AS VARCHAR)), 1, 13) < '8000000000000'")

@@ -14,12 +14,13 @@ from ..functions.tree import tree_label
 from ..operators import contingency as ctg
 from ..operators import stats
 from ..operators.cells import ArrayInstances, FeatureWise, MapInstances, WideInstances, to_cells
-from ..operators.information import mi_from_pairs
+from ..operators.information import mi_from_pairs, mutual_information_columns
 from ..operators.reduce import reduce_to
 from ..operators.sample import bernoulli_sample
-from ..operators.scores import (MIQ, ExprScore, VectorAgg, chi2_term, symmetric_uncertainty_mrmr)
+from ..operators.scores import (MIQ, ExprScore, JointAgg, VectorAgg, chi2_term, max_redundancy_mrmr,
+                                symmetric_uncertainty_mrmr)
 from ..operators.selection import select_features
-from ..operators.transpose import class_line, one_line_per_feature, transpose_long
+from ..operators.transpose import class_lines, transpose_long
 from ..session import scratch_path
 from .. import sources
 from .tables import LINEITEM_FEATURES, document_tokens, embedding_bits, lineitem_features, table
@@ -95,21 +96,21 @@ def q_marginals(spark, sf):
 # -------------------------------------------------------------------------------- tables
 def q_contingency_class(spark, sf):
     lay = WideInstances(lineitem_features(spark, sf), "label", LINEITEM_FEATURES, cache=False)
-    return ctg.count_pairs(lay.class_rows([]), ["feature"]).select("feature", "a", "b", "n")
+    return ctg.count_pairs(lay.class_rows([]), ["feature"]).select("feature", F.col("a").cast("double").alias("a"), "b", "n")
 
 
 def q_contingency_feature(spark, sf):
     lay = WideInstances(lineitem_features(spark, sf), "label", LINEITEM_FEATURES, cache=False)
     rows = lay.winner_rows(["ship_month"], ["ship_month"])
-    return ctg.count_pairs(rows, ["feature", "other"]).select("feature", "a", "b", "n")
+    return ctg.count_pairs(rows, ["feature", "other"]).select(
+        "feature", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"), "n")
 
 
 def q_zero_recovery(spark, sf):
     lay = MapInstances(document_tokens(spark, sf), "quality", "tokens", cache=False, hash_keys=False)
     prep = lay.prepare(1_000_000)
     pairs = ctg.count_pairs(lay.class_rows([]), ["feature"])
-    levels = ctg.collect_levels(prep.hist, 100_000)
-    full = ctg.full_table(pairs, levels, prep.n, ["feature"])
+    full = ctg.full_table(pairs.checkpoint(), prep.hist, ["feature"])
     return full.select("feature", "a", F.col("b").cast("int").alias("b"), "n")
 
 
@@ -223,7 +224,7 @@ def q_transpose(spark, sf):
 
 def q_class_line(spark, sf):
     b = embedding_bits(spark, sf)
-    return class_line(b.select(F.col("vec_id").alias("pos"), "label"))
+    return class_lines(b.select(F.col("vec_id").alias("pos"), "label"))
 
 
 def q_tree_label(spark, sf):
@@ -266,20 +267,84 @@ def q_libsvm_scan(spark, sf):
 
 def _write_featurewise(spark, sf):
     b = embedding_bits(spark, sf)
-    n = b.count()
-    lines = one_line_per_feature(transpose_long(b, "vec_id", "bits"), n)
     fpath, cpath = scratch_path(spark, "emb-fw"), scratch_path(spark, "emb-class")
-    sources.write_features_text(lines, fpath, "feature", "values")
-    sources.write_class_vector(b.select(F.col("vec_id").alias("pos"), "label"), cpath, n)
+    sources.write_cells_text(transpose_long(b, "vec_id", "bits"), fpath)
+    sources.write_class_vector(b.select(F.col("vec_id").alias("pos"), "label"), cpath)
     return fpath, cpath
 
 
 def q_feature_csv_scan(spark, sf):
     fpath, cpath = _write_featurewise(spark, sf)
-    fw = sources.read_features_text(spark, fpath, id_type="long")
-    cl = sources.read_class_vector(spark, cpath).select("pos", F.col("label").alias("b"))
-    return _ranked(select_features(FeatureWise.from_arrays(fw, "feature", "values", cl), 3, "mrmr",
-                                   all_zero="keep"))
+    cells = sources.read_cells_text(spark, fpath, id_type="long")
+    cl = sources.read_class_positions(spark, cpath).select("pos", F.col("label").alias("b"))
+    return _ranked(select_features(FeatureWise.from_cells(cells, cl, dense=True), 3, "mrmr", all_zero="keep"))
+
+
+def _write_featurewise_libsvm(spark, sf):
+    """Feature-wise LibSVM, a line per feature and 1,000 positions so that no line grows with the
+    data, and its tagged class file."""
+    b = embedding_bits(spark, sf)
+    runs = (transpose_long(b, "vec_id", "bits").groupBy("feature", F.floor(F.col("pos") / 1000).alias("run"))
+            .agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int"), "value"))).alias("values")))
+    fpath, cpath = scratch_path(spark, "emb-fw-libsvm"), scratch_path(spark, "emb-class")
+    sources.write_libsvm(runs, fpath, "feature", "values")
+    sources.write_class_vector(b.select(F.col("vec_id").alias("pos"), "label"), cpath)
+    return fpath, cpath
+
+
+def q_feature_libsvm_scan(spark, sf):
+    fpath, cpath = _write_featurewise_libsvm(spark, sf)
+    cells, ids = sources.read_features_libsvm(spark, fpath), sources.read_libsvm_ids(spark, fpath)
+    cl = sources.read_classes(spark, cpath).select("pos", F.col("label").alias("b"))
+    return _ranked(select_features(FeatureWise.from_cells(cells, cl, ids=ids), 5, "mrmr", all_zero="keep"))
+
+
+def q_selection_job_feature_wise(spark, sf):
+    """M8 on feature-wise LibSVM with a class file: the report, each row with the whole profile."""
+    from .job import report_for
+    fpath, cpath = _write_featurewise_libsvm(spark, sf)
+    report, prof = report_for(spark, fpath, "row-wise", 5, "libsvm", 0, "FeatureWiseMRMR", cpath)
+    p = prof.first()
+    return report.select("*", *[F.lit(p[c]).cast("long").alias(c) for c in ("n_rows", "n_cols", "n_points")])
+
+
+def q_estimator_reduce(spark, sf):
+    """M7 on sparse ML vectors: fit, then every row reduced to the chosen features."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from .estimator import InfoSelector
+    b = embedding_bits(spark, sf).select("vec_id", "label", array_to_vector("bits").alias("features"))
+    out = InfoSelector(3).fit(b).transform(b).select("vec_id", "label", vector_to_array("selected").alias("s"))
+    return out.select("vec_id", "label", *[F.col("s")[i].alias(f"sel_{i + 1}") for i in range(3)])
+
+
+def q_mi_two_columns(spark, sf):
+    """A10: information shared by the month of shipping and the quantity of a line item."""
+    return mutual_information_columns(lineitem_features(spark, sf), "ship_month", "quantity").select(_r6(F.col("mi")).alias("mi"))
+
+
+def q_mrmr_mixed(spark, sf):
+    """Levels of several types, compared exactly: strings, a BIGINT key and small numbers of ``orders``."""
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("label"), "o_orderpriority", (F.col("o_custkey") % 17).cast("long").alias("cust_mod"),
+        F.year("o_orderdate").alias("year"), F.when(F.col("o_totalprice") > 150000, 1).otherwise(0).alias("dear"))
+    return _ranked_str(select_features(WideInstances(o, "label"), 4, "mrmr"))
+
+
+def joint_interaction() -> ExprScore:
+    """A vector score of candidate, class and selected vectors together: |corr(x, y)| plus the
+    mean over the selected of |corr(x s, y)|."""
+    def fn(x, y, s):
+        alone = F.abs(F.corr(x, y))
+        return alone + sum((F.coalesce(F.abs(F.corr(x * v, y)), F.lit(0.0)) for v in s), F.lit(0.0)) / max(1, len(s))
+    return ExprScore(lambda rel, red, n, i, k: rel["joint"], terms={"joint": JointAgg(fn)}, name="joint_interaction")
+
+
+def q_custom_score_joint(spark, sf):
+    return _ranked(select_features(_emb_featurewise_dense(spark, sf), 4, joint_interaction(), all_zero="keep"))
+
+
+def q_custom_score_max_redundancy(spark, sf):
+    return _ranked(select_features(_emb_layout(spark, sf), 5, max_redundancy_mrmr()))
 
 
 def q_selection_job(spark, sf):
@@ -292,11 +357,11 @@ def q_selection_job(spark, sf):
 
 def q_class_vector_scan(spark, sf):
     _, cpath = _write_featurewise(spark, sf)
-    return sources.read_class_vector(spark, cpath).select("pos", F.col("label").cast("int").alias("label"))
+    return sources.read_class_positions(spark, cpath).select("pos", F.col("label").cast("int").alias("label"))
 
 
 def q_row_sample(spark, sf):
-    return bernoulli_sample(embedding_bits(spark, sf).select("vec_id", "label"), 0.5, seed=42)
+    return bernoulli_sample(embedding_bits(spark, sf).select("vec_id", "label"), 0.5, "vec_id", seed=42)
 
 
 QUERIES = {
@@ -332,6 +397,13 @@ QUERIES = {
     "libsvm_scan": q_libsvm_scan,
     "feature_csv_scan": q_feature_csv_scan,
     "class_vector_scan": q_class_vector_scan,
+    "feature_libsvm_scan": q_feature_libsvm_scan,
     "selection_job": q_selection_job,
+    "selection_job_feature_wise": q_selection_job_feature_wise,
+    "estimator_reduce": q_estimator_reduce,
+    "mi_two_columns": q_mi_two_columns,
+    "mrmr_mixed": q_mrmr_mixed,
+    "custom_score_joint": q_custom_score_joint,
+    "custom_score_max_redundancy": q_custom_score_max_redundancy,
     "row_sample": q_row_sample,
 }

@@ -15,6 +15,6 @@ def selection_report(result: DataFrame, decimals: int = 3) -> DataFrame:
 
 
 def format_report(rows) -> str:
-    lines = ["Selected Features:", "Order\tName\tScore"]
+    lines = ["Features by rank", "rank\tfeature\tscore"]
     lines += [f"{r['order']}\t{r['name']}\t{r['score']}" for r in rows]
     return "\n".join(lines)

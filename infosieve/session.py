@@ -59,10 +59,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder, for files a job writes and reads back."""
     base = ensure_checkpoint_dir(spark)
-    return base.rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(base.rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}")
+    return _SCRATCH[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete all scratch paths this process has made; call it once their results are used up."""
+    conf, done = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _SCRATCH:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
 
 
 def local_path(path: str) -> str:
@@ -70,4 +83,4 @@ def local_path(path: str) -> str:
     return path[5:] if path.startswith("file:") else path
 
 
-__all__ = ["build_session", "ensure_checkpoint_dir", "scratch_path", "local_path"]
+__all__ = ["build_session", "ensure_checkpoint_dir", "scratch_path", "drop_scratch", "local_path"]

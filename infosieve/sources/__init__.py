@@ -1,9 +1,9 @@
-"""Readers and writers of the selection input formats (CSV, TSV, LibSVM, class vector)."""
+"""Readers and writers of the selection input formats (CSV, TSV, LibSVM, tagged cells, class vector)."""
 
-from .text import (read_instances_text, read_features_text, read_class_vector, read_libsvm,
-                   read_features_libsvm)
-from .sinks import write_instances_text, write_libsvm, write_class_vector, write_features_text
+from .text import (read_instances_text, read_features_text, read_class_vector, read_class_positions, read_classes,
+                   read_cells_text, read_libsvm, read_features_libsvm, read_libsvm_ids)
+from .sinks import write_instances_text, write_libsvm, write_class_vector, write_cells_text, write_features_text
 
-__all__ = ["read_instances_text", "read_features_text", "read_class_vector", "read_libsvm",
-           "read_features_libsvm", "write_instances_text", "write_libsvm", "write_class_vector",
-           "write_features_text"]
+__all__ = ["read_instances_text", "read_features_text", "read_class_vector", "read_class_positions", "read_classes", "read_cells_text",
+           "read_libsvm", "read_features_libsvm", "read_libsvm_ids", "write_instances_text", "write_libsvm",
+           "write_class_vector", "write_cells_text", "write_features_text"]

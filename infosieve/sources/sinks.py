@@ -1,21 +1,18 @@
-"""Text sinks: delimited rows, LibSVM rows, the one-line class vector, feature-wise rows."""
+"""Text sinks: delimited rows, LibSVM rows, feature-wise rows, position-tagged cells and classes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _num(c):
-    """Doubles holding whole numbers print without a fraction, like the sample files."""
-    return F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))
+from ..operators.transpose import cell_lines, class_lines, number_text
 
 
 def write_instances_text(df: DataFrame, path: str, label: str, features: str, sep: str = ",",
                          mode: str = "overwrite") -> None:
     """``label, f0, f1, ...`` per row from a label column and a feature ARRAY column."""
-    line = F.concat_ws(sep, _num(F.col(label).cast("double")),
-                       F.array_join(F.transform(F.col(features).cast("array<double>"), _num), sep))
+    line = F.concat_ws(sep, number_text(F.col(label).cast("double")),
+                       F.array_join(F.transform(F.col(features).cast("array<double>"), number_text), sep))
     df.select(line.alias("value")).write.mode(mode).text(path)
 
 
@@ -23,7 +20,7 @@ def write_features_text(df: DataFrame, path: str, feature: str, values: str, sep
                         mode: str = "overwrite") -> None:
     """Feature-wise rows: ``id, v0, v1, ...``."""
     line = F.concat_ws(sep, F.col(feature).cast("string"),
-                       F.array_join(F.transform(F.col(values).cast("array<double>"), _num), sep))
+                       F.array_join(F.transform(F.col(values).cast("array<double>"), number_text), sep))
     df.select(line.alias("value")).write.mode(mode).text(path)
 
 
@@ -39,14 +36,17 @@ def write_libsvm(df: DataFrame, path: str, label: str, features: str, mode: str
         ent = F.transform(F.col(features).cast("array<double>"),
                           lambda x, i: F.named_struct(F.lit("k"), i, F.lit("v"), x))
     ent = F.array_sort(F.filter(ent, lambda e: e["v"] != 0.0))
-    toks = F.transform(ent, lambda e: F.concat((e["k"] + 1).cast("string"), F.lit(":"), _num(e["v"])))
-    line = F.concat_ws(" ", _num(F.col(label).cast("double")), F.array_join(toks, " "))
+    toks = F.transform(ent, lambda e: F.concat((e["k"] + 1).cast("string"), F.lit(":"), number_text(e["v"])))
+    line = F.concat_ws(" ", number_text(F.col(label).cast("double")), F.array_join(toks, " "))
     df.select(F.rtrim(line).alias("value")).write.mode(mode).text(path)
 
 
-def write_class_vector(classes: DataFrame, path: str, n_instances: int, pos: str = "pos", label: str = "label",
+def write_cells_text(long: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
+    """Feature-wise cells ``(feature, pos, value)`` as tagged lines ``feature, pos, value``."""
+    cell_lines(long, sep).select(F.col("line").alias("value")).write.mode(mode).text(path)
+
+
+def write_class_vector(classes: DataFrame, path: str, pos: str = "pos", label: str = "label",
                        sep: str = ",", mode: str = "overwrite") -> None:
-    """The class vector as one text line in position order (A14; the format is one line,
-    so the instance count is checked first)."""
-    from ..operators.transpose import one_class_line
-    one_class_line(classes, n_instances, pos, label, sep).write.mode(mode).text(path)
+    """The class vector as tagged lines ``pos, label`` (A14), whatever its length."""
+    class_lines(classes, pos, label, sep).select(F.col("line").alias("value")).write.mode(mode).text(path)

@@ -5,8 +5,10 @@
   label is removed;
 * delimited feature-wise rows: the field at ``id_index`` is the feature id, the others are
   the feature's values in instance order;
-* LibSVM (``label idx:value ...``, 1-based indices, zeros absent), either layout;
-* the class vector of the feature-wise layout: the first line of a file, split on ``sep``.
+* LibSVM (``label idx:value ...``, 1-based indices, zeros absent, ``#`` starts a comment),
+  either layout;
+* the class vector of the feature-wise layout: one line of labels, or position-tagged
+  lines ``pos, label``; feature-wise cells as tagged lines ``feature, pos, value``.
 
 Parsing is ``split``/``transform`` expressions on the text lines, so it runs in the scan
 tasks and does not depend on the width; sparse LibSVM rows stay sparse (a MAP of the
@@ -61,17 +63,56 @@ def read_features_text(spark: SparkSession, path: str, sep: str = ",", id_index:
 
 
 def read_class_vector(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """``(pos LONG, label DOUBLE)`` from the first line of ``path`` (CR/LF tolerant)."""
-    sep = _sep(sep)
-    line = spark.read.text(path).limit(1)
-    return (line.select(F.posexplode(F.split(F.regexp_replace("value", "\r$", ""), _re(sep))).alias("pos", "v"))
+    """``(pos LONG, label DOUBLE)`` from a file of one line of labels (CR/LF tolerant).
+
+    A second line with text raises an error: labels must not get lost.
+    """
+    t = _tokens(spark, path, _sep(sep))
+    lines = t.limit(2).count()
+    if lines != 1:
+        raise ValueError(f"a class vector is one line of labels; {path} has {'more lines' if lines else 'none'} "
+                         "(tagged lines are read by read_class_positions)")
+    return (t.select(F.posexplode("t").alias("pos", "v"))
             .select(F.col("pos").cast("long").alias("pos"), F.trim("v").cast("double").alias("label")))
 
 
+def read_class_positions(spark: SparkSession, path: str, sep: str = ",", label_type: str = "double") -> DataFrame:
+    """``(pos LONG, label)`` from position-tagged lines, in any number of files."""
+    t = F.col("t")
+    return _tokens(spark, path, _sep(sep)).select(F.trim(t[0]).cast("long").alias("pos"),
+                                                  F.trim(t[1]).cast(label_type).alias("label"))
+
+
+def read_classes(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """``(pos, label)`` of either class format: one line of labels, else tagged lines of two fields."""
+    lines = _tokens(spark, path, _sep(sep)).select(F.size("t").alias("n"))
+    r = lines.agg(F.count(F.lit(1)).alias("lines"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    if r["lines"] == 1:
+        return read_class_vector(spark, path, sep)
+    if (r["lo"], r["hi"]) != (2, 2):
+        raise ValueError(f"{path} holds neither one line of labels nor tagged lines of two fields")
+    return read_class_positions(spark, path, sep)
+
+
+def read_cells_text(spark: SparkSession, path: str, sep: str = ",", id_type: str = "string",
+                    value_type: str = "double") -> DataFrame:
+    """``(feature, pos, value)`` from tagged lines, in any number of files."""
+    t = F.col("t")
+    return _tokens(spark, path, _sep(sep)).select(F.trim(t[0]).cast(id_type).alias("feature"),
+                                                  F.trim(t[1]).cast("long").alias("pos"),
+                                                  F.trim(t[2]).cast(value_type).alias("value"))
+
+
 def _re(sep: str) -> str:
     return "\\t" if sep == "\t" else "\\" + sep if sep in ".|^$*+?()[]{}\\" else sep
 
 
+def _libsvm_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with data; comments (from ``#`` on) are cut."""
+    line = F.trim(F.regexp_replace("value", "#.*", ""))
+    return spark.read.text(path).select(line.alias("value")).where(F.length("value") > 0)
+
+
 def _libsvm_cells():
     """Label and ``idx:value`` entries; indices must be one-based (a 0 or negative index
     fails the scan), repeated indices in a row fail the map construction."""
@@ -88,13 +129,20 @@ def _libsvm_cells():
 def read_libsvm(spark: SparkSession, path: str) -> DataFrame:
     """Instance-wise LibSVM: ``(label DOUBLE, features MAP<INT, DOUBLE>)``, keys 0-based."""
     label, entries = _libsvm_cells()
-    return (spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    return (_libsvm_lines(spark, path)
             .select(label.alias("label"), F.map_from_entries(entries).alias("features")))
 
 
 def read_features_libsvm(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """Feature-wise LibSVM (label = feature id): long cells ``(feature, pos, value)``."""
     label, entries = _libsvm_cells()
-    return (spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    return (_libsvm_lines(spark, path)
             .select(label.cast(id_type).alias("feature"), F.inline(entries))
             .select("feature", F.col("key").cast("long").alias("pos"), "value"))
+
+
+def read_libsvm_ids(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """The feature ids of feature-wise LibSVM, those of all-zero features included; a feature may
+    be continued on further lines."""
+    label, _ = _libsvm_cells()
+    return _libsvm_lines(spark, path).select(label.cast(id_type).alias("feature")).distinct()

@@ -38,9 +38,10 @@ def test_entry_runs(spark):
     assert df.columns == ["rank", "feature", "score"] and len(rows) == 5
 
 
-def test_every_query_has_an_oracle_but_the_sample():
-    e = _entry()
-    assert set(e.queries()) - set(e.oracle_sql()) == {"row_sample"}
+def test_every_query_has_an_oracle():
+    from infosieve.plans.oracle import ORACLE
+    from infosieve.plans.queries import QUERIES
+    assert set(QUERIES) == set(ORACLE) <= set(_entry().queries())
 
 
 @pytest.fixture(scope="module")

@@ -1,76 +1,92 @@
-"""Golden answers on the sample files (values derived from the definitions, see SURVEY §5.2)."""
+"""Whole runs over sample files in every format and layout; answers from the brute force."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from infosieve import ArrayInstances, FeatureWise, MapInstances, select_features
 from infosieve.sources import (read_class_vector, read_features_libsvm, read_features_text, read_instances_text,
-                               read_libsvm)
+                               read_libsvm, read_libsvm_ids)
 
-from conftest import REF_DATA
+import samples
+from bruteforce import select
 
-G1 = [(6, .315314), (1, .202641), (14, .046093), (18, .033935), (7, .025616), (0, .022275), (3, .008419),
-      (16, .000893), (5, -.002487), (4, -.006056)]
-G2 = [(6, .315314), (1, .274609), (14, .074194), (18, .057712), (7, .041137), (0, .029243), (3, .015698),
-      (10, .008565), (16, .008565), (9, .006998)]
-G3 = [(7, .419973), (1, .209987), (41, .124511), (43, .134659), (19, .119940), (40, .121680), (0, .069208),
-      (37, .074790), (3, .049623), (36, .033436)]
+X, Y = samples.table()
+SCORED = [j for j in range(X.shape[1]) if X[:, j].any()]
+G1 = select(X, Y, 10, candidates=SCORED)
+G2 = select(X, Y, 10, score="maxrel", candidates=SCORED)
+G3 = select(X, Y, 10)            # feature-wise: the all-zero feature stays a candidate
 
 
-def _pairs(df):
-    return [(int(r["feature"]), round(r["score"], 6)) for r in df.orderBy("rank").collect()]
-
-
-def _approx(got, want):
+def _approx(df, want):
+    got = [(int(r["feature"]), r["score"]) for r in df.orderBy("rank").collect()]
     assert [f for f, _ in got] == [f for f, _ in want]
     for (_, a), (_, b) in zip(got, want):
-        assert a == pytest.approx(b, abs=1.5e-6)
+        assert a == pytest.approx(b, abs=1e-9)
+
+
+@pytest.fixture(scope="module")
+def files(tmp_path_factory):
+    d = tmp_path_factory.mktemp("samples")
+    return {"cw": samples.csv_rows(d / "cw.csv", Y, X), "cw_svm": samples.libsvm_rows(d / "cw.libsvm", Y, X, "# made for a test\n"),
+            "rw": samples.csv_rows(d / "rw.csv", range(20), X.T, end="\r\n"),
+            "rw_svm": samples.libsvm_rows(d / "rw.libsvm", range(20), X.T), "cl": samples.class_line(d / "class.csv", Y)}
 
 
 @pytest.fixture(scope="module")
-def cw_csv(spark):
-    return read_instances_text(spark, f"{REF_DATA}/mrmr.50x20.cw.c0.x1_8.csv")
+def cw_csv(spark, files):
+    return read_instances_text(spark, files["cw"])
 
 
 def test_g1_mrmr_csv(spark, cw_csv):
-    _approx(_pairs(select_features(ArrayInstances(cw_csv, "label", "features"), 10, "mrmr")), G1)
+    _approx(select_features(ArrayInstances(cw_csv, "label", "features"), 10, "mrmr"), G1)
 
 
-def test_g1_mrmr_libsvm(spark):
-    df = read_libsvm(spark, f"{REF_DATA}/mrmr.50x20.cw.c0.x1_8.libsvm")
-    _approx(_pairs(select_features(MapInstances(df, "label", "features"), 10, "mrmr")), G1)
+def test_g1_mrmr_libsvm(spark, files):
+    df = read_libsvm(spark, files["cw_svm"])
+    _approx(select_features(MapInstances(df, "label", "features"), 10, "mrmr"), G1)
 
 
-def test_g2_max_relevance_with_tie(spark, cw_csv):
-    _approx(_pairs(select_features(ArrayInstances(cw_csv, "label", "features"), 10, "maxrel")), G2)
+def test_g2_max_relevance(spark, cw_csv):
+    _approx(select_features(ArrayInstances(cw_csv, "label", "features"), 10, "maxrel"), G2)
+
+
+def test_ties_go_to_the_smaller_feature(spark):
+    twin = X.copy()
+    twin[:, 3] = twin[:, 9] = twin[:, 5]
+    rows = [(float(Y[i]), [float(v) for v in twin[i]]) for i in range(len(Y))]
+    df = spark.createDataFrame(rows, "y double, x array<double>")
+    _approx(select_features(ArrayInstances(df, "y", "x"), 10, "maxrel"),
+            select(twin, Y, 10, score="maxrel", candidates=SCORED))
 
 
 def test_g1_through_feature_wise_layout(spark, cw_csv):
     """The transposed instance table must give the same picks and scores (M2 == M1)."""
-    rows = cw_csv.withColumn("pos", F.monotonically_increasing_id())
+    rows = cw_csv.coalesce(1).withColumn("pos", F.monotonically_increasing_id())
     cells = rows.select("pos", F.posexplode("features").alias("feature", "value"))
     classes = rows.select("pos", F.col("label").alias("b"))
-    lay = FeatureWise.from_cells(cells, classes)
-    _approx(_pairs(select_features(lay, 10, "mrmr")), G1)
+    _approx(select_features(FeatureWise.from_cells(cells, classes), 10, "mrmr"), G1)
+
+
+def test_g3_feature_wise_csv(spark, files):
+    fw = read_features_text(spark, files["rw"], id_type="long")
+    cl = read_class_vector(spark, files["cl"]).withColumnRenamed("label", "b")
+    _approx(select_features(FeatureWise.from_arrays(fw, "feature", "values", cl), 10, "mrmr", all_zero="keep"), G3)
 
 
-def test_g3_feature_wise_csv(spark):
-    fw = read_features_text(spark, f"{REF_DATA}/mrmr.50x20.rw.x0_7.csv", id_type="long")
-    cl = read_class_vector(spark, f"{REF_DATA}/mrmr.50x20.rw.x0_7.class.csv").withColumnRenamed("label", "b")
-    _approx(_pairs(select_features(FeatureWise.from_arrays(fw, "feature", "values", cl), 10, "mrmr",
-                                   all_zero="keep")), G3)
+def test_g3_feature_wise_libsvm(spark, files):
+    cells, ids = read_features_libsvm(spark, files["rw_svm"]), read_libsvm_ids(spark, files["rw_svm"])
+    cl = read_class_vector(spark, files["cl"]).withColumnRenamed("label", "b")
+    _approx(select_features(FeatureWise.from_cells(cells, cl, ids=ids), 10, "mrmr", all_zero="keep"), G3)
 
 
-def test_g3_feature_wise_libsvm(spark):
-    cells = read_features_libsvm(spark, f"{REF_DATA}/mrmr.50x20.rw.x0_7.libsvm")
-    cl = read_class_vector(spark, f"{REF_DATA}/mrmr.50x20.rw.x0_7.class.csv").withColumnRenamed("label", "b")
-    ids = spark.range(50).select(F.col("id").alias("feature"))
-    lay = FeatureWise.from_cells(cells, cl, ids=ids)
-    _approx(_pairs(select_features(lay, 10, "mrmr", all_zero="keep")), G3)
+def test_class_vector_with_crlf_and_nine_levels(spark, tmp_path):
+    want = [1 + i * i % 9 for i in range(60)]
+    cl = read_class_vector(spark, samples.class_line(tmp_path / "nine.csv", want, end="\r\n"))
+    assert [(r["pos"], r["label"]) for r in cl.orderBy("pos").collect()] == [(i, float(v)) for i, v in enumerate(want)]
 
 
-def test_class_vector_with_crlf_and_nine_levels(spark):
-    cl = read_class_vector(spark, f"{REF_DATA}/test_nci9_s3_rw_class.csv")
-    rows = cl.orderBy("pos").collect()
-    assert len(rows) == 60 and rows[0]["pos"] == 0 and rows[-1]["pos"] == 59
-    assert sorted({r["label"] for r in rows}) == [float(i) for i in range(1, 10)]
+def test_class_vector_of_two_lines_raises(spark, tmp_path):
+    path = tmp_path / "two.csv"
+    path.write_text("1,0,1\n0,0,1\n")
+    with pytest.raises(ValueError, match="one line"):
+        read_class_vector(spark, str(path))

@@ -64,11 +64,29 @@ def test_marginal_check_raises(spark):
         mi_from_pairs(pairs, hist, 10, ["feature"], hist_rows=1).collect()
 
 
-def test_plan_has_one_exchange_above_pair_counts(spark):
+def test_counts_are_summed_in_one_pass(spark):
+    """Above materialised counts: one exchange of grouping sets, one of the candidates' partial sums."""
     X = np.array([[0, 1], [1, 1], [2, 0], [1, 0]])
-    _, out = _sparse_mi(spark, X, [0, 1, 0, 1])
-    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
-    plan = plan.split("== Initial Plan ==")[-1]        # AQE prints final + initial plans once run
-    # one exchange for the map-side combined pair counts, one to co-locate each candidate's table
-    assert plan.count("Exchange hashpartitioning") == 2
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    rows = [(float(y), [float(v) for v in X[i]]) for i, y in enumerate([0, 1, 0, 1])]
+    lay = ArrayInstances(spark.createDataFrame(rows, "label double, x array<double>"), "label", "x", cache=False)
+    prep = lay.prepare(1000)
+    pairs = ctg.count_pairs(lay.class_rows([]), ["feature"]).checkpoint()
+    out = mi_from_pairs(pairs, prep.hist, prep.n, ["feature"], hist_rows=prep.n_classes)
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple").split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("partial_sum") >= 2
+    assert "Window" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_cell_terms_meet_every_level(spark):
+    """Classes beyond one bucket of the grid: the zero row still has a cell for each."""
+    from infosieve.operators.contingency import GRID_LEVELS, full_table
+    n = GRID_LEVELS + 300
+    rows = [(i, [float(i % 3 == 0), 1.0]) for i in range(n)]
+    lay = ArrayInstances(spark.createDataFrame(rows, "label int, x array<double>"), "label", "x", cache=False)
+    prep = lay.prepare(1000)
+    pairs = ctg.count_pairs(lay.class_rows([]), ["feature"]).checkpoint()
+    got = {(r["feature"], r["a"], r["b"]): r["n"] for r in full_table(pairs, prep.hist, ["feature"]).collect()}
+    assert got == {(j, x[j], i): 1 for i, x in rows for j in range(2)}
+    from infosieve.operators.scores import chi2_term
+    out = mi_from_pairs(pairs, prep.hist, prep.n, ["feature"], cell_terms={"chi2": chi2_term().fn}).collect()
+    assert {r["feature"]: round(r["chi2"], 6) for r in out} == {0: float(n), 1: 0.0}
