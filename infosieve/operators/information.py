@@ -8,9 +8,9 @@ histogram ``hist(b, nb)`` (zero level included) and the instance count ``N``: th
 cell of level b is nb - t_b with t_b = sum_a n_ab, the zero marginal is N - n_f.  No
 materialised zero cell is needed.
 
-One plan serves every size: the counts are summed by cell, by candidate level and by other
-level in one pass of grouping sets, and a candidate's sums are partial aggregates too, so
-no task ever holds a whole table, however many levels it has.
+One plan serves every size: sums by candidate level and by other level are joined back to the
+counts, so every term is a small logarithm (no large entropies cancel) and no task ever holds
+a whole table, however many levels it has; skewed keys are split by Spark's skew handling.
 """
 
 from __future__ import annotations
@@ -35,14 +35,10 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[st
     ``nnz`` is the candidate's number of non-zero cells, ``n_levels`` its non-zero levels and
     ``lo`` its smallest non-zero level (the level itself when there is only one).
 
-    With h(x) = x log2 x, m_b = nb - t_b and n0 = N - nnz, N times the information is
-
-        sum h(n_ab) - sum h(n_a) - sum t_b log2 nb + nnz log2 N
-        + sum (h(m_b) - m_b log2 nb) + n0 log2(N / n0)
-
-    where b runs over the levels the candidate meets; the last term also covers the levels it
-    never meets.  Every sum belongs to one grouping set.  ``pairs`` should be materialised: it
-    is read once here and once more for ``cell_terms``.
+    Each cell contributes n log2(n N / (na nb)).  The zero row is added per seen level b as
+    m log2(m N / (n0 nb)) with m = nb - t_b, n0 = N - nnz, and for all levels the candidate
+    never meets at once as (N - sum of seen nb) log2(N / n0).  ``pairs`` should be materialised:
+    the small counts are read once by candidate level and once by other level.
 
     ``cell_terms`` maps names to ``fn(n, na, nb, N) -> Column``; each is summed over all
     non-zero cells of every complete table (zero row included).
@@ -50,21 +46,21 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[st
     hist_keys = list(hist_keys or [])
     h = hist.select(*hist_keys, "b", F.col("nb").cast("double").alias("nb"))
     with_nb = pairs.join(hinted(h, hist_rows, broadcast_rows), hist_keys + ["b"], "left")
-    cols = [*keys, "a", "b"]
-    sums = (with_nb.groupingSets([cols, [*keys, "a"], [*keys, "b"]], *cols)
-            .agg(F.sum("n").cast("double").alias("s"), F.max("nb").alias("nb"), F.grouping_id().alias("gid")))
     # SQL text: one round trip to the JVM per column keeps the planning time of an iteration small
     N = repr(float(n_total))
-    g = sums.groupBy(*keys).agg(
-        F.expr(f"sum(CASE WHEN gid = {_GID_AB} THEN s * log2(s) WHEN gid = {_GID_A} THEN -s * log2(s) "
-               f"WHEN nb IS NULL OR nb < s THEN CAST(raise_error('{SHORT}') AS DOUBLE) "
-               "WHEN nb > s THEN (nb - s) * log2(nb - s) - nb * log2(nb) ELSE -s * log2(nb) END)").alias("t"),
-        F.expr(f"sum(CASE WHEN gid = {_GID_AB} THEN s ELSE 0.0 END)").alias("nnz"),
-        F.expr(f"sum(CASE WHEN gid = {_GID_A} THEN 1 ELSE 0 END)").alias("n_levels"),
-        F.expr(f"min(CASE WHEN gid = {_GID_A} THEN a END)").alias("lo"))
-    rest = f"CASE WHEN {N} > nnz THEN ({N} - nnz) * log2({N} / ({N} - nnz)) ELSE 0.0 END"
-    out = g.select(*keys, F.expr(f"(t + nnz * log2({N}) + {rest}) / {N}").alias("mi"),
-                   F.col("nnz").cast("long").alias("nnz"), F.col("n_levels").cast("long").alias("n_levels"), "lo")
+    by_level = with_nb.selectExpr(*[f"`{c}`" for c in keys], "a", "CAST(n AS DOUBLE) AS n", "nb").repartition(*keys, "a")
+    na = by_level.groupBy(*keys, "a").agg(F.sum("n").alias("na"))
+    cells = (by_level.join(na.hint("shuffle_hash"), [*keys, "a"]).groupBy(*keys)
+             .agg(F.expr(f"sum(n * log2(n * {N} / (na * nb)))").alias("s_cell"), F.expr("sum(n)").alias("nnz"),
+                  F.expr("min(a)").alias("lo"), F.expr("sum(n / na)").alias("levels")))
+    met = with_nb.groupBy(*keys, "b").agg(F.expr("CAST(sum(n) AS DOUBLE)").alias("tb"), F.max("nb").alias("nb"))
+    zero = (met.join(cells, keys).groupBy(*keys, "s_cell", "nnz", "lo", "levels")
+            .agg(F.expr(f"sum(CASE WHEN nb IS NULL OR nb < tb THEN CAST(raise_error('{SHORT}') AS DOUBLE) "
+                        f"WHEN nb > tb THEN (nb - tb) * log2((nb - tb) * {N} / (({N} - nnz) * nb)) ELSE 0.0 END)").alias("s_zero"),
+                 F.expr("sum(nb)").alias("seen")))
+    rest = f"CASE WHEN {N} > seen AND {N} > nnz THEN ({N} - seen) * log2({N} / ({N} - nnz)) ELSE 0.0 END"
+    out = zero.select(*keys, F.expr(f"(s_cell + s_zero + {rest}) / {N}").alias("mi"),
+                      F.col("nnz").cast("long").alias("nnz"), F.expr("CAST(round(levels) AS BIGINT)").alias("n_levels"), "lo")
     if not cell_terms:
         return out
     return out.join(_cell_sums(with_nb, h, n_total, keys, hist_keys, cell_terms), keys)

@@ -235,6 +235,10 @@ class Selector:
             if i == n_iter or len(selected) >= self.k or not self.score.uses_redundancy:
                 continue
             winners = [r["feature"] for r in top]
+            if not names:
+                # joint terms only: nothing is counted against single winners
+                state = self._with_joints(state).checkpoint(eager=True)
+                continue
 
             def candidate_marginals():
                 # (feature, a, n): built on first need only (partial pairing, non-binary winners)
