@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 
@@ -29,6 +30,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of a batch that goes to Python: documents are long, and a batch lies in memory several
+#: times (off the heap in both directions, as columns and as texts).
+BATCH_ROWS = 2000
+
+
+def in_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows (lowered for the session)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def crc_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (null ids count as empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, stored
+from .common import crc_remainder, in_arrow, stored
 
 ORDER, DISCOUNT = 4, 0.75
 #: Expected rows per language that train, and the longest of them.
@@ -31,7 +31,7 @@ TRAIN_ROWS, TRAIN_CHARS = 2000, 200_000
 #: Symbols a language may use beyond those it has shown.
 UNSEEN = 1 << 12
 #: Characters handled at a time; longer texts are cut at blanks.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 18
 #: Nats per symbol beyond the worst calibrated text that reject a text.
 MARGIN = 0.5
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -199,16 +199,23 @@ def _ngram_counts(sample: DataFrame) -> DataFrame:
         for b in batches:
             langs, texts = np.array(b.column(0).to_pylist(), object), b.column(1).to_pylist()
             for lang in sorted(set(langs)):
-                sym, _ = symbols([texts[i] for i in np.flatnonzero(langs == lang)])
-                if not len(sym):
-                    continue
-                kinds, n = np.unique(np.stack(windows(sym)), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n)), *(pa.array(k.astype(np.int64)) for k in kinds), pa.array(n)],
-                    names=["lang", *(f"c{j}" for j in range(ORDER)), "n"])
+                held, size = [], 0
+                own = [p for i in np.flatnonzero(langs == lang) for p in _pieces(texts[i])]
+                for n, piece in enumerate(own, 1):
+                    held.append(piece)
+                    size += len(piece)
+                    if size < SLICE_CHARS and n < len(own):
+                        continue
+                    sym, _ = symbols(held)
+                    held, size = [], 0
+                    if len(sym):
+                        kinds, count = np.unique(np.stack(windows(sym)), axis=1, return_counts=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([lang] * len(count)), *(pa.array(k.astype(np.int64)) for k in kinds), pa.array(count)],
+                            names=["lang", *(f"c{j}" for j in range(ORDER)), "n"])
 
     cols = [f"c{j}" for j in range(ORDER)]
-    counted = sample.select("lang", "text").mapInArrow(run, "lang string, " + ", ".join(f"{c} long" for c in cols) + ", n long")
+    counted = in_arrow(sample.select("lang", "text"), run, "lang string, " + ", ".join(f"{c} long" for c in cols) + ", n long")
     return counted.groupBy("lang", *cols).agg(F.sum("n").alias("n"))
 
 
@@ -254,7 +261,7 @@ def fit(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> Identifier:
             np.maximum.at(worst, np.log2(np.maximum(m[ok], 1)).astype(int), ce[ok])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(worst)], names=["size", "ce"])
 
-    rows = sample.select("text").mapInArrow(run, "size long, ce double").groupBy("size").agg(F.max("ce").alias("ce"))
+    rows = in_arrow(sample.select("text"), run, "size long, ce double").groupBy("size").agg(F.max("ce").alias("ce"))
     bounds = np.full(64, -np.inf)
     for r in rows.collect():
         bounds[r["size"]] = r["ce"]
@@ -278,8 +285,8 @@ def identify(docs: DataFrame, who: Identifier) -> DataFrame:
                  pa.array(w.rejected(at, ce, n))], names=["doc_id", "lang_pred", "score", "rejected"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {ids}, lang_pred string, score double, rejected boolean")
+    return in_arrow(
+        docs.select("doc_id", "text"), run, f"doc_id {ids}, lang_pred string, score double, rejected boolean")
 
 
 def predict(docs: DataFrame) -> DataFrame:
@@ -299,4 +306,4 @@ def keep_known(docs: DataFrame) -> DataFrame:
             at, _, ce, n = w.best([t or "" for t in b.column(place).to_pylist()])
             yield b.filter(pa.array(~w.rejected(at, ce, n)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 KINDS = ("email", "ip", "card", "phone")
 #: An address's run before the at sign is read backwards and numbers are read from their first
 #: digit, so long runs cost linear time; the matches are those of the plain patterns.
@@ -312,5 +314,5 @@ def find(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 
     ids = docs.schema["doc_id"].dataType.simpleString()
     # texts without a digit or an at sign stay in the JVM
-    return docs.select("doc_id", F.when(F.col("text").rlike(GATE), F.col("text")).alias("text")).mapInArrow(
-        run, f"doc_id {ids}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
+    gated = docs.select("doc_id", F.when(F.col("text").rlike(GATE), F.col("text")).alias("text"))
+    return in_arrow(gated, run, f"doc_id {ids}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import connected_components, in_arrow, stored
 
 #: Bits per block of the pigeonhole; three blocks suffice for distances up to 5.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fp long")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {ids}, fp long")
 
 
 def grid_entries(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import byte_table, span_hashes, stored
+from .common import byte_table, in_arrow, span_hashes, stored
 
 ROW_IDS, BLOCK_IDS, MAX_BITS = 1 << 20, 1 << 10, 16
-#: Distinct text pieces whose ids a worker remembers at most.
-CACHE_PIECES = 3_000_000
+#: Distinct text pieces whose ids a worker remembers at most, characters encoded at a time, and
+#: the places where a longer text may be cut: one blank between other characters than white space.
+CACHE_PIECES, PART_CHARS = 1_000_000, 1 << 19
+CUT = re.compile(r"(?<=\S) (?=\S)")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Pieces that are one word with the blank before it; they are encoded many at a time.
 PLAIN = re.compile(r" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -117,8 +119,8 @@ class Encoder:
         order = np.argsort(keys, kind="stable")
         self.keys, self.at = keys[order], np.concatenate([self.at, n + np.arange(len(size))])[order]
 
-    def encode(self, texts: list[str], end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by ``end_id``, and the id count of each text."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the id count of each text."""
         import pandas as pd
         if len(self.keys) > CACHE_PIECES:
             self._forget()
@@ -149,13 +151,32 @@ class Encoder:
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
-        parts, lens = [], np.diff(bounds) + 1
-        tail = np.array([end_id], np.uint32)
-        for i, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            parts += [whole.get(i, ids[a:z]), tail]
-            if i in whole:
-                lens[i] = len(whole[i]) + 1
-        return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), lens
+        lens = np.diff(bounds)
+        if whole:
+            parts = [whole.get(i, ids[bounds[i]:bounds[i + 1]]) for i in range(len(texts))]
+            ids, lens = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, lens
+
+
+def parts(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Runs of about ``PART_CHARS`` characters: the row each part belongs to, and the parts."""
+    rows, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        t, at = t or "", 0
+        while True:
+            cut = CUT.search(t, at + PART_CHARS) if len(t) - at > PART_CHARS else None
+            end = cut.start() if cut else len(t)
+            rows.append(i)
+            held.append(t[at:end])
+            size += end - at
+            at = end
+            if size >= PART_CHARS:
+                yield rows, held
+                rows, held, size = [], [], 0
+            if at >= len(t):
+                break
+    if held:
+        yield rows, held
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
@@ -168,22 +189,36 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFr
         enc = _WORKER.get(tokenizer) or _WORKER.setdefault(tokenizer, Encoder(tokenizer))
         zstd = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                c = b.slice(at, 500)
-                ids, lens = enc.encode([t or "" for t in c.column(1).to_pylist()], end_id)
-                wide = ids.max(initial=0) >= 1 << 16
-                raw = ids.astype("<u4" if wide else "<u2")
-                cut = np.r_[0, np.cumsum(lens)]
-                packed = [(b"4" if wide else b"2") + zstd.compress(raw[a:z].tobytes())
-                          for a, z in zip(cut[:-1], cut[1:], strict=True)]
-                tie = [zlib.crc32(p) for p in packed]
-                yield pa.RecordBatch.from_arrays(
-                    [c.column(0), pa.array(lens), pa.array(tie, pa.int64()), pa.array(packed, pa.binary())],
+            held: dict[int, list[np.ndarray]] = {}
+            done = 0
+
+            def settle(upto: int) -> pa.RecordBatch:
+                """Rows whose parts are all there."""
+                packed, lens = [], []
+                for i in range(done, upto):
+                    ids = np.concatenate([*held.pop(i), np.array([end_id], np.uint32)])
+                    wide = ids.max() >= 1 << 16
+                    packed.append((b"4" if wide else b"2") + zstd.compress(ids.astype("<u4" if wide else "<u2").tobytes()))
+                    lens.append(len(ids))
+                return pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(done, upto - done), pa.array(lens, pa.int64()),
+                     pa.array([zlib.crc32(p) for p in packed], pa.int64()), pa.array(packed, pa.binary())],
                     names=["doc_id", "n_tokens", "tie", "packed"])
 
+            for rows, texts in parts(b.column(1).to_pylist()):
+                if rows[0] > done:
+                    yield settle(rows[0])
+                    done = rows[0]
+                ids, lens = enc.encode(texts)
+                ends = np.cumsum(lens)
+                for i, a, z in zip(rows, (ends - lens).tolist(), ends.tolist(), strict=True):
+                    held.setdefault(i, []).append(ids[a:z].copy())
+            if b.num_rows:
+                yield settle(b.num_rows)
+
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {ids}, n_tokens long, tie long, packed binary")
+    return in_arrow(
+        docs.select("doc_id", "text"), run, f"doc_id {ids}, n_tokens long, tie long, packed binary")
 
 
 def unpack(packed: bytes, zstd) -> np.ndarray:
@@ -205,7 +240,7 @@ def id_counts(encoded: DataFrame) -> DataFrame:
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
-    return encoded.select("packed").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return in_arrow(encoded.select("packed"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:

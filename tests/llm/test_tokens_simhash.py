@@ -48,7 +48,20 @@ def test_pieces_encode_like_whole_texts():
         ids, lens = enc.encode(texts[at:at + 700])
         cut = np.r_[0, np.cumsum(lens)]
         for t, a, z in zip(texts[at:at + 700], cut[:-1], cut[1:], strict=True):
-            assert ids[a:z].tolist() == [*enc.tok.encode(t, add_special_tokens=False).ids, 0]
+            assert ids[a:z].tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+
+
+def test_long_texts_are_cut_where_the_splitter_cuts(monkeypatch):
+    monkeypatch.setattr(token_codec, "PART_CHARS", 40)
+    rng = np.random.default_rng(9)
+    words = ["ab", "Cd,", " e", "\n", "é…", "\t", "12", "日本", "'s", "  ", "x" * 50]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(40)] + ["", None, "y" * 300]
+    enc, whole = token_codec.Encoder(tokenizer_path()), [[] for _ in texts]
+    for rows, some in token_codec.parts(texts):
+        ids, lens = enc.encode(some)
+        for i, a, n in zip(rows, np.cumsum(lens) - lens, lens, strict=True):
+            whole[i] += ids[a:a + n].tolist()
+    assert whole == [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def expected_digests(rows):
