@@ -347,7 +347,7 @@ def test_tables_counted_in_spark_equal_plain_counts(spark):
         _, step, index, _ = mixer.spelling.distinct(keys)
         for t, x in zip(plain, index, strict=True):
             np.add.at(t, (x.astype(np.int64) << 1) | (step & 1), 1)
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    docs = spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "text binary").repartition(3)
     flat = np.zeros(sum(len(t) for t in plain) // 2, np.int16)
     size = context_mixing.CHUNK // 2
     for r in context_mixing.count_bits(docs, spark.sparkContext.broadcast(mixer.spelling)).collect():
@@ -356,6 +356,16 @@ def test_tables_counted_in_spark_equal_plain_counts(spark):
     assert (flat == context_mixing.stretched(np.concatenate(plain))).all()
 
 
+def test_known_hashes_are_found():
+    rng = np.random.default_rng(8)
+    keys = np.unique(np.r_[rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.arange(40, dtype=np.uint64),
+                           np.uint64(2 ** 64 - 1) - np.arange(30, dtype=np.uint64)])
+    probe = np.r_[keys, rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.array([50, 2 ** 64 - 40], np.uint64)]
+    for some in (keys, keys[:1], keys[:0]):
+        want = [int(np.flatnonzero(some == h)[0]) if h in some else -1 for h in probe]
+        assert context_mixing.Known(some).find(probe).tolist() == want
+
+
 def test_lanes_equal_one_bit_after_the_other(spark):
     texts = [t for _, t, *_ in rows_of(spark, 60)]
     mixer = small_mixer(texts)
