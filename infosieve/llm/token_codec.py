@@ -16,7 +16,7 @@ decode all blocks of a row in lockstep through one table of ``2 ** MAX_BITS`` en
 
 Defined results: a null text encodes like an empty one (the end id alone); rows with equal
 ``doc_id`` are ordered by id count, then by a hash of their ids, null ids come last;
-special-token strings in a text are ordinary text; an empty table gives empty files; extra
+the strings of added tokens in a text get those tokens' ids, as the library gives them; an empty table gives empty files; extra
 columns are ignored.
 """
 
@@ -76,7 +76,9 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # the library finds these in the text before it splits; the longer one counts where two start
+        added = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=lambda t: (-len(t), t))
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.tok.model._resize_cache(0)  # no piece is asked for twice
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -124,8 +126,9 @@ class Encoder:
         import pandas as pd
         if len(self.keys) > CACHE_PIECES:
             self._forget()
+        # texts with other white space or an added token are left to the library
         whole = {i: np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
-                 for i, t in enumerate(texts) if OTHER_SPACE.search(t)}
+                 for i, t in enumerate(texts) if OTHER_SPACE.search(t) or (self.added and self.added.search(t))}
         raw = [b"" if i in whole else t.encode("utf-8", "surrogatepass") for i, t in enumerate(texts)]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
