@@ -2,14 +2,15 @@
 
 The patterns give the base spans.  The field labels tokens around digits and at signs; its
 graph has the chain of tokens and skip edges between distant tokens that repeat each other
-or share a key (all digits, the part before an at sign).  Loopy message passing lets an
+or share a key (all digits, the part before an at sign), with or without a digit.  A token
+that repeats a key of a token with a digit or an at sign takes part itself.  Loopy message passing lets an
 entity found once label its other mentions; a run of tokens whose label is certain enough
 (``CERTAIN``) and that no base span touches becomes a span of its own.
 
 Weights come from the pseudo-likelihood of a hash-drawn sample of at most ``TRAIN_DOCS``
 texts of at most ``TRAIN_CHARS`` characters, labelled by the patterns; a drawn part of the
 entities hides its pattern, so the shapes and the skip edges have to explain it.  Tokens that
-are neither candidates nor next to one are fixed to "no entity", so texts without a digit
+are neither candidates, nor repeat a key of one, nor stand next to such a token are fixed to "no entity", so texts without a digit
 or an at sign need no look.
 
 Defined results: null and empty texts have no spans; repeated rows give equal rows; spans are
@@ -106,7 +107,7 @@ def keys(token: str) -> set[str]:
     core = _CORE.sub("", token.lower()).strip(".")
     found = {core, core.split("@")[0]} if "@" in core else {core}
     digits = "".join(_DIGIT.findall(core))
-    found = {k for k in found if len(k) >= 5 and _DIGIT.search(k)}
+    found = {k for k in found if len(k) >= 5}
     return found | {"#" + digits} if len(digits) >= 6 else found
 
 
@@ -124,6 +125,11 @@ class Graph:
         tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
         words = [text[a:z] for a, z in tokens]
         candidate = [i for i, w in enumerate(words) if "@" in w or _DIGIT.search(w)]
+        shared: set[str] = set().union(*(keys(words[i]) for i in candidate))
+        plain = {k for k in shared if not _DIGIT.search(k)}
+        if plain:  # other tokens can only repeat a key without a digit
+            known = set(candidate)
+            candidate += [i for i, w in enumerate(words) if i not in known and len(w) >= 5 and not plain.isdisjoint(keys(w))]
         active = sorted({j for i in candidate for j in (i - 1, i, i + 1) if 0 <= j < len(words)})
         at, seen, previous, b = len(self.features), {}, -2, 0
         shapes: dict[int, str] = {}
@@ -155,7 +161,7 @@ class Graph:
                 self.fixed[-1] -= 1
                 self.fixed[-2] -= 1
             previous = i
-            for k in keys(w):
+            for k in keys(w) & shared:
                 if k in seen:
                     self.skip.append((seen[k], at + n))
                 seen[k] = at + n
