@@ -1,17 +1,14 @@
 """Signature rules of the licence scan: ``label | priority | keyword | pattern`` per line.
 
 Patterns run over normalised text: words of letters and digits joined by single blanks, so
-``Version 2.0`` reads ``version 2 0``.  A rule is tried only where its keyword occurs.
+``Version 2.0`` reads ``version 2 0``.  A rule is tried only where its keyword, which every
+match of its pattern holds, occurs.
 Priorities: 5 identifier or full name with version, 4 full name or characteristic grant
 text, 3 short name with a licence word, 2 generic licence phrase, 1 weak hint.
 """
 
 from __future__ import annotations
 
-#: Any rule's keyword contains one of these; texts without all of them are not scanned.
-STEMS = ("licen", "rights", "copyright", "copyleft", "cc", "gpl", "domain", "creative", "warrant", "redistribut",
-         "permission", "spdx", "patent")
-
 HAND_WRITTEN = r"""
 apache-2.0 | 5 | licen | apache licen[cs]e,? (?:v|ver|version )?2(?: 0)?
 apache-2.0 | 5 | licen | apache software licen[cs]e (?:v|version )?2(?: 0)?
@@ -31,21 +28,21 @@ mit | 4 | permission | permission is hereby granted free of charge to any person
 mit | 4 | warrant | the software is provided as is without warranty of any kind express or implied
 mit | 3 | licen | licen[cs]ed under (?:the )?(?:terms of (?:the )?)?mit
 mit | 2 | licen | mit style licen[cs]e
-mit-0 | 5 | licen | mit no attribution(?: licen[cs]e)?
+mit-0 | 5 | attribution | mit no attribution(?: licen[cs]e)?
 mit-0 | 5 | spdx | spdx licen[cs]e identifier mit 0
 x11 | 4 | licen | x11 licen[cs]e
 x11 | 4 | licen | x consortium licen[cs]e
 bsd-2-clause | 5 | spdx | spdx licen[cs]e identifier bsd 2 clause
 bsd-2-clause | 5 | licen | (?:simplified|2 clause|two clause) bsd licen[cs]e
-bsd-2-clause | 5 | licen | bsd 2 clause(?: simplified)?(?: licen[cs]e)?
+bsd-2-clause | 5 | clause | bsd 2 clause(?: simplified)?(?: licen[cs]e)?
 bsd-2-clause | 5 | licen | freebsd licen[cs]e
 bsd-3-clause | 5 | spdx | spdx licen[cs]e identifier bsd 3 clause
 bsd-3-clause | 5 | licen | (?:new|modified|revised|3 clause|three clause) bsd licen[cs]e
-bsd-3-clause | 5 | licen | bsd 3 clause(?: new)?(?: licen[cs]e)?
+bsd-3-clause | 5 | clause | bsd 3 clause(?: new)?(?: licen[cs]e)?
 bsd-3-clause | 4 | permission | may be used to endorse or promote products derived from this software without specific prior written permission
 bsd-4-clause | 5 | licen | (?:original|old|4 clause|four clause) bsd licen[cs]e
-bsd-4-clause | 5 | licen | bsd 4 clause(?: licen[cs]e)?
-bsd-0-clause | 5 | licen | (?:zero clause|0 clause) bsd(?: licen[cs]e)?
+bsd-4-clause | 5 | clause | bsd 4 clause(?: licen[cs]e)?
+bsd-0-clause | 5 | clause | (?:zero clause|0 clause) bsd(?: licen[cs]e)?
 bsd | 4 | redistribut | redistributions? (?:and use )?in source and binary forms with or without modification are permitted
 bsd | 4 | redistribut | redistributions of source code must retain the above copyright notice
 bsd | 4 | redistribut | redistributions in binary form must reproduce the above copyright notice
@@ -132,7 +129,7 @@ ecl-2.0 | 5 | licen | educational community licen[cs]e(?: version 2 0)?
 artistic-1.0 | 5 | licen | artistic licen[cs]e (?:v|version )?1(?: 0)?
 artistic-2.0 | 5 | licen | artistic licen[cs]e (?:v|version )?2(?: 0)?
 artistic | 4 | licen | (?:perl )?artistic licen[cs]e
-perl | 3 | licen | (?:under )?the same terms as perl(?: itself)? licen[cs]e
+perl | 3 | perl | (?:under )?the same terms as perl(?: itself)?(?: licen[cs]e)?
 psf | 4 | licen | python software foundation licen[cs]e
 psf | 4 | licen | psf licen[cs]e(?: agreement)?
 php-3.01 | 5 | licen | php licen[cs]e (?:v|version )?3 01
@@ -196,8 +193,8 @@ public-domain | 4 | domain | (?:released|placed|dedicated) (?:in|into|to) the pu
 public-domain | 3 | domain | (?:is|are) in the public domain
 public-domain | 2 | domain | public domain
 reserved | 3 | rights | all rights reserved
-reserved | 3 | rights | alle rechte vorbehalten copyrights?
-reserved | 2 | rights | no part of this (?:publication|work|book|document) may be reproduced rights
+reserved | 3 | vorbehalten | alle rechte vorbehalten
+reserved | 2 | reproduced | no part of this (?:publication|work|book|document) may be reproduced
 reserved | 2 | permission | may not be reproduced (?:or distributed )?without (?:prior )?(?:written )?permission
 copyright | 2 | copyright | copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?
 copyright | 1 | copyright | copyright (?:c|notice|holder|owner)
@@ -249,5 +246,14 @@ def rules() -> list[tuple[str, int, str, str]]:
     return listed + _creative_commons()
 
 
+def _stems() -> tuple[str, ...]:
+    """The rules' keywords without those that contain another one."""
+    words = {keyword for _, _, keyword, _ in rules()}
+    return tuple(sorted(w for w in words if not any(x != w and x in w for x in words)))
+
+
+#: Any rule's keyword contains one of these; texts without all of them are not scanned.
+STEMS = _stems()
+
 #: Base phrases and their labels, fixed by the contract of the query.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
