@@ -6,7 +6,8 @@ rows of about ``TRAIN_ROWS`` rows per language (hash-drawn; rows of over ``TRAIN
 characters don't train), counted by Spark; the driver turns the counts into one pair of
 sorted hash arrays per language and order.  A text gets the language of the lowest
 cross-entropy per symbol.  ``rejected`` marks texts whose best cross-entropy lies beyond
-what calibration saw at that length, plus a margin.
+the bound of that language and length, plus a margin.  The bound is a high quantile over the
+sample's calibration fold, scored by models without the counts of that fold.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and count as
 rejected; rows with a null ``lang`` don't train but are predicted; ties go to the smaller
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_remainder, in_arrow, stored
@@ -32,7 +33,9 @@ TRAIN_ROWS, TRAIN_CHARS = 2000, 200_000
 UNSEEN = 1 << 12
 #: Characters handled at a time; longer texts are cut at blanks.
 SLICE_CHARS = 1 << 18
-#: Nats per symbol beyond the worst calibrated text that reject a text.
+#: One row of so many of the sample calibrates; the quantile that is the bound (the next lower row's).
+CALIBRATE, QUANTILE = 5, 0.95
+#: Nats per symbol beyond the bound that reject a text.
 MARGIN = 0.5
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _WORKER: dict = {}
@@ -195,13 +198,19 @@ def train_rows(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> DataFrame:
     return stored(drawn.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "lang", "text"), "langid-sample")
 
 
+def _in_fold() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0
+
+
 def _ngram_counts(sample: DataFrame) -> DataFrame:
+    """``lang, c0 ..., n, n_fold``: counts over the sample, and over its calibration fold alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, texts = np.array(b.column(0).to_pylist(), object), b.column(1).to_pylist()
-            for lang in sorted(set(langs)):
+            folds = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for lang, in_fold in sorted(set(zip(langs.tolist(), folds.tolist(), strict=True))):
                 held, size = [], 0
-                own = [p for i in np.flatnonzero(langs == lang) for p in _pieces(texts[i])]
+                own = [p for i in np.flatnonzero((langs == lang) & (folds == in_fold)) for p in _pieces(texts[i])]
                 for n, piece in enumerate(own, 1):
                     held.append(piece)
                     size += len(piece)
@@ -212,19 +221,21 @@ def _ngram_counts(sample: DataFrame) -> DataFrame:
                     if len(sym):
                         kinds, count = np.unique(np.stack(windows(sym)), axis=1, return_counts=True)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(count)), *(pa.array(k.astype(np.int64)) for k in kinds), pa.array(count)],
-                            names=["lang", *(f"c{j}" for j in range(ORDER)), "n"])
+                            [pa.array([lang] * len(count)), *(pa.array(k.astype(np.int64)) for k in kinds), pa.array(count),
+                             pa.array(count * in_fold)],
+                            names=["lang", *(f"c{j}" for j in range(ORDER)), "n", "n_fold"])
 
     cols = [f"c{j}" for j in range(ORDER)]
-    counted = in_arrow(sample.select("lang", "text"), run, "lang string, " + ", ".join(f"{c} long" for c in cols) + ", n long")
-    return counted.groupBy("lang", *cols).agg(F.sum("n").alias("n"))
+    marked = sample.select("lang", "text", F.coalesce(_in_fold(), F.lit(False)))
+    counted = in_arrow(marked, run, "lang string, " + ", ".join(f"{c} long" for c in cols) + ", n long, n_fold long")
+    return counted.groupBy("lang", *cols).agg(F.sum("n").alias("n"), F.sum("n_fold").alias("n_fold"))
 
 
 class Identifier:
     """Models of all learned languages and the calibrated rejection bounds."""
 
     def __init__(self, langs: list[str], models: list[Model]):
-        self.langs, self.models, self.bounds = langs, models, np.full(64, np.inf)
+        self.langs, self.models, self.bounds = langs, models, np.full((len(langs), 64), np.inf)
 
     def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Language index (-1: none), score, cross-entropy and symbol count of every text."""
@@ -238,7 +249,29 @@ class Identifier:
         return np.where(n > 0, at, -1), np.where(n > 0, score, 0.0), low, n
 
     def rejected(self, at: np.ndarray, ce: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (at < 0) | (ce > self.bounds[np.log2(np.maximum(n, 1)).astype(int)] + MARGIN)
+        if not self.langs:
+            return at < 0
+        return (at < 0) | (ce > self.bounds[at, _bins(n)] + MARGIN)
+
+
+def _bins(n: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(n, 1)).astype(int)
+
+
+def calibrated(at: np.ndarray, ce: np.ndarray, n: np.ndarray, langs: int) -> np.ndarray:
+    """Bounds (languages x length bins) from the language, cross-entropy and symbols of calibration rows.
+
+    A bin without rows of its language takes the bound of the language's next longer bin that
+    has some, else of the next shorter one; a language without rows takes all languages' rows.
+    """
+    bins, bounds = _bins(n), np.full((langs, 64), np.inf)
+    for k in range(langs):
+        mine = at == k if (at == k).any() else at >= 0
+        own = {int(b): float(np.quantile(ce[mine & (bins == b)], QUANTILE, method="lower")) for b in np.unique(bins[mine])}
+        for b in range(64 if own else 0):
+            near = min((x for x in own if x >= b), default=max(own))
+            bounds[k, b] = own[near]
+    return bounds
 
 
 def fit(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> Identifier:
@@ -247,28 +280,29 @@ def fit(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> Identifier:
     got = _ngram_counts(sample).toArrow()
     lang = np.array(got.column("lang").to_pylist(), object)
     cols = [got.column(f"c{j}").to_numpy().astype(np.uint64) for j in range(ORDER)]
-    n = got.column("n").to_numpy()
+    counts, fold = got.column("n").to_numpy(), got.column("n_fold").to_numpy()
     langs = sorted(set(lang))
-    who = Identifier(langs, [Model([c[lang == x] for c in cols], n[lang == x]) for x in langs])
+
+    def models(n: np.ndarray) -> Identifier:
+        named = [x for x in langs if n[lang == x].any()]
+        return Identifier(named, [Model([c[(lang == x) & (n > 0)] for c in cols], n[(lang == x) & (n > 0)]) for x in named])
+
+    who = models(counts)
     if not langs:
         return who
-    shared = docs.sparkSession.sparkContext.broadcast(who)
+    apart = models(counts - fold)
+    # a sample too small for both parts calibrates on all its rows
+    drawn = sample.where(_in_fold()) if fold.any() and apart.langs == langs else sample
+    shared = docs.sparkSession.sparkContext.broadcast(apart if apart.langs == langs else who)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worst = np.full(64, -np.inf)
         for b in batches:
             at, _, ce, m = shared.value.best(b.column(0).to_pylist())
-            ok = at >= 0
-            np.maximum.at(worst, np.log2(np.maximum(m[ok], 1)).astype(int), ce[ok])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(worst)], names=["size", "ce"])
-
-    rows = in_arrow(sample.select("text"), run, "size long, ce double").groupBy("size").agg(F.max("ce").alias("ce"))
-    bounds = np.full(64, -np.inf)
-    for r in rows.collect():
-        bounds[r["size"]] = r["ce"]
-    # shorter texts vary more: a size without calibrated texts takes the bound of the next longer ones, else of the shorter
-    bounds = np.maximum.accumulate(bounds[::-1])[::-1]
-    who.bounds = np.where(np.isneginf(bounds), bounds[np.isfinite(bounds)].min(initial=np.inf), bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(ce), pa.array(m, pa.int64())], names=["at", "ce", "n"])
+
+    # three numbers per row of the bounded sample
+    rows = in_arrow(drawn.select("text"), run, "at long, ce double, n long").where("at >= 0").toArrow()
+    who.bounds = calibrated(*(rows.column(c).to_numpy() for c in ("at", "ce", "n")), len(langs))
     return who
 
 
