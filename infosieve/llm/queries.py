@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_mixing, decontam, langid, license_scan, mixing, pii, simhash, token_codec, topk, warc
+from . import (context_mixing, conversations, decontam, langid, license_scan, mixing, periodic, pii, rank_bpe, simhash,
+               token_codec, topk, warc)
 from .common import table
 
 
@@ -55,8 +56,22 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.score(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return rank_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                            public_tokenizers.PATTERN)
+
+
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix, op2_license, op3_token_ids, op4_simhash, op5_language, op6_decontaminate, op7_personal_data, op8_warc, op9_topk,
-                            op10_lm_score)}
+                            op10_lm_score, op11_periodic_runs, op12_rank_bpe, op13_repair_conversations)}
 ORACLE: dict[str, str] = {"op1_mix": mixing.ORACLE, "op8_warc": warc.ORACLE,
                           "op9_topk": topk.ORACLE}
