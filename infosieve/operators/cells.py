@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .alignment import KEY, drop_stored, feature_key, store_by_position, store_cells
 from .contingency import hinted
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -53,6 +54,16 @@ def col_of(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh_names(names: list[str], taken: list[str]) -> list[str]:
+    """``names``, each with as many underscores in front as it takes to be none of ``taken``."""
+    lower, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in lower:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def level_type(types: list[T.DataType]) -> T.DataType:
     """A type that holds the levels of all columns exactly: their own one (integers as LONG,
     floating point as DOUBLE), DOUBLE for small integers among floating point, else STRING."""
@@ -124,6 +135,9 @@ class _Instances:
     zero = 0.0
     feature_type: T.DataType = T.StringType()
 
+    #: Names of the carried columns; a layout whose rows have the user's column names picks others.
+    CARRY_B, CARRY_OTHER = "__b", "__other"
+
     def __init__(self, df: DataFrame, label: str, cache: bool):
         self.label = label
         if cache:
@@ -135,8 +149,9 @@ class _Instances:
         self._cached = cache
 
     # --- per layout -------------------------------------------------------------------
-    def explode(self, base: DataFrame, carry: list[str], exclude: list) -> DataFrame:
-        """``base`` (= rows plus carried columns) -> ``(carry..., feature, a)``, non-zero only."""
+    def explode(self, base: DataFrame, carry: list[str], exclude: list, only: list | None = None) -> DataFrame:
+        """``base`` (= rows plus carried columns) -> ``(carry..., feature, a)``, non-zero only; of the
+        features ``only``, if given, no other cell is made."""
         raise NotImplementedError
 
     def value_of(self, feature) -> Column:
@@ -178,29 +193,31 @@ class _Instances:
 
     def class_rows(self, exclude: list) -> DataFrame:
         """(feature, a, b): every non-zero cell of a candidate with the row's label."""
-        base = self.rows.select(col_of(self.label).alias("__b"), *self.payload())
-        return self.explode(base, ["__b"], exclude).select("feature", "a", F.col("__b").alias("b"))
+        b = self.CARRY_B
+        base = self.rows.select(col_of(self.label).alias(b), *self.payload())
+        return self.explode(base, [b], exclude).select("feature", "a", F.col(b).alias("b"))
 
     def winner_rows(self, winners: list, exclude: list, nonzero_only: bool = False,
-                    zero_only: bool = False) -> DataFrame:
-        """(feature, other, a, b): every non-zero candidate cell with each winner's value,
-        read from the same row (no join).  ``nonzero_only`` keeps only the rows where the
+                    zero_only: bool = False, only: list | None = None) -> DataFrame:
+        """(feature, other, a, b): every non-zero candidate cell (of the candidates ``only``, if given) with
+        each winner's value, read from the same row (no join).  ``nonzero_only`` keeps only the rows where the
         winner is non-zero (its support), ``zero_only`` those where it is zero; the skipped
         cells are then recovered from the candidates' marginals."""
+        b, other = self.CARRY_B, self.CARRY_OTHER
         if len(winners) == 1:
             w = winners[0]
-            base = self.rows.select(self.other_id(w).alias("__other"),
-                                    self.value_of(w).alias("__b"), *self.payload())
+            base = self.rows.select(self.other_id(w).alias(other),
+                                    self.value_of(w).alias(b), *self.payload())
         else:
-            others = F.array(*[F.struct(self.other_id(w).alias("__other"),
-                                        self.value_of(w).alias("__b")) for w in winners])
+            others = F.array(*[F.struct(self.other_id(w).alias(other),
+                                        self.value_of(w).alias(b)) for w in winners])
             base = self.rows.select(F.inline(others), *self.payload())
         if nonzero_only:
-            base = base.where(F.col("__b") != self.zero_level())
+            base = base.where(F.col(b) != self.zero_level())
         elif zero_only:
-            base = base.where(F.col("__b") == self.zero_level())
-        return self.explode(base, ["__other", "__b"], exclude).select(
-            "feature", F.col("__other").alias("other"), "a", F.col("__b").alias("b"))
+            base = base.where(F.col(b) == self.zero_level())
+        return self.explode(base, [other, b], exclude, only).select(
+            "feature", F.col(other).alias("other"), "a", F.col(b).alias("b"))
 
     def unpersist(self) -> None:
         if self._cached:
@@ -218,8 +235,6 @@ class WideInstances(_Instances):
     #: their levels in one array from the start (null where a number is zero), which has no
     #: width limit.  Same rows either way.
     EXPAND_COLUMNS = 200
-    LEVELS, BAD = "__levels", "__bad"
-
     def __init__(self, df: DataFrame, label: str, features: list[str] | None = None, cache: bool = True):
         features = list(features) if features is not None else [c for c in df.columns if c != label]
         if len(set(features)) != len(features):
@@ -233,11 +248,14 @@ class WideInstances(_Instances):
         self.features = features
         self._types = types
         self.in_array = len(features) > self.EXPAND_COLUMNS
+        self.CARRY_B, self.CARRY_OTHER, self.LEVELS, self.BAD = fresh_names(
+            ["__b", "__other", "__levels", "__bad"], [label, *features])
         rows = df.select(col_of(label), *[col_of(f) for f in features])
         if self.in_array:
             self._place = {f: i for i, f in enumerate(features)}
-            rows = df.select(col_of(label), F.array(*[self._level(f) for f in features]).alias(self.LEVELS),
-                             self._any_bad().alias(self.BAD))
+            # SQL text: one expression is parsed, where thousands of Column objects would be built
+            levels, bad = (F.expr(f"array({', '.join(make(f) for f in features)})") for make in (self._level_sql, self._bad_sql))
+            rows = df.select(col_of(label), levels.alias(self.LEVELS), F.exists(bad, lambda x: x).alias(self.BAD))
         super().__init__(rows, label, cache)
 
     def _level(self, feature) -> Column:
@@ -245,6 +263,20 @@ class WideInstances(_Instances):
         c = level(col_of(feature), self._types[feature], self.value_type)
         return F.when(c != self.zero_level(), c) if isinstance(self._types[feature], NUMERIC) else c
 
+    def _level_sql(self, feature) -> str:
+        """``_level`` as SQL text."""
+        name, dtype, to = "`" + feature.replace("`", "``") + "`", self._types[feature], self.value_type
+        number = f"CAST({name} AS INT)" if isinstance(dtype, T.BooleanType) else name
+        if not isinstance(dtype, NUMERIC):
+            return f"CAST({name} AS {to.simpleString()})"
+        # null where the number is zero; a null or NaN is found by ``_bad_sql``
+        return f"CASE WHEN {number} <> 0 THEN CAST({number} AS {to.simpleString()}) END"
+
+    def _bad_sql(self, feature) -> str:
+        name, dtype = "`" + feature.replace("`", "``") + "`", self._types[feature]
+        nan = f" OR isnan({name})" if isinstance(dtype, (T.FloatType, T.DoubleType)) else ""
+        return f"({name} IS NULL{nan})"
+
     def _any_bad(self) -> Column:
         return F.exists(F.array(*[_bad_value(col_of(f), self._types[f]) for f in self.features]), lambda x: x) \
             if self.features else F.lit(False)
@@ -257,13 +289,17 @@ class WideInstances(_Instances):
     def payload(self) -> list[Column]:
         return [F.col(self.LEVELS)] if self.in_array else [self._level(f).alias(f) for f in self.features]
 
-    def explode(self, base, carry, exclude):
-        keep = [f for f in self.features if f not in set(exclude)]
+    def explode(self, base, carry, exclude, only=None):
+        out_of = set(exclude)
+        keep = [f for f in (self.features if only is None else only) if f not in out_of]
         if not keep:
             return base.select(*carry, F.lit(None).cast("string").alias("feature"),
                                F.lit(None).cast(self.value_type).alias("a")).where(F.lit(False))
         if not self.in_array:
             return base.unpivot(carry, [col_of(f) for f in keep], "feature", "a").where(F.col("a").isNotNull())
+        if only is not None:
+            cells = [F.struct(F.lit(f).alias("feature"), F.col(self.LEVELS)[self._place[f]].alias("a")) for f in keep]
+            return base.select(*carry, F.inline(F.array(*cells))).where(F.col("a").isNotNull())
         names = F.array(*[F.lit(f) for f in self.features])
         out = (base.select(*carry, F.posexplode(self.LEVELS).alias("__i", "a")).where(F.col("a").isNotNull())
                .select(*carry, F.get(names, F.col("__i")).alias("feature"), "a"))
@@ -284,12 +320,12 @@ class ArrayInstances(_Instances):
     feature_type = T.IntegerType()
 
     def __init__(self, df: DataFrame, label: str, array_col: str, cache: bool = True):
-        self.array_col = array_col
         element = df.schema[array_col].dataType.elementType
         self.value_type = level_type([element])
         self.zero = zero_of(self.value_type) if isinstance(element, NUMERIC) else None
         values = F.transform(col_of(array_col), lambda x: level(x, element, self.value_type))
-        super().__init__(df.select(col_of(label), values.alias(array_col)), label, cache)
+        self.array_col = "__values"
+        super().__init__(df.select(col_of(label).alias("__label"), values.alias(self.array_col)), "__label", cache)
 
     def value_of(self, feature) -> Column:
         return col_of(self.array_col)[int(feature)]
@@ -297,8 +333,14 @@ class ArrayInstances(_Instances):
     def payload(self) -> list[Column]:
         return [col_of(self.array_col)]
 
-    def explode(self, base, carry, exclude):
-        out = base.select(*carry, F.posexplode(col_of(self.array_col)).alias("feature", "a"))
+    def explode(self, base, carry, exclude, only=None):
+        if only is None:
+            each = F.posexplode(col_of(self.array_col)).alias("feature", "a")
+        elif only:
+            each = F.inline(F.array(*[F.struct(F.lit(int(f)).alias("feature"), self.value_of(f).alias("a")) for f in only]))
+        else:
+            return base.select(*carry, F.lit(0).alias("feature"), self.zero_level().alias("a")).where(F.lit(False))
+        out = base.select(*carry, each)
         if self.zero is not None:
             out = out.where(F.col("a") != self.zero_level())
         ex = [int(e) for e in exclude]
@@ -334,11 +376,14 @@ class MapInstances(_Instances):
     hashing; users always see the original keys and ties are broken by them.
     """
 
-    def __init__(self, df: DataFrame, label: str, map_col: str, cache: bool = True, hash_keys: bool = False):
-        self.map_col = map_col
+    def __init__(self, df: DataFrame, label: str, map_col: str, cache: bool = True, hash_keys: bool = False,
+                 width: int | None = None):
         mt = df.schema[map_col].dataType
         if not isinstance(mt, T.MapType):
             raise ValueError(f"{map_col} is not a MAP column")
+        if width is not None and not isinstance(mt.keyType, T.IntegerType):
+            raise ValueError("a width needs positions (INT) as keys")
+        self.width = width
         self.name_type = mt.keyType
         is_str = isinstance(mt.keyType, T.StringType)
         self.hash_keys = bool(hash_keys) and is_str
@@ -350,7 +395,8 @@ class MapInstances(_Instances):
             raise ValueError(f"values of {mt.valueType.simpleString()} have no zero for absent features")
         m = F.transform_values(col_of(map_col), lambda k, v: level(v, mt.valueType, self.value_type))
         m = F.map_filter(m, lambda k, v: _bad_value(v, self.value_type) | (v != self.zero_level()))
-        super().__init__(df.select(col_of(label), m.alias(map_col)), label, cache)
+        self.map_col = "__cells"
+        super().__init__(df.select(col_of(label).alias("__label"), m.alias(self.map_col)), "__label", cache)
 
     def value_of(self, feature) -> Column:
         return F.coalesce(col_of(self.map_col)[F.lit(feature).cast(self.name_type)], self.zero_level())
@@ -361,8 +407,12 @@ class MapInstances(_Instances):
     def payload(self) -> list[Column]:
         return [col_of(self.map_col)]
 
-    def explode(self, base, carry, exclude):
-        out = base.select(*carry, F.explode(col_of(self.map_col)).alias("__key", "a"))
+    def explode(self, base, carry, exclude, only=None):
+        cells = col_of(self.map_col)
+        if only is not None:
+            wanted = [F.lit(f).cast(self.name_type) for f in only]
+            cells = F.map_filter(cells, lambda k, v: k.isin(wanted))
+        out = base.select(*carry, F.explode(cells).alias("__key", "a"))
         if exclude:
             out = out.where(~F.col("__key").isin(list(exclude)))
         key = F.xxhash64("__key") if self.hash_keys else F.col("__key")
@@ -388,6 +438,10 @@ class MapInstances(_Instances):
     def names(self) -> DataFrame | None:
         return self._names if self.hash_keys else None
 
+    def feature_ids(self) -> DataFrame | None:
+        """The positions of the declared ``width``, features that are zero everywhere included."""
+        return None if self.width is None else self.rows.sparkSession.range(self.width).select(F.col("id").cast("int").alias("feature"))
+
 
 class VectorInstances(MapInstances):
     """One ML vector column, read as its (index, value) pairs; feature ids are positions (INT)."""
@@ -398,9 +452,10 @@ class VectorInstances(MapInstances):
         self._size = F.when(sparse, v["size"]).otherwise(F.size(v["values"]))
         places = F.when(sparse, v["indices"]).otherwise(
             F.transform(v["values"], lambda x, i: i))
-        pairs = df.select(col_of(label), F.map_from_arrays(places, v["values"]).alias("cells"), self._size.alias("width"))
+        pairs = df.select(col_of(label).alias("y"), F.map_from_arrays(places, v["values"]).alias("cells"),
+                          self._size.alias("width"))
         self._widths = pairs.select("width")
-        super().__init__(pairs, label, "cells", cache)
+        super().__init__(pairs, "y", "cells", cache)
 
     def prepare(self, broadcast_rows: int) -> Prepared:
         p = super().prepare(broadcast_rows)
@@ -419,7 +474,11 @@ class FeatureWise:
     is ``(pos, b)`` with one row per instance position 0 ... n-1.  With ``dense`` the cells
     ``(feature, pos, x)`` hold zeros too, which vector scores need; they are cached once,
     partitioned by position when a position vector is too large to broadcast, and the
-    non-zero cells are read from them."""
+    non-zero cells are read from them.
+
+    ``store`` keeps the cells (and the class) in tables of that many buckets by position, sorted by feature
+    key inside each file, in place of the cache: a feature is fetched by a read that skips the row groups of
+    other features, and cells meet winners and class without moving (no exchange)."""
 
     broadcast_rows = 1_000_000
     winner_rows_takes_nnz = True
@@ -428,7 +487,8 @@ class FeatureWise:
 
     def __init__(self, cells: DataFrame, classes: DataFrame, ids: DataFrame, cache: bool = True,
                  lengths: DataFrame | None = None, dense: bool = False, value_type: T.DataType | None = None,
-                 zero=0.0):
+                 zero=0.0, store: int | None = None):
+        self.store = store
         self.source = cells           # (feature, pos, a): with zeros if dense
         self.dense = dense
         self.cells_df = None          # non-zero cells, set in prepare()
@@ -447,7 +507,7 @@ class FeatureWise:
 
     @classmethod
     def from_arrays(cls, df: DataFrame, id_col: str, values_col: str, classes: DataFrame,
-                    cache: bool = True) -> "FeatureWise":
+                    cache: bool = True, store: int | None = None) -> "FeatureWise":
         """``df(id, values ARRAY)`` plus ``classes(pos, label)``."""
         element = df.schema[values_col].dataType.elementType
         to = level_type([element])
@@ -457,12 +517,13 @@ class FeatureWise:
                               F.coalesce(F.exists("v", lambda x: _bad_value(x, to)), F.lit(True)).alias("bad"))
         return cls(base.select("feature", F.posexplode("v").alias("pos", "a"))
                    .select("feature", F.col("pos").cast("long").alias("pos"), "a"), classes, base.select("feature"), cache,
-                   lengths=lengths, dense=True, value_type=to, zero=zero_of(to) if isinstance(element, NUMERIC) else None)
+                   lengths=lengths, dense=True, value_type=to, zero=zero_of(to) if isinstance(element, NUMERIC) else None,
+                   store=store)
 
     @classmethod
     def from_cells(cls, cells: DataFrame, classes: DataFrame, feature: str = "feature", pos: str = "pos",
                    value: str = "value", ids: DataFrame | None = None, cache: bool = True,
-                   dense: bool = False, check_unique: bool = True) -> "FeatureWise":
+                   dense: bool = False, check_unique: bool = True, store: int | None = None) -> "FeatureWise":
         """Long cells.  ``dense=True`` says every (feature, position) cell is present, zeros
         included, which vector scores need."""
         kind = cells.schema[value].dataType
@@ -470,7 +531,7 @@ class FeatureWise:
         c = cells.select(col_of(feature).alias("feature"), col_of(pos).cast("long").alias("pos"),
                          level(col_of(value), kind, to).alias("a"))
         out = cls(c, classes, ids if ids is not None else c.select("feature").distinct(), cache, dense=dense,
-                  value_type=to, zero=zero_of(to))
+                  value_type=to, zero=zero_of(to), store=store)
         out.check_unique = check_unique
         return out
 
@@ -491,7 +552,12 @@ class FeatureWise:
         held = self.source
         if not self.dense and self.zero is not None:
             held = held.where(_bad_value(F.col("a"), self.value_type) | (F.col("a") != self.zero_level()))
-        if self._cache and self._held is None:
+        if self.store is not None:
+            if self._held is None:
+                self._held = store_cells(held.select("feature", "pos", "a"), self.store)
+                self._class_table = store_by_position(cl, self.store)
+            held, cl = self._held, self._class_table
+        elif self._cache and self._held is None:
             if n > self.broadcast_rows:
                 # position vectors too large to broadcast: co-locate the cells by position once,
                 # so every later join on pos shuffles only the (small) vector side
@@ -532,23 +598,31 @@ class FeatureWise:
     def _candidates(self, cells: DataFrame, exclude: list | None) -> DataFrame:
         return cells.where(~F.col("feature").isin(list(exclude))) if exclude else cells
 
+    def _fetch(self, cells: DataFrame, features: list) -> DataFrame:
+        """The cells of some features (F3); on a stored table the keys prune what is read."""
+        wanted = cells.where(F.col("feature").isin([F.lit(f).cast(self.feature_type) for f in features]))
+        if self.store is None:
+            return wanted
+        return wanted.where(F.col(KEY).isin([feature_key(F.lit(f).cast(self.feature_type)) for f in features]))
+
     def _by_position(self, cells: DataFrame, features: list) -> DataFrame:
         """``(pos, m)``: the given features' values at each position as a map, read in one scan."""
-        return (cells.where(F.col("feature").isin(list(features))).groupBy("pos")
+        return (self._fetch(cells, features).groupBy("pos")
                 .agg(F.map_from_entries(F.collect_list(F.struct("feature", "a"))).alias("m")))
 
     def class_rows(self, exclude: list) -> DataFrame:
         # every position has a class: inner equi-join; the class side is broadcast only below the bound
         return (self._candidates(self.cells_df, exclude)
-                .join(hinted(self._class, self._n, self.broadcast_rows, "shuffle_hash"), "pos").select("feature", "a", "b"))
+                .join(hinted(self._class, self._n, self.broadcast_rows), "pos").select("feature", "a", "b"))
 
     def winner_rows(self, winners: list, exclude: list, nnz: dict | None = None,
-                    nonzero_only: bool = False, zero_only: bool = False) -> DataFrame:
-        """(feature, other, a, b): all winners' values meet the candidates in one join on position."""
+                    nonzero_only: bool = False, zero_only: bool = False, only: list | None = None) -> DataFrame:
+        """(feature, other, a, b): all winners' values meet the candidates (``only`` those given) in one
+        join on position."""
         by_pos = self._by_position(self.cells_df, winners)
         rows = min(self._n, sum(int(x) for x in (nnz or {}).values())) if nnz else None
-        c = self._candidates(self.cells_df, exclude)
-        j = c.join(hinted(by_pos, rows, self.broadcast_rows, "shuffle_hash"), "pos", "inner" if nonzero_only else "left")
+        c = self._candidates(self.cells_df, exclude) if only is None else self._fetch(self.cells_df, only)
+        j = c.join(hinted(by_pos, rows, self.broadcast_rows), "pos", "inner" if nonzero_only else "left")
         if nonzero_only:
             return j.select("feature", "a", F.explode("m").alias("other", "b")).select("feature", "other", "a", "b")
         each = F.explode(F.array(*[F.lit(w).cast(self.feature_type) for w in winners]))
@@ -574,9 +648,9 @@ class FeatureWise:
         d = self._candidates(self._vectors(), exclude)
         aggs = [fn.fn(F.col("a"), F.col("y")).alias(k) for k, fn in terms.items()]
         if winners is None:
-            y = hinted(self._class_values(), self._n, self.broadcast_rows, "shuffle_hash")
+            y = hinted(self._class_values(), self._n, self.broadcast_rows)
             return d.join(y, "pos").groupBy("feature").agg(*aggs)
-        by_pos = hinted(self._by_position(self._vectors(), winners), self._n, self.broadcast_rows, "shuffle_hash")
+        by_pos = hinted(self._by_position(self._vectors(), winners), self._n, self.broadcast_rows)
         return (d.join(by_pos, "pos").select("feature", "a", F.explode("m").alias("other", "y"))
                 .groupBy("feature", "other").agg(*aggs))
 
@@ -587,7 +661,7 @@ class FeatureWise:
         side = self._class_values()
         if selected:
             side = side.join(self._by_position(self._vectors(), selected), "pos")
-        j = d.join(hinted(side, self._n, self.broadcast_rows, "shuffle_hash"), "pos")
+        j = d.join(hinted(side, self._n, self.broadcast_rows), "pos")
         s = [F.col("m")[F.lit(w).cast(self.feature_type)] for w in selected]
         return j.groupBy("feature").agg(*[fn.fn(F.col("a"), F.col("y"), s).alias(k) for k, fn in terms.items()])
 
@@ -596,23 +670,56 @@ class FeatureWise:
 
     def unpersist(self) -> None:
         if self._held is not None:
-            self._held.unpersist()
+            if self.store is None:
+                self._held.unpersist()
+            else:
+                drop_stored(self._held, self._class_table)
             self._held = None
 
 
 def to_cells(df: DataFrame, row_id: str, features: list[str] | None = None, array_col: str | None = None,
              map_col: str | None = None) -> DataFrame:
-    """Unpivot any instance table to its non-zero cells ``(row_id, feature, value)``."""
+    """Unpivot any instance table to its non-zero cells ``(row_id, feature, value)``.
+
+    Values are levels as the layouts compare them (``level_type``): integers and decimals exactly, columns
+    of different types as strings.  Only numbers have a zero to leave out; nulls and NaNs raise."""
+    if row_id.lower() in ("feature", "value"):
+        raise ValueError(f"the row id column can't be named {row_id!r}")
     rid = col_of(row_id).alias(row_id)
+
+    def cell(value: Column, dtype: T.DataType, to: T.DataType) -> Column:
+        bad = F.raise_error(F.lit("null or NaN feature value")).cast(to)
+        return F.when(_bad_value(value, dtype), bad).otherwise(level(value, dtype, to))
+
+    def nonzero(value: Column, to: T.DataType) -> Column:
+        return value != F.lit(zero_of(to)).cast(to)
+
     if array_col:
-        return (df.select(rid, F.posexplode(col_of(array_col).cast("array<double>")).alias("feature", "value"))
-                .where(F.col("value") != 0.0))
-    if map_col:
-        return (df.select(rid, F.explode(col_of(map_col)).alias("feature", "value"))
-                .where(F.col("value") != 0.0))
-    features = features or [c for c in df.columns if c != row_id]
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"), col_of(f).cast("double").alias("value")) for f in features])
-    return df.select(rid, F.inline(arr)).where(F.col("value") != 0.0)
+        dtype = df.schema[array_col].dataType.elementType
+        to = level_type([dtype])
+        cells = F.transform(col_of(array_col), lambda x, i: F.struct(i.alias("feature"), cell(x, dtype, to).alias("value")))
+        if isinstance(dtype, NUMERIC):
+            cells = F.filter(cells, lambda c: nonzero(c["value"], to))
+    elif map_col:
+        dtype = df.schema[map_col].dataType.valueType
+        to = level_type([dtype])
+        cells = F.transform(F.map_entries(col_of(map_col)), lambda e: F.struct(
+            e["key"].alias("feature"), cell(e["value"], dtype, to).alias("value")))
+        if zero_of(to) is not None:
+            cells = F.filter(cells, lambda c: nonzero(c["value"], to))
+    else:
+        types = {f.name: f.dataType for f in df.schema.fields}
+        features = list(features) if features is not None else [c for c in df.columns if c != row_id]
+        to = level_type([types[f] for f in features]) if features else T.DoubleType()
+        each = []
+        for f in features:
+            value = cell(col_of(f), types[f], to)
+            if isinstance(types[f], NUMERIC):
+                value = F.when(nonzero(value, to), value)
+            each.append(F.struct(F.lit(f).alias("feature"), value.alias("value")))
+        cells = F.filter(F.array(*each), lambda c: c["value"].isNotNull()) if each else F.array().cast(
+            "array<struct<feature:string,value:double>>")
+    return df.select(rid, F.inline(cells))
 
 
 def layout_for(df: DataFrame, label: str, features: str | list[str] | None = None, **kw):

@@ -21,13 +21,17 @@ from pyspark.sql import functions as F
 from ..functions.entropy import xlog2x
 from .contingency import SHORT, hinted, level_grid
 
+#: Counted cells of one table up to which a task may sort a whole table.
+FEW_CELLS = 1 << 20
+
 # grouping_id() values for grouping sets over (keys..., a, b): bit 1 = a rolled up, bit 0 = b
 _GID_AB, _GID_A, _GID_B, _GID_F = 0, 1, 2, 3
 
 
 def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[str],
                   hist_keys: list[str] | None = None, hist_rows: int | None = None,
-                  broadcast_rows: int = 1_000_000, cell_terms: dict | None = None) -> DataFrame:
+                  broadcast_rows: int = 1_000_000, cell_terms: dict | None = None,
+                  table_cells: int | None = None) -> DataFrame:
     """Return ``(keys..., mi, nnz, n_levels, lo, <cell terms>...)``.
 
     ``hist`` has columns ``(hist_keys..., b, nb)``; ``hist_keys`` is a subset of ``keys`` that
@@ -42,15 +46,22 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[st
 
     ``cell_terms`` maps names to ``fn(n, na, nb, N) -> Column``; each is summed over all
     non-zero cells of every complete table (zero row included).
+
+    ``table_cells`` is a bound of the counted cells of one table.  Up to ``FEW_CELLS`` the counts are
+    partitioned by table once and every sum is a window inside that partitioning; larger or
+    unknown tables are spread by (table, level) and joined with their sums.
     """
     hist_keys = list(hist_keys or [])
     h = hist.select(*hist_keys, "b", F.col("nb").cast("double").alias("nb"))
     with_nb = pairs.join(hinted(h, hist_rows, broadcast_rows), hist_keys + ["b"], "left")
     # SQL text: one round trip to the JVM per column keeps the planning time of an iteration small
     N = repr(float(n_total))
+    if table_cells is not None and table_cells <= FEW_CELLS:
+        out = _mi_of_small_tables(with_nb, N, keys)
+        return out.join(_cell_sums(with_nb, h, n_total, keys, hist_keys, cell_terms), keys) if cell_terms else out
     by_level = with_nb.selectExpr(*[f"`{c}`" for c in keys], "a", "CAST(n AS DOUBLE) AS n", "nb").repartition(*keys, "a")
     na = by_level.groupBy(*keys, "a").agg(F.sum("n").alias("na"))
-    cells = (by_level.join(na.hint("shuffle_hash"), [*keys, "a"]).groupBy(*keys)
+    cells = (by_level.join(na, [*keys, "a"]).groupBy(*keys)
              .agg(F.expr(f"sum(n * log2(n * {N} / (na * nb)))").alias("s_cell"), F.expr("sum(n)").alias("nnz"),
                   F.expr("min(a)").alias("lo"), F.expr("sum(n / na)").alias("levels")))
     met = with_nb.groupBy(*keys, "b").agg(F.expr("CAST(sum(n) AS DOUBLE)").alias("tb"), F.max("nb").alias("nb"))
@@ -66,6 +77,24 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[st
     return out.join(_cell_sums(with_nb, h, n_total, keys, hist_keys, cell_terms), keys)
 
 
+def _mi_of_small_tables(with_nb: DataFrame, N: str, keys: list[str]) -> DataFrame:
+    """The columns of ``mi_from_pairs`` from counts with their ``nb``; one exchange by table."""
+    by = ", ".join(f"`{c}`" for c in keys)
+    w = with_nb.select(*keys, "a", "b", F.col("n").cast("double").alias("n"), "nb").repartition(*keys).selectExpr(
+        *[f"`{c}`" for c in keys], "a", "n", "nb", f"sum(n) OVER (PARTITION BY {by}, a) AS na",
+        f"sum(n) OVER (PARTITION BY {by}, b) AS tb", f"sum(n) OVER (PARTITION BY {by}) AS nnz")
+    # the zero cell of level b is added once, shared out over the rows of that level
+    zero = (f"CASE WHEN nb IS NULL OR nb < tb THEN CAST(raise_error('{SHORT}') AS DOUBLE) "
+            f"WHEN nb > tb THEN n / tb * (nb - tb) * log2((nb - tb) * {N} / (({N} - nnz) * nb)) ELSE 0.0 END")
+    sums = w.groupBy(*keys).agg(
+        F.expr(f"sum(n * log2(n * {N} / (na * nb)))").alias("s_cell"), F.expr(f"sum({zero})").alias("s_zero"),
+        F.expr("max(nnz)").alias("nnz"), F.expr("min(a)").alias("lo"), F.expr("sum(n / na)").alias("levels"),
+        F.expr("round(sum(n / tb * nb))").alias("seen"))
+    rest = f"CASE WHEN {N} > seen AND {N} > nnz THEN ({N} - seen) * log2({N} / ({N} - nnz)) ELSE 0.0 END"
+    return sums.select(*keys, F.expr(f"(s_cell + s_zero + {rest}) / {N}").alias("mi"), F.col("nnz").cast("long").alias("nnz"),
+                       F.expr("CAST(round(levels) AS BIGINT)").alias("n_levels"), "lo")
+
+
 def _cell_sums(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[str], hist_keys: list[str],
                terms: dict) -> DataFrame:
     """``keys..., <name>``: each term summed over the counted cells and over the zero row."""
@@ -99,6 +128,7 @@ def mi_from_full_table(table: DataFrame, keys: list[str]) -> DataFrame:
 
 def mutual_information_columns(df: DataFrame, x: str, y: str) -> DataFrame:
     """MI of two discrete columns of one table (A10): ``(mi)``, one row."""
-    t = (df.groupBy(F.col(x).alias("a"), F.col(y).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    from .cells import col_of
+    t = (df.groupBy(col_of(x).alias("a"), col_of(y).alias("b")).agg(F.count(F.lit(1)).alias("n"))
          .withColumn("k", F.lit(0)))
     return mi_from_full_table(t, ["k"]).select("mi")

@@ -4,13 +4,15 @@ A score turns per-candidate statistics into one number per iteration.  Statistic
 *terms*: every term is measured once against the class (``rel[name]``) and, in each
 iteration, against each newly selected feature; the running sums over the selected set are
 ``red[name]``, ``red[name + "_max"]`` and ``red[name + "_min"]`` the largest and smallest value
-against one selected feature (0 while nothing is selected).  Four kinds of term exist:
+against one selected feature (0 while nothing is selected).  Five kinds of term exist:
 
 * ``"mi"``                      - mutual information in bits (sparse closed form, any layout)
 * ``CellTerm(fn)``             - ``sum over the non-zero cells of the full contingency table``
                                   of ``fn(n, na, nb, N)`` (zero cells recovered explicitly)
 * ``VectorAgg(fn)``            - an aggregate ``fn(x, y)`` over the aligned value vectors of the
                                   candidate and the other variable (feature-wise input)
+* ``RankTerm(kind)``           - ``"spearman"`` or ``"kendall"`` rank correlation (tau-b) of the two variables,
+                                  ties by mean ranks; levels need an order, strings take their own
 * ``JointAgg(fn)``             - an aggregate ``fn(x, y, s)`` over the aligned values of the candidate,
                                   the class and all selected features (a list, in selection
                                   order); measured anew in each iteration, found in ``rel``
@@ -43,10 +45,22 @@ class JointAgg:
     fn: Callable[[Column, Column, list], Column]
 
 
+@dataclass(frozen=True)
+class RankTerm:
+    kind: str
+
+    def __post_init__(self):
+        if self.kind not in ("spearman", "kendall"):
+            raise ValueError(f"unknown rank statistic {self.kind!r}")
+
+
 class Score:
     """Base class.  Override ``column``; ``terms`` defaults to mutual information only."""
 
     name = "score"
+    #: True says that the score never rises while the ``red`` sums and maxima grow (and minima are not
+    #: used), for pair values of at least 0; then a partial redundancy gives an upper bound.
+    bounded = False
     terms: dict = {"mi": "mi"}
     uses_redundancy = True
 
@@ -69,6 +83,7 @@ class MRMR(Score):
     """MI(f, class) - c * sum_s MI(f, s); c = 1 for up to one selected feature, else 1/|S|."""
 
     name = "mrmr"
+    bounded = True
 
     def column(self, rel, red, n_selected, i, nfs):
         coef = 1.0 if n_selected <= 1 else 1.0 / n_selected
@@ -108,8 +123,9 @@ class ExprScore(Score):
     """Score from a user function ``fn(rel, red, n_selected, i, nfs) -> Column``."""
 
     def __init__(self, fn, terms: dict | None = None, select_top: int = 1, max_iterations=None,
-                 name: str = "expr", pair_values=None):
+                 name: str = "expr", pair_values=None, bounded: bool = False):
         self.fn = fn
+        self.bounded = bounded
         self.terms = dict(terms or {"mi": "mi"})
         self._pair = pair_values
         self._top = select_top
@@ -162,7 +178,7 @@ def symmetric_uncertainty_mrmr() -> ExprScore:
 
 def max_redundancy_mrmr() -> ExprScore:
     """MI(f, class) minus the largest MI(f, s): a table score that is no sum over the selected."""
-    return ExprScore(lambda rel, red, n, i, k: rel["mi"] - red["mi_max"], name="max_redundancy")
+    return ExprScore(lambda rel, red, n, i, k: rel["mi"] - red["mi_max"], name="max_redundancy", bounded=True)
 
 
 _REGISTRY = {

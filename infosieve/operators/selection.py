@@ -16,6 +16,13 @@ Plan per run:
 A winner is paired on its support or on its zero rows only (``sparse_winners``) where that
 reads fewer cells; results never depend on it.
 
+Lazy redundancy (``lazy``): a score that can only fall while redundancy is added (``Score.bounded``) has
+an upper bound for every candidate, its score with the redundancy counted so far.  An iteration then
+counts, in batches of the highest bounds, only candidates whose bound reaches the best scores known, until
+the best are certain.  The picks are the same; ``trace`` tells what was counted.  The redundancy of single
+candidates is kept on the driver, at most ``lazy_limit`` of them; beyond that, or after
+``LAZY_ROUNDS`` batches in one iteration, one pass counts all candidates and the state takes over.
+
 ``select_top`` is cut to the features still missing from ``k``, so exactly ``k`` features are
 returned where enough candidates exist.
 
@@ -33,9 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .contingency import count_pairs, marginals, recover_missing_cells, recover_zero_other
-from .information import mi_from_pairs
-from .scores import CellTerm, JointAgg, Score, VectorAgg, get_score
+from .contingency import count_pairs, full_table, marginals, recover_missing_cells, recover_zero_other
+from .information import FEW_CELLS, mi_from_pairs
+from .ranks import rank_terms
+from .scores import CellTerm, JointAgg, RankTerm, Score, VectorAgg, get_score
 
 
 log = logging.getLogger("infosieve.selection")
@@ -66,12 +74,17 @@ def _clean(c):
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c.cast("double"))
 
 
+#: Batches of one iteration before all candidates are counted, and candidates from which "auto" is lazy.
+LAZY_ROUNDS, LAZY_FROM = 5, 20_000
+
+
 class Selector:
     """Run a selection over a layout; ``run()`` returns ``(rank, feature, score)``."""
 
     def __init__(self, layout, k: int, score="mrmr", broadcast_rows: int = 1_000_000,
                  all_zero: str = "drop", release_input: bool = True,
-                 sparse_winners="auto", checkpoint_every: int = 1):
+                 sparse_winners="auto", checkpoint_every: int = 1, lazy="auto", lazy_batch: int = 64,
+                 lazy_limit: int = 10_000):
         if k < 0:
             raise ValueError("k must be >= 0")
         if all_zero not in ("drop", "keep"):
@@ -88,6 +101,12 @@ class Selector:
         if checkpoint_every < 1:
             raise ValueError("checkpoint_every must be >= 1")
         self.checkpoint_every = checkpoint_every
+        if lazy not in ("auto", True, False):
+            raise ValueError("lazy must be 'auto', True or False")
+        if lazy is True and not self.score.bounded:
+            raise ValueError(f"the score {self.score.name!r} gives no upper bounds (Score.bounded)")
+        self.lazy, self.lazy_batch, self.lazy_limit = lazy and self.score.bounded, int(lazy_batch), int(lazy_limit)
+        self.trace: list[tuple] = []
         layout.broadcast_rows = broadcast_rows
         self.terms = dict(self.score.terms)
         self.mi = any(v == "mi" for v in self.terms.values())
@@ -95,6 +114,7 @@ class Selector:
         self.vectors = {k_: v for k_, v in self.terms.items() if isinstance(v, VectorAgg)}
         self.joints = {k_: v for k_, v in self.terms.items() if isinstance(v, JointAgg)}
         self.summed = [k_ for k_ in self.terms if k_ not in self.joints]
+        self.ranks = {k_: v for k_, v in self.terms.items() if isinstance(v, RankTerm)}
         if (self.vectors or self.joints) and not hasattr(layout, "vector_terms"):
             raise ValueError("vector scores need feature-wise input with dense value arrays")
 
@@ -102,13 +122,16 @@ class Selector:
     _selected: list = []
 
     def _raw_terms(self, pairs: DataFrame, keys: list, hist: DataFrame, hist_keys: list,
-                   hist_rows: int, winners: list | None) -> DataFrame:
-        """Per (keys) table: every raw term of the score as a column ``t_<name>``.  MI and cell
+                   hist_rows: int, winners: list | None, table_cells: int | None = None) -> DataFrame:
+        """Per (keys) table: every raw term of the score as a column ``t_<name>``.  MI, cell and rank
         terms come from the pair counts; vector terms from the value vectors."""
         out = mi_from_pairs(pairs, hist, self.n, keys, hist_keys, hist_rows, self.broadcast_rows,
-                            cell_terms={k_: v.fn for k_, v in self.cells.items()})
+                            cell_terms={k_: v.fn for k_, v in self.cells.items()}, table_cells=table_cells)
         out = out.select(*keys, "nnz", "n_levels", "lo", *([F.col("mi").alias("t_mi")] if self.mi else []),
                          *[F.col(k_).alias("t_" + k_) for k_ in self.cells])
+        if self.ranks:
+            whole = full_table(pairs, hist, keys, self.layout.zero, hist_keys) if self.layout.zero is not None else pairs
+            out = out.join(rank_terms(whole, keys, {k_: v.kind for k_, v in self.ranks.items()}, "t_"), keys, "left")
         if self.vectors:
             vs = self.layout.vector_terms(winners, self.vectors, exclude=self._selected)
             vs = vs.select(*keys, *[F.col(k_).alias("t_" + k_) for k_ in self.vectors])
@@ -179,8 +202,10 @@ class Selector:
         # checkpointed (not cached): AQE sizes its partitions to the aggregated data, while a
         # cached plan keeps spark.sql.shuffle.partitions of them; it is read by the relevance
         # pass, the winners' histograms and the sparse-winner recovery
-        ct = count_pairs(lay.class_rows([]), ["feature"]).checkpoint(eager=True)
-        raw = self._raw_terms(ct, ["feature"], prep.hist, [], prep.n_classes, None)
+        counted = lay.class_counts() if hasattr(lay, "class_counts") else count_pairs(lay.class_rows([]), ["feature"])
+        self._ct, self._marg = counted.checkpoint(eager=True), None
+        widest = self._ct.groupBy("feature").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
+        raw = self._raw_terms(self._ct, ["feature"], prep.hist, [], prep.n_classes, None, int(widest or 0))
         rel = self._pair_values(raw)
         names = list(rel)
         state = raw.select("feature", F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"),
@@ -208,102 +233,207 @@ class Selector:
             if int(seen) != expected:
                 raise ValueError(f"{expected - int(seen)} cells lie outside the class vector's positions")
         clock.lap("relevance")
-        marg = None
-
         selected: list = []           # internal ids (state, marginals)
-        selected_names: list = []     # the layout's own ids (row lookups, exclusion)
         self._selected = selected
+        self._names, self._named, self._state, self._picked, self._base = names, names_df is not None, state, [], 0
+        self._fresh: dict = {}        # candidates counted on their own: sums, maxima and minima, winners counted
+        if self.lazy == "auto":
+            self.lazy = self._state_sizes(state)[3] >= LAZY_FROM and not self.vectors and not self.joints
         n_iter = self.score.max_iterations(self.k)
         for i in range(1, n_iter + 1):
             m = min(self.score.select_top(i, self.k), self.k - len(selected))
             if m <= 0:
                 break
-            red = {c: F.col("red_" + c) for c in names}
-            red |= {f"{c}_{e}": F.coalesce(f"{e}_{c}", F.lit(0.0)) for e in ("max", "min") for c in names}
-            sc = _clean(self.score.column({c: F.col("rel_" + c) for c in [*names, *self.joints]}, red,
-                                          len(selected), i, self.k))
-            cand = state.where(~F.col("feature").isin(selected)) if selected else state
-            top = (cand.select("feature", F.col(name_col).alias("name"), sc.alias("score"), "nnz", "n_levels", "lo")
-                   .orderBy(*_ordering(by="name")).limit(m).collect())
+            top = self._best(i, m)
             clock.lap(f"iteration {i}: pick")
             if not top:
                 break
             for r in top:
                 selected.append(r["feature"])
-                selected_names.append(r["name"])
+                self._picked.append(r)
                 result.append((len(selected), r["name"], r["score"]))
             if i == n_iter or len(selected) >= self.k or not self.score.uses_redundancy:
                 continue
-            winners = [r["feature"] for r in top]
             if not names:
                 # joint terms only: nothing is counted against single winners
-                state = self._with_joints(state).checkpoint(eager=True)
-                continue
-
-            def candidate_marginals():
-                # (feature, a, n): built on first need only (partial pairing, non-binary winners)
-                nonlocal marg
-                if marg is None:
-                    marg = marginals(ct, ["feature"]).checkpoint(eager=True)
-                return marg
-            # a sparse winner (small support) is paired only on its support; the b = 0 cells
-            # come from the candidates' marginals, so the pass reads a fraction of the cells
-            mode = self.sparse_winners
-            sparse = (lay.zero is not None and mode != "zero_rows"
-                      and self._pair_on_support(sum(int(r["nnz"]) for r in top), state))
-            # a dense binary winner is paired on its zero rows only; its one non-zero level is
-            # recovered the same way (same cost rule, on the complement of the support)
-            dense = (not sparse and lay.zero is not None and all(int(r["n_levels"]) == 1 for r in top)
-                     and (mode == "zero_rows" or
-                          self._pair_on_support(sum(self.n - int(r["nnz"]) for r in top), state)))
-            kw = {"nnz": {r["feature"]: r["nnz"] for r in top}} if getattr(lay, "winner_rows_takes_nnz", False) else {}
-            winner_names = [r["name"] for r in top]
-            # the only pass over the data; recovery and information read these counts
-            pairs = count_pairs(lay.winner_rows(winner_names, selected_names, nonzero_only=sparse,
-                                                zero_only=dense, **kw), ["feature", "other"]).checkpoint(eager=True)
-            if sparse:
-                pairs = recover_zero_other(pairs, candidate_marginals(), winners, selected, ftype, lay.zero)
-            elif dense:
-                pairs = recover_missing_cells(pairs, candidate_marginals(), winners, selected, ftype,
-                                              {r["feature"]: r["lo"] for r in top})
-            # histograms of the winners: their levels from the class pass, the zeros from the state
-            level_rows = T.StructType([T.StructField("other", ftype), T.StructField("b", lay.value_type),
-                                       T.StructField("nb", T.LongType())])
-            zeros = [(w, lay.zero, self.n - int(r["nnz"])) for w, r in zip(winners, top)] if lay.zero is not None else []
-            if zeros and all(int(r["n_levels"]) <= 1 for r in top):
-                # binary winners: the state knows both levels
-                zeros += [(w, r["lo"], int(r["nnz"])) for w, r in zip(winners, top) if r["lo"] is not None]
-                hist = spark.createDataFrame([z for z in zeros if z[2] > 0], level_rows)
-            else:
-                hist = (candidate_marginals().where(F.col("feature").isin(winners))
-                        .select(F.col("feature").alias("other"), F.col("a").alias("b"), F.col("n").alias("nb")))
-                if zeros:
-                    hist = hist.unionByName(spark.createDataFrame(zeros, level_rows)).where(F.col("nb") > 0)
-            hist_rows = sum(int(r["n_levels"]) for r in top) + len(top)
-            raw = self._raw_terms(pairs, ["feature", "other"], hist, ["other"], hist_rows, winners)
-            pv = self._pair_values(raw)
-            add = raw.groupBy("feature").agg(*[f(pv[c]).alias(f"{e}_add_{c}") for c in names
-                                               for e, f in (("sum", F.sum), ("max", F.max), ("min", F.min))])
-            state = state.join(add, "feature", "left").select(
-                "feature", *(["name"] if names_df is not None else []), "nnz", "n_levels", "lo",
-                *["rel_" + c for c in names],
-                *[(F.col("red_" + c) + F.coalesce(F.col("sum_add_" + c), F.lit(0.0))).alias("red_" + c)
-                  for c in names],
-                *[f(F.col(f"{e}_{c}"), F.coalesce(F.col(f"{e}_add_{c}"), F.lit(0.0))).alias(f"{e}_{c}")
-                  for e, f in (("max", F.greatest), ("min", F.least)) for c in names])
-            state = self._with_joints(state)
-            if log.isEnabledFor(logging.DEBUG):
-                log.debug("iteration %d plan:\n%s", i, explain_string(state))
-            if i % self.checkpoint_every == 0:
-                # cut lineage: the next iterations (and a retry after a lost executor) start here
-                state = state.checkpoint(eager=True)
-            else:
-                # materialised by the next pick (one job instead of a write + a read)
-                state = state.persist(StorageLevel.MEMORY_AND_DISK)
-                self._cached.append(state)
+                self._state = self._with_joints(self._state).checkpoint(eager=True)
+            elif not self.lazy:
+                self._count_all(i)
             clock.lap(f"iteration {i}: redundancy")
         return spark.createDataFrame(result, schema)
 
+    # ------------------------------------------------------------------------------------
+    def _scored(self, i: int) -> DataFrame:
+        """Every candidate with its score, an upper bound where ``upto`` winners of more are counted."""
+        names, ends = self._names, ("max", "min")
+        sums = [f"red_{c}" for c in names] + [f"{e}_{c}" for e in ends for c in names]
+        state = self._state.withColumn("upto", F.lit(self._base))
+        if self._selected:
+            state = state.where(~F.col("feature").isin(self._selected))
+        if self._fresh:
+            spark = state.sparkSession
+            kind = T.StructType([T.StructField("feature", self._state.schema["feature"].dataType)]
+                                + [T.StructField("n_" + c, T.DoubleType()) for c in sums] + [T.StructField("n_upto", T.IntegerType())])
+            own = spark.createDataFrame([(f, *values, upto) for f, (values, upto) in self._fresh.items()], kind)
+            state = state.join(F.broadcast(own), "feature", "left").select(   # at most lazy_limit rows
+                *[c for c in state.columns if c not in (*sums, "upto")],
+                *[F.when(F.col("n_upto").isNull(), F.col(c)).otherwise(F.col("n_" + c)).alias(c) for c in sums],
+                F.coalesce("n_upto", "upto").alias("upto"))
+        red = {c: F.col("red_" + c) for c in names}
+        red |= {f"{c}_{e}": F.coalesce(f"{e}_{c}", F.lit(0.0)) for e in ends for c in names}
+        sc = _clean(self.score.column({c: F.col("rel_" + c) for c in [*names, *self.joints]}, red,
+                                      len(self._selected), i, self.k))
+        name = F.col("name" if self._named else "feature").alias("name")
+        return state.select("feature", name, sc.alias("score"), "nnz", "n_levels", "lo", "upto", *sums)
+
+    def _best(self, i: int, m: int) -> list:
+        """The ``m`` best candidates; bounds that reach them are counted first."""
+        batch, now, rounds = self.lazy_batch, len(self._selected), 0
+        while True:
+            rows = (self._scored(i).orderBy(*_ordering(by="name"))
+                    .limit(m + (batch if self.lazy and now else 0)).collect())
+            best, stale = [], []
+            for r in rows:
+                if r["upto"] == now or not self.lazy:
+                    best.append(r)
+                    if len(best) == m:
+                        break
+                else:
+                    stale.append(r)
+            if not stale:
+                return best
+            rounds += 1
+            if rounds > LAZY_ROUNDS or len(self._fresh) + len(stale) > self.lazy_limit:
+                self._count_all(i)
+            else:
+                self._count_some(i, rounds, stale)
+                batch *= 2
+
+    def _count_some(self, i: int, rounds: int, stale: list) -> None:
+        """Count single candidates against the winners each has not met; the sums stay on the driver."""
+        names, now = self._names, len(self._selected)
+        first = min(r["upto"] for r in stale)
+        winners = self._picked[first:]
+        raw = self._tables(winners, stale)
+        pv = self._pair_values(raw)
+        met = raw.select("feature", "other", *[pv[c].alias(c) for c in names]).collect()
+        values = {(r["feature"], r["other"]): [r[c] or 0.0 for c in names] for r in met}
+        for r in stale:
+            red = [r["red_" + c] for c in names]
+            high, low = ([r[f"{e}_{c}"] for c in names] for e in ("max", "min"))
+            for w in self._picked[r["upto"]:]:
+                for j, v in enumerate(values.get((r["feature"], w["feature"]), [0.0] * len(names))):
+                    red[j] += v
+                    high[j] = v if high[j] is None else max(high[j], v)
+                    low[j] = v if low[j] is None else min(low[j], v)
+            self._fresh[r["feature"]] = [*red, *high, *low], now
+        missing = [now - r["upto"] for r in stale]
+        self.trace.append((i, rounds, len(stale), sum(missing), sum(int(r["nnz"]) * c for r, c in zip(stale, missing))))
+
+    def _marginals(self) -> DataFrame:
+        """``(feature, a, n)`` of all candidates; built on first need only (partial pairing)."""
+        if self._marg is None:
+            self._marg = marginals(self._ct, ["feature"]).checkpoint(eager=True)
+        return self._marg
+
+    def _winner_levels(self, top: list) -> tuple[DataFrame, int]:
+        """``(other, b, nb)`` of some winners and a bound of its rows: their levels from the class pass, the
+        zeros from the state."""
+        lay, ftype = self.layout, self.layout.feature_type
+        spark = lay.rows.sparkSession
+        level_rows = T.StructType([T.StructField("other", ftype), T.StructField("b", lay.value_type),
+                                   T.StructField("nb", T.LongType())])
+        winners = [r["feature"] for r in top]
+        zeros = [(r["feature"], lay.zero, self.n - int(r["nnz"])) for r in top] if lay.zero is not None else []
+        if zeros and all(int(r["n_levels"]) <= 1 for r in top):
+            # binary winners: the state knows both levels
+            zeros += [(r["feature"], r["lo"], int(r["nnz"])) for r in top if r["lo"] is not None]
+            hist = spark.createDataFrame([z for z in zeros if z[2] > 0], level_rows)
+        else:
+            of = self._marg if self._marg is not None else marginals(self._ct.where(F.col("feature").isin(winners)), ["feature"])
+            hist = (of.where(F.col("feature").isin(winners))
+                    .select(F.col("feature").alias("other"), F.col("a").alias("b"), F.col("n").alias("nb")))
+            if zeros:
+                hist = hist.unionByName(spark.createDataFrame(zeros, level_rows)).where(F.col("nb") > 0)
+        return hist, sum(int(r["n_levels"]) for r in top) + len(top)
+
+    def _tables(self, top: list, only: list | None = None) -> DataFrame:
+        """Raw terms of the candidates (``only`` some) with the winners ``top``: the one pass over the data."""
+        lay, ftype = self.layout, self.layout.feature_type
+        winners = [r["feature"] for r in top]
+        selected = list(self._selected)
+        nnz = {r["feature"]: int(r["nnz"]) for r in top}
+        sparse = dense = False
+        if hasattr(lay, "winner_counts"):
+            sparse = lay.zero is not None
+            pairs = lay.winner_counts(winners, selected, sum(nnz.values()), None if only is None else [r["feature"] for r in only])
+        else:
+            if only is None:
+                # a sparse winner (small support) is paired only on its support; the b = 0 cells
+                # come from the candidates' marginals, so the pass reads a fraction of the cells
+                mode = self.sparse_winners
+                sparse = (lay.zero is not None and mode != "zero_rows"
+                          and self._pair_on_support(sum(nnz.values()), self._state))
+                # a dense binary winner is paired on its zero rows only; its one non-zero level is
+                # recovered the same way (same cost rule, on the complement of the support)
+                dense = (not sparse and lay.zero is not None and all(int(r["n_levels"]) == 1 for r in top)
+                         and (mode == "zero_rows" or
+                              self._pair_on_support(sum(self.n - x for x in nnz.values()), self._state)))
+            kw = {"nnz": nnz} if getattr(lay, "winner_rows_takes_nnz", False) else {}
+            if only is not None:
+                kw["only"] = [r["name"] for r in only]
+            pairs = count_pairs(lay.winner_rows([r["name"] for r in top], [r["name"] for r in self._picked],
+                                                nonzero_only=sparse, zero_only=dense, **kw), ["feature", "other"])
+        levels = max((int(r["n_levels"]) for r in only), default=0) if only is not None else self._state_sizes(self._state)[2]
+        cells = levels * (1 + max(int(r["n_levels"]) for r in top))
+        if sparse or dense or self.cells or self.ranks or cells > FEW_CELLS:
+            # recovery and several terms read the counts more than once, the data only here
+            pairs = pairs.checkpoint(eager=True)
+        marg = self._marginals if only is None else (
+            lambda: marginals(self._ct.where(F.col("feature").isin([r["feature"] for r in only])), ["feature"]))
+        if sparse:
+            pairs = recover_zero_other(pairs, marg(), winners, selected, ftype, lay.zero)
+        elif dense:
+            pairs = recover_missing_cells(pairs, marg(), winners, selected, ftype, {r["feature"]: r["lo"] for r in top})
+        hist, hist_rows = self._winner_levels(top)
+        return self._raw_terms(pairs, ["feature", "other"], hist, ["other"], hist_rows, winners, cells)
+
+    def _count_all(self, i: int) -> None:
+        """Count every candidate against the winners the state does not hold yet."""
+        names, top = self._names, self._picked[self._base:]
+        raw = self._tables(top)
+        pv = self._pair_values(raw)
+        add = raw.groupBy("feature").agg(*[f(pv[c]).alias(f"{e}_add_{c}") for c in names
+                                           for e, f in (("sum", F.sum), ("max", F.max), ("min", F.min))])
+        state = self._state.join(add, "feature", "left").select(
+            "feature", *(["name"] if self._named else []), "nnz", "n_levels", "lo",
+            *["rel_" + c for c in names],
+            *[(F.col("red_" + c) + F.coalesce(F.col("sum_add_" + c), F.lit(0.0))).alias("red_" + c)
+              for c in names],
+            *[f(F.col(f"{e}_{c}"), F.coalesce(F.col(f"{e}_add_{c}"), F.lit(0.0))).alias(f"{e}_{c}")
+              for e, f in (("max", F.greatest), ("min", F.least)) for c in names])
+        state = self._with_joints(state)
+        if log.isEnabledFor(logging.DEBUG):
+            log.debug("iteration %d plan:\n%s", i, explain_string(state))
+        if i % self.checkpoint_every == 0:
+            # cut lineage: the next iterations (and a retry after a lost executor) start here
+            state = state.checkpoint(eager=True)
+        else:
+            # materialised by the next pick (one job instead of a write + a read)
+            state = state.persist(StorageLevel.MEMORY_AND_DISK)
+            self._cached.append(state)
+        if self.lazy or self._sizes is not None:
+            cells, _, _, candidates = self._state_sizes(self._state)
+            self.trace.append((i, 0, candidates, candidates * len(top), int(cells) * len(top)))
+        self._state, self._base = state, len(self._picked)
+        self._fresh = {}
+
+    def traced(self) -> DataFrame:
+        """What a finished run has counted: ``(iteration, batch, candidates, tables, cells)``; batch 0 is a pass
+        over all candidates, and cells are the candidates' non-zero cells times the winners they met."""
+        return self.layout.rows.sparkSession.createDataFrame(
+            self.trace, "iteration int, batch int, candidates long, tables long, cells long")
+
 
 def select_features(layout, k: int, score="mrmr", **kw) -> DataFrame:
     """Convenience wrapper: ``Selector(layout, k, score, **kw).run()``."""

@@ -6,10 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cells import col_of
+
 
 def class_histogram(df: DataFrame, label: str) -> DataFrame:
     """``(label, n)``: one grouped count, map-side combined."""
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(col_of(label).alias(label)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def feature_levels(cells: DataFrame, n_rows: int | Column | None = None) -> DataFrame:
@@ -35,17 +37,19 @@ def nonzeros(arr: Column) -> Column:
     return F.size(F.filter(arr, lambda x: x != 0.0))
 
 
-def profile(df: DataFrame, features: str) -> DataFrame:
+def profile(df: DataFrame, features: str, width: int | None = None) -> DataFrame:
     """``(n_rows, n_cols, n_points)``; points = non-zeros + 1 (the label) per row,
-    summed as BIGINT; width must be the same on every row."""
-    c = F.col(features)
+    summed as BIGINT; width must be the same on every row.  Maps have the declared ``width``, else that of
+    their largest key."""
+    c, declared = col_of(features), width
     width = F.size(c) if not df.schema[features].dataType.simpleString().startswith("map") else None
     agg = [F.count(F.lit(1)).alias("n_rows")]
     if width is not None:
         agg += [F.max(width).alias("n_cols"), F.min(width).alias("_min_cols"),
                 F.sum((nonzeros(c) + 1).cast("long")).alias("n_points")]
     else:
-        agg += [(F.max(F.array_max(F.map_keys(c))) + 1).cast("int").alias("n_cols"),
+        widest = F.max(F.array_max(F.map_keys(c))) + 1 if declared is None else F.lit(declared)
+        agg += [widest.cast("int").alias("n_cols"),
                 F.sum((F.size(F.map_filter(c, lambda k, v: v != 0.0)) + 1).cast("long")).alias("n_points")]
     out = df.agg(*agg)
     if width is not None:

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .cells import col_of
+
 
 def transpose_long(df: DataFrame, pos: str, array_col: str, keep_zeros: bool = True) -> DataFrame:
     """Instance rows with an ARRAY column -> ``(feature, pos, value)``."""
-    out = df.select(F.col(pos).alias("pos"), F.posexplode(F.col(array_col).cast("array<double>")).alias("feature", "value"))
+    out = df.select(col_of(pos).alias("pos"), F.posexplode(col_of(array_col).cast("array<double>")).alias("feature", "value"))
     out = out.select("feature", "pos", "value")
     return out if keep_zeros else out.where(F.col("value") != 0.0)
 
@@ -28,7 +30,7 @@ def number_text(c: Column) -> Column:
 def value_text(df: DataFrame, column: str) -> Column:
     """A value as text; numbers by ``number_text``."""
     numeric = isinstance(df.schema[column].dataType, T.NumericType)
-    return number_text(F.col(column).cast("double")) if numeric else F.col(column).cast("string")
+    return number_text(col_of(column).cast("double")) if numeric else col_of(column).cast("string")
 
 
 def cell_lines(long: DataFrame, sep: str = ",") -> DataFrame:
@@ -41,6 +43,6 @@ def cell_lines(long: DataFrame, sep: str = ",") -> DataFrame:
 def class_lines(classes: DataFrame, pos: str = "pos", label: str = "label", sep: str = ",") -> DataFrame:
     """The class vector as text, ``(pos, line)`` with one tagged line ``pos, label`` per
     position, in position order."""
-    line = F.concat_ws(sep, F.col(pos).cast("string"), value_text(classes, label))
-    return (classes.select(F.col(pos).alias("pos"), line.alias("line")).repartitionByRange("pos")
+    line = F.concat_ws(sep, col_of(pos).cast("string"), value_text(classes, label))
+    return (classes.select(col_of(pos).alias("pos"), line.alias("line")).repartitionByRange("pos")
             .sortWithinPartitions("pos"))

@@ -30,14 +30,14 @@ FORMATS = {"csv", "tsv", "libsvm"}
 
 
 def build_layout(spark: SparkSession, path: str, layout: str, fmt: str, label_index: int,
-                 class_path: str | None):
+                 class_path: str | None, num_features: int | None = None):
     """Returns ``(layout object, profile DataFrame)``."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; use one of {sorted(FORMATS)}")
     if layout in INSTANCE:
         if fmt == "libsvm":
-            df = sources.read_libsvm(spark, path)
-            return MapInstances(df, "label", "features"), profile(df, "features")
+            df = sources.read_libsvm(spark, path, num_features)
+            return MapInstances(df, "label", "features", width=num_features), profile(df, "features", num_features)
         df = sources.read_instances_text(spark, path, sep=fmt, label_index=label_index)
         return ArrayInstances(df, "label", "features"), profile(df, "features")
     if layout in FEATURE:
@@ -56,10 +56,10 @@ def build_layout(spark: SparkSession, path: str, layout: str, fmt: str, label_in
 
 
 def report_for(spark: SparkSession, path: str, layout: str, k: int, fmt: str, label_index: int, score: str,
-               class_path: str | None = None):
+               class_path: str | None = None, num_features: int | None = None):
     """The job's work without printing: ``(report DataFrame (order, name, score), profile)``."""
     ensure_checkpoint_dir(spark)
-    lay, prof = build_layout(spark, path, layout, fmt, label_index, class_path)
+    lay, prof = build_layout(spark, path, layout, fmt, label_index, class_path, num_features)
     result = select_features(lay, k, score, all_zero="keep" if layout in FEATURE else "drop")
     return selection_report(result), prof
 
@@ -74,9 +74,11 @@ def run(argv: list[str], spark: SparkSession | None = None) -> list:
     ap.add_argument("score")
     ap.add_argument("class_file", nargs="?")
     ap.add_argument("--out")
+    ap.add_argument("--num-features", type=int, help="declared width of instance-wise LibSVM")
     a = ap.parse_args(argv)
     spark = spark or SparkSession.builder.appName("infosieve-job").getOrCreate()
-    report, prof = report_for(spark, a.input, a.layout, a.k, a.format, a.label_index, a.score, a.class_file)
+    report, prof = report_for(spark, a.input, a.layout, a.k, a.format, a.label_index, a.score, a.class_file,
+                              a.num_features)
     p = prof.first().asDict()
     print("Data read")
     for k_, v in p.items():

@@ -354,3 +354,57 @@ ORACLE["custom_score_joint"] = joint_selection(4)
 ORACLE["custom_score_max_redundancy"] = max_redundancy_selection(5)
 ORACLE["row_sample"] = ("SELECT vec_id, label FROM embeddings "
                         "WHERE substr(md5('42:' || CAST(vec_id AS VARCHAR)), 1, 13) < '8000000000000'")
+ORACLE["row_sample_exact"] = ("SELECT vec_id, label FROM embeddings "
+                              "QUALIFY row_number() OVER (ORDER BY md5('7:' || CAST(vec_id AS VARCHAR))) <= 200")
+ORACLE["mrmr_lazy"] = ORACLE["mrmr_sparse"]
+ORACLE["mrmr_bitmaps"] = ORACLE["mrmr_sparse"]
+ORACLE["mrmr_stored"] = ORACLE["mrmr_feature"]
+ORACLE["mi_aligned_vectors"] = f"""WITH src AS (
+  SELECT 0 AS feature, 0 AS other, year(o_orderdate) AS a, o_orderpriority AS b FROM orders),
+m AS ({stat_mi('src')})
+SELECT {r6('val')} AS mi FROM m"""
+
+
+def stat_spearman(src: str) -> str:
+    """|corr| of mean ranks."""
+    def rank(c):
+        return (f"rank() OVER (PARTITION BY feature, other ORDER BY {c}) "
+                f"+ (count(*) OVER (PARTITION BY feature, other, {c}) - 1) / 2.0")
+    return f"""SELECT feature, other, abs(corr(ra, rb)) AS val FROM (
+    SELECT feature, other, {rank('a')} AS ra, {rank('b')} AS rb FROM {src}) GROUP BY feature, other"""
+
+
+def kendall(src: str) -> str:
+    """(feature, other, tau): tau-b from all pairs of cells of each table."""
+    return f"""SELECT feature, other, s / sqrt((pairs - ta) * (pairs - tb)) AS tau FROM (
+    WITH c AS (SELECT feature, other, a, b, CAST(count(*) AS DOUBLE) AS n FROM {src} GROUP BY feature, other, a, b)
+    SELECT * FROM (SELECT x.feature, x.other, sum(x.n * y.n * sign(y.b - x.b)) AS s FROM c x JOIN c y
+                   ON x.feature = y.feature AND x.other = y.other AND x.a < y.a GROUP BY x.feature, x.other)
+    JOIN (SELECT feature, other, sum(n) * (sum(n) - 1) / 2 AS pairs FROM c GROUP BY feature, other) USING (feature, other)
+    JOIN (SELECT feature, other, sum(m * (m - 1) / 2) AS ta FROM (SELECT feature, other, sum(n) AS m FROM c GROUP BY feature, other, a)
+          GROUP BY feature, other) USING (feature, other)
+    JOIN (SELECT feature, other, sum(m * (m - 1) / 2) AS tb FROM (SELECT feature, other, sum(n) AS m FROM c GROUP BY feature, other, b)
+          GROUP BY feature, other) USING (feature, other))"""
+
+
+def stat_kendall(src: str) -> str:
+    return f"SELECT feature, other, abs(tau) AS val FROM ({kendall(src)})"
+
+
+def quantity_selection(k: int, stat) -> str:
+    long = "q_long AS (SELECT x.inst, CAST(q.quantity AS DOUBLE) AS label, x.feature, x.v FROM li_long x JOIN li q ON q.inst = x.inst " \
+           "WHERE x.feature <> 'quantity')"
+    rel, pairs = _dense_sources("q_long")
+    return iterative(LI + ",\n" + _li_long() + ",\n" + long, rel, pairs, stat, score_mrmr, k, feature_sql="CAST(feature AS VARCHAR)")
+
+
+ORACLE["spearman_mrmr"] = quantity_selection(4, stat_spearman)
+ORACLE["kendall_mrmr"] = quantity_selection(4, stat_kendall)
+ORACLE["rank_correlations"] = f"""WITH e AS (
+  SELECT generate_subscripts(embedding, 1) - 1 AS feature, 0 AS other, CAST(unnest(embedding) AS DOUBLE) AS a, CAST(label AS DOUBLE) AS b
+  FROM embeddings),
+r AS (SELECT feature, corr(ra, rb) AS rho FROM (
+  SELECT feature, rank() OVER (PARTITION BY feature ORDER BY a) + (count(*) OVER (PARTITION BY feature, a) - 1) / 2.0 AS ra,
+         rank() OVER (PARTITION BY feature ORDER BY b) + (count(*) OVER (PARTITION BY feature, b) - 1) / 2.0 AS rb FROM e) GROUP BY feature),
+k AS ({kendall('e')})
+SELECT CAST(r.feature AS BIGINT) AS feature, {r6('r.rho')} AS spearman, {r6('k.tau')} AS kendall FROM r JOIN k ON k.feature = r.feature"""

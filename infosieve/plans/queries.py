@@ -13,11 +13,14 @@ from ..functions.format import score_text
 from ..functions.tree import tree_label
 from ..operators import contingency as ctg
 from ..operators import stats
+from ..operators.alignment import mutual_information_aligned, store_by_position
+from ..operators.bitmaps import BitmapCells
 from ..operators.cells import ArrayInstances, FeatureWise, MapInstances, WideInstances, to_cells
 from ..operators.information import mi_from_pairs, mutual_information_columns
 from ..operators.reduce import reduce_to
-from ..operators.sample import bernoulli_sample
-from ..operators.scores import (MIQ, ExprScore, JointAgg, VectorAgg, chi2_term, max_redundancy_mrmr,
+from ..operators.ranks import rank_terms
+from ..operators.sample import bernoulli_sample, exact_sample
+from ..operators.scores import (MIQ, ExprScore, JointAgg, RankTerm, VectorAgg, chi2_term, max_redundancy_mrmr,
                                 symmetric_uncertainty_mrmr)
 from ..operators.selection import select_features
 from ..operators.transpose import class_lines, transpose_long
@@ -90,7 +93,7 @@ def q_to_cells(spark, sf):
 def q_marginals(spark, sf):
     cells, li = _li_cells(spark, sf)
     n = li.count()
-    return stats.histograms(cells, n).select("feature", "level", "n")
+    return stats.histograms(cells, n).select("feature", F.col("level").cast("double").alias("level"), "n")
 
 
 # -------------------------------------------------------------------------------- tables
@@ -284,10 +287,8 @@ def _write_featurewise_libsvm(spark, sf):
     """Feature-wise LibSVM, a line per feature and 1,000 positions so that no line grows with the
     data, and its tagged class file."""
     b = embedding_bits(spark, sf)
-    runs = (transpose_long(b, "vec_id", "bits").groupBy("feature", F.floor(F.col("pos") / 1000).alias("run"))
-            .agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int"), "value"))).alias("values")))
     fpath, cpath = scratch_path(spark, "emb-fw-libsvm"), scratch_path(spark, "emb-class")
-    sources.write_libsvm(runs, fpath, "feature", "values")
+    sources.write_features_libsvm(transpose_long(b, "vec_id", "bits"), fpath)
     sources.write_class_vector(b.select(F.col("vec_id").alias("pos"), "label"), cpath)
     return fpath, cpath
 
@@ -364,6 +365,75 @@ def q_row_sample(spark, sf):
     return bernoulli_sample(embedding_bits(spark, sf).select("vec_id", "label"), 0.5, "vec_id", seed=42)
 
 
+def q_row_sample_exact(spark, sf):
+    """exactly 200 rows, those of the smallest digests."""
+    return exact_sample(embedding_bits(spark, sf).select("vec_id", "label"), 200, "vec_id", seed=7)
+
+
+def q_mrmr_lazy(spark, sf):
+    """Sparse mRMR that counts redundancy only for candidates whose upper bound reaches the best."""
+    lay = MapInstances(document_tokens(spark, sf), "quality", "tokens", cache=True)
+    return _ranked_str(select_features(lay, 5, "mrmr", lazy=True))
+
+
+def q_mrmr_bitmaps(spark, sf):
+    """Sparse mRMR whose tables are counted by AND and popcount of position bitmaps."""
+    lay = BitmapCells(MapInstances(document_tokens(spark, sf), "quality", "tokens", cache=True))
+    return _ranked_str(select_features(lay, 5, "mrmr"))
+
+
+#: Buckets of stored tables at the given sizes; more for larger input.
+BUCKETS = 8
+
+
+def q_mrmr_stored(spark, sf):
+    """Feature-wise mRMR on stored cells: features fetched by key, vectors aligned without an exchange."""
+    b = embedding_bits(spark, sf)
+    cells = to_cells(b, "vec_id", array_col="bits").select("feature", F.col("vec_id").alias("pos"), "value")
+    classes = b.select(F.col("vec_id").alias("pos"), F.col("label").alias("b"))
+    ids = b.agg(F.max(F.size("bits")).alias("w")).select(F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("feature"))
+    return _ranked(select_features(FeatureWise.from_cells(cells, classes, ids=ids, store=BUCKETS), 5, "mrmr", all_zero="keep"))
+
+
+def q_mi_aligned_vectors(spark, sf):
+    """MI of two long vectors, stored in buckets by position and merged where they lie."""
+    o = table(spark, sf, "orders")
+    pos = F.col("o_orderkey").cast("long").alias("pos")
+    x = store_by_position(o.select(pos, F.year("o_orderdate").alias("value")), BUCKETS)
+    y = store_by_position(o.select(pos, F.col("o_orderpriority").alias("value")), BUCKETS)
+    return mutual_information_aligned(x, y).select(_r6(F.col("mi")).alias("mi"))
+
+
+def rank_mrmr(kind: str) -> ExprScore:
+    """|rank correlation with the class| less the mean |rank correlation| with the selected features."""
+    def fn(rel, red, n_selected, i, nfs):
+        return rel["r"] - F.lit(1.0 if n_selected <= 1 else 1.0 / n_selected) * red["r"]
+    return ExprScore(fn, terms={"r": RankTerm(kind)}, pair_values=lambda t: {"r": F.abs(t["r"])}, name=f"{kind}_mrmr",
+                     bounded=True)
+
+
+def _quantity_layout(spark, sf):
+    li = lineitem_features(spark, sf).drop("label").withColumnRenamed("quantity", "label")
+    return WideInstances(li, "label", [f for f in LINEITEM_FEATURES if f != "quantity"])
+
+
+def q_spearman_mrmr(spark, sf):
+    return _ranked_str(select_features(_quantity_layout(spark, sf), 4, rank_mrmr("spearman")))
+
+
+def q_kendall_mrmr(spark, sf):
+    return _ranked_str(select_features(_quantity_layout(spark, sf), 4, rank_mrmr("kendall")))
+
+
+def q_rank_correlations(spark, sf):
+    """Spearman and Kendall of every dimension of ``embeddings``, ties and all, with the class."""
+    e = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("feature", "a"))
+    counts = e.groupBy("feature", F.col("a").cast("double").alias("a"), F.col("label").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    both = rank_terms(counts, ["feature"], {"spearman": "spearman", "kendall": "kendall"})
+    return both.select(F.col("feature").cast("long").alias("feature"), _r6(F.col("spearman")).alias("spearman"),
+                       _r6(F.col("kendall")).alias("kendall"))
+
+
 QUERIES = {
     "class_histogram": q_class_histogram,
     "feature_levels": q_feature_levels,
@@ -406,4 +476,12 @@ QUERIES = {
     "custom_score_joint": q_custom_score_joint,
     "custom_score_max_redundancy": q_custom_score_max_redundancy,
     "row_sample": q_row_sample,
+    "row_sample_exact": q_row_sample_exact,
+    "mrmr_lazy": q_mrmr_lazy,
+    "mrmr_bitmaps": q_mrmr_bitmaps,
+    "mrmr_stored": q_mrmr_stored,
+    "mi_aligned_vectors": q_mi_aligned_vectors,
+    "spearman_mrmr": q_spearman_mrmr,
+    "kendall_mrmr": q_kendall_mrmr,
+    "rank_correlations": q_rank_correlations,
 }

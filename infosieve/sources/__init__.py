@@ -2,8 +2,8 @@
 
 from .text import (read_instances_text, read_features_text, read_class_vector, read_class_positions, read_classes,
                    read_cells_text, read_libsvm, read_features_libsvm, read_libsvm_ids)
-from .sinks import write_instances_text, write_libsvm, write_class_vector, write_cells_text, write_features_text
+from .sinks import write_instances_text, write_libsvm, write_class_vector, write_cells_text, write_features_text, write_features_libsvm
 
 __all__ = ["read_instances_text", "read_features_text", "read_class_vector", "read_class_positions", "read_classes", "read_cells_text",
            "read_libsvm", "read_features_libsvm", "read_libsvm_ids", "write_instances_text", "write_libsvm",
-           "write_class_vector", "write_cells_text", "write_features_text"]
+           "write_class_vector", "write_cells_text", "write_features_text", "write_features_libsvm"]

@@ -113,22 +113,29 @@ def _libsvm_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("value")).where(F.length("value") > 0)
 
 
-def _libsvm_cells():
+def _libsvm_cells(width: int | None = None):
     """Label and ``idx:value`` entries; indices must be one-based (a 0 or negative index
     fails the scan), repeated indices in a row fail the map construction."""
     toks = F.split(F.trim(F.col("value")), "\\s+")
 
     def entry(t):
         idx = F.split(t, ":")[0].cast("int")
-        key = F.when(idx < 1, F.raise_error(F.lit("LibSVM indices are one-based"))).otherwise(idx - 1)
+        key = F.when(idx < 1, F.raise_error(F.lit("LibSVM indices are one-based")))
+        if width is not None:
+            key = key.when(idx > width, F.raise_error(F.lit(f"LibSVM index beyond the declared {width} features")))
+        key = key.otherwise(idx - 1)
         return F.named_struct(F.lit("key"), key.cast("int"), F.lit("value"), F.split(t, ":")[1].cast("double"))
     entries = F.transform(F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))), entry)
     return toks[0].cast("double"), entries
 
 
-def read_libsvm(spark: SparkSession, path: str) -> DataFrame:
-    """Instance-wise LibSVM: ``(label DOUBLE, features MAP<INT, DOUBLE>)``, keys 0-based."""
-    label, entries = _libsvm_cells()
+def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None) -> DataFrame:
+    """Instance-wise LibSVM: ``(label DOUBLE, features MAP<INT, DOUBLE>)``, keys 0-based.
+
+    With ``num_features``, the declared width, an index beyond it fails the scan; ``MapInstances(...,
+    width=num_features)`` and ``profile(..., width=num_features)`` then know the trailing features that
+    are zero everywhere, too."""
+    label, entries = _libsvm_cells(num_features)
     return (_libsvm_lines(spark, path)
             .select(label.alias("label"), F.map_from_entries(entries).alias("features")))
 
