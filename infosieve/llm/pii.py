@@ -63,7 +63,7 @@ def luhn(digits: str) -> bool:
 
 def valid(kind: str, match: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in match.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in match.split("."))
     digits = "".join(_DIGIT.findall(match))
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
@@ -269,10 +269,19 @@ class Field:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
-    sample = (docs.where(F.col("text").rlike(GATE) & (F.length("text") <= TRAIN_CHARS))
-              .select("text", F.xxhash64("text", F.lit("pii")).alias("k")).orderBy("k", "text").limit(train_docs))
+    gated = F.col("text").rlike(GATE) & (F.length("text") <= TRAIN_CHARS)
+    keyed = docs.select("text", F.xxhash64("text", F.lit("pii")).alias("k"))
+    n = keyed.where(gated).count()
+    rows, share = [], (2 * train_docs + 100) / max(n, 1)
+    while True:
+        # a share of the keys first, so that no task sends more than its part of the sample
+        part = keyed if share >= 1 else keyed.where(F.col("k") < F.lit(int((share - 0.5) * 2 ** 64)).cast("long"))
+        rows = part.where(gated).orderBy("k", "text").limit(train_docs).collect()
+        if share >= 1 or len(rows) >= min(n, train_docs):
+            break
+        share *= 4
     graph, field = Graph(), Field()
-    for i, r in enumerate(sample.collect()):  # the bounded training sample
+    for i, r in enumerate(rows):  # the bounded training sample
         graph.add(i, r["text"], base_spans(r["text"]))
     field.fit(graph)
     return field

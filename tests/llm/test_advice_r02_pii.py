@@ -39,3 +39,10 @@ def test_broken_mentions_without_digits_are_labelled_alike():
         probe, words = graph_of(text)
         got.append(field.marginals(probe)[words.index("bcadfeha@mail"), 1])
     assert got[0] > got[1] and got[0] > 0.5
+
+
+def test_long_zeros_in_addresses(spark):
+    """A part of thousands of zeros is the number 0."""
+    text = f"at {'0' * 5000}.1.1.1 and 1.{'0' * 4400}7.2.3 not 1.2.3.{'0' * 9}256"
+    (r,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r["n_ip"] == 2
