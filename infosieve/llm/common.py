@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..session import scratch_path
 
@@ -40,7 +42,14 @@ def in_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    # mapInArrow reads column names as paths: names with dots and the like are others on the way
+    safe = {c: c if re.fullmatch(r"\w+", c) else f"column_{i}_" for i, c in enumerate(df.columns)}
+    if all(k == v for k, v in safe.items()):
+        return df.mapInArrow(run, schema)
+    if isinstance(schema, str):
+        return df.toDF(*safe.values()).mapInArrow(run, schema)
+    inside = StructType([StructField(safe.get(f.name, f.name), f.dataType, f.nullable) for f in schema.fields])
+    return df.toDF(*safe.values()).mapInArrow(run, inside).toDF(*schema.fieldNames())
 
 
 def crc_remainder(column: str, modulus: int) -> Column:
@@ -103,31 +112,34 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
         "node", F.coalesce(cur["v"], nodes["node"]).alias("root"))
 
 
-HASH_MULT = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
-
+#: Spans of more bytes than this are hashed one by one.
+LONG_SPAN = 256
+_MULTIPLIERS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        for name, base in (("up", HASH_MULT), ("down", pow(HASH_MULT, -1, 1 << 64))):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the spans of a byte array.
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans of a byte array; ``table`` gives a random odd number per byte."""
-    up, down = _powers(max(len(data), 1))
+    Eight bytes at a time go into a state that is scrambled after each step (shifts and products, so no
+    algebraic identity of the bytes makes two spans equal); spans of more than ``LONG_SPAN`` bytes are left to
+    xxhash.  Two of n different spans meet with a chance of about n**2 / 2**65."""
+    import xxhash
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    first, second, third = _MULTIPLIERS
     with np.errstate(over="ignore"):
-        run = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(table[data] * up[:len(data)], out=run[1:])
-        h = (run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(HASH_MULT)
-        for mult in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-            h = (h ^ (h >> np.uint64(33))) * np.uint64(mult)
-        return h ^ (h >> np.uint64(33))
-
-
-def byte_table(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        h = (size.astype(np.uint64) + np.uint64(seed) * second) * first
+        active, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+        while len(active):
+            left = size[active] - at
+            word = words[start[active] + at]
+            part = left < 8
+            word[part] &= (np.uint64(1) << (np.uint64(8) * left[part].astype(np.uint64))) - np.uint64(1)
+            x = (h[active] ^ word) * second
+            x = (x ^ (x >> np.uint64(32))) * third
+            h[active] = x ^ (x >> np.uint64(29))
+            active, at = active[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i]:end[i]].tobytes(), seed)
+    return h

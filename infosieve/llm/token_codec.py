@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import byte_table, in_arrow, span_hashes, stored
+from .common import in_arrow, span_hashes, stored
 
 ROW_IDS, BLOCK_IDS, MAX_BITS = 1 << 20, 1 << 10, 16
 #: Distinct text pieces whose ids a worker remembers at most, characters encoded at a time, and
@@ -44,7 +44,7 @@ OTHER_SPACE = re.compile(r"[^\S \n]")
 PLAIN = re.compile(r" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 JOINED = 50
 _WORKER: dict = {}
-_TABLE = byte_table(3)
+_SEED = 3
 _LETTER, _PUNCT, _SPACE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _PUNCT[[ord(c) for c in ".,;:!?*#$%&()"]] = True
@@ -138,7 +138,7 @@ class Encoder:
         start = np.flatnonzero(cut)
         counts = np.searchsorted(start, first + sizes) - np.searchsorted(start, first)
         end = np.r_[start[1:], len(data)][:len(start)]
-        code, keys = pd.factorize(span_hashes(data, start, end, _TABLE), sort=True)
+        code, keys = pd.factorize(span_hashes(data, start, end, _SEED), sort=True)
         near = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = self.keys[near] != keys if len(self.keys) else np.ones(len(keys), bool)
         if new.any():

@@ -315,28 +315,6 @@ def small_mixer(texts):
     return mixer
 
 
-def slow_log10(mixer, text):
-    """The same model, one bit after the other."""
-    m, total = context_mixing, 0.0
-    raw = text.encode() + b"\n"
-    words, count = mixer.inputs(np.frombuffer(raw, np.uint8), np.array([0]), np.array([True]))
-    rows = words.view(np.int16).reshape(-1, 4)
-    half = m.MAP_SIZE // 2
-    for a in range(0, int(count[0]), m.LANE_BITS):
-        w = np.ones(3)
-        refined = 1 / (1 + np.exp(-(np.arange(m.MAP_SIZE) - half) / 2.0))
-        for x0, x1, x2, bit in rows[a:a + m.LANE_BITS].tolist():
-            f = np.array([x0, x1, x2]) / m.SCALE
-            dot = min(8.0, max(-8.0, float(w @ f)))
-            p = 1 / (1 + math.exp(-dot))
-            w += (bit - p) * m.RATE * f
-            cell = half + round(2 * dot)
-            q = 0.6 * p + 0.4 * refined[cell]
-            refined[cell] += (bit - refined[cell]) * m.MAP_RATE
-            total += math.log10(q if bit else 1 - q)
-    return total
-
-
 def test_tables_counted_in_spark_equal_plain_counts(spark):
     """Distinct numbers are counted first and their bits with that weight."""
     texts = [t for _, t, *_ in rows_of(spark, 30)]
@@ -366,14 +344,6 @@ def test_known_hashes_are_found():
         assert context_mixing.Known(some).find(probe).tolist() == want
 
 
-def test_lanes_equal_one_bit_after_the_other(spark):
-    texts = [t for _, t, *_ in rows_of(spark, 60)]
-    mixer = small_mixer(texts)
-    probe = [texts[3][:700], "", "é x", texts[5][:3000]]
-    got = mixer.log10_probabilities(probe)
-    assert got.tolist() == pytest.approx([slow_log10(mixer, t) for t in probe], rel=1e-3)
-
-
 def test_probabilities_of_all_next_symbols_sum_to_one(spark):
     """The tree's codes are complete, so the model is a distribution over symbols."""
     mixer = small_mixer([t for _, t, *_ in rows_of(spark, 20)])

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from infosieve.llm import simhash, token_codec
+from infosieve.llm import common, simhash, token_codec
 from infosieve.llm.queries import tokenizer_path
 
 from .helpers import EDGES, SF, documents, tuples
@@ -27,6 +27,27 @@ def test_code_lengths_are_optimal_and_limited():
         token_codec.code_lengths(np.ones(9), 3)
 
 
+def test_words_that_meet_in_polynomial_hashes_keep_their_ids():
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64."""
+    enc, word = token_codec.Encoder(tokenizer_path()), "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+        texts = [word, word.translate(str.maketrans("ab", "ba"))]
+        ids, lens = enc.encode(texts)
+        assert [ids[:lens[0]].tolist(), ids[lens[0]:].tolist()] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_span_hashes_see_every_byte():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 6000, dtype=np.uint8)
+    start = rng.integers(0, 5600, 4000)
+    end = start + rng.integers(0, 40, 4000)
+    end[:50] = start[:50] + 300
+    h = common.span_hashes(data, start, end, 5)
+    spans = [data[s:e].tobytes() for s, e in zip(start, end)]
+    assert len(set(h.tolist())) == len(set(spans)) == len(set(zip(h.tolist(), spans)))
+
+
 def test_book_round_trip():
     rng = np.random.default_rng(2)
     for n in (1, 5, 1000, 5000):
@@ -67,7 +88,6 @@ def test_long_texts_are_cut_where_the_splitter_cuts(monkeypatch):
 def expected_digests(rows):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     coded = [(d, [*tok.encode(t or "", add_special_tokens=False).ids, 0]) for d, t in rows]
     start, out = 0, []
     for d, ids in sorted(coded, key=lambda x: (x[0] is None, x[0] or 0)):
