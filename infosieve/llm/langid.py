@@ -190,7 +190,7 @@ def cross_entropies(models: list[Model], texts: list[str]) -> tuple[np.ndarray,
 
 def train_rows(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> DataFrame:
     """The drawn sample ``doc_id, lang, text``: labelled rows outside the held-out fold."""
-    usable = docs.where(crc_remainder("doc_id", 5) != 0).where("lang is not null and text is not null")
+    usable = docs.select("doc_id", "lang", "text").where(crc_remainder("doc_id", 5) != 0).where("lang is not null and text is not null")
     # stored, so that Spark knows its size and the texts need no shuffle to meet it
     share = stored(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows")), "langid-langs").withColumnRenamed("lang", "_lang")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))

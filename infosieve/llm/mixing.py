@@ -98,7 +98,7 @@ def emit(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float =
     by_source = docs.groupBy("source").agg(F.sum(_size()).alias("source_size"))
     src = source_targets(by_source, weights, budget, limit)
     rates = src.select(F.col("source").alias("s"), _rate().alias("rate"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "source", _draw(seed).alias("draw"))
+    rows = docs.select(F.struct("*").alias("doc"), "source", _draw(seed).alias("draw"))
     taken = rows.join(rates, rows["source"].eqNullSafe(rates["s"])).withColumn("copies", _copies()).where("copies > 0")
     return (taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
             .select("doc.*"))

@@ -24,8 +24,9 @@ EDGES = [
 def documents(spark, rows=EDGES):
     """``documents`` with extra columns whose names the operators use themselves."""
     return spark.createDataFrame(
-        [(*r, 1, "x", 2.0, [1]) for r in rows],
-        "doc_id long, text string, lang string, source string, size long, fp string, rate double, light array<int>")
+        [(*r, 1, "x", 2.0, [1], 3, "y", 4, 5, 6) for r in rows],
+        "doc_id long, text string, lang string, source string, size long, fp string, rate double, light array<int>, "
+        "_rows int, _lang string, `a.b` int, _id int, _pid int")
 
 
 def tuples(df, *columns):
