@@ -4,7 +4,7 @@ A score turns per-candidate statistics into one number per iteration.  Statistic
 *terms*: every term is measured once against the class (``rel[name]``) and, in each
 iteration, against each newly selected feature; the running sums over the selected set are
 ``red[name]``, ``red[name + "_max"]`` and ``red[name + "_min"]`` the largest and smallest value
-against one selected feature (0 while nothing is selected).  Five kinds of term exist:
+against one selected feature (0 while nothing is selected).  Six kinds of term exist:
 
 * ``"mi"``                      - mutual information in bits (sparse closed form, any layout)
 * ``CellTerm(fn)``             - ``sum over the non-zero cells of the full contingency table``
@@ -13,6 +13,8 @@ against one selected feature (0 while nothing is selected).  Five kinds of term
                                   candidate and the other variable (feature-wise input)
 * ``RankTerm(kind)``           - ``"spearman"`` or ``"kendall"`` rank correlation (tau-b) of the two variables,
                                   ties by mean ranks; levels need an order, strings take their own
+* ``TablesTerm(fn)``          - any function of a candidate's tables with the class and all selected features
+                                  together; measured anew in each iteration, found in ``rel``
 * ``JointAgg(fn)``             - an aggregate ``fn(x, y, s)`` over the aligned values of the candidate,
                                   the class and all selected features (a list, in selection
                                   order); measured anew in each iteration, found in ``rel``
@@ -45,6 +47,19 @@ class JointAgg:
     fn: Callable[[Column, Column, list], Column]
 
 
+@dataclass(frozen=True)
+class TablesTerm:
+    """``fn(cells) -> (feature, value)`` sees the complete tables of every candidate at once: a DataFrame
+    ``(feature, other, place, a, b, n, na, nb, total, tile)`` with a row per non-empty cell, zero levels included.  ``place`` is
+    0 for the class (``other`` null) and 1, 2, ... for the selected features in order; levels are told as text;
+    ``na`` and ``nb`` are the margins.  What is grouped by feature alone should be combinable (sums, maxima);
+    for functions that need whole groups, ``(feature, tile)`` deals the levels ``a`` of each table out to ``tiles``
+    groups, whose results ``fn`` merges."""
+
+    fn: Callable
+    tiles: int = 64
+
+
 @dataclass(frozen=True)
 class RankTerm:
     kind: str

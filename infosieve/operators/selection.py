@@ -23,6 +23,10 @@ the best are certain.  The picks are the same; ``trace`` tells what was counted.
 candidates is kept on the driver, at most ``lazy_limit`` of them; beyond that, or after
 ``LAZY_ROUNDS`` batches in one iteration, one pass counts all candidates and the state takes over.
 
+Journal (``journal``, a folder that all executors reach): the class counts, the state and the picks of every
+finished iteration are written there, the picks last.  A new driver that is given the same folder
+goes on after the last finished iteration with the same result; the data must be the same.
+
 ``select_top`` is cut to the features still missing from ``k``, so exactly ``k`` features are
 returned where enough candidates exist.
 
@@ -32,8 +36,10 @@ Ties are broken deterministically: ``round(score, 12)`` descending, then feature
 
 from __future__ import annotations
 
+import json
 import logging
 import time
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -42,8 +48,9 @@ from pyspark.sql import types as T
 
 from .contingency import count_pairs, full_table, marginals, recover_missing_cells, recover_zero_other
 from .information import FEW_CELLS, mi_from_pairs
+from .journal import Journal
 from .ranks import rank_terms
-from .scores import CellTerm, JointAgg, RankTerm, Score, VectorAgg, get_score
+from .scores import CellTerm, JointAgg, RankTerm, Score, TablesTerm, VectorAgg, get_score
 
 
 log = logging.getLogger("infosieve.selection")
@@ -84,7 +91,7 @@ class Selector:
     def __init__(self, layout, k: int, score="mrmr", broadcast_rows: int = 1_000_000,
                  all_zero: str = "drop", release_input: bool = True,
                  sparse_winners="auto", checkpoint_every: int = 1, lazy="auto", lazy_batch: int = 64,
-                 lazy_limit: int = 10_000):
+                 lazy_limit: int = 10_000, journal: str | None = None):
         if k < 0:
             raise ValueError("k must be >= 0")
         if all_zero not in ("drop", "keep"):
@@ -107,13 +114,17 @@ class Selector:
             raise ValueError(f"the score {self.score.name!r} gives no upper bounds (Score.bounded)")
         self.lazy, self.lazy_batch, self.lazy_limit = lazy and self.score.bounded, int(lazy_batch), int(lazy_limit)
         self.trace: list[tuple] = []
+        self.journal = Journal(journal) if journal else None
         layout.broadcast_rows = broadcast_rows
         self.terms = dict(self.score.terms)
         self.mi = any(v == "mi" for v in self.terms.values())
         self.cells = {k_: v for k_, v in self.terms.items() if isinstance(v, CellTerm)}
         self.vectors = {k_: v for k_, v in self.terms.items() if isinstance(v, VectorAgg)}
         self.joints = {k_: v for k_, v in self.terms.items() if isinstance(v, JointAgg)}
-        self.summed = [k_ for k_ in self.terms if k_ not in self.joints]
+        self.whole = {k_: v for k_, v in self.terms.items() if isinstance(v, TablesTerm)}
+        self.summed = [k_ for k_ in self.terms if k_ not in self.joints and k_ not in self.whole]
+        if self.whole:
+            self.lazy = False
         self.ranks = {k_: v for k_, v in self.terms.items() if isinstance(v, RankTerm)}
         if (self.vectors or self.joints) and not hasattr(layout, "vector_terms"):
             raise ValueError("vector scores need feature-wise input with dense value arrays")
@@ -138,8 +149,31 @@ class Selector:
             out = out.join(vs, keys, "full")
         return out
 
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        """A checkpoint of ``df``, in the journal if there is one."""
+        return df.checkpoint(eager=True) if self.journal is None else self.journal.write(df, name)
+
+    def _whole_tables(self, pairs: DataFrame, hist: DataFrame, keys: list, hist_keys: list, place: int) -> DataFrame:
+        """``feature, other, place, a, b, n, na, nb``: complete tables with their margins; the class has place 0."""
+        full = (full_table(pairs, hist, keys, self.layout.zero, hist_keys) if self.layout.zero is not None
+                else pairs.select(*keys, "a", "b", F.col("n").cast("long").alias("n")))
+        other = F.col("other") if "other" in keys else F.lit(None).cast(self.layout.feature_type).alias("other")
+        nb = hist.select(*hist_keys, "b", F.col("nb").cast("long").alias("nb"))
+        na = full.groupBy(*keys, "a").agg(F.sum("n").alias("na"))
+        # levels of different variables lie side by side, so they are told as text
+        return (full.join(na, [*keys, "a"]).join(nb, [*hist_keys, "b"])
+                .select("feature", other, F.lit(place).alias("place"), F.col("a").cast("string").alias("a"),
+                        F.col("b").cast("string").alias("b"), "n", "na", "nb").checkpoint(eager=True))
+
     def _with_joints(self, state: DataFrame) -> DataFrame:
-        """``state`` with the joint terms of the present selection as ``rel_<name>``."""
+        """``state`` with the joint and table terms of the present selection as ``rel_<name>``."""
+        for name, term in self.whole.items():
+            cells = reduce(DataFrame.union, self._all_tables).withColumn("total", F.lit(int(self.n)))
+            if self._selected:
+                cells = cells.where(~F.col("feature").isin(list(self._selected)))
+            cells = cells.withColumn("tile", F.pmod(F.xxhash64("place", "a"), F.lit(term.tiles)))
+            got = term.fn(cells).select("feature", F.col("value").cast("double").alias("rel_" + name))
+            state = state.drop("rel_" + name).join(got, "feature", "left")
         if not self.joints:
             return state
         got = self.layout.joint_terms(list(self._selected), self.joints)
@@ -182,6 +216,7 @@ class Selector:
 
     def _run(self) -> DataFrame:
         lay = self.layout
+        self._selected, self._sizes = [], None
         spark = lay.rows.sparkSession
         clock = _Clock()
         prep = lay.prepare(self.broadcast_rows)
@@ -202,8 +237,13 @@ class Selector:
         # checkpointed (not cached): AQE sizes its partitions to the aggregated data, while a
         # cached plan keeps spark.sql.shuffle.partitions of them; it is read by the relevance
         # pass, the winners' histograms and the sparse-winner recovery
-        counted = lay.class_counts() if hasattr(lay, "class_counts") else count_pairs(lay.class_rows([]), ["feature"])
-        self._ct, self._marg = counted.checkpoint(eager=True), None
+        found = self.journal.last(spark, self._settings()) if self.journal else None
+        if found:
+            self._ct = found["counts"]
+        else:
+            counted = lay.class_counts() if hasattr(lay, "class_counts") else count_pairs(lay.class_rows([]), ["feature"])
+            self._ct = self._kept(counted, "counts")
+        self._marg, self._hist = None, prep.hist
         widest = self._ct.groupBy("feature").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
         raw = self._raw_terms(self._ct, ["feature"], prep.hist, [], prep.n_classes, None, int(widest or 0))
         rel = self._pair_values(raw)
@@ -226,9 +266,10 @@ class Selector:
             state = state.join(names_df, "feature")
         name_col = "name" if names_df is not None else "feature"
         state = state.select("*", *[F.lit(None).cast("double").alias(f"{e}_{c}") for e in ("max", "min") for c in names])
-        state = self._with_joints(state).checkpoint(eager=True)
+        self._all_tables = [self._whole_tables(self._ct, prep.hist, ["feature"], [], 0)] if self.whole else []
+        state = found["state"] if found else self._kept(self._with_joints(state), "state-0000")
         expected = getattr(lay, "expected_cells", None)
-        if expected is not None:
+        if expected is not None and not found:
             seen = state.agg(F.sum("nnz")).first()[0] or 0
             if int(seen) != expected:
                 raise ValueError(f"{expected - int(seen)} cells lie outside the class vector's positions")
@@ -239,8 +280,16 @@ class Selector:
         self._fresh: dict = {}        # candidates counted on their own: sums, maxima and minima, winners counted
         if self.lazy == "auto":
             self.lazy = self._state_sizes(state)[3] >= LAZY_FROM and not self.vectors and not self.joints
-        n_iter = self.score.max_iterations(self.k)
-        for i in range(1, n_iter + 1):
+        n_iter, start = self.score.max_iterations(self.k), 1
+        if found:
+            self._picked, self._base, start = found["picked"], found["base"], found["iteration"] + 1
+            selected += [r["feature"] for r in self._picked]
+            result += [(j, r["name"], r["score"]) for j, r in enumerate(self._picked, 1)]
+            for j, r in enumerate(self._picked, 1):
+                self._add_whole_tables([r], j)
+        elif self.journal:
+            self.journal.note(spark, 0, [], 0, "state-0000", self._settings(), self._picked_schema())
+        for i in range(start, n_iter + 1):
             m = min(self.score.select_top(i, self.k), self.k - len(selected))
             if m <= 0:
                 break
@@ -254,15 +303,39 @@ class Selector:
                 result.append((len(selected), r["name"], r["score"]))
             if i == n_iter or len(selected) >= self.k or not self.score.uses_redundancy:
                 continue
+            self._add_whole_tables(top, len(selected) - len(top) + 1)
             if not names:
-                # joint terms only: nothing is counted against single winners
-                self._state = self._with_joints(self._state).checkpoint(eager=True)
+                # joint and table terms only: nothing is summed against single winners
+                self._state = self._kept(self._with_joints(self._state), f"state-{i:04d}")
             elif not self.lazy:
                 self._count_all(i)
+            if self.journal:
+                self.journal.note(spark, i, self._picked, self._base, self._state_name, self._settings(), self._picked_schema())
             clock.lap(f"iteration {i}: redundancy")
         return spark.createDataFrame(result, schema)
 
     # ------------------------------------------------------------------------------------
+    def _settings(self) -> str:
+        return json.dumps([self.n, self.k, self.score.name, sorted(self.terms), type(self.layout).__name__, self.all_zero])
+
+    def _picked_schema(self) -> T.StructType:
+        ftype, lay = self._state.schema["feature"].dataType, self.layout
+        name = lay.name_type if self._named else ftype
+        return T.StructType([T.StructField(c, t) for c, t in (
+            ("feature", ftype), ("name", name), ("score", T.DoubleType()), ("nnz", T.LongType()), ("n_levels", T.LongType()),
+            ("lo", self._state.schema["lo"].dataType))])
+
+    @property
+    def _state_name(self) -> str:
+        return self.journal.name_of(self._state)
+
+    def _add_whole_tables(self, top: list, place: int) -> None:
+        """Keep the complete tables of all candidates with newly selected features, for table terms."""
+        if self.whole:
+            for j, r in enumerate(top):
+                pairs, hist, _, _ = self._pairs([r])
+                self._all_tables.append(self._whole_tables(pairs, hist, ["feature", "other"], ["other"], place + j))
+
     def _scored(self, i: int) -> DataFrame:
         """Every candidate with its score, an upper bound where ``upto`` winners of more are counted."""
         names, ends = self._names, ("max", "min")
@@ -281,7 +354,7 @@ class Selector:
                 F.coalesce("n_upto", "upto").alias("upto"))
         red = {c: F.col("red_" + c) for c in names}
         red |= {f"{c}_{e}": F.coalesce(f"{e}_{c}", F.lit(0.0)) for e in ends for c in names}
-        sc = _clean(self.score.column({c: F.col("rel_" + c) for c in [*names, *self.joints]}, red,
+        sc = _clean(self.score.column({c: F.col("rel_" + c) for c in [*names, *self.whole, *self.joints]}, red,
                                       len(self._selected), i, self.k))
         name = F.col("name" if self._named else "feature").alias("name")
         return state.select("feature", name, sc.alias("score"), "nnz", "n_levels", "lo", "upto", *sums)
@@ -358,7 +431,13 @@ class Selector:
         return hist, sum(int(r["n_levels"]) for r in top) + len(top)
 
     def _tables(self, top: list, only: list | None = None) -> DataFrame:
-        """Raw terms of the candidates (``only`` some) with the winners ``top``: the one pass over the data."""
+        """Raw terms of the candidates (``only`` some) with the winners ``top``."""
+        pairs, hist, hist_rows, cells = self._pairs(top, only)
+        return self._raw_terms(pairs, ["feature", "other"], hist, ["other"], hist_rows, [r["feature"] for r in top], cells)
+
+    def _pairs(self, top: list, only: list | None = None) -> tuple[DataFrame, DataFrame, int, int]:
+        """Counts of the candidates (``only`` some) with the winners ``top``, the one pass over the data; the
+        winners' histograms, a bound of their rows and of the cells of one table."""
         lay, ftype = self.layout, self.layout.feature_type
         winners = [r["feature"] for r in top]
         selected = list(self._selected)
@@ -386,7 +465,7 @@ class Selector:
                                                 nonzero_only=sparse, zero_only=dense, **kw), ["feature", "other"])
         levels = max((int(r["n_levels"]) for r in only), default=0) if only is not None else self._state_sizes(self._state)[2]
         cells = levels * (1 + max(int(r["n_levels"]) for r in top))
-        if sparse or dense or self.cells or self.ranks or cells > FEW_CELLS:
+        if sparse or dense or self.cells or self.ranks or self.whole or cells > FEW_CELLS:
             # recovery and several terms read the counts more than once, the data only here
             pairs = pairs.checkpoint(eager=True)
         marg = self._marginals if only is None else (
@@ -396,7 +475,7 @@ class Selector:
         elif dense:
             pairs = recover_missing_cells(pairs, marg(), winners, selected, ftype, {r["feature"]: r["lo"] for r in top})
         hist, hist_rows = self._winner_levels(top)
-        return self._raw_terms(pairs, ["feature", "other"], hist, ["other"], hist_rows, winners, cells)
+        return pairs, hist, hist_rows, cells
 
     def _count_all(self, i: int) -> None:
         """Count every candidate against the winners the state does not hold yet."""
@@ -415,9 +494,9 @@ class Selector:
         state = self._with_joints(state)
         if log.isEnabledFor(logging.DEBUG):
             log.debug("iteration %d plan:\n%s", i, explain_string(state))
-        if i % self.checkpoint_every == 0:
+        if self.journal or i % self.checkpoint_every == 0:
             # cut lineage: the next iterations (and a retry after a lost executor) start here
-            state = state.checkpoint(eager=True)
+            state = self._kept(state, f"state-{i:04d}")
         else:
             # materialised by the next pick (one job instead of a write + a read)
             state = state.persist(StorageLevel.MEMORY_AND_DISK)

@@ -408,3 +408,38 @@ r AS (SELECT feature, corr(ra, rb) AS rho FROM (
          rank() OVER (PARTITION BY feature ORDER BY b) + (count(*) OVER (PARTITION BY feature, b) - 1) / 2.0 AS rb FROM e) GROUP BY feature),
 k AS ({kendall('e')})
 SELECT CAST(r.feature AS BIGINT) AS feature, {r6('r.rho')} AS spearman, {r6('k.tau')} AS kendall FROM r JOIN k ON k.feature = r.feature"""
+
+
+def tables_selection(k: int) -> str:
+    """Relevance less the sum over the candidate's levels of the largest redundancy any selected feature has there."""
+    def level_info(src):
+        return f"""SELECT feature, other, a, sum(n / nt * log2(n * nt / (na * nb))) AS i FROM (
+      SELECT feature, other, a, b, n, sum(n) OVER (PARTITION BY feature, other, a) AS na,
+             sum(n) OVER (PARTITION BY feature, other, b) AS nb, sum(n) OVER (PARTITION BY feature, other) AS nt
+      FROM (SELECT feature, other, a, b, CAST(count(*) AS DOUBLE) AS n FROM {src} GROUP BY feature, other, a, b))
+    GROUP BY feature, other, a"""
+    rel, pairs = _dense_sources("emb_long")
+    ctes = [EMB, f"relsrc AS ({rel})", f"rel AS (SELECT feature, sum(i) AS val FROM ({level_info('relsrc')}) GROUP BY feature)"]
+    outs = []
+    for i in range(1, k + 1):
+        if i == 1:
+            ctes.append("s1 AS (SELECT feature, val AS score FROM rel)")
+        else:
+            known = " UNION ALL ".join(f"SELECT feature, a, i FROM p{j}" for j in range(1, i))
+            ctes.append(f"worst{i} AS (SELECT feature, sum(i) AS w FROM (SELECT feature, a, max(i) AS i FROM ({known}) GROUP BY feature, a) "
+                        "GROUP BY feature)")
+            ctes.append(f"s{i} AS (SELECT rel.feature, val - coalesce(w, 0) AS score FROM rel LEFT JOIN worst{i} USING (feature) "
+                        f"WHERE rel.feature NOT IN (SELECT feature FROM sel{i - 1}))")
+        ctes.append(f"w{i} AS (SELECT feature, score FROM s{i} ORDER BY round(score, 12) DESC NULLS LAST, feature LIMIT 1)")
+        ctes.append(f"sel{i} AS (" + " UNION ALL ".join(f"SELECT feature FROM w{j}" for j in range(1, i + 1)) + ")")
+        outs.append(f"SELECT {i} AS rnk, feature, score FROM w{i}")
+        if i < k:
+            ctes.append(f"psrc{i} AS ({pairs(f'w{i}', f'sel{i}')})")
+            ctes.append(f"p{i} AS ({level_info(f'psrc{i}')})")
+    return ("WITH " + ",\n".join(ctes) + "\nSELECT CAST(rnk AS INTEGER) AS rank, CAST(feature AS BIGINT) AS feature, "
+            + r6("score") + " AS score FROM (" + " UNION ALL ".join(outs) + ")")
+
+
+ORACLE["custom_score_tables"] = tables_selection(4)
+ORACLE["mrmr_journal"] = emb_selection(3)
+ORACLE["estimator_saved"] = ORACLE["estimator_reduce"]

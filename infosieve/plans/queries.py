@@ -20,7 +20,7 @@ from ..operators.information import mi_from_pairs, mutual_information_columns
 from ..operators.reduce import reduce_to
 from ..operators.ranks import rank_terms
 from ..operators.sample import bernoulli_sample, exact_sample
-from ..operators.scores import (MIQ, ExprScore, JointAgg, RankTerm, VectorAgg, chi2_term, max_redundancy_mrmr,
+from ..operators.scores import (MIQ, ExprScore, JointAgg, RankTerm, TablesTerm, VectorAgg, chi2_term, max_redundancy_mrmr,
                                 symmetric_uncertainty_mrmr)
 from ..operators.selection import select_features
 from ..operators.transpose import class_lines, transpose_long
@@ -434,6 +434,45 @@ def q_rank_correlations(spark, sf):
                        _r6(F.col("kendall")).alias("kendall"))
 
 
+def worst_level_redundancy() -> ExprScore:
+    """Relevance less, level by level of the candidate, the largest redundancy with any selected feature: a function
+    of all tables together that no sum, maximum or minimum over whole tables gives."""
+    def value(cells):
+        info = F.expr("n / total * log2(n * total / (na * nb))")
+        worst = (cells.where("place > 0").groupBy("feature", "a", "place").agg(info_sum(info))
+                 .groupBy("feature", "a").agg(F.max("i").alias("i")).groupBy("feature").agg(F.sum("i").alias("worst")))
+        rel = cells.where("place = 0").groupBy("feature").agg(info_sum(info))
+        return rel.join(worst, "feature", "left").select(
+            "feature", (F.col("i") - F.coalesce("worst", F.lit(0.0))).alias("value"))
+
+    def info_sum(info):
+        return F.sum(info).alias("i")
+    return ExprScore(lambda rel, red, n, i, k: rel["v"], terms={"v": TablesTerm(value)}, name="worst_level_redundancy")
+
+
+def q_custom_score_tables(spark, sf):
+    return _ranked(select_features(_emb_layout(spark, sf), 4, worst_level_redundancy()))
+
+
+def q_mrmr_journal(spark, sf):
+    """M8: a selection that keeps a journal; a second driver with the same journal takes its result from there."""
+    path = scratch_path(spark, "journal")
+    select_features(_emb_layout(spark, sf), 3, "mrmr", journal=path)
+    return _ranked(select_features(_emb_layout(spark, sf), 3, "mrmr", journal=path))
+
+
+def q_estimator_saved(spark, sf):
+    """M7: a pipeline with the selector, fitted, saved, loaded and applied to every row."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from .estimator import InfoSelector
+    b = embedding_bits(spark, sf).select("vec_id", "label", array_to_vector("bits").alias("features"))
+    path = scratch_path(spark, "pipeline-model")
+    Pipeline(stages=[InfoSelector(3)]).fit(b).write().overwrite().save(path)
+    out = PipelineModel.load(path).transform(b).select("vec_id", "label", vector_to_array("selected").alias("s"))
+    return out.select("vec_id", "label", *[F.col("s")[i].alias(f"sel_{i + 1}") for i in range(3)])
+
+
 QUERIES = {
     "class_histogram": q_class_histogram,
     "feature_levels": q_feature_levels,
@@ -484,4 +523,7 @@ QUERIES = {
     "spearman_mrmr": q_spearman_mrmr,
     "kendall_mrmr": q_kendall_mrmr,
     "rank_correlations": q_rank_correlations,
+    "custom_score_tables": q_custom_score_tables,
+    "mrmr_journal": q_mrmr_journal,
+    "estimator_saved": q_estimator_saved,
 }
