@@ -11,8 +11,9 @@ sample's calibration fold, scored by models without the counts of that fold.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and count as
 rejected; rows with a null ``lang`` don't train but are predicted; ties go to the smaller
-language name; without any labelled row every text is ``und``; extra columns are ignored;
-repeated rows get equal results.
+language name; without any labelled row every text is ``und``; extra columns are ignored, whatever their names;
+repeated rows get equal results; a text of any length is scored whole, piece by piece; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

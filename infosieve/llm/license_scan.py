@@ -6,7 +6,8 @@ matches; a detection inside another one of the same or a higher priority is supp
 one sweep over the intervals in order of their start.
 
 Defined results: a null text scans like an empty one; repeated rows give equal rows;
-extra columns are ignored; overlapping detections that do not contain each other all stay;
+extra columns are ignored; a text of any length is scanned whole; an empty table gives an empty
+result; overlapping detections that do not contain each other all stay;
 of equal intervals the highest priority stays, then the smallest label.
 """
 

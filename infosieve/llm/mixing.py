@@ -7,7 +7,7 @@ fraction of its source's rate.
 
 Defined results: a null text has size 0; the null source is a source of its own and comes
 last; a source of size 0 gets target 0 and no copies; repeated rows draw alike (the draw
-hashes ``doc_id`` and the seed only; a null ``doc_id`` hashes as the text ``null``); an empty
+hashes ``doc_id`` and the seed only; a null ``doc_id`` hashes as the text ``null``); texts of any length are counted whole; an empty
 table gives an empty result; extra columns are kept by :func:`emit` and ignored by
 :func:`mix`.
 """

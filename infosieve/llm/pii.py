@@ -15,7 +15,7 @@ or an at sign need no look.
 
 Defined results: null and empty texts have no spans; repeated rows give equal rows; spans are
 listed by start, then kind, then end; extra columns are ignored; without a training text no
-spans are added.
+spans are added; a text of any length is searched whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ verified, never all pairs, so copies and groups of near copies stay linear in th
 
 Defined results: a null or empty text has fingerprint zero and links like any other; texts
 shorter than a shingle hash their whole word sequence; repeated rows share a fingerprint; a
-component's id is its smallest non-null ``doc_id``; extra columns are ignored.
+component's id is its smallest non-null ``doc_id``; a bit that is set in exactly half the shingles is 0;
+fingerprints at exactly the maximum distance link; a text of any length is read whole; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ rows are indexed and the search is exact, so recall is 1.
 Defined results: vectors that are null or hold null or non-finite components take no part;
 shorter vectors count as padded with zeros; an empty vector scores 0; rows that repeat a
 ``vec_id`` are rows of their own (a query skips only its own row); ties go to the smaller
-``vec_id`` (null last); scores beyond 64 bits raise an error; extra columns are ignored.
+``vec_id`` (null last); scores beyond 64 bits raise an error; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ Defined results: a null ``html`` is an empty payload; a null ``page_id`` sorts a
 numbers and has an identifier of its own kind; rows that repeat the smallest number are all
 responses; blanks and control characters in a URL are percent-encoded and a null URL becomes
 ``about:blank``; a header line that cannot be parsed ends the reading of that archive with
-an error; extra columns are ignored; an empty table gives no archives.
+an error; extra columns are ignored; an empty table gives no archives; a
+payload of any length is one record.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""Added tokens in texts, second review round."""
+"""Added tokens in texts."""
 
 import zlib
 

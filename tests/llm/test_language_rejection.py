@@ -1,4 +1,4 @@
-"""Rejection bounds, second review round."""
+"""Rejection bounds."""
 
 import random
 

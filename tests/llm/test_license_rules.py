@@ -1,4 +1,4 @@
-"""Rules on their phrase alone, second review round."""
+"""Rules on their phrase alone."""
 
 import itertools
 import re

@@ -1,4 +1,4 @@
-"""Addresses without digits, second review round."""
+"""Addresses without digits."""
 
 import random
 
