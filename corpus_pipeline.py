@@ -3,6 +3,12 @@
 ``run`` applies the stages to ``documents``; every stage's result is written as Parquet below
 the shared checkpoint folder and reread, so a lost executor costs tasks of one stage only.
 All stages but the last return rows with the columns of their input.
+
+Defined results: the stages' own (see their operators).  Null and empty texts have no letter, so the language
+stage drops them; rows without an id stay in near-dedup, as no other row can name them, and equal texts
+under one id stay once; ties are decided as the operators say; texts of any length pass whole; an
+empty table passes every stage; extra columns, whatever their names, are carried to the last stage, which
+returns its digests.
 """
 
 from __future__ import annotations
