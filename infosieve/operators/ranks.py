@@ -10,7 +10,8 @@ once and never gathered.
   cells (``BLOCK_CELLS``, or a thousandth of a larger table), the b-levels too; a level of ``W`` cells or more
   is a block of its own, whose cells are ties of each other.  Pairs of cells in different blocks on both
   sides are counted from the block grid, the others inside their a-block or their b-block; each
-  group holds at most 2 W cells or a grid of about 2,000 x 2,000.
+  group holds at most 2 W cells or a grid of about 2,000 x 2,000.  Where no table has more than
+  ``BLOCK_CELLS`` cells, each is one group.
 """
 
 from __future__ import annotations
@@ -75,9 +76,12 @@ def signed_pairs(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> float:
     return total - float(((by_u ** 2).sum() - (by_cell ** 2).sum()) / 2)
 
 
-def _levels(table: DataFrame, keys: list[str], side: str) -> DataFrame:
-    """``keys, side, sum, cells`` and their sums over smaller levels."""
+def _levels(table: DataFrame, keys: list[str], side: str, small: bool) -> DataFrame:
+    """``keys, side, total, cells`` and their sums over smaller levels; ``small`` tables are sorted each in one task."""
     levels = table.groupBy(*keys, side).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("cells"))
+    if small:
+        lower = Window.partitionBy(*keys).orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
+        return levels.select("*", *[F.coalesce(F.sum(v).over(lower), F.lit(0)).alias(f"before_{v}") for v in ("total", "cells")])
     return running(levels, keys, side, ["total", "cells"])
 
 
@@ -96,7 +100,9 @@ def rank_terms(table: DataFrame, keys: list[str], kinds: dict, prefix: str = "",
     """``keys...`` and one column per statistic of complete tables ``(keys..., a, b, n)``; ``kinds`` maps names to
     ``"spearman"`` or ``"kendall"``.  A side with one level alone gives null."""
     cells = table.select(*keys, "a", "b", F.col("n").cast("long").alias("n")).checkpoint(eager=True)
-    sides = {side: _levels(cells, keys, side) for side in ("a", "b")}
+    biggest = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    small = biggest <= block_cells        # every table is one block
+    sides = {side: _levels(cells, keys, side, small) for side in ("a", "b")}
     whole = sides["a"].groupBy(*keys).agg(F.sum("total").cast("double").alias("count"), F.sum("cells").alias("all_cells"))
     for side, levels in sides.items():
         d, mean = F.col("total").cast("double"), (F.col("count") + 1) / 2
@@ -105,7 +111,8 @@ def rank_terms(table: DataFrame, keys: list[str], kinds: dict, prefix: str = "",
             F.sum(d * (rank - mean) * (rank - mean)).alias(f"var_{side}"),
             F.sum(d * (d - 1) / 2).alias(f"ties_{side}"))
         whole = whole.join(ties, keys)
-    whole = whole.checkpoint(eager=True)
+    if not small:
+        whole = whole.checkpoint(eager=True)
     out = whole
     if "spearman" in kinds.values():
         met = cells
@@ -116,7 +123,9 @@ def rank_terms(table: DataFrame, keys: list[str], kinds: dict, prefix: str = "",
         both = met.join(whole.select(*keys, "count"), keys).groupBy(*keys).agg(
             F.sum(F.col("n") * (F.col("rank_a") - mean) * (F.col("rank_b") - mean)).alias("cov"))
         out = out.join(both, keys)
-    if "kendall" in kinds.values():
+    if "kendall" in kinds.values() and small:
+        out = out.join(_signed(cells, keys, keys, "a", "b").withColumnRenamed("s", "signed"), keys)
+    elif "kendall" in kinds.values():
         blocked = cells
         for side, levels in sides.items():
             size = F.greatest(F.lit(block_cells), F.ceil(F.col("all_cells") / BLOCKS))
