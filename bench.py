@@ -18,7 +18,7 @@ from infosieve.session import build_session, drop_scratch  # noqa: E402
 
 HEADLINE = ["mrmr_lineitem", "max_relevance_lineitem", "mrmr_sparse", "mrmr_instance", "mrmr_feature",
             "zero_recovery", "custom_score_table", "custom_score_vector", "custom_score_joint", "batch_policy",
-            "csv_scan", "feature_csv_scan"]
+            "csv_scan", "feature_csv_scan", "mrmr_lazy", "mrmr_bitmaps", "mrmr_stored", "rank_correlations"]
 
 
 def main() -> None:
