@@ -243,7 +243,7 @@ class Selector:
         else:
             counted = lay.class_counts() if hasattr(lay, "class_counts") else count_pairs(lay.class_rows([]), ["feature"])
             self._ct = self._kept(counted, "counts")
-        self._marg, self._hist = None, prep.hist
+        self._marg = None
         widest = self._ct.groupBy("feature").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
         raw = self._raw_terms(self._ct, ["feature"], prep.hist, [], prep.n_classes, None, int(widest or 0))
         rel = self._pair_values(raw)
