@@ -20,7 +20,6 @@ empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
-import hashlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -265,8 +264,3 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         "doc_id", "ids", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"))
     return decode(there, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def sha256_of(ids: list[int]) -> str:
-    """The digest of a list of ids, as ``digests`` gives it."""
-    return hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
