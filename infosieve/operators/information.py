@@ -57,8 +57,7 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[st
     # SQL text: one round trip to the JVM per column keeps the planning time of an iteration small
     N = repr(float(n_total))
     if table_cells is not None and table_cells <= FEW_CELLS:
-        out = _mi_of_small_tables(with_nb, N, keys)
-        return out.join(_cell_sums(with_nb, h, n_total, keys, hist_keys, cell_terms), keys) if cell_terms else out
+        return _small_tables(with_nb, h, n_total, keys, hist_keys, cell_terms or {})
     by_level = with_nb.selectExpr(*[f"`{c}`" for c in keys], "a", "CAST(n AS DOUBLE) AS n", "nb").repartition(*keys, "a")
     na = by_level.groupBy(*keys, "a").agg(F.sum("n").alias("na"))
     cells = (by_level.join(na, [*keys, "a"]).groupBy(*keys)
@@ -77,11 +76,14 @@ def mi_from_pairs(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[st
     return out.join(_cell_sums(with_nb, h, n_total, keys, hist_keys, cell_terms), keys)
 
 
-def _mi_of_small_tables(with_nb: DataFrame, N: str, keys: list[str]) -> DataFrame:
-    """The columns of ``mi_from_pairs`` from counts with their ``nb``; one exchange by table."""
+def _small_tables(with_nb: DataFrame, hist: DataFrame, n_total: int, keys: list[str], hist_keys: list[str],
+                  terms: dict) -> DataFrame:
+    """The columns of ``mi_from_pairs`` from counts with their ``nb``; one exchange by table, and for cell terms
+    the join of the zero row's levels."""
+    N = repr(float(n_total))
     by = ", ".join(f"`{c}`" for c in keys)
     w = with_nb.select(*keys, "a", "b", F.col("n").cast("double").alias("n"), "nb").repartition(*keys).selectExpr(
-        *[f"`{c}`" for c in keys], "a", "n", "nb", f"sum(n) OVER (PARTITION BY {by}, a) AS na",
+        *[f"`{c}`" for c in keys], "a", "b", "n", "nb", f"sum(n) OVER (PARTITION BY {by}, a) AS na",
         f"sum(n) OVER (PARTITION BY {by}, b) AS tb", f"sum(n) OVER (PARTITION BY {by}) AS nnz")
     # the zero cell of level b is added once, shared out over the rows of that level
     zero = (f"CASE WHEN nb IS NULL OR nb < tb THEN CAST(raise_error('{SHORT}') AS DOUBLE) "
@@ -89,10 +91,29 @@ def _mi_of_small_tables(with_nb: DataFrame, N: str, keys: list[str]) -> DataFram
     sums = w.groupBy(*keys).agg(
         F.expr(f"sum(n * log2(n * {N} / (na * nb)))").alias("s_cell"), F.expr(f"sum({zero})").alias("s_zero"),
         F.expr("max(nnz)").alias("nnz"), F.expr("min(a)").alias("lo"), F.expr("sum(n / na)").alias("levels"),
-        F.expr("round(sum(n / tb * nb))").alias("seen"))
+        F.expr("round(sum(n / tb * nb))").alias("seen"),
+        *[F.sum(fn(F.col("n"), F.col("na"), F.col("nb"), F.lit(float(n_total)))).alias(f"c_{k}") for k, fn in terms.items()])
     rest = f"CASE WHEN {N} > seen AND {N} > nnz THEN ({N} - seen) * log2({N} / ({N} - nnz)) ELSE 0.0 END"
-    return sums.select(*keys, F.expr(f"(s_cell + s_zero + {rest}) / {N}").alias("mi"), F.col("nnz").cast("long").alias("nnz"),
-                       F.expr("CAST(round(levels) AS BIGINT)").alias("n_levels"), "lo")
+    out = sums.select(*keys, F.expr(f"(s_cell + s_zero + {rest}) / {N}").alias("mi"), F.col("nnz").cast("long").alias("nnz"),
+                      F.expr("CAST(round(levels) AS BIGINT)").alias("n_levels"), "lo", *[f"c_{k}" for k in terms])
+    if not terms:
+        return out
+    met = w.groupBy(*keys, "b").agg(F.max("tb").alias("tb"))
+    zeros = _zero_sums(sums.select(*keys, F.col("nnz").alias("nf")), met, hist, n_total, keys, hist_keys, terms)
+    return out.join(zeros, keys).select(*keys, "mi", "nnz", "n_levels", "lo",
+                                        *[(F.col(f"c_{k}") + F.col(f"z_{k}")).alias(k) for k in terms])
+
+
+def _zero_sums(nnz: DataFrame, met: DataFrame, hist: DataFrame, n_total: int, keys: list[str], hist_keys: list[str],
+               terms: dict) -> DataFrame:
+    """``keys..., z_<name>``: each term summed over the zero row, whose cells follow from all levels of the other
+    variable and the counts ``tb`` of those that were met."""
+    N = F.lit(float(n_total))
+    grid = level_grid(nnz, hist, hist_keys).join(met, [*keys, "b"], "left")
+    n0, m = N - F.col("nf"), F.col("nb") - F.coalesce("tb", F.lit(0.0))
+    return grid.groupBy(*keys).agg(*[
+        F.sum(F.when((m > 0) & (n0 > 0), fn(m, n0, F.col("nb"), N)).otherwise(F.lit(0.0))).alias(f"z_{k}")
+        for k, fn in terms.items()])
 
 
 def _cell_sums(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[str], hist_keys: list[str],
@@ -105,11 +126,7 @@ def _cell_sums(pairs: DataFrame, hist: DataFrame, n_total: int, keys: list[str],
                .groupBy(*keys).agg(*[F.sum(fn(n, F.col("na"), F.col("nb"), N)).alias(f"c_{k}") for k, fn in terms.items()]))
     nnz = na.groupBy(*keys).agg(F.sum("na").alias("nf"))
     met = pairs.groupBy(*keys, "b").agg(F.sum("n").cast("double").alias("tb"))
-    grid = level_grid(nnz, hist, hist_keys).join(met, [*keys, "b"], "left")
-    n0, m = N - F.col("nf"), F.col("nb") - F.coalesce("tb", F.lit(0.0))
-    zero = grid.groupBy(*keys).agg(*[
-        F.sum(F.when((m > 0) & (n0 > 0), fn(m, n0, F.col("nb"), N)).otherwise(F.lit(0.0))).alias(f"z_{k}")
-        for k, fn in terms.items()])
+    zero = _zero_sums(nnz, met, hist, n_total, keys, hist_keys, terms)
     return counted.join(zero, keys).select(*keys, *[(F.col(f"c_{k}") + F.col(f"z_{k}")).alias(k) for k in terms])
 
 

@@ -100,3 +100,21 @@ def test_cell_terms_meet_every_level(spark):
     from infosieve.operators.scores import chi2_term
     out = mi_from_pairs(pairs, prep.hist, prep.n, ["feature"], cell_terms={"chi2": chi2_term().fn}).collect()
     assert {r["feature"]: round(r["chi2"], 6) for r in out} == {0: float(n), 1: 0.0}
+
+
+def test_small_and_spread_tables_give_the_same_terms(spark, monkeypatch):
+    """MI and cell terms of one exchange by table equal those spread by (table, level)."""
+    from infosieve.operators import information
+    from infosieve.operators.scores import chi2_term, entropy_terms
+    rows = [(f, (i * (f + 2)) % 4, (i // 3) % 3) for f in range(4) for i in range(60)]
+    df = spark.createDataFrame(rows, "feature int, a int, b int")
+    pairs = df.where("a <> 0").groupBy("feature", "a", "b").agg(F.count("*").alias("n")).checkpoint()
+    hist = spark.createDataFrame([(0, 20), (1, 20), (2, 20)], "b int, nb long")
+    terms = {k: t.fn for k, t in {**entropy_terms(), "chi2": chi2_term()}.items() if t != "mi"}
+    got = []
+    for cells in (100, None):
+        out = information.mi_from_pairs(pairs, hist, 60, ["feature"], hist_rows=3, cell_terms=terms, table_cells=cells)
+        got.append(sorted(tuple(r[c] for c in ("feature", "mi", "nnz", "n_levels", "lo", *terms)) for r in out.collect()))
+    assert len(got[0]) == 3      # feature 2 is zero everywhere
+    for small, spread in zip(*got):
+        assert small == pytest.approx(spread, abs=1e-12)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bruteforce import mi, select
-from infosieve import ArrayInstances, ExprScore, MapInstances, Selector, TablesTerm, WideInstances, register_score, select_features
+from infosieve import ArrayInstances, ExprScore, Selector, TablesTerm, WideInstances, register_score, select_features
 from infosieve.plans.estimator import InfoSelector, InfoSelectorModel
 
 
