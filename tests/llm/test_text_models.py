@@ -300,10 +300,10 @@ def test_base_scores(spark, heavy, monkeypatch):
 
 
 def small_mixer(texts):
-    spelled = np.zeros(257)
-    for data, *_ in context_mixing.slices(texts):
-        spelled[:256] += np.bincount(data, minlength=256)
-    spelling = context_mixing.Spelling(spelled)
+    spelled = np.zeros(257 * 257)
+    for data, starts, _, last in context_mixing.slices(texts):
+        spelled += np.bincount(context_mixing.spelled_pairs(data, starts, last, np.ones(len(starts), bool)), minlength=257 * 257)
+    spelling = context_mixing.Spelling(spelled.reshape(257, 257))
     tables = [np.zeros(2 << bits, np.int64) for _, bits in context_mixing.ORDERS]
     for data, starts, _, last in context_mixing.slices(texts):
         keys, _ = spelling.keys(data, starts, last)
@@ -347,7 +347,22 @@ def test_known_hashes_are_found():
 def test_probabilities_of_all_next_symbols_sum_to_one(spark):
     """The tree's codes are complete, so the model is a distribution over symbols."""
     mixer = small_mixer([t for _, t, *_ in rows_of(spark, 20)])
-    assert (2.0 ** -mixer.spelling.lens).sum() == pytest.approx(1)
+    assert mixer.spelling.lens.shape == (257, 257)
+    assert (2.0 ** -mixer.spelling.lens).sum(axis=1) == pytest.approx(1)
+
+
+def test_pairs_of_symbols_follow_each_piece(monkeypatch):
+    """Pieces of one text are not joined, and only a text's last piece has an end."""
+    monkeypatch.setattr(context_mixing, "PIECE_BYTES", 8)
+    texts = ["ab", None, "abcd efgh ijkl mnop", "ü\n\n"]
+    want = Counter()
+    for data, starts, owner, last in context_mixing.slices(texts):
+        for s, e, i, x in zip(starts, np.r_[starts[1:], len(data)] - 1, owner, last, strict=True):
+            syms = [256, *data[s:e].tolist(), *([256] if x else [])]
+            if i != 0:
+                want.update(257 * a + b for a, b in zip(syms, syms[1:], strict=False))
+        got = context_mixing.spelled_pairs(data, starts, last, owner != 0)
+        assert Counter(got.tolist()) == want
 
 
 def test_model_beats_byte_frequencies(spark):
