@@ -3,9 +3,12 @@
 Fingerprints of distinct documents are embedded as bit counts of short segments.  The
 Manhattan distance of two embeddings is a lower bound of the Hamming distance, so a grid
 range-join over the embeddings proposes candidates and the exact distance verifies them.
-With at most 4 differing bits spread over three blocks, one block differs in at most one
-bit; its embeddings lie in the same grid cell or in cells one step apart.  Verified links
-become components by large-star/small-star rounds.
+The segments are dealt to ``n`` blocks; a distance of at most ``max_bits`` leaves at least
+``n - max_bits`` blocks without any, so every choice of that many blocks is a grid whose cells are
+the counts of its segments.  The number of distinct fingerprints decides ``n``: more blocks make
+cells of more segments, so that candidates per fingerprint don't grow with the data, at the price
+of more grids.  Whatever ``n``, no pair is lost.  Verified links become components by
+large-star/small-star rounds.
 
 Hot cells are tiled: a cell with more members than ``tile`` is cut into slots and every
 pair of slots meets in a group of its own.  A task emits a spanning forest of the links it
@@ -20,7 +23,9 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, in_arrow, stored
 
-#: Bits per block of the pigeonhole; three blocks suffice for distances up to 5.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-SEGMENT = 2
+#: Bits of a segment, and segments of a fingerprint.
+SEGMENT, SEGMENTS = 2, 32
+#: Of two random segments, how often their bit counts are equal.
+EQUAL = 0.375
+#: What an entry of a grid costs, in pairs compared; grids at most.
+ENTRY_PAIRS, MAX_GRIDS = 100, 1000
+_LOW = np.uint64(0x5555555555555555)
 #: Members of a grid cell that meet in one group; larger cells are tiled.
 TILE = 2048
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
@@ -71,42 +80,46 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {ids}, fp long")
 
 
-def grid_entries(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``cell, home, row`` of unsigned fingerprints: the own cell of each block and the cells one step up.
+def grids(n: int, max_bits: int) -> list[tuple[int, int]]:
+    """Per choice of ``n - max_bits`` of ``n`` blocks: the mask of its bits and its number of segments."""
+    blocks = [part.tolist() for part in np.array_split(np.arange(SEGMENTS), n)]
+    chosen = [[i for part in choice for i in part] for choice in combinations(blocks, n - max_bits)]
+    return [(sum(((1 << SEGMENT) - 1) << (SEGMENT * i) for i in segments), len(segments)) for segments in chosen]
 
-    A cell's number holds the bit counts of the block's segments.  Of two cells one step
-    apart, the upper one is the lower one's neighbour by a step up, so steps up alone bring
-    every such pair together once.
-    """
-    cells, home, rows = [], [], []
-    every = np.arange(len(fp))
-    for k, (first, bits) in enumerate(BLOCKS):
-        own, steps, place = np.full(len(fp), k, np.int64), [], len(BLOCKS)
-        for off in range(first, first + bits, SEGMENT):
-            top = min(SEGMENT, first + bits - off)
-            count = np.bitwise_count((fp >> np.uint64(off)) & np.uint64((1 << top) - 1)).astype(np.int64)
-            own += count * place
-            steps.append((np.flatnonzero(count < top), place))
-            place *= SEGMENT + 1
-        cells.append(own)
-        home.append(np.ones(len(fp), bool))
-        rows.append(every)
-        for at, p in steps:
-            cells.append(own[at] + p)
-            home.append(np.zeros(len(at), bool))
-            rows.append(at)
-    return np.concatenate(cells), np.concatenate(home), np.concatenate(rows)
-
-
-def _cells(distinct: DataFrame) -> DataFrame:
+
+def block_count(members: int, max_bits: int) -> int:
+    """The number of blocks of the least expected cost: grid entries and random candidates per fingerprint."""
+    def cost(n: int) -> float:
+        return sum(ENTRY_PAIRS + members * EQUAL ** size for _, size in grids(n, max_bits))
+
+    able = [n for n in range(max_bits + 1, SEGMENTS + 1) if math.comb(n, max_bits) <= MAX_GRIDS]
+    if not able:
+        raise ValueError(f"no grids for {max_bits} differing bits")
+    return min(able, key=cost)
+
+
+def grid_entries(fp: np.ndarray, masks: list[int]) -> np.ndarray:
+    """The cell of each unsigned fingerprint in each grid, one row per grid.
+
+    The embedding holds the bit count of every segment in the segment's place; a cell's number is that of the
+    grid's segments, scrambled with the grid's.  Equal numbers of other cells only add candidates."""
+    counts = (fp & _LOW) + ((fp >> np.uint64(1)) & _LOW)
+    out = np.empty((len(masks), len(fp)), np.uint64)
+    for k, mask in enumerate(masks):
+        x = (counts & np.uint64(mask)) + np.uint64(((k + 1) * 0x9E3779B97F4A7C15) % (1 << 64))
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+        out[k] = x ^ (x >> np.uint64(29))
+    return out.view(np.int64)
+
+
+def _cells(distinct: DataFrame, masks: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy()
-            cell, home, row = grid_entries(fp.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home), pa.array(fp[row])],
-                                             names=["cell", "home", "fp"])
+            for cell in grid_entries(fp.view(np.uint64), masks):
+                yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0)], names=["cell", "fp"])
 
-    return distinct.select("fp").mapInArrow(run, "cell long, home boolean, fp long")
+    return distinct.select("fp").mapInArrow(run, "cell long, fp long")
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -157,11 +170,12 @@ def _links(group: np.ndarray, left: np.ndarray, right: np.ndarray, fp: np.ndarra
     return nodes[moved], nodes[label[moved]]
 
 
-def near_links(distinct: DataFrame, max_bits: int = 4, tile: int = TILE) -> DataFrame:
-    """Links ``u, v`` whose closure equals that of all pairs within ``max_bits`` bits."""
-    if max_bits > 5:
-        raise ValueError("three blocks cover at most 5 differing bits")
-    cells = _cells(distinct)
+def near_links(distinct: DataFrame, max_bits: int = 4, tile: int = TILE, blocks: int | None = None) -> DataFrame:
+    """Links ``u, v`` whose closure equals that of all pairs within ``max_bits`` bits.
+
+    ``blocks`` is the number of blocks, by default :func:`block_count` of the rows."""
+    blocks = block_count(distinct.count(), max_bits) if blocks is None else blocks
+    cells = _cells(distinct, [mask for mask, _ in grids(blocks, max_bits)])
     slots = F.ceil(F.col("members") / F.lit(tile)).cast("int")
     hot = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > tile)
     sized = cells.join(hot.select("cell", slots.alias("slots")), "cell", "left")
@@ -171,9 +185,8 @@ def near_links(distinct: DataFrame, max_bits: int = 4, tile: int = TILE) -> Data
                                                      F.lit(True).alias("r")))
     as_left = F.transform(every, lambda i: F.struct((slot * F.col("slots") + i).alias("tile"), F.lit(True).alias("l"),
                                                     F.lit(False).alias("r")))
-    plain = F.array(F.struct(F.lit(0).alias("tile"), F.col("home").alias("l"), F.lit(True).alias("r")))
-    parts = (F.when(F.col("slots").isNull(), plain).when(F.col("home"), F.concat(as_left, as_right))
-             .otherwise(as_right))
+    plain = F.array(F.struct(F.lit(0).alias("tile"), F.lit(True).alias("l"), F.lit(True).alias("r")))
+    parts = F.when(F.col("slots").isNull(), plain).otherwise(F.concat(as_left, as_right))
     tiled = sized.select("cell", "fp", F.explode(parts).alias("p")).select("cell", "p.tile", "fp", "p.l", "p.r")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

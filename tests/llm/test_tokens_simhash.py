@@ -169,8 +169,31 @@ def test_near_duplicates_of_documents(spark):
     check_components(spark, rows)
 
 
-@pytest.mark.parametrize("tile", [8, 2048])
-def test_links_of_planted_fingerprints(spark, tile):
+def test_no_grid_choice_loses_a_close_pair():
+    """Every number of blocks, every distance up to the bound; farther pairs with many blocks hardly meet."""
+    rng = np.random.default_rng(3)
+    fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for bits in (0, 1, 4, 6):
+        near = fp.copy()
+        for i in range(len(near)):
+            for b in rng.choice(64, bits, replace=False).tolist():
+                near[i] ^= np.uint64(1 << b)
+        for blocks in range(bits + 1, bits + 6):
+            masks = [mask for mask, _ in simhash.grids(blocks, bits)]
+            assert (simhash.grid_entries(fp, masks) == simhash.grid_entries(near, masks)).any(axis=0).all()
+    masks = [mask for mask, _ in simhash.grids(10, 4)]
+    assert (simhash.grid_entries(fp, masks) == simhash.grid_entries(np.roll(fp, 1), masks)).any(axis=0).sum() < 3
+
+
+def test_more_fingerprints_take_more_blocks():
+    found = [simhash.block_count(n, 4) for n in (0, 1, 10 ** 4, 10 ** 6, 10 ** 8, 10 ** 10)]
+    assert found[0] == found[1] == 5 and found == sorted(found) and found[-1] > found[2]
+    with pytest.raises(ValueError, match="grids"):
+        simhash.block_count(10, 32)
+
+
+@pytest.mark.parametrize(("tile", "blocks"), [(8, None), (2048, None), (8, 7), (2048, 6), (2048, 9)])
+def test_links_of_planted_fingerprints(spark, tile, blocks):
     """Near copies, chains and boundary distances; small tiles split every hot cell."""
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
@@ -185,7 +208,7 @@ def test_links_of_planted_fingerprints(spark, tile):
     prints = sorted(prints)
     frame = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long")
     from infosieve.llm.common import connected_components
-    links = simhash.near_links(frame, 4, tile)
+    links = simhash.near_links(frame, 4, tile, blocks)
     got = {r["node"]: r["root"] for r in connected_components(links, "test-cc").collect()}
     roots = slow_components(prints)
     for i, p in enumerate(prints):
