@@ -294,6 +294,8 @@ ORACLE["tsv_scan"] = emb_selection(3)
 ORACLE["libsvm_scan"] = emb_selection(3)
 ORACLE["feature_csv_scan"] = emb_selection(3)
 ORACLE["class_vector_scan"] = "SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS pos, label FROM embeddings"
+ORACLE["class_line_scan"] = ORACLE["class_vector_scan"]
+ORACLE["feature_lines_scan"] = ORACLE["transpose"]
 
 ORACLE["selection_job"] = ORACLE["selection_report"]
 

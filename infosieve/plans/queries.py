@@ -361,6 +361,20 @@ def q_class_vector_scan(spark, sf):
     return sources.read_class_positions(spark, cpath).select("pos", F.col("label").cast("int").alias("label"))
 
 
+def q_class_line_scan(spark, sf):
+    """The class vector as one line over many files, written and read back."""
+    path = scratch_path(spark, "class-line")
+    sources.write_class_line(embedding_bits(spark, sf).select(F.col("vec_id").alias("pos"), "label"), path)
+    return sources.read_class_line(spark, path, label_type="int")
+
+
+def q_feature_lines_scan(spark, sf):
+    """Whole-vector feature lines over many files, written and read back."""
+    path = scratch_path(spark, "feature-lines")
+    sources.write_feature_lines(transpose_long(embedding_bits(spark, sf), "vec_id", "bits"), path)
+    return sources.read_feature_lines(spark, path, id_type="long")
+
+
 def q_row_sample(spark, sf):
     return bernoulli_sample(embedding_bits(spark, sf).select("vec_id", "label"), 0.5, "vec_id", seed=42)
 
@@ -506,6 +520,8 @@ QUERIES = {
     "libsvm_scan": q_libsvm_scan,
     "feature_csv_scan": q_feature_csv_scan,
     "class_vector_scan": q_class_vector_scan,
+    "class_line_scan": q_class_line_scan,
+    "feature_lines_scan": q_feature_lines_scan,
     "feature_libsvm_scan": q_feature_libsvm_scan,
     "selection_job": q_selection_job,
     "selection_job_feature_wise": q_selection_job_feature_wise,
