@@ -1,10 +1,9 @@
 """Benchmark decontamination (operator 6): latent semantic retrieval, then order and answer checks.
 
 1. Document frequencies of the benchmark's words are counted over all documents.
-2. A randomised SVD (subspace iteration; every pass sums ``A^T (A Q)`` over the stored passages
-   by Spark) of TF-IDF passages gives a latent space.  It is an index: it is fitted on all
-   benchmark items and the passages of a hash-drawn sample of about ``FIT_DOCS`` documents,
-   and every window of every document is embedded and searched.
+2. A randomised SVD (subspace iteration) of TF-IDF passages gives a latent space.  It is fitted on
+   all benchmark items and all passages of ``FIT_WORDS`` words of all documents: Spark sums the products
+   ``A^T A`` of the passages once, by pairs of words, and every pass multiplies the stored sums.
 3. Documents are cut into windows of two segments, one segment apart, for segment lengths that
    cover the items; an item of at most a segment lies wholly in one window.  Pairs of a window
    and an item of whose answer terms, its rarest words, the window holds ``ANSWER_SHARE`` are
@@ -34,10 +33,14 @@ from pyspark.sql import functions as F
 from .common import in_arrow, span_hashes, stored
 
 RANK, OVERSAMPLE, PASSES = 128, 8, 2
-FIT_DOCS, FIT_WORDS = 2000, 64
+FIT_WORDS = 64
 SEGMENT, COSINE, LCS_SHARE, ANSWER_TERMS, ANSWER_SHARE, SHORT = 16, 0.15, 0.6, 8, 0.5, 8
 #: Latent vectors of words; more words than this share them by remainder.
 TERMS = 1 << 16
+#: Word pairs are summed in tiles of ``TILE`` times ``TILE``, those of the ``DENSE`` most frequent words in an array
+#: per task; a row of them is a slab, ``ROWS`` rows of a tile.
+TILE, ROWS, DENSE = 256, 16, 4096
+SLAB = ROWS * TILE
 #: Pairs of windows and items, by answer terms, that are counted together.
 PAIRS, SLICE_CHARS = 1 << 21, 400_000
 _SEED = 6
@@ -133,92 +136,201 @@ def _document_frequencies(docs: DataFrame, bench) -> DataFrame:
     return in_arrow(docs.select("text"), run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def _vectors(texts: list, bench: Benchmark, cut: int | None):
-    """TF-IDF rows (row, term, weight), unit length, of passages of ``cut`` words (None: whole)."""
-    rows, terms, weights, at = [], [], [], 0
-    for got in bench.numbers(texts):
-        for a in range(0, len(got), cut or max(len(got), 1)):
-            part = got[a:a + (cut or len(got))]
-            kinds, n = np.unique(part[part >= 0], return_counts=True)
-            if not len(kinds):
-                continue
-            w = n * bench.idf[kinds]
-            rows.append(np.full(len(kinds), at))
-            terms.append(kinds % TERMS)
-            weights.append(w / np.sqrt((w * w).sum()))
-            at += 1
-    if not rows:
-        return None
-    return np.concatenate(rows), np.concatenate(terms), np.concatenate(weights)
+class Passages:
+    """TF-IDF rows of unit length of passages of ``cut`` words, by the places of the words' vectors."""
+
+    def __init__(self, bench: Benchmark, place: np.ndarray, cut: int = FIT_WORDS):
+        self.bench, self.cut, self.n = bench, cut, len(place)
+        # words in the order of their places: sorted words are sorted places
+        words = np.argsort(place[np.arange(len(bench.keys)) % self.n], kind="stable")
+        self.order = np.argsort(words)
+        self.places, self.idf = place[words % self.n], bench.idf[words]
+
+    def rows(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in ascending order and weights of all rows, and the places of each row."""
+        parts = self.bench.numbers(texts)
+        lens = np.fromiter(map(len, parts), np.int64, len(parts))
+        seq = np.concatenate(parts)
+        known = np.flatnonzero(seq >= 0)
+        cuts = -(-lens // self.cut)
+        inside = known - np.repeat(np.cumsum(lens) - lens, lens)[known]
+        row = np.repeat(np.cumsum(cuts) - cuts, lens)[known] + inside // self.cut
+        key, count = np.unique(row * len(self.order) + self.order[seq[known]], return_counts=True)
+        row, word = np.divmod(key, len(self.order))
+        w = count * self.idf[word]
+        w /= np.sqrt(np.bincount(row, weights=w * w))[row]
+        key = row * self.n + self.places[word]
+        if self.n < len(self.order):  # words that share a vector
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+            key, w = key[first], np.add.reduceat(w, first) if len(first) else w
+        sizes = np.bincount(key // self.n)
+        return key % self.n, w, sizes[sizes > 0]
+
+
+def _corners(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place what it adds to the number of a pair, as its smaller and as its larger one.
+
+    Pairs lie in tiles of ``TILE`` times ``TILE``, the tiles of the first places first."""
+    block, inside = np.divmod(np.arange(n), TILE)
+    return block * TILE ** 2 + inside * TILE, block * (block + 1) // 2 * TILE ** 2 + inside
+
+
+def _products(terms: np.ndarray, weights: np.ndarray, sizes: np.ndarray, corners) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of all pairs of a row's places and the products of their weights, some ``PAIRS`` at a time."""
+    first = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes).tolist():
+        one, other = np.triu_indices(size)
+        rows = first[sizes == size]
+        step = max(1, (PAIRS >> 4) // len(one))
+        for a in range(0, len(rows), step):
+            at = rows[a:a + step] + np.arange(size)[:, None]
+            t, w = terms[at], weights[at]
+            yield (corners[0][t][one] + corners[1][t][other]).ravel(), (w[one] * w[other]).ravel()
+
+
+def _summed_pairs(pairs: list) -> list:
+    """Pairs and their sums as a list of one piece."""
+    key, place = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
+    return [(key, np.bincount(place, weights=np.concatenate([w for _, w in pairs])))]
+
+
+def _products_of_passages(docs: DataFrame, shared, place, dense_places: int) -> DataFrame:
+    """``slab, cells, weights``: the products ``A^T A`` of all passages of all documents, a row per slab of pairs;
+    of slab -1 the weight is the number of passages.
+
+    A task sums the pairs of the ``dense_places`` first places in an array, all others in sorted lists."""
+    def packed(slab, cells, weights):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(slab, pa.int32()), pa.array([c.astype("<u2").tobytes() for c in cells], pa.binary()),
+             pa.array([w.astype("<f4").tobytes() for w in weights], pa.binary())], names=["slab", "cells", "weights"])
+
+    def sent(key, weight):
+        slab = key // SLAB
+        cut = np.flatnonzero(np.diff(slab)) + 1
+        slabs, cells, sums = slab[np.r_[0, cut]].tolist(), np.split(key % SLAB, cut), np.split(weight, cut)
+        for a in range(0, len(slabs), 1000):
+            yield packed(slabs[a:a + 1000], cells[a:a + 1000], sums[a:a + 1000])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages = Passages(shared.value, place.value)
+        corners = _corners(passages.n)
+        blocks = -(-min(passages.n, dense_places) // TILE)
+        dense, rest, held, n = np.zeros(blocks * (blocks + 1) // 2 * TILE ** 2), [], 0, 0
+        for b in batches:
+            for texts in _runs(b.column(0).to_pylist()):
+                terms, weights, sizes = passages.rows(texts)
+                n += len(sizes)
+                for key, weight in _products(terms, weights, sizes, corners):
+                    if passages.n > blocks * TILE:
+                        far = key >= len(dense)
+                        rest.append((key[far], weight[far]))
+                        held += len(rest[-1][0])
+                        key, weight = key[~far], weight[~far]
+                    np.add.at(dense, key, weight)
+                    if held > 2 * PAIRS:
+                        rest = _summed_pairs(rest)
+                        held = len(rest[0][0])
+                        if held > PAIRS:
+                            yield from sent(*rest[0])
+                            rest, held = [], 0
+        if held:
+            yield from sent(*_summed_pairs(rest)[0])
+        used = np.flatnonzero(dense)
+        if len(used):
+            yield from sent(used, dense[used])
+        yield packed([-1], [np.zeros(1)], [np.array([n])])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slab, total = None, np.zeros(SLAB)
+
+        def out():
+            used = np.flatnonzero(total)
+            return packed([slab], [used], [total[used]])
 
-def latent_space(docs: DataFrame, bench: Benchmark, shared, rank: int = RANK, fit_docs: int = FIT_DOCS) -> np.ndarray:
+        for b in batches:
+            for i, cells, weights in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if i != slab:
+                    if slab is not None:
+                        yield out()
+                    slab = i
+                    total[:] = 0
+                total[np.frombuffer(cells, "<u2")] += np.frombuffer(weights, "<f4")
+        if slab is not None:
+            yield out()
+
+    schema = "slab int, cells binary, weights binary"
+    return (in_arrow(docs.select("text"), run, schema).repartition("slab").sortWithinPartitions("slab")
+            .mapInArrow(summed, schema))
+
+
+def latent_space(docs: DataFrame, bench: Benchmark, shared, rank: int = RANK, dense_places: int = DENSE) -> np.ndarray:
     """Projection of word numbers (modulo ``TERMS``) to ``rank`` latent coordinates."""
     spark = docs.sparkSession
     n = min(len(bench.keys), TERMS)
     width = min(n, rank + OVERSAMPLE)
-    share = fit_docs / max(1, docs.count())
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
-    items = [(bench.seqs[i].tolist(),) for i in range(len(bench.seqs))]
-
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = _vectors(b.column(0).to_pylist(), shared.value, FIT_WORDS)
-            if got:
-                r, t, w = got
-                cut = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.split(t, cut[1:]), pa.list_(pa.int64())), pa.array(np.split(w, cut[1:]), pa.list_(pa.float64()))],
-                    names=["terms", "weights"])
-
+    # words of many documents come first
+    rarity = np.full(n, np.inf)
+    np.minimum.at(rarity, np.arange(len(bench.keys)) % n, bench.idf)
+    place = np.argsort(np.argsort(rarity, kind="stable"))
+    slabs = stored(_products_of_passages(docs, shared, spark.sparkContext.broadcast(place), dense_places), "lsa-products")
+    passages = int(sum(np.frombuffer(r["weights"], "<f4")[0] for r in slabs.where("slab = -1").collect()))
     own = []
-    for (seq,) in items:
-        kinds, count = np.unique(np.array(seq), return_counts=True)
+    for seq in bench.seqs:
+        kinds, count = np.unique(seq, return_counts=True)
         w = count * bench.idf[kinds]
-        own.append(((kinds % TERMS).tolist(), (w / np.sqrt((w * w).sum())).tolist()))
-    schema = "terms array<long>, weights array<double>"
-    corpus = stored(in_arrow(drawn.select("text"), rows_of, schema), "lsa-corpus")
+        own.append((place[kinds % n], w / np.sqrt((w * w).sum())))
     # items and corpus passages weigh the same in total, however few the items are
-    heavier = max(1.0, corpus.count() / len(own)) ** 0.5
-    own = spark.createDataFrame([(t, [x * heavier for x in w]) for t, w in own], schema)
-    passages = corpus.unionByName(own.repartition(spark.sparkContext.defaultParallelism))
+    heavier = max(1.0, passages / len(own))
+    at = np.repeat(np.arange(len(own)), [len(t) for t, _ in own])
+    own_terms, own_weights = (np.concatenate(x) for x in zip(*own, strict=True))
+    blocks = -(-n // TILE)
 
     def multiplied(q: np.ndarray) -> np.ndarray:
-        basis = spark.sparkContext.broadcast(q.astype(np.float32))
+        rows = np.zeros((blocks * TILE, width), np.float32)
+        rows[:n] = q
+        basis = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((n, width), np.float64)
+            total: dict = {}
             for b in batches:
-                for a in range(0, b.num_rows, 2000):
-                    c = b.slice(a, 2000)
-                    lens = np.diff(c.column(0).offsets.to_numpy())
-                    t, w = c.column(0).flatten().to_numpy(), c.column(1).flatten().to_numpy()
-                    r = np.repeat(np.arange(len(lens)), lens)
-                    y = np.add.reduceat(basis.value[t] * w[:, None].astype(np.float32), np.cumsum(lens) - lens)
-                    by = np.argsort(t, kind="stable")
-                    first = np.flatnonzero(np.r_[True, t[by][1:] != t[by][:-1]])
-                    total[t[by][first]] += np.add.reduceat(y[r[by]] * w[by][:, None], first)
-            used = np.flatnonzero(total.any(axis=1))
-            for a in range(0, len(used), 512):
-                u = used[a:a + 512]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(u), pa.array([x.astype("<f4").tobytes() for x in total[u]], pa.binary())], names=["term", "v"])
+                for i, cells, weights in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    tile, first = divmod(i * ROWS, TILE)
+                    y = int((np.sqrt(8 * tile + 1) - 1) // 2)
+                    x = tile - y * (y + 1) // 2
+                    slab = np.zeros(SLAB, np.float32)
+                    slab[np.frombuffer(cells, "<u2")] = np.frombuffer(weights, "<f4")
+                    slab = slab.reshape(ROWS, TILE)
+                    for k in {x, y} - total.keys():
+                        total[k] = np.zeros((TILE, width))
+                    total[x][first:first + ROWS] += slab @ basis.value[y * TILE:(y + 1) * TILE]
+                    if x == y:  # the other half, without the diagonal
+                        slab = np.triu(slab, first + 1)
+                    total[y] += slab.T @ basis.value[x * TILE + first:x * TILE + first + ROWS]
+            for k, v in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["block", "v"])
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept: dict = {}
             for b in batches:
-                for t, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    x = np.frombuffer(v, "<f4").astype(np.float64)
-                    kept[t] = kept[t] + x if t in kept else x
-            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array([x.tobytes() for x in kept.values()], pa.binary())],
-                                             names=["term", "v"])
+                for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    x = np.frombuffer(v, np.float64)
+                    kept[k] = kept[k] + x if k in kept else x
+            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int32()), pa.array([x.tobytes() for x in kept.values()], pa.binary())],
+                                             names=["block", "v"])
 
-        z = np.zeros((n, width))
+        z = np.zeros((blocks * TILE, width))
         # at most TERMS rows of the rank's width
-        for r in (passages.mapInArrow(run, "term long, v binary").repartition("term")
-                  .mapInArrow(summed, "term long, v binary").toLocalIterator()):
-            z[r["term"]] = np.frombuffer(r["v"], np.float64)
-        return z
+        for r in (slabs.where("slab >= 0").mapInArrow(run, "block int, v binary").repartition("block")
+                  .mapInArrow(summed, "block int, v binary").toLocalIterator()):
+            z[r["block"] * TILE:(r["block"] + 1) * TILE] = np.frombuffer(r["v"], np.float64).reshape(TILE, width)
+        y = np.zeros((len(own), width))
+        for a in range(0, len(at), PAIRS >> 8):
+            part = slice(a, a + (PAIRS >> 8))
+            np.add.at(y, at[part], q[own_terms[part]] * own_weights[part][:, None])
+        for a in range(0, len(at), PAIRS >> 8):
+            part = slice(a, a + (PAIRS >> 8))
+            np.add.at(z, own_terms[part], y[at[part]] * (heavier * own_weights[part])[:, None])
+        return z[:n]
 
     q = np.linalg.qr(np.random.default_rng(6).standard_normal((n, width)))[0]
     for _ in range(PASSES):
@@ -226,7 +338,7 @@ def latent_space(docs: DataFrame, bench: Benchmark, shared, rank: int = RANK, fi
     z = multiplied(q)
     values, turn = np.linalg.eigh(q.T @ z)
     best = np.argsort(-values)[:min(rank, width)]
-    return (q @ turn[:, best]).astype(np.float32)
+    return (q @ turn[:, best]).astype(np.float32)[place]
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -343,17 +455,25 @@ class Searcher:
         return [(d, i, c, share, -a, n) for (d, i), ((share, c, a), n) in sorted(best.items())]
 
 
-def _slices(texts: list, bench: Benchmark) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Word numbers of runs of documents of about ``SLICE_CHARS`` characters, and each run's first place."""
-    held, size, at = [], 0, 0
-    for i, t in enumerate(texts):
+def _runs(texts: list) -> Iterator[list]:
+    """Runs of texts of about ``SLICE_CHARS`` characters."""
+    held, size = [], 0
+    for t in texts:
         held.append(t)
         size += len(t or "")
         if size >= SLICE_CHARS:
-            yield at, bench.numbers(held)
-            held, size, at = [], 0, i + 1
+            yield held
+            held, size = [], 0
     if held:
-        yield at, bench.numbers(held)
+        yield held
+
+
+def _slices(texts: list, bench: Benchmark) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Word numbers of runs of documents of about ``SLICE_CHARS`` characters, and each run's first place."""
+    at = 0
+    for run in _runs(texts):
+        yield at, bench.numbers(run)
+        at += len(run)
 
 
 def fit(docs: DataFrame, benchmark: DataFrame) -> Searcher | None:

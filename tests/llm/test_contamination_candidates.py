@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from infosieve.llm import decontam
 
 from .helpers import documents
@@ -63,3 +66,38 @@ def test_other_blanks_and_quotes_separate_words(spark):
                              (3, "nothing of the kind", None, None)])
     assert {r["doc_id"] for r in decontam.contaminated(docs, bench).collect()} == {1, 2}
     assert {r["doc_id"] for r in decontam.keep_clean(docs, bench).collect()} == {3}
+
+
+def plain_products(bench, docs, slots):
+    """``A^T A`` of all passages and of the items, which weigh the same in total."""
+    def row(part):
+        r, sums = np.zeros(len(bench.keys)), np.zeros(slots)
+        np.add.at(r, part[part >= 0], 1)
+        r *= bench.idf
+        np.add.at(sums, np.arange(len(r)) % slots, r / np.sqrt((r * r).sum()))
+        return sums
+
+    rows = [row(s[a:a + decontam.FIT_WORDS]) for s in bench.numbers([t for _, t, *_ in docs])
+            for a in range(0, len(s), decontam.FIT_WORDS) if (s[a:a + decontam.FIT_WORDS] >= 0).any()]
+    a, items = np.array(rows), np.array([row(s) for s in bench.seqs])
+    return a.T @ a + max(1.0, len(a) / len(items)) * (items.T @ items)
+
+
+@pytest.mark.parametrize("n_docs,n_words,slots,dense", [(3000, 60, 1 << 16, 4096), (300, 600, 1 << 16, 256), (300, 600, 500, 256)])
+def test_latent_space_is_fitted_on_all_documents(spark, n_docs, n_words, slots, dense, monkeypatch):
+    """Also with words beyond the dense places and with words that share vectors."""
+    monkeypatch.setattr(decontam, "TERMS", slots)
+    rng = random.Random(9)
+    vocab = [f"w{k}" for k in range(n_words)]
+    items = [(k, " ".join(rng.choices(vocab, k=n_words // 4))) for k in range(8)]
+    # each tenth of the documents speaks of other words
+    docs = [(k, " ".join(rng.choices(vocab[k % 10::10] + ["other", "words"], k=rng.choice([5, 30, 150]))), None, None)
+            for k in range(n_docs)] + [(-1, None, None, None), (-2, "", None, None), (-3, "nothing known", None, None)]
+    bench = decontam.Benchmark(items)
+    df = np.sum([np.bincount(np.unique(s[s >= 0]), minlength=len(bench.keys)) for s in bench.numbers([t for _, t, *_ in docs])], axis=0)
+    bench.weigh(df, len(docs))
+    n = min(slots, len(bench.keys))
+    space = decontam.latent_space(documents(spark, docs), bench, spark.sparkContext.broadcast(bench), n, dense)
+    want = plain_products(bench, docs, n)
+    values, turned = np.linalg.eigvalsh(want)[::-1], space.T @ want @ space
+    assert np.allclose(turned, np.diag(values), atol=1e-4 * values[0])
