@@ -4,7 +4,9 @@ The model spells a text's UTF-8 bytes and an end symbol as bits along Huffman tr
 training bytes, one per preceding byte.  For every bit, predictors of several context lengths look up counts in
 hashed tables trained on all training documents; their stretched probabilities are combined
 by a weight vector that a gate (how well the longer contexts are known) selects.  Every text
-starts from the trained vectors; the selected vector and a final probability map are refined
+starts from trained vectors, a logistic regression over all bits of all training documents: these
+fall into two folds by crc32 of the id, each is predicted by tables of the other, and the bits are
+counted by gate and predictions.  The selected vector and a final probability map are refined
 after every bit, from the first to the last bit of the text.  numpy runs many texts in
 lockstep; the last few of a run, which have no company, take a plain loop.
 
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +58,9 @@ PULL = SQUASH * STEP
 CELL = (np.arange(2 * TOP + 1) + MAP_STEP // 2) // MAP_STEP
 #: Logarithms are added as multiples of ``1 / LOG_UNIT``.
 LOG_UNIT = float(1 << 30)
-#: Documents whose leading ``PRIOR_BYTES`` bytes set the first weights.
-PRIOR_DOCS, PRIOR_BYTES = 200, 4096
+#: The first weights are fitted to counts of bits by gate and ``LEVELS`` levels of each prediction, ``LEVEL`` log odds apart.
+LEVELS, LEVEL = 32, 0.5
+FIRST_WEIGHTS = (0.25, 0.35, 0.45)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SEED, _LOWER = 20, np.arange(256, dtype=np.uint8)
@@ -277,7 +281,6 @@ def count_bits(train: DataFrame, spelling, raw: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
-        import zstandard
         s, tables = spelling.value, [np.zeros(n, np.uint32) for n in sizes]
         for b in batches:
             for data, starts, _, last in slices(b.column(0).to_pylist(), MODEL_BYTES):
@@ -287,14 +290,25 @@ def count_bits(train: DataFrame, spelling, raw: bool = False) -> DataFrame:
                 bit = (step & np.uint16(1)).astype(np.uint32)
                 for t, x in zip(tables, index, strict=True):
                     np.add.at(t, (x << np.uint32(1)) | bit, weight)
-        zstd = zstandard.ZstdCompressor(level=3)
-        flat = np.concatenate(tables)
-        used = [i for i in range(0, len(flat), CHUNK) if flat[i:i + CHUNK].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([i // CHUNK for i in used], pa.int32()),
-             pa.array([zstd.compress(flat[i:i + CHUNK].astype("<u4").tobytes()) for i in used], pa.binary())],
-            names=["chunk", "packed"])
+        yield _packed(np.concatenate(tables))
+
+    assert all(n % CHUNK == 0 for n in offsets)
+    return _summed_chunks(train.select("text").mapInArrow(run, "chunk int, packed binary"), raw)
+
+
+def _packed(flat: np.ndarray) -> pa.RecordBatch:
+    """``chunk, packed``: the chunks of an array of counts that have any."""
+    import zstandard
+    zstd = zstandard.ZstdCompressor(level=3)
+    used = [i for i in range(0, len(flat), CHUNK) if flat[i:i + CHUNK].any()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([i // CHUNK for i in used], pa.int32()),
+         pa.array([zstd.compress(flat[i:i + CHUNK].astype("<u4").tobytes()) for i in used], pa.binary())],
+        names=["chunk", "packed"])
+
 
+def _summed_chunks(chunks: DataFrame, raw: bool) -> DataFrame:
+    """``chunk, table``: the sums of packed chunks, ``stretched`` or as 64-bit counts (``raw``)."""
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         zstd, held, total = zstandard.ZstdDecompressor(), None, None
@@ -315,9 +329,16 @@ def count_bits(train: DataFrame, spelling, raw: bool = False) -> DataFrame:
         if held is not None:
             yield out()
 
-    assert all(n % CHUNK == 0 for n in offsets)
-    return (train.select("text").mapInArrow(run, "chunk int, packed binary").repartition("chunk")
-            .sortWithinPartitions("chunk").mapInArrow(summed, "chunk int, table binary"))
+    return chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(summed, "chunk int, table binary")
+
+
+def _whole(chunks: DataFrame, size: int) -> np.ndarray:
+    """The array of 64-bit counts, of fixed size, whose summed chunks are given."""
+    flat = np.zeros(size, np.int64)
+    for r in chunks.toLocalIterator():
+        part = np.frombuffer(r["table"], np.int64)
+        flat[r["chunk"] * CHUNK:r["chunk"] * CHUNK + len(part)] = part
+    return flat
 
 
 def stretched(counts: np.ndarray) -> np.ndarray:
@@ -355,7 +376,7 @@ class Mixer:
 
     def __init__(self, spelling: Spelling, tables: list[np.ndarray]):
         self.spelling, self.tables = spelling, tables
-        self.weights = np.tile(np.array([0.25, 0.35, 0.45]), (GATES, 1))
+        self.weights = np.tile(np.array(FIRST_WEIGHTS), (GATES, 1))
 
     def inputs(self, data, starts, last, skip=None):
         """Per bit the predictions of the tables and ``2 * gate + bit`` as four 16-bit numbers in one
@@ -380,12 +401,26 @@ class Mixer:
         ends = np.r_[0, cut][np.cumsum(sizes)]
         return x.view(np.uint64)[:, 0].take(place), np.diff(np.r_[0, ends])
 
-    def fit_gates(self, texts: list[str | bytes], rounds: int = 2) -> None:
-        """First weights: the mean of what the sample's texts refine them to."""
-        heads = [(t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass"))[:PRIOR_BYTES] for t in texts]
-        for _ in range(rounds if heads else 0):
-            state = self._scored(heads)[1]
-            self.weights = state[0].mean(axis=1).T / UNIT
+    def count_gates(self, data: np.ndarray, starts: np.ndarray, last: np.ndarray, counts: np.ndarray) -> None:
+        """Adds the bits to ``counts`` by gate, levels of the three predictions and the bit itself."""
+        import pandas as pd
+        code, keys = pd.factorize(self.spelling.keys(data, starts, last)[0])
+        _, step, index, at = self.spelling.distinct(keys)
+        x = [t[i] for t, i in zip(self.tables, index, strict=True)]
+        cell = (((x[2] & 3) << 2) | (x[1] & 3)).astype(np.int64)
+        for f in x:
+            cell *= LEVELS
+            cell += np.clip(f // int(LEVEL * SCALE) + LEVELS // 2, 0, LEVELS - 1)
+        cell *= 2
+        cell += step & np.uint16(1)
+        np.add.at(counts, cell, np.bincount(code, minlength=len(keys))[at])
+
+    def fit_gates(self, texts: list[str | bytes]) -> None:
+        """First weights of whole texts, by these tables."""
+        counts = np.zeros(GATES * 2 * LEVELS ** 3, np.int64)
+        for data, starts, _, last in slices(texts, MODEL_BYTES):
+            self.count_gates(data, starts, last, counts)
+        self.weights = gate_weights(counts)
 
     def run(self, words: np.ndarray, pos: np.ndarray, size: np.ndarray, state: list[np.ndarray]) -> np.ndarray:
         """Log probability (natural, times ``LOG_UNIT``) of the ``size`` bits from ``pos`` of each lane, longest
@@ -498,30 +533,62 @@ class Mixer:
         return self._scored(texts)[0] / math.log(10)
 
 
+def gate_weights(counts: np.ndarray) -> np.ndarray:
+    """Weights by gate of a logistic regression (Newton's method) over bits counted by ``Mixer.count_gates``; a gate
+    without bits keeps ``FIRST_WEIGHTS``, which count like one bit."""
+    out = np.tile(np.array(FIRST_WEIGHTS), (GATES, 1))
+    for gate, n in enumerate(counts.reshape(GATES, -1, 2)):
+        used = np.flatnonzero(n.any(axis=1))
+        f = (np.stack(np.unravel_index(used, (LEVELS,) * 3), axis=1) - LEVELS // 2 + 0.5) * LEVEL
+        ones, both = n[used, 1].astype(np.float64), n[used].sum(axis=1).astype(np.float64)
+
+        def loss(w, f=f, ones=ones, both=both):
+            dot = f @ w
+            return (both * np.logaddexp(0, dot) - ones * dot).sum() + 0.5 * ((w - FIRST_WEIGHTS) ** 2).sum()
+
+        w, now = out[gate], loss(out[gate])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
+            step = np.linalg.solve((f * (both * p * (1 - p))[:, None]).T @ f + np.eye(3), f.T @ (ones - both * p) + FIRST_WEIGHTS - w)
+            while (new := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+                step /= 2
+            if np.abs(step).max() <= 1e-9:
+                break
+            w, now = w + step, new
+        out[gate] = w
+    return out
+
+
 def train(docs: DataFrame, spelled: np.ndarray, n_train: int) -> Mixer:
-    """Tables from all training documents; first weights from about ``PRIOR_DOCS`` of them, against
-    tables without their own counts, which would make their contexts look too well known."""
+    """Tables and first weights from all training documents; for the weights, each fold meets the tables of the
+    other, as its own would make contexts look too well known."""
     spelling = Spelling(spelled)
+    sc = docs.sparkSession.sparkContext
     sizes = [2 << bits for _, bits in ORDERS]
     cuts = np.cumsum(sizes)[:-1]
-    flat = np.zeros(sum(sizes), np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(spelling)
-    found = _input(docs).where("not held_out")
+    shared = sc.broadcast(spelling)
+    second = crc_remainder("doc_id", 2 * HELD_OUT) >= HELD_OUT
+    found = _input(docs).where("not held_out").select("text", second.alias("second"))
     # of fixed size: two 64-bit integers per slot of the tables
-    for r in count_bits(found, shared, raw=True).toLocalIterator():
-        part = np.frombuffer(r["table"], np.int64)
-        flat[r["chunk"] * CHUNK:r["chunk"] * CHUNK + len(part)] = part
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("gate")), F.lit(1 << 30))
-    drawn = found.where(draw < F.lit(int(min(1.0, 2 * PRIOR_DOCS / max(n_train, 1)) * (1 << 30)))).where(F.octet_length("text") < 50_000)
-    texts = [bytes(r["text"]) for r in drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(PRIOR_DOCS).select("text").collect()]
-    others = flat.copy()
-    for data, starts, _, last in slices(texts, MODEL_BYTES):
-        _, step, index, at = spelling.distinct(spelling.keys(data, starts, last)[0])
-        for first, x in zip(np.r_[0, cuts], index, strict=True):
-            np.subtract.at(others, first + ((x.astype(np.int64) << 1) | (step & np.uint16(1))), 1)
-    mixer = Mixer(spelling, [stretched(t) for t in np.split(others, cuts)])
-    mixer.fit_gates(texts)
-    mixer.tables = [stretched(t) for t in np.split(flat, cuts)]
+    halves = [_whole(count_bits(found.where(part), shared, raw=True), sum(sizes)) for part in ("not second", "second")]
+    tables = [[stretched(t) for t in np.split(half, cuts)] for half in halves]
+    halves[0] += halves[1]
+    mixer = Mixer(spelling, [stretched(t) for t in np.split(halves[0], cuts)])
+    if not n_train:
+        return mixer
+    folds = sc.broadcast([Mixer(spelling, t) for t in tables[::-1]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(GATES * 2 * LEVELS ** 3, np.int64)
+        for b in batches:
+            for fold, other in enumerate(folds.value):
+                mine = b.column(1) if fold else pa.compute.invert(b.column(1))
+                for data, starts, _, last in slices(b.column(0).filter(mine).to_pylist(), MODEL_BYTES):
+                    other.count_gates(data, starts, last, counts)
+        yield _packed(counts)
+
+    counted = found.mapInArrow(run, "chunk int, packed binary")
+    mixer.weights = gate_weights(_whole(_summed_chunks(counted, raw=True), GATES * 2 * LEVELS ** 3))
     return mixer
 
 

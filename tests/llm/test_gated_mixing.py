@@ -1,6 +1,7 @@
 """The gated mixing model bit by bit."""
 
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -70,3 +71,38 @@ def test_tables_hold_all_training_documents(spark):
             np.add.at(t, (x.astype(np.int64) << 1) | (step & 1), 1)
     for got, want in zip(mixer.tables, plain, strict=True):
         assert (got == context_mixing.stretched(want)).all()
+
+
+def test_first_weights_are_fitted_on_all_training_documents(spark):
+    """Also on documents beyond 200, on texts of over 50,000 bytes and on what follows their first 4,096 bytes."""
+    texts = [t for _, t, *_ in rows_of(spark, 60) if t]
+    rows = [(i, texts[i % len(texts)][i % 7:600 + i], "en", "a") for i in range(300)]
+    rows += [(1000 + i, " ".join(texts)[:60_000 + i], "fr", "b") for i in range(12)] + [(2000, None, None, None), (None, "no id", None, None)]
+    docs = documents(spark, rows)
+    m = context_mixing
+    kept = [(d, t or "") for d, t, *_ in rows if zlib.crc32(("" if d is None else str(d)).encode()) % 10]
+    spelled = np.zeros(257 * 257)
+    for data, starts, _, last in m.slices([t for _, t in kept]):
+        spelled += np.bincount(m.spelled_pairs(data, starts, last, np.ones(len(starts), bool)), minlength=257 * 257)
+    mixer = m.train(docs, spelled.reshape(257, 257), len(kept))
+    folds = [[t for d, t in kept if (zlib.crc32(str(d).encode()) % 20 >= 10) == f] for f in (False, True)]
+    assert len(kept) > 250 and all(any(len(t) > 50_000 for t in f) for f in folds)
+    bits = []
+    for own, other in (folds, folds[::-1]):
+        tables = [np.zeros(2 << b, np.int64) for _, b in m.ORDERS]
+        for data, starts, _, last in m.slices(other):
+            _, step, index, _ = mixer.spelling.distinct(mixer.spelling.keys(data, starts, last)[0])
+            for t, x in zip(tables, index, strict=True):
+                np.add.at(t, (x.astype(np.int64) << 1) | (step & 1), 1)
+        half = m.Mixer(mixer.spelling, [m.stretched(t) for t in tables])
+        for t in own:
+            data = np.frombuffer(t.encode() + b"\n", np.uint8)
+            bits.append(half.inputs(data, np.array([0]), np.array([True]))[0].view(np.int16).reshape(-1, 4))
+    bits = np.concatenate(bits)
+    f = (np.clip(bits[:, :3] // 1000, -16, 15) + 0.5) / 2
+    for gate in range(m.GATES):
+        x, y, w = f[bits[:, 3] >> 1 == gate], bits[bits[:, 3] >> 1 == gate, 3] & 1, mixer.weights[gate]
+        # at the least loss the derivatives vanish, that of the first weights' own bit included
+        slope = x.T @ (y - 1 / (1 + np.exp(-x @ w))) + np.array(m.FIRST_WEIGHTS) - w
+        assert np.abs(slope).max() < 1e-6 * max(len(y), 1)
+    assert (mixer.weights == m.train(docs.repartition(7), spelled.reshape(257, 257), len(kept)).weights).all()
