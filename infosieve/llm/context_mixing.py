@@ -354,7 +354,9 @@ def stretched(counts: np.ndarray) -> np.ndarray:
 
 def _log_units(chance: np.ndarray, final: np.ndarray, bits: np.ndarray, active: np.ndarray) -> np.ndarray:
     """Of each column the sum of its bits' log probabilities in whole ``1 / LOG_UNIT``s, of the mixed ``chance``
-    (times ``STEP``) and the map's ``final``; of step t the first ``active[t]`` columns count."""
+    (times ``STEP``) and the map's ``final``; of step t the first ``active[t]`` columns count.
+
+    Logarithms of 32-bit numbers are off by some 1e-7 a bit."""
     p = chance * (0.6 / STEP)
     p += final * 0.4
     p -= 1
@@ -362,8 +364,9 @@ def _log_units(chance: np.ndarray, final: np.ndarray, bits: np.ndarray, active:
     np.abs(p, out=p)
     for t in range(len(p)):
         p[t, active[t] if t < len(active) else 0:] = 1
+    p = p.astype(np.float32)
     np.log(p, out=p)
-    p *= LOG_UNIT
+    p *= np.float32(LOG_UNIT)
     return np.rint(p, out=p).astype(np.int64).sum(axis=0)
 
 
