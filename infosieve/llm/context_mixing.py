@@ -8,7 +8,7 @@ starts from trained vectors, a logistic regression over all bits of all training
 fall into two folds by crc32 of the id, each is predicted by tables of the other, and the bits are
 counted by gate and predictions.  The selected vector and a final probability map are refined
 after every bit, from the first to the last bit of the text.  numpy runs many texts in
-lockstep; the last few of a run, which have no company, take a plain loop.
+lockstep, each lane one text after the other; the last few of a run, which have no company, take a plain loop.
 
 Word counts are 64-bit hashes of whole words counted over the corpus.  Words that hold a
 millionth of all words or more (hence at most a million) are broadcast; all others meet
@@ -23,7 +23,9 @@ space, the model scores them whole.
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +46,11 @@ END, CODE_BITS = 256, 15
 CHUNK = 1 << 16
 SLICE_BYTES, MODEL_BYTES, PIECE_BYTES = 1 << 16, 1 << 20, 1 << 22
 #: Bits of one gathering of a lane, bytes of all lanes of a round, and bytes of texts that run together.
-BLOCK, ROUND_BYTES, RUN_BYTES = 32, 1 << 21, 1 << 25
-#: So few lanes take the plain loop.
-FEW = 12
+BLOCK, ROUND_BYTES, RUN_BYTES = 32, 1 << 20, 1 << 25
+#: So many lanes at most run side by side, and so few take the plain loop.
+LANES, FEW = 512, 12
+#: Slots (as bits) for symbols whose inputs are kept, and the number of inputs that are.
+KEPT_SLOTS, KEPT_INPUTS = 21, 1 << 23
 RATE, MAP_RATE, GATES = 0.015, 0.02, 16
 #: Log odds from -8 to 8 in steps of 1 / ``UNIT``: their probabilities, these times the ``STEP`` of a weight,
 #: and their cells of the final map, ``MAP_STEP`` steps each.
@@ -239,9 +243,12 @@ class Spelling:
         sym = data.astype(np.uint64)
         ends = starts + sizes - 1
         sym[ends] = END
-        key, reach = sym.copy(), ORDERS[-1][0]
-        for j in range(1, reach + 1):
-            key[j:] |= sym[:-j] << np.uint64(9 * j)
+        key, reach, held = sym, ORDERS[-1][0], 1
+        while held <= reach:  # twice as many symbols each time
+            more = min(held, reach + 1 - held)
+            longer = key.copy()
+            longer[held:] |= (key[:-held] & np.uint64((1 << 9 * more) - 1)) << np.uint64(9 * held)
+            key, held = longer, held + more
         for j in range(reach):  # nothing reaches before a piece
             first = starts[sizes > j] + j
             own = (1 << 9 * (j + 1)) - 1
@@ -270,30 +277,77 @@ class Spelling:
         return lens, step, index, at
 
 
+def distinct_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def count_keys(train: DataFrame, spelling) -> DataFrame:
+    """``second, key, n``: the numbers of the training documents' symbols (``Spelling.keys``) by fold, counted
+    task by task; a number may have several rows."""
+    fold = np.uint64(1 << 9 * (ORDERS[-1][0] + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, held, rows = spelling.value, [], 0
+
+        def merged():
+            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.argsort(keys)
+            keys, n = keys[by], n[by]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            return keys[first], np.add.reduceat(n, first)
+
+        def out(keys, n):
+            return pa.RecordBatch.from_arrays([pa.array(keys >= fold), pa.array((keys & (fold - np.uint64(1))).view(np.int64)), pa.array(n)],
+                                              names=["second", "key", "n"])
+
+        for b in batches:
+            second = b.column(1).to_numpy(zero_copy_only=False)
+            for data, starts, owner, last in slices(b.column(0).to_pylist(), MODEL_BYTES):
+                keys, sizes = s.keys(data, starts, last)
+                keys[np.repeat(second[owner], sizes)] |= fold
+                held.append(distinct_counts(keys))
+                rows += len(held[-1][0])
+                if rows > 2_000_000:
+                    held = [merged()]
+                    rows = len(held[0][0])
+                    if rows > 1_500_000:
+                        yield out(*held[0])
+                        held, rows = [], 0
+        if held:
+            yield out(*merged())
+
+    return train.select("text", "second").mapInArrow(run, "second boolean, key long, n long")
+
+
 def count_bits(train: DataFrame, spelling, raw: bool = False) -> DataFrame:
     """``chunk, table``: the training documents' bits counted in all tables end to end, ``stretched`` or
-    as the 64-bit counts themselves (``raw``).
+    as the 64-bit counts themselves (``raw``)."""
+    return count_key_bits(count_keys(train.select("text", F.lit(False).alias("second")), spelling), spelling, 1, raw)
 
-    Numbers of a slice are counted first and their bits are counted with that weight.
-    """
+
+def count_key_bits(keys: DataFrame, spelling, folds: int = 2, raw: bool = True) -> DataFrame:
+    """``count_bits`` of counted numbers, the tables of one fold after those of the other."""
     sizes = [2 << bits for _, bits in ORDERS]
     offsets = np.cumsum([0, *sizes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
-        s, tables = spelling.value, [np.zeros(n, np.uint32) for n in sizes]
+        s, flat = spelling.value, np.zeros((folds, offsets[-1]), np.uint32)
         for b in batches:
-            for data, starts, _, last in slices(b.column(0).to_pylist(), MODEL_BYTES):
-                code, keys = pd.factorize(s.keys(data, starts, last)[0])
-                _, step, index, at = s.distinct(keys)
-                weight = np.bincount(code, minlength=len(keys)).astype(np.uint32)[at]
+            second, key, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for fold in range(folds):
+                mine = second == bool(fold)
+                _, step, index, at = s.distinct(key[mine].view(np.uint64))
+                weight = n[mine].astype(np.uint32)[at]
                 bit = (step & np.uint16(1)).astype(np.uint32)
-                for t, x in zip(tables, index, strict=True):
+                for t, x in zip(np.split(flat[fold], offsets[1:-1]), index, strict=True):
                     np.add.at(t, (x << np.uint32(1)) | bit, weight)
-        yield _packed(np.concatenate(tables))
+        yield _packed(flat.ravel())
 
     assert all(n % CHUNK == 0 for n in offsets)
-    return _summed_chunks(train.select("text").mapInArrow(run, "chunk int, packed binary"), raw)
+    return _summed_chunks(keys.select("second", "key", "n").mapInArrow(run, "chunk int, packed binary"), raw)
 
 
 def _packed(flat: np.ndarray) -> pa.RecordBatch:
@@ -352,62 +406,170 @@ def stretched(counts: np.ndarray) -> np.ndarray:
 
 # --- mixing -------------------------------------------------------------------------------
 
-def _log_units(chance: np.ndarray, final: np.ndarray, bits: np.ndarray, active: np.ndarray) -> np.ndarray:
+def _log_units(chance: np.ndarray, final: np.ndarray, bits: np.ndarray, ends=()) -> np.ndarray:
     """Of each column the sum of its bits' log probabilities in whole ``1 / LOG_UNIT``s, of the mixed ``chance``
-    (times ``STEP``) and the map's ``final``; of step t the first ``active[t]`` columns count.
+    (times ``STEP``) and the map's ``final``; of the columns in ``ends`` (column, text, count) the first bits count.
 
     Logarithms of 32-bit numbers are off by some 1e-7 a bit."""
     p = chance * (0.6 / STEP)
     p += final * 0.4
     p -= 1
     p += bits
-    np.abs(p, out=p)
-    for t in range(len(p)):
-        p[t, active[t] if t < len(active) else 0:] = 1
-    p = p.astype(np.float32)
+    p = np.abs(p, out=p).astype(np.float32)
+    for i, _, valid in ends:
+        p[valid:, i] = 1
     np.log(p, out=p)
     p *= np.float32(LOG_UNIT)
-    return np.rint(p, out=p).astype(np.int64).sum(axis=0)
+    # whole numbers far below 2 ** 53
+    return np.rint(p, out=p).astype(np.float64).sum(axis=0).astype(np.int64)
+
+
+class Kept:
+    """Inputs of symbols met before, by the symbol's number; when there are too many, it starts anew.
+
+    A number lies in one of two slots or, if both are taken, is worked out again."""
+
+    EMPTY = np.uint64((1 << 64) - 1)
+    FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+
+    def __init__(self):
+        self.key = np.full(1 << KEPT_SLOTS, self.EMPTY)
+        self.code = np.zeros(1 << KEPT_SLOTS, np.int32)
+        self.words, self.n = np.empty(1 << 16, np.uint64), 0
+
+    def _slot(self, key: np.ndarray, k: int) -> np.ndarray:
+        return ((key * self.FACTORS[k]) >> np.uint64(64 - KEPT_SLOTS)).view(np.int64)
+
+    def codes(self, key: np.ndarray, inputs) -> np.ndarray:
+        """``16 * place + size`` of each number's ``words``; of new numbers, ``inputs`` gives words and sizes."""
+        import pandas as pd
+        if self.n > KEPT_INPUTS:
+            self.key[:] = self.EMPTY
+            self.n = 0
+        slot = self._slot(key, 0)
+        out = self.code.take(slot)
+        left = np.flatnonzero(self.key.take(slot) != key)
+        if len(left):
+            slot = self._slot(key[left], 1)
+            out[left] = self.code[slot]
+            left = left[self.key[slot] != key[left]]
+        if len(left):
+            code, new = pd.factorize(key[left])
+            words, sizes = inputs(new)
+            while self.n + len(words) > len(self.words):
+                self.words = np.concatenate([self.words, np.empty_like(self.words)])
+            self.words[self.n:self.n + len(words)] = words
+            mine = ((self.n + np.cumsum(sizes) - sizes) * 16 + sizes).astype(np.int32)
+            self.n += len(words)
+            out[left] = mine[code]
+            for k in range(2):
+                slot = self._slot(new, k)
+                free = self.key[slot] == self.EMPTY
+                self.key[slot[free]] = new[free]
+                held = self.key[slot] == new
+                self.code[slot[held]] = mine[held]
+                new, mine = new[~held], mine[~held]
+        return out
+
+
+class _Lane:
+    """Texts that run one after the other, and the words (``Mixer.inputs``) that wait to be run."""
+
+    def __init__(self):
+        self.texts, self.at = deque(), 0
+        self.parts: list[list] = []  # text, words, whether it ends there
+
+    def add(self, text: int, words: np.ndarray, end: bool) -> None:
+        if self.parts and not self.parts[-1][2]:
+            words = np.concatenate([self.parts.pop()[1], words])
+        self.parts.append([text, words, end])
+
+    def goes_on(self) -> bool:
+        """Whether words will follow."""
+        return bool(self.texts)
+
+    def bits(self) -> int:
+        return sum(len(words) for _, words, _ in self.parts)
+
+    def blocks(self) -> int:
+        """A text's last block is filled up."""
+        return sum(-(-len(words) // BLOCK) if end else len(words) // BLOCK for _, words, end in self.parts)
+
+    def all(self) -> list[list]:
+        parts, self.parts = self.parts, []
+        return parts
+
+    def take(self, n: int, j: int, ends: dict) -> np.ndarray:
+        """The words of the next ``n`` blocks, filled up with zeros; lane ``j`` is entered in ``ends`` at the blocks where texts end."""
+        out, b = [], 0
+        while b < n and self.parts:
+            text, words, end = self.parts[0]
+            most = -(-len(words) // BLOCK) if end else len(words) // BLOCK
+            if b + most > n or not end:
+                k = min(n - b, most)
+                out.append(words[:k * BLOCK])
+                self.parts[0][1] = words[k * BLOCK:].copy()
+                break
+            b += most
+            out += [words, np.zeros(most * BLOCK - len(words), np.uint64)]
+            ends.setdefault(b - 1, []).append((j, text, len(words) - (most - 1) * BLOCK))
+            self.parts.pop(0)
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 class Mixer:
     """Trained tables and first weights; ``log10_probabilities`` runs the online part.
 
-    Each lane, a text, holds a weight vector per gate; the gate of a bit tells how often the two
+    Each lane, a text at a time, holds a weight vector per gate; the gate of a bit tells how often the two
     longer contexts were seen.
     """
 
     def __init__(self, spelling: Spelling, tables: list[np.ndarray]):
         self.spelling, self.tables = spelling, tables
         self.weights = np.tile(np.array(FIRST_WEIGHTS), (GATES, 1))
+        self.kept = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"kept": None}
+
+    def _distinct_inputs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs of each number's bits, and their count."""
+        lens, step, index, _ = self.spelling.distinct(keys)
+        x = np.empty((len(step), 4), np.int16)
+        for k, (t, i) in enumerate(zip(self.tables, index, strict=True)):
+            x[:, k] = t[i]
+        x[:, 3] = (((x[:, 2] & 3) << 2) | (x[:, 1] & 3)) << 1 | (step & np.uint16(1)).astype(np.int16)
+        return x.view(np.uint64)[:, 0], lens
 
     def inputs(self, data, starts, last, skip=None):
         """Per bit the predictions of the tables and ``2 * gate + bit`` as four 16-bit numbers in one
         64-bit value; and each piece's bit count.  The first ``skip`` symbols of a piece are only
         context."""
-        import pandas as pd
         key, sizes = self.spelling.keys(data, starts, last)
         if skip is not None:
             begin = np.cumsum(sizes) - sizes
             key = np.delete(key, np.repeat(begin - (np.cumsum(skip) - skip), skip) + np.arange(skip.sum()))
             sizes = sizes - skip
-        code, keys = pd.factorize(key)
-        lens, step, index, _ = self.spelling.distinct(keys)
-        x = np.empty((len(step), 4), np.int16)
-        for k, (t, i) in enumerate(zip(self.tables, index, strict=True)):
-            x[:, k] = t[i]
-        x[:, 3] = (((x[:, 2] & 3) << 2) | (x[:, 1] & 3)) << 1 | (step & np.uint16(1)).astype(np.int16)
-        size = lens[code]
-        cut = np.cumsum(size)
-        place = np.repeat((np.cumsum(lens) - lens)[code] - (cut - size), size)
-        place += np.arange(len(place))
+        if self.kept is None:
+            self.kept = Kept()
+        code = self.kept.codes(key, self._distinct_inputs)
+        size = code & 15
+        code >>= 4
+        cut = np.cumsum(size, dtype=np.int64)
+        # places follow each other within a symbol and jump between symbols
+        place = np.ones(int(cut[-1]) if len(cut) else 0, np.int32)
+        code[1:] -= code[:-1] + size[:-1] - 1
+        place[(cut - size)] = code
+        np.cumsum(place, out=place)
         ends = np.r_[0, cut][np.cumsum(sizes)]
-        return x.view(np.uint64)[:, 0].take(place), np.diff(np.r_[0, ends])
+        return self.kept.words.take(place), np.diff(np.r_[0, ends])
 
     def count_gates(self, data: np.ndarray, starts: np.ndarray, last: np.ndarray, counts: np.ndarray) -> None:
         """Adds the bits to ``counts`` by gate, levels of the three predictions and the bit itself."""
-        import pandas as pd
-        code, keys = pd.factorize(self.spelling.keys(data, starts, last)[0])
+        self.count_key_gates(*distinct_counts(self.spelling.keys(data, starts, last)[0]), counts)
+
+    def count_key_gates(self, keys: np.ndarray, n: np.ndarray, counts: np.ndarray) -> None:
+        """``count_gates`` for distinct numbers that occur ``n`` times."""
         _, step, index, at = self.spelling.distinct(keys)
         x = [t[i] for t, i in zip(self.tables, index, strict=True)]
         cell = (((x[2] & 3) << 2) | (x[1] & 3)).astype(np.int64)
@@ -416,7 +578,7 @@ class Mixer:
             cell += np.clip(f // int(LEVEL * SCALE) + LEVELS // 2, 0, LEVELS - 1)
         cell *= 2
         cell += step & np.uint16(1)
-        np.add.at(counts, cell, np.bincount(code, minlength=len(keys))[at])
+        np.add.at(counts, cell, n[at])
 
     def fit_gates(self, texts: list[str | bytes]) -> None:
         """First weights of whole texts, by these tables."""
@@ -425,59 +587,66 @@ class Mixer:
             self.count_gates(data, starts, last, counts)
         self.weights = gate_weights(counts)
 
-    def run(self, words: np.ndarray, pos: np.ndarray, size: np.ndarray, state: list[np.ndarray]) -> np.ndarray:
-        """Log probability (natural, times ``LOG_UNIT``) of the ``size`` bits from ``pos`` of each lane, longest
-        lane first.
+    def run(self, words: np.ndarray, pos: np.ndarray, active: list[int], ends: dict[int, list[tuple[int, int, int]]],
+            state: tuple[np.ndarray, ...], total: np.ndarray) -> None:
+        """Runs blocks of bits; of block b the first ``active[b]`` lanes, each from its ``pos`` on.
 
-        ``state`` has the lanes' weights by gate (one array per table) and their maps; it is refined in place.
+        ``state`` has the lanes' weights by table and gate, their maps and the log probability (natural, times
+        ``LOG_UNIT``) of their texts so far; it is refined in place.  ``ends`` of a block tells lanes, texts that end there
+        and how many bits they have in it: their log probability goes to ``total`` and the lane starts anew.
         Sums, products and table places of 64-bit numbers are the same in any company and the logarithms are
         added as integers, so a text's score doesn't depend on the texts beside it."""
-        n = len(size)
-        steps = int(size[0]) if n else 0
-        active = np.searchsorted(-size, -np.arange(steps), "left")
         weights, refined = state[0].reshape(3, -1), state[1].reshape(-1)
         w0, w1, w2 = weights
-        lane_gate, lane_map = np.arange(n) * GATES, np.arange(n) * MAP_SIZE
-        total = np.zeros(n, np.int64)
-        run_of = np.arange(BLOCK)
-        # constants as arrays, which numpy takes faster than numbers
-        middle, kept = np.full(n, TOP + 0.5), np.full(n, 1 - MAP_RATE)
-        many = int(np.searchsorted(-active, -FEW, "left"))
-        for t0 in range(0, many, BLOCK):
-            a0 = int(active[t0])
-            block = words.take((pos[:a0] + (t0 + run_of)[:, None]).ravel(), mode="clip").view(np.int16).reshape(BLOCK, a0, 4)
+        lane_gate, lane_map = np.arange(len(pos)) * GATES, np.arange(len(pos)) * MAP_SIZE
+        a = 0
+        for b, a0 in enumerate(active):
+            if a0 != a:
+                a = a0
+                # constants as arrays, which numpy takes faster than numbers
+                middle, kept = np.full(a, TOP + 0.5), np.full(a, 1 - MAP_RATE)
+                w, x, dot, err, r = np.empty((3, a)), np.empty((3, a)), np.empty(a), np.empty(a), np.empty(a)
+                x0, x1, x2 = x
+                v0, v1, v2 = w
+                chance, final, inputs = np.empty((BLOCK, a)), np.empty((BLOCK, a)), np.empty((BLOCK, 3, a))
+                where, dots = pos[:a] + (b * BLOCK + np.arange(BLOCK)[:, None]), np.empty((BLOCK, a), np.int64)
+            block = words.take(where, mode="clip").view(np.int16).reshape(BLOCK, a, 4)
+            where += BLOCK
             tag = block[:, :, 3]
             bits = (tag & np.int16(1)).astype(np.float64)
-            places = (tag >> np.int16(1)) + lane_gate[:a0]
-            inputs = block[:, :, :3].transpose(0, 2, 1) * (1 / SCALE)
-            pulled, mapped = bits * STEP, bits * MAP_RATE
-            chance, final = np.ones((BLOCK, a0)), np.ones((BLOCK, a0))
-            for t in range(min(BLOCK, many - t0)):
-                a = int(active[t0 + t])
-                f, at = inputs[t, :, :a], places[t, :a]
-                w = weights.take(at, axis=1)
-                x = w * f
-                dot = x[0]
-                dot += x[2]
-                dot += x[1]
-                dot += middle[:a]
-                place = dot.astype(np.int64)
-                err = pulled[t, :a] - PULL.take(place, out=chance[t, :a], mode="clip")
+            for k in range(3):
+                np.multiply(block[:, :, k], 1 / SCALE, out=inputs[:, k])
+            for f, at, pulled, place, p in zip(inputs, (tag >> np.int16(1)) + lane_gate[:a], bits * STEP, dots, chance, strict=True):
+                weights.take(at, axis=1, out=w, mode="clip")
+                np.multiply(w, f, out=x)
+                np.add(x0, x2, out=dot)
+                np.add(dot, x1, out=dot)
+                np.add(dot, middle, out=dot)
+                np.copyto(place, dot, casting="unsafe")
+                PULL.take(place, out=p, mode="clip")
+                np.subtract(pulled, p, out=err)
                 np.multiply(f, err, out=x)
-                w += x
-                w0[at], w1[at], w2[at] = w
-                cell = CELL.take(place, mode="clip")
-                cell += lane_map[:a]
-                r = refined.take(cell, out=final[t, :a], mode="clip") * kept[:a]
-                r += mapped[t, :a]
+                np.add(w, x, out=w)
+                w0[at], w1[at], w2[at] = v0, v1, v2
+            cells = CELL.take(dots, mode="clip")
+            cells += lane_map[:a]
+            for cell, mapped, q in zip(cells, bits * MAP_RATE, final, strict=True):
+                refined.take(cell, out=q, mode="clip")
+                np.multiply(q, kept, out=r)
+                np.add(r, mapped, out=r)
                 refined[cell] = r
-            total[:a0] += _log_units(chance, final, bits, active[t0:min(t0 + BLOCK, many)])
-        for i in range(int(active[many]) if many < steps else 0):
-            total[i] += self._alone(words[pos[i] + many:pos[i] + size[i]], state[0][:, i], state[1][i])
-        return total
+            done = ends.get(b, ())
+            state[2][:a] += _log_units(chance, final, bits, done)
+            for i, text, _ in done:
+                self._finish(i, text, state, total)
+
+    def _finish(self, i: int, text: int, state: tuple[np.ndarray, ...], total: np.ndarray) -> None:
+        """The lane's text is scored; the next one starts from the first weights."""
+        total[text] = state[2][i]
+        state[0][:, i], state[1][i], state[2][i] = self.weights.T * UNIT, SQUASH[::MAP_STEP], 0
 
     def _alone(self, words: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> int:
-        """``run`` for one lane, bit after bit."""
+        """``run`` for one lane, bit after bit; gives the log probability."""
         (w0, w1, w2), cells = weights.tolist(), refined.tolist()
         pull, cell_of, middle, kept, last, total = PULL.tolist(), CELL.tolist(), TOP + 0.5, 1 - MAP_RATE, 2 * TOP, 0
         for begin in range(0, len(words), CHUNK):
@@ -498,42 +667,81 @@ class Mixer:
                 cells[cell] = r * kept + bit * MAP_RATE
                 chance.append(p)
                 final.append(r)
-            total += int(_log_units(np.array(chance)[:, None], np.array(final)[:, None], bits[:, None].astype(np.float64),
-                                    np.ones(len(rows), np.int64))[0])
+            total += int(_log_units(np.array(chance)[:, None], np.array(final)[:, None], bits[:, None].astype(np.float64))[0])
         weights[:] = w0, w1, w2
         refined[:] = cells
         return total
 
-    def _scored(self, texts: list[str | bytes | None]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Log probabilities (natural) of whole texts and the lanes' last state.
+    def _scored(self, texts: list[str | bytes | None]) -> np.ndarray:
+        """Log probabilities (natural) of whole texts.
 
-        A round takes the next bytes of every text that has some left, with the bytes before
-        them as context."""
+        The longest texts first, each goes to the lane with the least bytes.  A round spells the next bytes of the
+        lanes, with the bytes before them as context, and runs as many blocks as all lanes have that go on after
+        them.  What a lane has left over, or a text's last block beyond its end, waits or is filled up."""
         raw = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
-        n, reach = len(raw), ORDERS[-1][0]
-        state = [np.repeat(self.weights.T[:, None] * UNIT, n, axis=1), np.tile(SQUASH[::MAP_STEP], (n, 1))]
-        size = np.fromiter(map(len, raw), np.int64, n)
-        total, live, at = np.zeros(n, np.int64), np.arange(n), 0
-        while len(live):
+        size, reach = [len(t) for t in raw], ORDERS[-1][0]
+        lanes = [_Lane() for _ in range(min(len(raw), LANES))]
+        load = [(0, i) for i in range(len(lanes))]
+        for text in sorted(range(len(raw)), key=size.__getitem__, reverse=True):
+            bytes_of, i = load[0]
+            lanes[i].texts.append(text)
+            heapq.heapreplace(load, (bytes_of + size[text] + BLOCK // 2, i))
+        n = len(lanes)
+        state = (np.repeat(self.weights.T[:, None] * UNIT, n, axis=1), np.tile(SQUASH[::MAP_STEP], (n, 1)), np.zeros(n, np.int64))
+        total, live = np.zeros(len(raw), np.int64), list(range(n))
+        while live:
             more = max(64, ROUND_BYTES // len(live))
-            back = min(at, reach)
-            pieces = [raw[i][at - back:at + more] for i in live.tolist()]
-            lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            last = size[live] <= at + more
-            words, count = self.inputs(np.frombuffer(b"\n".join(pieces) + b"\n", np.uint8), np.cumsum(lens + 1) - lens - 1,
-                                       last, np.full(len(live), back))
-            by = np.argsort(-count, kind="stable")
-            lanes = live[by]
-            own = [np.ascontiguousarray(state[0][:, lanes]), state[1][lanes]]
-            total[lanes] += self.run(words, (np.cumsum(count) - count)[by], count[by], own)
-            state[0][:, lanes], state[1][lanes] = own
-            live = live[~last]
-            at += more
-        return total / LOG_UNIT, state
+            pieces, skip, last, whose = [], [], [], []
+            for i in live:
+                lane, want = lanes[i], more
+                if lane.bits() >= 4 * more:  # has enough left over
+                    continue
+                while lane.texts and want > 0:
+                    text, at = lane.texts[0], lane.at
+                    to = min(size[text], at + want)
+                    skip.append(min(at, reach))
+                    pieces.append(raw[text][at - skip[-1]:to])
+                    last.append(to == size[text])
+                    whose.append((lane, text))
+                    want -= to - at + 1
+                    lane.at = to
+                    if last[-1]:
+                        lane.texts.popleft()
+                        lane.at = 0
+            if pieces:
+                lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+                words, count = self.inputs(np.frombuffer(b"\n".join(pieces) + b"\n", np.uint8), np.cumsum(lens + 1) - lens - 1,
+                                           np.array(last), np.array(skip))
+                at = 0
+                for (lane, text), k, end in zip(whose, count.tolist(), last, strict=True):
+                    lane.add(text, words[at:at + k], end)
+                    at += k
+            if len(live) < FEW:
+                for i in live:
+                    for text, part, end in lanes[i].all():
+                        state[2][i] += self._alone(part, state[0][:, i], state[1][i])
+                        if end:
+                            self._finish(i, text, state, total)
+            else:
+                live.sort(key=lambda i: -lanes[i].blocks())
+                have = np.array([lanes[i].blocks() for i in live])
+                steps = min((lanes[i].blocks() for i in live if lanes[i].goes_on()), default=int(have[0]))
+                active = np.searchsorted(-have, -np.arange(steps), "left").tolist()
+                if active[-1] < FEW:  # these few go on alone
+                    active = [a for a in active if a >= FEW]
+                ends, parts = {}, []
+                for j, i in enumerate(live):
+                    parts.append(lanes[i].take(len(active), j, ends))
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+                own = (np.ascontiguousarray(state[0][:, live]), state[1][live], state[2][live])
+                self.run(np.concatenate(parts), np.cumsum(sizes) - sizes, active, ends, own, total)
+                state[0][:, live], state[1][live], state[2][live] = own
+            live = [i for i in live if lanes[i].goes_on() or lanes[i].parts]
+        return total / LOG_UNIT
 
     def log10_probabilities(self, texts: list[str | bytes | None]) -> np.ndarray:
         """Of whole texts, which run together."""
-        return self._scored(texts)[0] / math.log(10)
+        return self._scored(texts) / math.log(10)
 
 
 def gate_weights(counts: np.ndarray) -> np.ndarray:
@@ -572,11 +780,12 @@ def train(docs: DataFrame, spelled: np.ndarray, n_train: int) -> Mixer:
     shared = sc.broadcast(spelling)
     second = crc_remainder("doc_id", 2 * HELD_OUT) >= HELD_OUT
     found = _input(docs).where("not held_out").select("text", second.alias("second"))
+    # bits and predictions follow from a symbol and the bytes before it, so the texts are read once
+    keys = stored(count_keys(found, shared), "lm-keys")
     # of fixed size: two 64-bit integers per slot of the tables
-    halves = [_whole(count_bits(found.where(part), shared, raw=True), sum(sizes)) for part in ("not second", "second")]
+    halves = _whole(count_key_bits(keys, shared), 2 * sum(sizes)).reshape(2, -1)
     tables = [[stretched(t) for t in np.split(half, cuts)] for half in halves]
-    halves[0] += halves[1]
-    mixer = Mixer(spelling, [stretched(t) for t in np.split(halves[0], cuts)])
+    mixer = Mixer(spelling, [stretched(t) for t in np.split(halves[0] + halves[1], cuts)])
     if not n_train:
         return mixer
     folds = sc.broadcast([Mixer(spelling, t) for t in tables[::-1]])
@@ -584,13 +793,13 @@ def train(docs: DataFrame, spelled: np.ndarray, n_train: int) -> Mixer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(GATES * 2 * LEVELS ** 3, np.int64)
         for b in batches:
+            second, key, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             for fold, other in enumerate(folds.value):
-                mine = b.column(1) if fold else pa.compute.invert(b.column(1))
-                for data, starts, _, last in slices(b.column(0).filter(mine).to_pylist(), MODEL_BYTES):
-                    other.count_gates(data, starts, last, counts)
+                mine = second == bool(fold)
+                other.count_key_gates(key[mine].view(np.uint64), n[mine], counts)
         yield _packed(counts)
 
-    counted = found.mapInArrow(run, "chunk int, packed binary")
+    counted = keys.mapInArrow(run, "chunk int, packed binary")
     mixer.weights = gate_weights(_whole(_summed_chunks(counted, raw=True), GATES * 2 * LEVELS ** 3))
     return mixer
 
